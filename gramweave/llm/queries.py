@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .packing import op7_best_fit_packing
 from .token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}
