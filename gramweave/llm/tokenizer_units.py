@@ -31,7 +31,7 @@ def byte_letters() -> list[str]:
 class UnitEncoder:
     """ids of texts as little-endian bytes of `width` bytes an id."""
 
-    def __init__(self, path: str, words: bool, most: int = 250_000):
+    def __init__(self, path: str, words: bool, most: int = 600_000):
         """words: the vocabulary lower-cases and drops white space; else it keeps every byte."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -44,6 +44,7 @@ class UnitEncoder:
         self.width = array(self.code).itemsize
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.letters = dict(enumerate(byte_letters()))
+        self.blank, self.marks = self.letters[32], {}
         if words:
             self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         else:
@@ -54,26 +55,39 @@ class UnitEncoder:
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _piece(self, piece: str) -> list[int]:
+        """ids of one pre-token."""
+        spelled = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.letters)
+        return [token.id for token in self.model.tokenize(spelled)]
+
     def _cut(self, text: str) -> bytes:
         ids = array(self.code)
-        for piece in [text] if self.words and text.isalpha() else self.pattern.findall(text):
-            spelled = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.letters)
-            ids.extend([token.id for token in self.model.tokenize(spelled)])
+        for piece in self.pattern.findall(text):
+            ids.extend(self._piece(piece))
         return ids.tobytes()
 
-    def _learn(self, units: set[str]) -> None:
-        for unit in units:
+    def _unit(self, unit: str) -> bytes:
+        """ids of a cut: by far the most are a word, or a word and one mark, whose parts need no pattern."""
+        if unit.isalpha():
             if self.words:
-                self.known[unit] = self._cut(unit)
-            else:
-                # a cut that is empty or ends in white space belongs to a longer run of it: not a cut
-                self.known[unit] = 0 if not unit or unit[-1].isspace() else self._cut(" " + unit)
+                return array(self.code, self._piece(unit)).tobytes()
+            spelled = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
+            return array(self.code, [token.id for token in self.model.tokenize(self.blank + spelled)]).tobytes()
+        word, mark = unit[:-1], unit[-1:]
+        if mark in ",.;:!?" and word.isalpha():
+            if mark not in self.marks:
+                self.marks[mark] = self._cut(mark)
+            return (self.known.get(word) or self._unit(word)) + self.marks[mark]
+        return self._cut(unit if self.words else " " + unit)
 
     def _known(self, units: list[str]) -> list:
         found = list(map(self.known.get, units))
         if None in found:
-            self._learn({u for u, v in zip(units, found) if v is None})
-            found = list(map(self.known.__getitem__, units))
+            known = self.known
+            for unit in {u for u, v in zip(units, found) if v is None}:
+                # a cut that is empty or ends in white space belongs to a longer run of it: not a cut
+                known[unit] = 0 if not self.words and (not unit or unit[-1].isspace()) else self._unit(unit)
+            found = [known[u] if v is None else v for u, v in zip(units, found)]
         return found
 
     def encode(self, text: str) -> bytes:
