@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .packing import op7_best_fit_packing
 from .token_files import op1_token_files
+from .word_shuffle import op5_word_shuffle
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op5_word_shuffle": op5_word_shuffle,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 
