@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .packing import op7_best_fit_packing
+from .secret_scan import ORACLE as SECRET_ORACLE
+from .secret_scan import op10_secret_scans
 from .token_files import op1_token_files
 from .word_shuffle import op5_word_shuffle
 
@@ -10,6 +12,9 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op5_word_shuffle": op5_word_shuffle,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_secret_scans": op10_secret_scans,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_secret_scans": SECRET_ORACLE,
+}
