@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op2_nearest_neighbours
 from .packing import op7_best_fit_packing
 from .secret_scan import ORACLE as SECRET_ORACLE
 from .secret_scan import op10_secret_scans
@@ -10,6 +11,7 @@ from .word_shuffle import op5_word_shuffle
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op5_word_shuffle": op5_word_shuffle,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_secret_scans": op10_secret_scans,
