@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op2_nearest_neighbours
+from .language_id import op4_language_id
 from .packing import op7_best_fit_packing
 from .secret_scan import ORACLE as SECRET_ORACLE
 from .secret_scan import op10_secret_scans
@@ -12,6 +13,7 @@ from .word_shuffle import op5_word_shuffle
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op4_language_id": op4_language_id,
     "op5_word_shuffle": op5_word_shuffle,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_secret_scans": op10_secret_scans,
