@@ -31,7 +31,7 @@ def byte_letters() -> list[str]:
 class UnitEncoder:
     """ids of texts as little-endian bytes of `width` bytes an id."""
 
-    def __init__(self, path: str, words: bool, most: int = 600_000):
+    def __init__(self, path: str, words: bool, most: int = 300_000):
         """words: the vocabulary lower-cases and drops white space; else it keeps every byte."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
