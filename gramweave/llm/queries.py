@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op2_nearest_neighbours
+from .fingerprints import op6_fingerprints
 from .language_id import op4_language_id
 from .packing import op7_best_fit_packing
 from .secret_scan import ORACLE as SECRET_ORACLE
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op4_language_id": op4_language_id,
     "op5_word_shuffle": op5_word_shuffle,
+    "op6_fingerprints": op6_fingerprints,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_secret_scans": op10_secret_scans,
 }
