@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op2_nearest_neighbours
 from .fingerprints import op6_fingerprints
+from .html_extract import op8_html_extraction
 from .language_id import op4_language_id
 from .packing import op7_best_fit_packing
 from .secret_scan import ORACLE as SECRET_ORACLE
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_word_shuffle": op5_word_shuffle,
     "op6_fingerprints": op6_fingerprints,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_html_extraction": op8_html_extraction,
     "op10_secret_scans": op10_secret_scans,
 }
 
