@@ -60,14 +60,17 @@ def paragraphs(text: str) -> list[str]:
 
 
 def digests(text: str) -> list[int]:
-    """One digest a paragraph; the n-th copy of a paragraph has its own."""
+    """One digest a paragraph, all different; the n-th copy of a paragraph has its own."""
     seen: dict[str, int] = {}
-    out = []
+    taken: dict[int, None] = {}
     for part in paragraphs(text):
         n = seen.get(part, 0)
         seen[part] = n + 1
-        out.append(xxhash.xxh3_64_intdigest(part, seed=n))
-    return out
+        digest = xxhash.xxh3_64_intdigest(f"{n}\0{part}" if n else part)
+        while digest in taken:  # a sketch cannot hold a digest twice
+            digest = xxhash.xxh3_64_intdigest(digest.to_bytes(8, "little"))
+        taken[digest] = None
+    return list(taken)
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
