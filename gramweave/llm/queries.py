@@ -5,6 +5,8 @@ from __future__ import annotations
 from .ann import op2_nearest_neighbours
 from .fingerprints import op6_fingerprints
 from .html_extract import op8_html_extraction
+from .jaccard_join import ORACLE as JACCARD_ORACLE
+from .jaccard_join import op9_jaccard_join
 from .language_id import op4_language_id
 from .packing import op7_best_fit_packing
 from .secret_scan import ORACLE as SECRET_ORACLE
@@ -20,9 +22,11 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_html_extraction": op8_html_extraction,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_jaccard_join": JACCARD_ORACLE,
     "op10_secret_scans": SECRET_ORACLE,
 }
