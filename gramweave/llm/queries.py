@@ -12,11 +12,13 @@ from .packing import op7_best_fit_packing
 from .secret_scan import ORACLE as SECRET_ORACLE
 from .secret_scan import op10_secret_scans
 from .token_files import op1_token_files
+from .weak_quality import op3_quality_classifier
 from .word_shuffle import op5_word_shuffle
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_language_id": op4_language_id,
     "op5_word_shuffle": op5_word_shuffle,
     "op6_fingerprints": op6_fingerprints,
