@@ -7,16 +7,18 @@ is in one of the n - T + 1 short ones. DivideSkip merges the short lists and pro
 
 1. Each task reads its texts, reduces each to its set, and keeps the set once for equal sets (its
    class). Sets go to a table; nothing with a text is shuffled.
-2. Shingles that are frequent in some task sort last. The short lists' entries of each class
-   go to buckets of the shingle, packed; a bucket joins the classes of one shingle and of sizes that
-   can link by edges to the least of them (linear in the list).
+2. Entries of the inverted lists go to buckets of the shingle, packed. A bucket sends back those
+   whose shingle has another class, with the list's length; a class whose lists are too few for T
+   drops out. The rest order their lists by length, and the entries of the short ones meet by
+   shingle: classes of one shingle and of sizes that can link get edges to the least of them (linear
+   in the list).
 3. Connected classes are a block: all links lie within blocks. Small blocks are searched many to a
    task. A block beyond the bounds of a task is dealt in chunks and each pair of chunks is searched;
    first all of it meets a few hubs, and classes that those join need no search among themselves.
 4. A search returns a spanning forest of the links. Components of all of them, and of
    equal sets, get their smallest doc_id.
 
-Shingles are 64-bit hashes, of which 48 bits are kept for comparing sets. Defined cases: A-Z count as
+Shingles are 64-bit hashes, of which 46 bits are kept for comparing sets. Defined cases: A-Z count as
 a-z; fewer than five words are one shingle; null or empty text and text of blanks only has no
 shingle, links with nothing and is its own component; rows of equal doc_id are one node only if
 their sets are equal; a null doc_id never names a component unless all its members are null.
@@ -31,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +41,11 @@ from ._base import plain, slices, stash
 from ._graph import components
 
 WIDTH = 5
-BITS = np.uint64((1 << 48) - 1)
+BITS = np.uint64((1 << 46) - 1)
 #: Bounds of what one search task holds: classes and shingles.
 CLASSES, SHINGLES = 4096, 2_000_000
-#: Shingles that sort last, at most; they bound nothing but the order.
-FREQUENT = 65_536
+#: Shingles of the classes of one chunk.
+CHUNK = 3_000_000
 HUBS = 24
 BROADCAST_BYTES = 32 << 20
 
@@ -73,13 +76,13 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     return mixed[np.append(True, mixed[1:] != mixed[:-1])]
 
 
-def pack48(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _pack(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def unpack48(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _unpack(data: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(data) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return wide.view("<u8").ravel()
 
 
@@ -98,7 +101,7 @@ def _sets(width: int):
                 proofs.append(int.from_bytes(digest[8:], "little", signed=True))
                 sizes.append(len(found))
                 fresh = len(found) and ids[-1] not in seen
-                grams.append(pack48(np.unique(found & BITS)) if fresh else None)
+                grams.append(_pack(np.unique(found & BITS), 6) if fresh else None)
                 if fresh and len(seen) < 1 << 20:
                     seen.add(ids[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(ids, pa.int64()), pa.array(proofs, pa.int64()), pa.array(grams, pa.binary())], names=[x.split()[0] for x in SETS.split(", ")])
@@ -106,28 +109,6 @@ def _sets(width: int):
     return run
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles in many classes of a stretch of the table, with how many."""
-    held, size, docs = [], 0, 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal held, size, docs
-        grams, counts = np.unique(np.concatenate(held), return_counts=True)
-        many = counts >= max(8, docs // 256)
-        held, size, docs = [], 0, 0
-        return pa.RecordBatch.from_arrays([pa.array(grams[many].astype(np.int64)), pa.array(counts[many])], names=["gram", "n"])
-
-    for batch in slices(batches, 512):
-        for grams in batch.column(0).to_pylist():
-            held.append(unpack48(grams))
-            size += len(held[-1])
-            docs += 1
-            if size > 4_000_000:
-                yield flush()
-    if held:
-        yield flush()
-
-
 def _planes(values: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
@@ -136,46 +117,119 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+ENTRIES = "chunk long, bucket int, counts binary, grams binary, more binary"
 POSTS = "bucket int, grams binary, ids binary, sizes binary"
 
 
-def _posts(frequent: np.ndarray, percent: int, buckets: int):
-    """Entries of the short lists, packed for each bucket."""
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*rows), fields)], names=[name for name, _ in fields])
+
+
+def _groups(keys: np.ndarray) -> list[np.ndarray]:
+    """Places of each key in turn, keys ascending, places in order."""
+    order = np.argsort(keys, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(keys[order])) + 1) if len(keys) else []
+
+
+def _entries(buckets: int):
+    """All entries of the inverted lists, packed for each chunk of classes and bucket of shingles.
+
+    An entry is the shingle's place in its bucket, and its class by how many each class of the chunk
+    has there. The chunk's own row (sizes and ids of its classes) goes along in some bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
         grams, ids, sizes, held = [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal grams, ids, sizes, held
-            flat, count = np.concatenate(grams), [len(g) for g in grams]
-            owner, size = np.repeat(np.array(ids, np.int64), count), np.repeat(np.array(sizes, np.int64), count)
-            grams, ids, sizes, held = [], [], [], 0
+            nonlocal grams, ids, sizes, held, number
+            chunk, classes = part << 32 | number, len(ids)
+            flat, owner = np.concatenate(grams), np.repeat(np.arange(classes), [len(g) for g in grams])
             to = (flat % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                row = [int(to[part[0]])], [pack48(flat[part])], [owner[part].tobytes()], [_planes(size[part])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "grams", "ids", "sizes"])
+            yield _rows(ENTRIES, [(chunk, chunk % buckets, _planes(np.array(sizes)), None, np.array(ids, np.int64).tobytes())])
+            for group in _groups(to):
+                yield _rows(ENTRIES, [(chunk, int(to[group[0]]), _planes(np.bincount(owner[group], minlength=classes)), _pack(flat[group] // np.uint64(buckets), 5), None)])
+            grams, ids, sizes, held, number = [], [], [], 0, number + 1
 
         for batch in slices(batches, 512):
             for own, n, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                found = unpack48(data)
-                short = n - -(-percent * n // 100) + 1
-                if len(frequent):
-                    at = np.searchsorted(frequent, found)
-                    last = frequent[np.minimum(at, len(frequent) - 1)] == found
-                    found = np.concatenate([found[~last][:short], found[last]])
-                grams.append(found[:short])
+                grams.append(_unpack(data, 6))
                 ids.append(own)
                 sizes.append(n)
                 held += len(grams[-1])
-            if held > 1_500_000:
-                yield from flush()
+                if held > CHUNK:
+                    yield from flush()
         if held:
             yield from flush()
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket, the entries whose shingle has another one, with how many it has."""
+    held: list[tuple] = []
+    last = None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        flat = np.concatenate([g for _, _, _, g in held])
+        _, inverse, length = np.unique(flat, return_inverse=True, return_counts=True)
+        length, at = length[inverse], 0
+        for chunk, bucket, counts, grams in held:
+            own = length[at : at + len(grams)]
+            at += len(grams)
+            stays = own > 1
+            if stays.any():
+                owner = np.repeat(np.arange(len(counts)), counts)
+                yield _rows(ENTRIES, [(chunk, bucket, _planes(np.bincount(owner[stays], minlength=len(counts))), _pack(grams[stays], 5), _planes(own[stays]))])
+        held.clear()
+
+    for batch in slices(batches, 16):
+        for chunk, bucket, counts, grams, more in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if bucket != last and held:
+                yield from flush()
+            last = bucket
+            if grams is None:
+                yield _rows(ENTRIES, [(chunk, -1, counts, None, more)])
+            else:
+                held.append((chunk, bucket, _unplanes(counts), _unpack(grams, 5)))
+    if held:
+        yield from flush()
+
+
+def _short(percent: int, buckets: int):
+    """The short lists' entries of a chunk's classes: rarest first, those of no other class being the shortest."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, sizes, keys, owners, lengths = None, None, [], [], []
+        for bucket, counts, grams, more in zip(*(rows.column(c).to_pylist() for c in ("bucket", "counts", "grams", "more"))):
+            counts = _unplanes(counts)
+            if grams is None:
+                sizes, ids = counts.astype(np.int64), np.frombuffer(more, np.int64)
+            else:
+                keys.append(_unpack(grams, 5) * np.uint64(buckets) + np.uint64(bucket))
+                owners.append(np.repeat(np.arange(len(counts)), counts))
+                lengths.append(_unplanes(more))
+        out = []
+        if keys:
+            key, owner, length = np.concatenate(keys), np.concatenate(owners), np.concatenate(lengths)
+            order = np.lexsort((key, length, owner))
+            key, owner = key[order], owner[order]
+            count = np.bincount(owner, minlength=len(ids))
+            # short lists less those that hold the class alone
+            take = (sizes - -(-percent * sizes // 100) + 1) - (sizes - count)
+            nth = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+            kept = nth < take[owner]
+            key, owner = key[kept], owner[kept]
+            to = (key % np.uint64(buckets)).astype(np.int64)
+            out = [(int(to[g[0]]), _pack(key[g], 6), ids[owner[g]].tobytes(), _planes(sizes[owner[g]])) for g in _groups(to)]
+        return pa.Table.from_batches([_rows(POSTS, out)] if out else [], schema=pa.schema([("bucket", pa.int32()), ("grams", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())]))
+
+    return run
+
+
 def _joined(percent: int):
     """Edges that connect the classes of one shingle whose sizes can link."""
 
@@ -207,7 +261,7 @@ def _joined(percent: int):
                     yield edges(*held)
                     held = ([], [], [])
                 last = bucket
-                for part, value in zip(held, (unpack48(grams), np.frombuffer(ids, np.int64), _unplanes(sizes))):
+                for part, value in zip(held, (_unpack(grams, 6), np.frombuffer(ids, np.int64), _unplanes(sizes))):
                     part.append(value)
         if held[0]:
             yield edges(*held)
@@ -337,7 +391,7 @@ def _search(percent: int, chunks: bool):
         block, chunk, label = (rows.column(c).to_numpy() for c in ("block", "chunk", "label"))
         for one in np.unique(block[fresh]):
             own = fresh[block[fresh] == one]
-            sets = [unpack48(data[int(k)].as_py()) for k in own]
+            sets = [_unpack(data[int(k)].as_py(), 6) for k in own]
             cut = chunk[own] if chunks and len(np.unique(chunk[own])) > 1 else None
             out += [(int(ids[own[a]]), int(ids[own[b]])) for a, b in divide_skip(sets, n[own], percent, cut, label[own])]
         a, b = zip(*out) if out else ((), ())
@@ -360,10 +414,11 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
     """(id, root) of classes that are linked, directly or over others. `sets` has id, n, grams."""
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tallied = sets.select("grams").mapInArrow(_frequent, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    # bounded by FREQUENT
-    frequent = np.sort(np.array([r.gram for r in tallied.orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram").collect()], np.uint64))
-    posts = sets.select("id", "n", "grams").mapInArrow(_posts(frequent, percent, 4 * parts), POSTS)
+    # at least 256 buckets: a shingle's place in one takes five bytes
+    buckets = max(256, 4 * parts)
+    entries = sets.select("id", "n", "grams").mapInArrow(_entries(buckets), ENTRIES)
+    shared = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, ENTRIES)
+    posts = shared.groupBy("chunk").applyInArrow(_short(percent, buckets), POSTS)
     edges = posts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_joined(percent), "a long, b long")
     blocks = components(edges).select("id", F.col("root").alias("block"))
     classes = stash(_with_sets(blocks, sets).groupBy("id", "block").agg(F.first("n").alias("n")), "classes")
