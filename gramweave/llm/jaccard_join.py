@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import plain, slices, stash
+from ._base import drop_stash, plain, slices, stash
 from ._graph import components
 
 WIDTH = 5
@@ -474,7 +474,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
     # only classes with copies or links need a name other than their own row's
     names = rooted.where("m > 1 or root is not null").join(named, "root", "left").select("id", F.coalesce("component", "least").alias("component"))
     names = stash(names, "names")
-    return rows.select("doc_id", "n", "id").join(names, (rows["id"] == names["id"]) & (rows["n"] > 0), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    found = rows.select("doc_id", "n", "id").join(names, (rows["id"] == names["id"]) & (rows["n"] > 0), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    found = stash(found, "components")
+    drop_stash(rows, names)
+    return found
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
