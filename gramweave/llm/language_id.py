@@ -137,29 +137,29 @@ def train(docs: DataFrame, per_language: int = 300, landmarks: int = 24) -> Mode
     return fit([(lang, np.frombuffer(cells, np.int32)) for lang, _, cells in rows], landmarks)
 
 
-def _predict(model: Model | None):
+def _predict(model: Model | None, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in slices(batches, 128):
             n = batch.num_rows
-            found = [grams.cells(t) for t in batch.column(batch.num_columns - 1).to_pylist()] if model else [None] * n
+            found = [grams.cells(t) for t in batch.column(at).to_pylist()] if model else [None] * n
             names, score = [UNKNOWN] * n, [0.0] * n
-            if at := [k for k, cells in enumerate(found) if cells is not None]:
-                values = model.scores([found[k] for k in at])
+            if kept := [k for k, cells in enumerate(found) if cells is not None]:
+                values = model.scores([found[k] for k in kept])
                 shares = np.exp(4 * (values - values.max(1, keepdims=True)))
                 shares /= shares.sum(1, keepdims=True)
-                for k, best, share in zip(at, values.argmax(1).tolist(), shares.max(1).tolist()):
+                for k, best, share in zip(kept, values.argmax(1).tolist(), shares.max(1).tolist()):
                     names[k], score[k] = model.languages[best], round(share, 6)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns of every row, lang_pred and score."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*keep, *[F.col(text).cast("string").alias("_text")] * (text not in keep))
     schema = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
-    return rows.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double").drop("_text")
+    return rows.mapInArrow(_predict(model, rows.columns.index(text if text in keep else "_text")), f"{schema}, lang_pred string, score double").drop("_text")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

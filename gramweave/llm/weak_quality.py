@@ -232,11 +232,11 @@ def train(docs: DataFrame, sample: int = 4000) -> tuple[Labels, Scorer] | None:
     return labels, fit_scorer([(np.frombuffer(r.cells, np.int32), np.frombuffer(r.weights, np.float32)) for r in rows], target)
 
 
-def _score(models: tuple[Labels, Scorer] | None):
+def _score(models: tuple[Labels, Scorer] | None, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             score = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in batch.column(at).to_pylist():
                 if text is None or not text.strip():
                     score.append(0.0)
                 else:
@@ -246,11 +246,11 @@ def _score(models: tuple[Labels, Scorer] | None):
     return run
 
 
-def classify(docs: DataFrame, models: tuple[Labels, Scorer] | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def classify(docs: DataFrame, models: tuple[Labels, Scorer] | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns of every row and `_score`, the probability of a good document."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*keep, *[F.col(text).cast("string").alias("_text")] * (text not in keep))
     schema = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
-    return rows.mapInArrow(_score(models), f"{schema}, _score double").drop("_text")
+    return rows.mapInArrow(_score(models, rows.columns.index(text if text in keep else "_text")), f"{schema}, _score double").drop("_text")
 
 
 #: Documents of a lower score are rejected.
