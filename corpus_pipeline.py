@@ -7,7 +7,7 @@ next one's documents. Stages shield columns they don't know, whatever their name
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramweave.llm import jaccard_join, language_id, packing, secret_scan, weak_quality
@@ -18,16 +18,20 @@ from gramweave.llm._base import stash
 LEAST_LANGUAGE = 0.3
 
 
-def _shielded(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with numbered columns plus doc_id, text and lang, and those columns alone."""
-    numbered = docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
-    places = {name.lower(): k for k, name in reversed(list(enumerate(docs.columns)))}
-    known = [F.col(f"_{places[name]}").alias(name) if name in places else F.lit(None).cast("string").alias(name) for name in ("doc_id", "text", "lang")]
-    return numbered.select("*", *known), numbered.select(*known)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with numbers for names."""
+    return docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
 
 
-def _text(docs: DataFrame) -> Column:
-    return next((F.col(f"_{k}") for k, name in enumerate(docs.columns) if name.lower() == "text"), F.lit(None).cast("string"))
+def _place(docs: DataFrame, name: str) -> str | None:
+    """The number of the first column of a name."""
+    return next((f"_{k}" for k, column in enumerate(docs.columns) if column.lower() == name), None)
+
+
+def _known(docs: DataFrame, *names: str) -> DataFrame:
+    """Some columns by name; one that isn't there is null."""
+    places = {name: _place(docs, name) for name in names}
+    return _numbered(docs).select(*[(F.col(at) if at else F.lit(None).cast("string")).alias(name) for name, at in places.items()])
 
 
 def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -36,27 +40,26 @@ def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised classifier keeps."""
-    wide, known = _shielded(docs)
-    model = weak_quality.train(known)
-    scored = weak_quality.classify(wide, model, tuple(f"_{k}" for k in range(len(docs.columns))))
+    rows = _numbered(docs)
+    scored = weak_quality.classify(rows, weak_quality.train(_known(docs, "doc_id", "text")), tuple(rows.columns), _place(docs, "text"))
     return _restored(scored.where(F.col("_score") >= weak_quality.LEAST), docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learnt, surely enough."""
-    wide, known = _shielded(docs)
-    found = language_id.identify(wide, language_id.train(known), tuple(f"_{k}" for k in range(len(docs.columns))))
+    rows = _numbered(docs)
+    found = language_id.identify(rows, language_id.train(_known(docs, "doc_id", "text", "lang")), tuple(rows.columns), _place(docs, "text"))
     return _restored(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked texts: the one whose doc_id names the group."""
-    wide, known = _shielded(docs)
     # rows are told apart by a number of their own, so that rows of equal doc_id are separate
-    numbered = stash(wide.select(F.monotonically_increasing_id().alias("_row"), "*"), "numbered", "snappy")
+    numbered = stash(_numbered(docs).select(F.monotonically_increasing_id().alias("_row"), "*"), "numbered")
+    doc_id, text = _place(docs, "doc_id"), _place(docs, "text")
+    found = jaccard_join.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")))
+    groups = numbered.select("_row", F.col(doc_id).alias("doc_id")).join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    found = jaccard_join.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"))
-    groups = numbered.select("_row", "doc_id").join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
     first = groups.groupBy("component_id").agg(F.min_by("_row", order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     gone = stash(groups.join(first, "component_id").where("_row <> first").select("_row"), "gone")
     if gone.count() * 16 <= jaccard_join.BROADCAST_BYTES:
@@ -65,25 +68,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mark."""
-    wide, _ = _shielded(docs)
-    clean = secret_scan.redact(wide)
-    columns = []
-    for k, name in enumerate(docs.columns):
-        if name.lower() == "text":
-            columns.append(F.col("text"))
-        elif name.lower() == "n_chars":
-            columns.append(F.when(F.col(f"_{k}") == F.char_length(_text(docs)), F.char_length("text")).otherwise(F.col(f"_{k}")).cast(docs.schema[k].dataType))
-        else:
-            columns.append(F.col(f"_{k}"))
-    return clean.select(*columns).toDF(*docs.columns)
+    """All documents, with every secret replaced by a mark; n_chars follows where it was right."""
+    text, n_chars = _place(docs, "text"), _place(docs, "n_chars")
+    rows = _numbered(docs).withColumnsRenamed({text: "text", _place(docs, "doc_id"): "doc_id"})
+    right = F.lit(False) if n_chars is None else F.coalesce(F.col(n_chars) == F.char_length("text"), F.lit(False))
+    clean = secret_scan.redact(rows.withColumn("right", right))
+    columns = {text: F.col("text"), _place(docs, "doc_id"): F.col("doc_id")}
+    if n_chars is not None:
+        columns[n_chars] = F.when(F.col("right"), F.char_length("text").cast(docs.schema[int(n_chars[1:])].dataType)).otherwise(F.col(n_chars))
+    return clean.select(*[columns.get(f"_{k}", F.col(f"_{k}")) for k in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenized documents with their places in sequences of 2048 tokens."""
     from public_tokenizers import path
 
-    return packing.pack(_shielded(docs)[1], path("word_bpe_49k.json"))
+    return packing.pack(_known(docs, "doc_id", "text"), path("word_bpe_49k.json"))
 
 
 STAGES = [("quality classifier", quality), ("language ID", language), ("n-gram Jaccard join", near_duplicates), ("secret scans", secrets), ("best-fit packing", best_fit_packing)]
