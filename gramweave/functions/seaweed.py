@@ -21,7 +21,10 @@ SMALL = 24
 
 
 def min_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.stack([(row[:, None] + b).min(0) for row in a]) if len(a) else np.zeros((0, b.shape[1]), np.int64)
+    """C(i, j) = min over k of A(i, k) + B(k, j)."""
+    if a.size * b.shape[1] <= 1 << 16:
+        return (a[:, :, None] + b[None]).min(1)
+    return np.stack([(row[:, None] + b).min(0) for row in a])
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:

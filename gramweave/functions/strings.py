@@ -11,11 +11,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 WILDCARD = "*"
 
 
+def kernel(run, schema: str):
+    """An Arrow-batched kernel as a column function. It counts as non-deterministic, so the optimizer
+    neither evaluates it twice (once for a filter inferred from an explode) nor pushes it below an
+    aggregate, where it would run for every row instead of every group."""
+    return F.pandas_udf(run, schema).asNondeterministic()
+
+
 def bytes_of(text: Column | str) -> Column:
     """The UTF-8 bytes of a string, each as one code point."""
     return F.decode(F.encode(text, "utf-8"), "iso-8859-1")
@@ -88,15 +94,15 @@ def subsequence_grid(a: str, b: str) -> list[list[int]]:
     return [row.tolist() for row in subsequence_rows(codes(a), codes(b), ord(WILDCARD))]
 
 
-def _pairwise(kernel):
-    """A kernel over two columns; each distinct pair of a batch runs once."""
+def _pairwise(measure):
+    """A measure over two columns; each distinct pair of a batch runs once."""
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         known: dict = {}
         out = []
         for pair in zip(a, b):
             if pair not in known:
-                known[pair] = None if pair[0] is None or pair[1] is None else kernel(*pair)
+                known[pair] = None if pair[0] is None or pair[1] is None else measure(*pair)
             out.append(known[pair])
         return pd.Series(out, dtype=object)
 
@@ -104,16 +110,16 @@ def _pairwise(kernel):
 
 
 def lev_wildcard(a: Column | str, b: Column | str) -> Column:
-    return pandas_udf(_pairwise(wildcard_distance), "long")(a, b)
+    return kernel(_pairwise(wildcard_distance), "long")(a, b)
 
 
 def lcs_length(a: Column | str, b: Column | str) -> Column:
     """Length of the longest common subsequence, `*` matching any one character."""
-    return pandas_udf(_pairwise(subsequence_length), "long")(a, b)
+    return kernel(_pairwise(subsequence_length), "long")(a, b)
 
 
 def lcs_grid(a: Column | str, b: Column | str) -> Column:
-    return pandas_udf(_pairwise(subsequence_grid), "array<array<long>>")(a, b)
+    return kernel(_pairwise(subsequence_grid), "array<array<long>>")(a, b)
 
 
 def _plain_lcs(a: str, b: str) -> int:
@@ -122,7 +128,7 @@ def _plain_lcs(a: str, b: str) -> int:
 
 def indel(a: Column | str, b: Column | str) -> Column:
     """Insertions and deletions only: both lengths less twice the common subsequence."""
-    lcs = pandas_udf(_pairwise(_plain_lcs), "long")(a, b)
+    lcs = kernel(_pairwise(_plain_lcs), "long")(a, b)
     return F.char_length(a).cast("long") + F.char_length(b).cast("long") - 2 * lcs
 
 
@@ -139,7 +145,7 @@ def blow_up_distance(a: str, b: str) -> int:
 
 
 def lev_blow_up(a: Column | str, b: Column | str) -> Column:
-    return pandas_udf(_pairwise(blow_up_distance), "long")(a, b)
+    return kernel(_pairwise(blow_up_distance), "long")(a, b)
 
 
 def lcs_native(a: Column, b: Column) -> Column:

@@ -15,9 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from gramweave.functions import grammar, seaweed, strings
+from gramweave.functions.strings import kernel
 
 SEQUENCE = "array<struct<block:string,content:array<long>>>"
 
@@ -60,7 +60,7 @@ def repository(sequences: DataFrame, direct: bool) -> DataFrame:
     a = sequences.select(F.explode("a_seq").alias("x"), "b_seq").select(F.col("x.block").alias("a_block"), F.col("x.content").alias("a"), "b_seq")
     both = a.dropDuplicates(["a_block", "b_seq"]).select("a_block", "a", F.explode("b_seq").alias("y"))
     pairs = both.select("a_block", "a", F.col("y.block").alias("b_block"), F.col("y.content").alias("b")).dropDuplicates(["a_block", "b_block"])
-    return pairs.select("a_block", "b_block", pandas_udf(_tables(direct), "array<long>")("a", "b").alias("cells"))
+    return pairs.select("a_block", "b_block", kernel(_tables(direct), "array<long>")("a", "b").alias("cells"))
 
 
 def _sweep(direct: bool):
@@ -92,7 +92,7 @@ def compressed_distance(pairs: DataFrame, a: str = "a", b: str = "b", *, into: s
     keyed = pairs.withColumn("_x", text(a)).withColumn("_y", text(b)).withColumn("_key", F.sha2(F.concat_ws("\0", F.char_length("_x").cast("string"), "_x", "_y"), 256))
     distinct = keyed.where("char_length(_x) > 0 and char_length(_y) > 0").select("_key", "_x", "_y").dropDuplicates(["_key"])
     texts = distinct.select(F.col("_x").alias("t")).union(distinct.select("_y")).distinct()
-    cut = texts.withColumn("seq", pandas_udf(_cut(direct, xfactor, ffactor), SEQUENCE)("t"))
+    cut = texts.withColumn("seq", kernel(_cut(direct, xfactor, ffactor), SEQUENCE)("t"))
     sequences = distinct.join(cut.select(F.col("t").alias("_x"), F.col("seq").alias("a_seq")), "_x").join(cut.select(F.col("t").alias("_y"), F.col("seq").alias("b_seq")), "_y")
     shape = lambda c: F.to_json(F.transform(c, lambda s: F.array(s["block"], F.size(s["content"]).cast("string"))))
     needed = sequences.select("_key", F.explode(F.array_distinct(F.transform("a_seq", lambda s: s["block"]))).alias("a_block"), F.array_distinct(F.transform("b_seq", lambda s: s["block"])).alias("bs"), shape("a_seq").alias("a_blocks"), shape("b_seq").alias("b_blocks"))

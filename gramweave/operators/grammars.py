@@ -11,18 +11,18 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from gramweave.functions import grammar
+from gramweave.functions.strings import kernel
 
 FACTORS = "array<struct<begin:long,end:long>>"
 
 
-def _over(kernel: Callable):
-    """A kernel over a text column; null stays null."""
+def _over(measure: Callable):
+    """A measure over a text column; null stays null."""
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else kernel(t) for t in texts], dtype=object)
+        return pd.Series([None if t is None else measure(t) for t in texts], dtype=object)
 
     return run
 
@@ -37,7 +37,7 @@ def _factors_automaton(text: str) -> list[dict]:
 
 def factorize(text, method: str = "search"):
     """Column: the LZ factors as inclusive ranges; `search` and `automaton` agree."""
-    return pandas_udf(_over({"search": _factors, "automaton": _factors_automaton}[method]), FACTORS)(text)
+    return kernel(_over({"search": _factors, "automaton": _factors_automaton}[method]), FACTORS)(text)
 
 
 def factor_rows(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -54,7 +54,7 @@ def productions(rows: DataFrame, text: str, keep: list[str], builder: str = "com
         return [{"prod_id": k, "kind": "T" if g.left[k] < 0 else "N", "symbol": g.symbol[k], "left_id": None if g.left[k] < 0 else g.left[k], "right_id": None if g.left[k] < 0 else g.right[k], "height": g.height[k], "len": g.size[k], "is_root": k == g.root} for k in g.reached()]
 
     schema = "array<struct<prod_id:long,kind:string,symbol:string,left_id:long,right_id:long,height:long,len:long,is_root:boolean>>"
-    return rows.select(*keep, F.inline(pandas_udf(_over(table), schema)(F.col(text))))
+    return rows.select(*keep, F.inline(kernel(_over(table), schema)(F.col(text))))
 
 
 def derive(table: DataFrame, keep: list[str], most: int = 64) -> DataFrame:
@@ -85,12 +85,12 @@ def compression(rows: DataFrame, text: str, keep: list[str], builder: str = "com
         return {"n_factors": len(factors), "n_productions": n, "derived_len": len(t), "height": 0 if empty else g.height[g.root], "ratio": g.ratio(), "blown_productions": 0 if empty else grammar.blow_up(g).productions(), "blown_len": 2 * len(t)}
 
     schema = "struct<n_factors:long,n_productions:long,derived_len:long,height:long,ratio:double,blown_productions:long,blown_len:long>"
-    return rows.select(*keep, pandas_udf(_measured(measure), schema)(F.col(text)).alias("m")).select(*keep, "m.*")
+    return rows.select(*keep, kernel(_measured(measure), schema)(F.col(text)).alias("m")).select(*keep, "m.*")
 
 
-def _measured(kernel: Callable):
+def _measured(measure: Callable):
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([kernel("" if t is None else t) for t in texts])
+        return pd.DataFrame([measure("" if t is None else t) for t in texts])
 
     return run
 
@@ -101,7 +101,7 @@ def round_trip(text, builder: str = "compressed"):
     def run(t: str) -> str:
         return grammar.BUILDERS[builder](t).text()
 
-    return pandas_udf(_over(run), "string")(text)
+    return kernel(_over(run), "string")(text)
 
 
 def partition(rows: DataFrame, text: str, keep: list[str], x: int | None = None, xfactor: float = 1.0, ffactor: float = 1.0) -> DataFrame:
@@ -117,7 +117,7 @@ def partition(rows: DataFrame, text: str, keep: list[str], x: int | None = None,
         return out
 
     schema = "array<struct<pos:long,kind:string,block_id:string,content:string,len:long>>"
-    return rows.select(*keep, F.inline(pandas_udf(_over(cut), schema)(F.col(text))))
+    return rows.select(*keep, F.inline(kernel(_over(cut), schema)(F.col(text))))
 
 
 def dot(text, folded: bool = True, builder: str = "compressed"):
@@ -126,4 +126,4 @@ def dot(text, folded: bool = True, builder: str = "compressed"):
     def run(t: str) -> str:
         return grammar.to_dot(grammar.BUILDERS[builder](t), folded)
 
-    return pandas_udf(_over(run), "string")(text)
+    return kernel(_over(run), "string")(text)

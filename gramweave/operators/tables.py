@@ -11,9 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from gramweave.functions import seaweed
+from gramweave.functions.strings import kernel
 
 TABLE = "struct<rows:long,cols:long,perm:array<long>>"
 
@@ -50,7 +50,7 @@ def _merge(merger):
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([_struct(merger(_read(x), _read(y))) for x, y in zip(a.to_dict("records"), b.to_dict("records"))], columns=["rows", "cols", "perm"])
 
-    return pandas_udf(run, TABLE)
+    return kernel(run, TABLE)
 
 
 def stack(top, bottom) -> Column:
@@ -69,7 +69,7 @@ def product(p, q) -> Column:
     def run(p: pd.Series, q: pd.Series) -> pd.Series:
         return pd.Series([seaweed.multiply(np.asarray(x, np.int64), np.asarray(y, np.int64)).tolist() for x, y in zip(p, q)], dtype=object)
 
-    return pandas_udf(run, "array<long>")(p, q)
+    return kernel(run, "array<long>")(p, q)
 
 
 def build(a, b) -> Column:
@@ -78,7 +78,7 @@ def build(a, b) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_struct(seaweed.table_of(list(x), list(y))) for x, y in zip(a, b)], columns=["rows", "cols", "perm"])
 
-    return pandas_udf(run, TABLE)(a, b)
+    return kernel(run, TABLE)(a, b)
 
 
 def apply(table, border) -> Column:
@@ -87,28 +87,39 @@ def apply(table, border) -> Column:
     def run(table: pd.DataFrame, border: pd.Series) -> pd.Series:
         return pd.Series([seaweed.applied(_read(t), np.asarray(v, np.int64)).tolist() for t, v in zip(table.to_dict("records"), border)], dtype=object)
 
-    return pandas_udf(run, "array<long>")(table, border)
+    return kernel(run, "array<long>")(table, border)
 
 
 def times_h(vector, table, fast: bool = True) -> Column:
     """Column: the (max,+) product of a vector with a table's H, by runs or by the definition."""
-    kernel = seaweed.vector_times_h_runs if fast else seaweed.vector_times_h
+    times = seaweed.vector_times_h_runs if fast else seaweed.vector_times_h
 
     def run(vector: pd.Series, table: pd.DataFrame) -> pd.Series:
-        return pd.Series([kernel(np.asarray(v, np.int64), _read(t)).tolist() for v, t in zip(vector, table.to_dict("records"))], dtype=object)
+        return pd.Series([times(np.asarray(v, np.int64), _read(t)).tolist() for v, t in zip(vector, table.to_dict("records"))], dtype=object)
 
-    return pandas_udf(run, "array<long>")(vector, table)
+    return kernel(run, "array<long>")(vector, table)
+
+
+def _neighbours(top: pd.Series, bottom: pd.Series, a: pd.Series, b: pd.Series, cols: pd.Series) -> pd.DataFrame:
+    """The table of each two neighbours; a table without one stays."""
+    out = []
+    for p, q, m, n, width in zip(top, bottom, a, b, cols):
+        t = seaweed.Table(int(m), int(width), np.asarray(p, np.int64))
+        out.append(_struct(t if q is None else seaweed.stacked(t, seaweed.Table(int(n), int(width), np.asarray(q, np.int64)))))
+    return pd.DataFrame(out, columns=["rows", "cols", "perm"])
 
 
 def reduce_stack(tables: DataFrame, by: list[str], place: str, table: str = "table") -> DataFrame:
-    """Merge the tables of each group from the top down, in rounds of neighbours (log2 of the most tables)."""
-    rows = tables.select(*by, F.col(place).alias("_at"), F.col(table).alias("_t"))
-    most = rows.groupBy(*by).agg((F.max("_at") + 1).alias("n")).agg(F.max("n")).first()[0] or 1
-    while most > 1:
-        upper = rows.where("_at % 2 = 0").select(*by, F.floor(F.col("_at") / 2).alias("_at"), F.col("_t").alias("_top"))
-        lower = rows.where("_at % 2 = 1").select(*by, F.floor(F.col("_at") / 2).alias("_at"), F.col("_t").alias("_bottom"))
-        both = upper.join(lower, [*by, "_at"], "left")
-        merged = both.where("_bottom is not null").select(*by, "_at", stack("_top", "_bottom").alias("_t"))
-        rows = merged.unionByName(both.where("_bottom is null").select(*by, "_at", F.col("_top").alias("_t")))
-        most = -(-most // 2)
+    """Merge the tables of each group from the top down, in rounds of neighbours (log2 of the most tables).
+
+    A round groups places by twos, so no group ever holds more than two tables.
+    """
+    rows = tables.select(*by, F.col(place).cast("long").alias("_at"), F.col(table).alias("_t"))
+    most = rows.agg(F.max("_at")).first()[0] or 0
+    merge = kernel(_neighbours, TABLE)
+    while most:
+        two = rows.groupBy(*by, F.shiftright("_at", 1).alias("_at")).agg(F.array_sort(F.collect_list(F.struct("_at", "_t"))).alias("_ts"))
+        top, bottom = F.get("_ts", F.lit(0))["_t"], F.get("_ts", F.lit(1))["_t"]
+        rows = two.select(*by, "_at", merge(top["perm"], bottom["perm"], top["rows"], F.coalesce(bottom["rows"], F.lit(0).cast("long")), top["cols"]).alias("_t"))
+        most >>= 1
     return rows.select(*by, F.col("_t").alias(table))

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import algebra, distances, grammars, measurements
+
+QUERIES = {**distances.QUERIES, **grammars.QUERIES, **algebra.QUERIES, **measurements.QUERIES}
+ORACLES = {**distances.ORACLES, **grammars.ORACLES, **algebra.ORACLES, **measurements.ORACLES}
 
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Parts of one brand: pairs of names and the distances between them, by brand."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_name")
-    a, b = part.alias("a"), part.alias("b")
-    pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    distance = F.levenshtein("a.p_name", "b.p_name").cast("long")
-    return pairs.groupBy(F.col("a.p_brand").alias("p_brand")).agg(F.count(F.lit(1)).alias("pairs"), F.sum(distance).alias("total_distance"), F.max(distance).alias("max_distance"))
+    return distances.lev_part_pairs(spark, sf_dir)
