@@ -46,6 +46,15 @@ def drop_stash(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of a counted table that is broadcast at most.
+BROADCAST_BYTES = 32 << 20
+
+
+def bounded(df: DataFrame, width: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A side of a join: broadcast if its counted rows of `width` bytes stay in the limit, else merged."""
+    return F.broadcast(df) if df.count() * width <= limit else df.hint("merge")
+
+
 def plain(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id as long and text with null as the empty string; extra columns go."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)

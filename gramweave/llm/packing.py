@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._base import plain, slices, stash
+from ._base import bounded, plain, slices, stash
 from .tokenizer_units import encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
@@ -163,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, *, words: bool = True, end_id: int = 0
     # bounded by the capacity: one row a length
     counts = {r.length: r.n for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = place_table(plan_bins(counts, capacity))
-    ranked = pieces.join(tally, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(bounded(tally, 64), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
     return ranked.mapInArrow(_placed(table), PLACED)
 
 
