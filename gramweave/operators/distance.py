@@ -13,23 +13,19 @@ from pyspark.sql.window import Window
 from gramweave.functions import strings
 from gramweave.operators import blocks
 
-#: `auto` leaves the built-in expression only for pairs that are both longer than this ...
-LONG = 30_000
-#: ... and so repetitive that productions / length stays below this.
-REPETITIVE = 0.002
-
 
 def _engine(a: Column, b: Column, engine: str, unit: str) -> Column:
     if unit == "bytes":
         a, b = strings.bytes_of(a), strings.bytes_of(b)
-    return {"builtin": strings.levenshtein, "wildcard": strings.lev_wildcard, "lcs": strings.lcs_length, "indel": strings.indel, "blow_up": strings.lev_blow_up}[engine](a, b)
+    return {"builtin": strings.levenshtein, "long": strings.lev_long, "wildcard": strings.lev_wildcard, "lcs": strings.lcs_length, "indel": strings.indel, "blow_up": strings.lev_blow_up}[engine](a, b)
 
 
 def distance(pairs: DataFrame, a: str = "a", b: str = "b", *, engine: str = "auto", unit: str = "characters", into: str = "distance", wildcard: bool = False) -> DataFrame:
     """Add a distance column.
 
-    engine: auto, builtin, wildcard, lcs, indel, blow_up, grammar (common subsequences over compressed
-    blocks) or grammar_direct ((min,+) tables). auto is builtin, or wildcard if asked for.
+    engine: auto, builtin, long (bit vectors for pairs of long texts, else builtin), wildcard, lcs, indel,
+    blow_up, grammar (common subsequences over compressed blocks) or grammar_direct ((min,+) tables). auto
+    is builtin, or wildcard if asked for. The grammar engines never won a measurement here: ask for them.
     Null on either side gives null; an empty side gives the other's length.
     """
     if unit not in ("characters", "bytes"):
@@ -38,7 +34,7 @@ def distance(pairs: DataFrame, a: str = "a", b: str = "b", *, engine: str = "aut
         engine = "wildcard" if wildcard else "builtin"
     if engine in ("grammar", "grammar_direct"):
         return blocks.compressed_distance(pairs, a, b, into=into, direct=engine == "grammar_direct", unit=unit)
-    if engine == "builtin":
+    if engine in ("builtin", "long"):
         return pairs.withColumn(into, _engine(F.col(a), F.col(b), engine, unit))
     return over_distinct(pairs, a, b, lambda x, y: _engine(x, y, engine, unit), into)
 

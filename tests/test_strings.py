@@ -37,7 +37,8 @@ def test_kernels_match_the_tables(a, b):
     assert strings.wildcard_distance(a, b) == brute(a, b, True)
     assert strings.subsequence_length(a, b) == brute_lcs(a, b, True)
     assert strings.subsequence_length(a, b, False) == brute_lcs(a, b)
-    assert strings.blow_up_distance(a, b) == brute(a, b)
+    assert strings.blow_up_distance(a, b) == strings.plain_distance(a, b) == brute(a, b)
+    assert list(strings.edit_rows(strings.codes(a), strings.codes(b), ord("*")))[-1][-1] == brute(a, b, True)
     assert strings.subsequence_grid(a, b)[-1][-1] == brute_lcs(a, b, True)
 
 
@@ -61,11 +62,23 @@ def test_golden_cases():
 ROWS = [(1, "kitten", "sitting"), (2, "", "abc"), (3, None, "a"), (4, "ä", "a"), (5, "a*c", "abc"), (6, "$", "xy"), (7, "a", "a"), (8, "a", "a")]
 
 
-@pytest.mark.parametrize("engine", ["builtin", "blow_up", "grammar", "grammar_direct"])
+def test_long_texts_as_rows_of_the_table():
+    rng = np.random.default_rng(3)
+    for n, m in ((700, 650), (64, 64), (65, 1), (1, 400), (2000, 300)):
+        a, b = rng.integers(0, 4, n), rng.integers(0, 4, m)
+        for wild in (None, 2):
+            *_, row = strings.edit_rows(a, b, wild)
+            *_, common = strings.subsequence_rows(a, b, wild)
+            assert strings.bit_distance(a, b, wild) == row[-1] and strings.bit_subsequence(a, b, wild) == common[-1]
+
+
+@pytest.mark.parametrize("engine", ["builtin", "long", "blow_up", "grammar", "grammar_direct"])
 def test_engines_agree(spark, engine):
     pairs = spark.createDataFrame(ROWS, "id long, a string, b string")
     found = {r.id: r.distance for r in distance.distance(pairs, engine=engine).collect()}
     assert found == {1: 3, 2: 3, 3: None, 4: 1, 5: 1, 6: 2, 7: 0, 8: 0}
+    long = spark.createDataFrame([("ab" * 300, "ba" * 250 + "é"), ("x", None)], "a string, b string")
+    assert engine.startswith("grammar") or [r.distance for r in distance.distance(long, engine=engine).orderBy("a").collect()] == [brute("ab" * 300, "ba" * 250 + "é"), None]
 
 
 def test_units_wildcards_and_null(spark):
