@@ -13,8 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from gramweave.functions.grammar import Grammar, factorize
+
 FAR = np.int64(1) << 40
 SMALL = 24
+#: Cells up to which a table is built by halving rather than along grammars.
+HALVED = 1 << 14
 
 
 # dense algebra
@@ -173,6 +177,21 @@ def h_of(t: Table) -> np.ndarray:
     return h_matrix(distribution(unfolded(t.perm)), t.rows)
 
 
+def from_h(h: np.ndarray, rows: int) -> Table:
+    """The table of an H matrix: the density of its distribution."""
+    return Table(rows, len(h) - 1 - rows, density(h_matrix(h, rows)).argmax(1))
+
+
+def h_stacked(top: np.ndarray, bottom: np.ndarray, cols: int) -> np.ndarray:
+    """H of A's upper and lower part over one B of so many symbols."""
+    return h_of(stacked(from_h(top, len(top) - 1 - cols), from_h(bottom, len(bottom) - 1 - cols)))
+
+
+def h_beside(left: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
+    """H of one A of so many symbols over B's left and right part."""
+    return h_of(beside(from_h(left, rows), from_h(right, rows)))
+
+
 def vector_times_h(vector: np.ndarray, t: Table) -> np.ndarray:
     """max over i of vector(i) + H(i, j), by the definition."""
     return (vector[:, None] + h_of(t)).max(0)
@@ -218,23 +237,36 @@ def applied(t: Table, border: np.ndarray) -> np.ndarray:
 
 
 def table_of(a, b) -> Table:
-    """The table of two non-empty sequences, halved until single symbols."""
+    """The table of two non-empty sequences. Parts of equal content are built once: short sequences are
+    halved, long ones follow their grammars, so repetitive ones need few different parts."""
     known: dict = {}
 
-    def build(x, y) -> Table:
-        key = (tuple(x), tuple(y))
+    def merged(x, y, left_of, right_of, size_of) -> Table:
+        key = (x, y)
         if key not in known:
-            if len(x) > 1:
-                cut = len(x) // 2
-                known[key] = stacked(build(x[:cut], y), build(x[cut:], y))
-            elif len(y) > 1:
-                cut = len(y) // 2
-                known[key] = beside(build(x, y[:cut]), build(x, y[cut:]))
+            if size_of(x) > 1:
+                known[key] = stacked(merged(left_of(x), y, left_of, right_of, size_of), merged(right_of(x), y, left_of, right_of, size_of))
+            elif size_of(y) > 1:
+                known[key] = beside(merged(x, left_of(y), left_of, right_of, size_of), merged(x, right_of(y), left_of, right_of, size_of))
             else:
-                known[key] = cell(x[0] == y[0])
+                known[key] = cell(x[0] == y[0] if isinstance(x, tuple) else x == y)
         return known[key]
 
-    return build(list(a), list(b))
+    if len(a) * len(b) <= HALVED:
+        return merged(tuple(a), tuple(b), lambda t: t[: len(t) // 2], lambda t: t[len(t) // 2 :], len)
+    # one grammar for both, whose nodes are shared wherever contents are
+    names = {symbol: chr(0x10000 + k) for k, symbol in enumerate(dict.fromkeys([*a, *b]))}
+    g = Grammar()
+    nodes = []
+    for part in (a, b):
+        text, spelt, root = "".join(names[c] for c in part), 0, None
+        for begin, end in factorize(text):
+            parts = [g.terminal(text[begin])] if begin == spelt else g.harvest(root, begin, end + 1)
+            for piece in parts:
+                root = piece if root is None else g.join(root, piece)
+            spelt += end - begin + 1
+        nodes.append(root)
+    return merged(nodes[0], nodes[1], g.left.__getitem__, g.right.__getitem__, g.size.__getitem__)
 
 
 # dense tables of the distance

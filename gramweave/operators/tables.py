@@ -90,6 +90,65 @@ def apply(table, border) -> Column:
     return kernel(run, "array<long>")(table, border)
 
 
+def _nested(m: np.ndarray) -> list:
+    """Rows of a dense table; infinity is null."""
+    return [[None if v >= seaweed.FAR else int(v) for v in row] for row in m]
+
+
+def _dense(rows) -> np.ndarray:
+    return np.array([[seaweed.FAR if v is None or v != v else int(v) for v in row] for row in rows], np.int64)
+
+
+NESTED = "array<array<long>>"
+
+
+def build_distance(a, b) -> Column:
+    """Column: the dense distance table of two non-empty strings."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_nested(seaweed.distance_table_of(list(x), list(y))) for x, y in zip(a, b)], dtype=object)
+
+    return kernel(run, NESTED)(a, b)
+
+
+def build_h(a, b) -> Column:
+    """Column: the dense H table of two non-empty strings."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([seaweed.h_of(seaweed.table_of(list(x), list(y))).tolist() for x, y in zip(a, b)], dtype=object)
+
+    return kernel(run, NESTED)(a, b)
+
+
+#: Kind of dense table -> (vertical merge by columns, horizontal merge by rows).
+MERGERS = {"distance": (seaweed.distance_stacked, seaweed.distance_beside), "h": (seaweed.h_stacked, seaweed.h_beside)}
+
+
+def merge_dense(first, second, shared, kind: str = "distance", vertical: bool = True) -> Column:
+    """Column: two dense tables merged; shared: the length of the string that both have."""
+    merge = MERGERS[kind][0 if vertical else 1]
+
+    def run(first: pd.Series, second: pd.Series, shared: pd.Series) -> pd.Series:
+        return pd.Series([_nested(merge(_dense(x), _dense(y), int(n))) for x, y, n in zip(first, second, shared)], dtype=object)
+
+    return kernel(run, NESTED)(first, second, shared)
+
+
+def apply_dense(table, border, rows, kind: str = "distance") -> Column:
+    """Column: a dense table's outputs from its inputs; rows: the length of the string down."""
+
+    def one(table, border, m) -> list[int]:
+        dense, border = _dense(table), np.asarray(border, np.int64)
+        if kind == "distance":
+            return seaweed.distance_applied(dense, border).tolist()
+        return seaweed.applied(seaweed.from_h(dense, int(m)), border).tolist()
+
+    def run(table: pd.Series, border: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series([one(*values) for values in zip(table, border, rows)], dtype=object)
+
+    return kernel(run, "array<long>")(table, border, rows)
+
+
 def times_h(vector, table, fast: bool = True) -> Column:
     """Column: the (max,+) product of a vector with a table's H, by runs or by the definition."""
     times = seaweed.vector_times_h_runs if fast else seaweed.vector_times_h

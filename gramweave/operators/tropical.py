@@ -53,6 +53,14 @@ def equal(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.agg(F.coalesce(F.bool_and(F.coalesce(F.col("x").eqNullSafe(F.col("y")), F.lit(False))), F.lit(True)).alias("equal"))
 
 
+def dump(m: DataFrame, columns: int) -> DataFrame:
+    """(i, line): each row as text, infinity for absent cells."""
+    cells = F.map_from_entries(F.collect_list(F.struct(F.col("j"), F.col("v").cast("string"))))
+    rows = m.where(F.col("j") < columns).groupBy("i").agg(cells.alias("c"))
+    line = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: F.coalesce(F.element_at("c", j.cast("long")), F.lit("∞")))
+    return rows.select("i", F.array_join(line, " ").alias("line"))
+
+
 def distribution(m: DataFrame) -> DataFrame:
     """S(i, j): the sum over rows from i on and columns before j, by two running sums (one task a row, one a column)."""
     along = F.sum("v").over(Window.partitionBy("i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0))

@@ -162,6 +162,54 @@ def table_reduce(spark, sf_dir):
     return _prefix_lengths(tables.reduce_stack(chars, ["a", "b"], "k").withColumn("outputs", tables.apply("table", _zero("a", "b"))))
 
 
+def _dense_parts(spark, sf_dir, kind: str, vertical: bool):
+    """Dense tables of the halves of a (or b), merged and applied along the border of an empty table."""
+    make = tables.build_distance if kind == "distance" else tables.build_h
+    cut, other = ("a", "b") if vertical else ("b", "a")
+    half = F.floor(F.char_length(cut) / 2).cast("int")
+    parts = _pairs(spark, sf_dir).where(F.char_length(cut) > 1).withColumn("x", F.substring(cut, F.lit(1), half)).withColumn("y", F.expr(f"substring({cut}, char_length({cut}) div 2 + 1)"))
+    tabled = parts.withColumn("s", make("x", "b") if vertical else make("a", "x")).withColumn("t", make("y", "b") if vertical else make("a", "y"))
+    merged = tabled.withColumn("table", tables.merge_dense("s", "t", F.char_length(other), kind, vertical))
+    return _prefix_lengths(merged.withColumn("outputs", tables.apply_dense("table", _border(kind), F.char_length("a"), kind)))
+
+
+def _border(kind: str):
+    if kind == "h":
+        return _zero("a", "b")
+    m = F.char_length("a")
+    return F.transform(F.sequence(F.lit(0), m + F.char_length("b")), lambda i: F.abs(m - i).cast("long"))
+
+
+def dense_stack(spark, sf_dir):
+    return _dense_parts(spark, sf_dir, "distance", True).withColumnRenamed("lcs", "distance")
+
+
+def dense_beside(spark, sf_dir):
+    return _dense_parts(spark, sf_dir, "distance", False).withColumnRenamed("lcs", "distance")
+
+
+def h_stack(spark, sf_dir):
+    return _dense_parts(spark, sf_dir, "h", True)
+
+
+def h_beside(spark, sf_dir):
+    return _dense_parts(spark, sf_dir, "h", False)
+
+
+def block_repository(spark, sf_dir):
+    """The repository: the table of each two blocks that some pair needs, once."""
+    from gramweave.operators import blocks
+
+    cut = F.pandas_udf(blocks._cut(False, 1.0, 1.0), blocks.SEQUENCE)
+    found = blocks.repository(_pairs(spark, sf_dir).select(cut("a").alias("a_seq"), cut("b").alias("b_seq")), direct=False)
+    return found.select("a_block", "b_block", F.size("cells").cast("long").alias("size"))
+
+
+def matrix_dump(spark, sf_dir):
+    """The rows of a sparse product as text, infinity where there is none."""
+    return tropical.dump(min_plus(spark, sf_dir), 32)
+
+
 def vector_times_table(spark, sf_dir):
     """A vector times H of each pair's table, by runs of candidates and by the definition."""
     built = _pairs(spark, sf_dir).withColumn("table", tables.build("a", "b"))
@@ -173,7 +221,7 @@ def vector_times_table(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     min_plus, max_plus, max_plus_part, vector_max_plus, matrix_equal, matrix_fill, distribution, density, unfold_h, h_inverse, permutation_matrix, permutation_inverse, permutation_valid, permutation_swap,
-    permutation_sum, unit_monge, unit_monge_definition, cell_tables, table_apply, table_stack, table_beside, table_reduce, vector_times_table,
+    permutation_sum, unit_monge, unit_monge_definition, cell_tables, table_apply, table_stack, table_beside, table_reduce, dense_stack, dense_beside, h_stack, h_beside, block_repository, matrix_dump, vector_times_table,
 )}
 
 A = "SELECT l_linenumber::BIGINT AS i, month(l_shipdate) AS j, sum(l_quantity)::BIGINT AS v FROM lineitem GROUP BY ALL"
@@ -211,5 +259,11 @@ ORACLES = {
     "table_stack": _lcs(PAIRS, False, PREFIXES + " AND length(a) > 1"),
     "table_beside": _lcs(PAIRS, False, PREFIXES + " AND length(b) > 1"),
     "table_reduce": _lcs(PAIRS, False, PREFIXES),
+    "dense_stack": f"SELECT a, b, j, levenshtein(a, substr(b, 1, j))::BIGINT AS distance FROM (SELECT a, b, unnest(range(0, length(b) + 1)) AS j FROM ({PAIRS})) WHERE length(a) > 1",
+    "dense_beside": f"SELECT a, b, j, levenshtein(a, substr(b, 1, j))::BIGINT AS distance FROM (SELECT a, b, unnest(range(0, length(b) + 1)) AS j FROM ({PAIRS})) WHERE length(b) > 1",
+    "h_stack": _lcs(PAIRS, False, PREFIXES + " AND length(a) > 1"),
+    "h_beside": _lcs(PAIRS, False, PREFIXES + " AND length(b) > 1"),
+    "matrix_dump": f"""WITH a AS ({A}), b AS ({B}), c AS (SELECT a.i, b.j, min(a.v + b.v) AS v FROM a JOIN b ON a.j = b.i GROUP BY ALL)
+      SELECT i, string_agg(coalesce(v::VARCHAR, '∞'), ' ' ORDER BY j) AS line FROM (SELECT DISTINCT i FROM c) CROSS JOIN (SELECT unnest(range(0, 32)) AS j) LEFT JOIN c USING (i, j) GROUP BY i""",
     "vector_times_table": f"SELECT a, b, true AS agree, length(a) + length(b) + 1 AS n FROM ({PAIRS})",
 }

@@ -94,3 +94,23 @@ def test_distances_on_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r.distance for r in spark.table("distances").where("a is not null").collect()) == [3]
+
+
+def test_staged_runs(spark):
+    from gramweave.functions.strings import plain_distance
+    from gramweave.plans import staged
+
+    pair = ("abaababaabaab" * 12, "abaababaabbab" * 11)
+    at = pair
+    for _, stage in staged.grammar_stages():
+        at = stage(at)
+    assert at == plain_distance(*pair)
+    runs = staged.run(spark, "grammar", staged.grammar_stages(), [(len(pair[0]), pair)], trials=3)
+    stats = trials.trial_stats(runs, ["engine", "size", "stage"], "seconds").collect()
+    assert {r.stage for r in stats} == {"grammars", "tables", "grid"} and all(0 < r.min <= r.median <= r.max for r in stats)
+    assert staged.run(spark, "product", staged.product_stages(), staged.product_inputs([10, 50]), trials=2).count() == 4
+    for fast in (True, False):
+        assert staged.run(spark, "vector", staged.vector_stages(fast), staged.vector_inputs([40]), trials=1).count() == 1
+    assert staged.run(spark, "build", staged.compression_stages(), [(5, "abaab")], trials=1).count() == 1
+    grid = trials.sweep_grid(spark, step=3.0)
+    assert staged.sweep_factors(spark, ("abaab", "babaa"), grid, trials=2).count() == 8
