@@ -26,6 +26,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,8 @@ from ._base import plain, slices, stash
 
 CELLS = 18
 LONG = 160
+#: Ranges of doc_id at most; beyond it a range just holds more documents, which stream through a task.
+RANGES = 8192
 #: Ends of paragraphs: line ends, and marks before a blank.
 ENDS = re.compile(r"\n|(?<=[.!?,;:]) ")
 
@@ -200,16 +203,13 @@ def compare_with_next(docs: DataFrame, range_rows: int = 2048) -> DataFrame:
     """Fingerprints of each text and of its edited version, and their likeness to it and to the next document."""
     spark = docs.sparkSession
     named = plain(docs).withColumn("h", F.xxhash64("text"))
-    # ranges of doc_id, without the texts: order, then every range_rows-th row opens a range
+    # ranges of doc_id, without the texts: their edges are quantiles, several ranges a task even out
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    count = ids.count()
-    ranges = max(1, min(-(-count // range_rows), 1 << 16))
-    edges = [] if ranges == 1 else sorted({e for e in ids.where("doc_id is not null").agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 100 * ranges).alias("e")).first().e or []})
-    number = F.lit(0)
-    if edges:
-        table = F.lit(edges).cast("array<bigint>")
-        number = F.coalesce(_above(table, F.col("doc_id"), len(edges)), F.lit(0))
-    placed = named.withColumn("range", number.cast("int"))
+    count, parts = ids.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(max(-(-count // range_rows), 8 * parts), count // 16 + 1, RANGES))
+    asked = [k / ranges for k in range(1, ranges)] or [0.5]
+    edges = ids.where("doc_id is not null").agg(F.percentile_approx("doc_id", asked, 16 * ranges).alias("e")).first().e or []
+    placed = named.withColumn("range", _range(np.unique(np.array(edges, np.int64)))(F.coalesce(F.col("doc_id"), F.lit(-(2**63)))))
     # the first row of each range: one row a range, found on ids and hashes alone
     heads = placed.groupBy("range").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("k"), "h")).alias("head"))
     heads = stash(heads.select("range", "head.k", "head.h"), "heads")
@@ -220,19 +220,17 @@ def compare_with_next(docs: DataFrame, range_rows: int = 2048) -> DataFrame:
     ends = ends.select("doc_id", "text", "h", F.col("_before").alias("range")).withColumn("own", F.lit(False))
     one = ends.dropDuplicates(["range"])
     rows = placed.select("doc_id", "text", "h", "range").withColumn("own", F.lit(True)).unionByName(one)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(parts, "range").sortWithinPartitions("range", F.col("own").desc(), F.col("doc_id").asc_nulls_first(), "h")
     return ordered.select("doc_id", "text", "range", "own").mapInArrow(_compared, OUT)
 
 
-def _above(edges, value, n: int):
-    """How many edges lie at or below a value, by bisection in native expressions."""
-    low, step = F.lit(0), 1 << max(0, n.bit_length() - 1)
-    while step:
-        probe = low + step
-        low = F.when((probe <= n) & (F.get(edges, probe - 1) <= value), probe).otherwise(low)
-        step >>= 1
-    return low
+def _range(edges: np.ndarray):
+    """Column function: how many edges lie at or below an id."""
+
+    def run(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), "right").astype(np.int32))
+
+    return F.pandas_udf(run, "int")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
