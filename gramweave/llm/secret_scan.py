@@ -6,11 +6,12 @@ rules ask for (postings: one bitmap of 32,768 documents a trigram and bucket); a
 its trigrams' bitmaps, then the OR of its alternatives. Only candidates meet the regex. Rules whose
 regex has no mandatory trigram (`hex`) scan every text.
 
-Letters are indexed in lower case, so a query may let a text pass that has them in another case;
-the regex decides. Rows whose doc_id is null or negative aren't indexed but verified against every rule.
+Documents have places in the bitmaps by a hash of doc_id into about twice as many places as there are
+rows, so bitmaps stay dense whatever the ids are. Rows that share a place, and letters, which are
+indexed in lower case, may let a text pass for nothing; the regex decides.
 
-Defined cases: null or empty text has no span; rows of equal doc_id share their bits and are
-verified one by one; spans are in code points, end exclusive; an empty table gives no row.
+Defined cases: null or empty text has no span; rows of equal or null doc_id share their bits and
+are verified one by one; spans are in code points, end exclusive; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ RULES = (
     Rule("forge", r"gh[opsu]_[A-Za-z0-9]{36,}", 0, 1),
 )
 BASE = 3
+#: Documents of one bitmap: what the bitmap functions hold in 4 KB.
+BITS = 32_768
 #: Bytes of candidate bitmaps that are broadcast at most; beyond it documents are joined by doc_id.
 BROADCAST_BYTES = 32 << 20
 #: Strings that a part of a regex is expanded to at most, before its trigrams are taken.
@@ -134,13 +137,13 @@ def trigram_query(pattern: str) -> Alternatives:
 
 
 def _candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(bucket, c0, c1, ...): the documents of a bucket that may match each indexed rule, as bitmaps."""
+    """(bucket, c0, c1, ...): the documents of a bucket that may match each indexed rule, as bitmaps. `docs` has place and text."""
     spark = docs.sparkSession
     asked = [(no, alt, trigram, len(trigrams)) for no, rule in enumerate(rules) if (q := trigram_query(rule.pattern)) != ANY for alt, trigrams in enumerate(sorted(map(sorted, q))) for trigram in trigrams]
     vocabulary = sorted({x[2] for x in asked})
-    lowered = docs.where("doc_id >= 0").select("doc_id", F.lower("text").alias("low"))
+    lowered = docs.select("place", F.lower("text").alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(n)) for n, t in enumerate(vocabulary)]))
-    posts = lowered.select("doc_id", F.explode(held).alias("trigram")).select("trigram", F.bitmap_bucket_number("doc_id").alias("bucket"), F.bitmap_bit_position("doc_id").alias("bit"))
+    posts = lowered.select("place", F.explode(held).alias("trigram")).select("trigram", F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").alias("bit"))
     # postings travel as numbers and become bitmaps behind the shuffle; a trigram's many documents are many buckets
     index = posts.repartition("bucket", "trigram").groupBy("bucket", "trigram").agg(F.bitmap_construct_agg("bit").alias("docs"))
     terms = spark.createDataFrame([(no, alt, vocabulary.index(t), n) for no, alt, t, n in asked], "rule int, alt int, trigram int, n int")
@@ -175,20 +178,22 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """The kept columns of each row and `spans`: [(start, rule, end)] of all rules by start, then rule."""
-    rows = docs.select(*[F.col(c) for c in keep], F.col("doc_id").cast("long").alias("_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    found = stash(_candidates(rows.select(F.col("_key").alias("doc_id"), F.col("_text").alias("text")), rules), "candidates")
+    places = max(BITS, 2 * docs.count())
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(places)) + 1
+    rows = docs.select(*[F.col(c) for c in keep], place.alias("_place"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    found = stash(_candidates(rows.select(F.col("_place").alias("place"), F.col("_text").alias("text")), rules), "candidates")
     flags = [c for c in found.columns if c != "bucket"]
-    bucket, bit = F.bitmap_bucket_number("_key"), F.bitmap_bit_position("_key")
+    bucket, bit = F.bitmap_bucket_number("_place"), F.bitmap_bit_position("_place")
     # the check of the broadcast's size: rows counted, 4 KB a bitmap
-    if found.count() * len(flags) * 4096 <= BROADCAST_BYTES:
+    if found.count() * len(flags) * BITS // 8 <= BROADCAST_BYTES:
         marked = rows.join(F.broadcast(found.withColumnRenamed("bucket", "_bucket")), bucket == F.col("_bucket"), "left").drop("_bucket")
-        marked = marked.withColumns({c: F.col("_key").isNull() | (F.col("_key") < 0) | _bit(F.col(c), bit) for c in flags})
+        marked = marked.withColumns({c: _bit(F.col(c), bit) for c in flags})
     else:
-        bits = found.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(32767))))
+        bits = found.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))))
         bits = bits.select("bucket", "_bit", *[_bit(F.col(c), F.col("_bit")).alias(c) for c in flags]).where(reduce(Column.__or__, map(F.col, flags)))
         bits = bits.select(F.col("bucket").alias("_bucket"), "_bit", *flags)
         marked = rows.join(bits, (bucket == F.col("_bucket")) & (bit == F.col("_bit")), "left").drop("_bucket", "_bit")
-        marked = marked.withColumns({c: F.col("_key").isNull() | (F.col("_key") < 0) | F.coalesce(F.col(c), F.lit(False)) for c in flags})
+        marked = marked.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in flags})
     empty = F.array().cast("array<struct<start:int,rule:int,end:int>>")
     text = F.col("_text")
     spans = []
