@@ -43,6 +43,19 @@ def test_queries_without_sql_run(spark, name):
     assert registry.QUERIES[name](spark, str(DATA)).count() > 0
 
 
+@needs_data
+def test_workers_get_the_package_from_anywhere(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert e.queries()["lcs_pairs"](spark, {str(DATA)!r}).count() > 0
+"""
+    env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=env, capture_output=True)
+
+
 def test_the_rest_works_without_the_separable_subpackage(tmp_path):
     for name in ("gramweave", "__spark_entry__.py"):
         (tmp_path / name).symlink_to(ROOT / name) if name.endswith(".py") else None
