@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs (lines; a line is cut further behind marks and, where there
-are none, at words chosen by their content, so that an edit moves no cut but its own). Each
+A text is cut into paragraphs (lines; a line is cut further behind marks and some letters and, where
+there are none, at words chosen by their content, so that an edit moves no cut but those near it). Each
 paragraph, with how often it came before, gives one 64-bit digest; a digest goes to three cells of
 the sketch, one in each third, as count, XOR of digests and XOR of checks. The fingerprint is the
 written sketch of `CELLS` cells with the number of paragraphs, so equal texts have equal ones.
@@ -39,8 +39,10 @@ CELLS = 18
 LONG = 160
 #: Ranges of doc_id at most; beyond it a range just holds more documents, which stream through a task.
 RANGES = 8192
-#: Ends of paragraphs: line ends, and marks before a blank.
-ENDS = re.compile(r"\n|(?<=[.!?,;:]) ")
+#: Ends of paragraphs: line ends, and blanks behind a mark or one of three letters.
+ENDS = re.compile(r"\n|(?<=[.!?,;:sty]) ")
+#: Words of a paragraph at most, where nothing else ends it.
+WORDS = 32
 
 
 def paragraphs(text: str) -> list[str]:
@@ -54,7 +56,7 @@ def paragraphs(text: str) -> list[str]:
         words, held = part.split(" "), []
         for word in words:
             held.append(word)
-            if xxhash.xxh32_intdigest(word) & 15 == 0:  # a cut every 16 words or so
+            if len(held) == WORDS or xxhash.xxh32_intdigest(word) & 15 == 0:  # a cut every 16 words or so
                 out.append(" ".join(held))
                 held = []
         if any(held):
