@@ -25,7 +25,6 @@ import hashlib
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -87,24 +86,37 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list, list[list[str]], list[str]]]:
-    """(chunk, doc_ids, words of each document, distinct words as they first occur): bounded by characters."""
+class Numbers(dict):
+    """Words numbered as they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int, coded: bool) -> Iterator[tuple[int, list, list[np.ndarray], list[str]]]:
+    """(chunk, doc_ids, word numbers of each document if coded, distinct words by number): bounded by characters.
+
+    Words are numbered as they first occur; of a document only the numbers are held.
+    """
     from public_tokenizers import PATTERN
 
-    find, part, number = regex.compile(PATTERN).findall, TaskContext.get().partitionId(), 0
-    names, found, distinct, size = [], [], {}, 0
+    find, part, chunk = regex.compile(PATTERN).findall, TaskContext.get().partitionId(), 0
+    names, codes, numbers, size = [], [], Numbers(), 0
     for batch in slices(batches):
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = [text] if text and UNSTABLE.search(text) else find(text)
             names.append(doc_id)
-            found.append(words)
-            distinct.update(dict.fromkeys(words))
+            if coded:
+                codes.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+            else:
+                numbers.update(dict.fromkeys(words))
             size += len(text) + 100
             if size >= most:
-                yield part << 32 | number, names, found, list(distinct)
-                names, found, distinct, size, number = [], [], {}, 0, number + 1
+                yield part << 32 | chunk, names, codes, list(numbers)
+                names, codes, numbers, size, chunk = [], [], Numbers(), 0, chunk + 1
     if names:
-        yield part << 32 | number, names, found, list(distinct)
+        yield part << 32 | chunk, names, codes, list(numbers)
 
 
 def _row(**values) -> pa.RecordBatch:
@@ -117,7 +129,7 @@ def _joined(words: list[str]) -> bytes:
 
 def _word_rows(buckets: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, _, words in _chunks(batches, most):
+        for chunk, _, _, words in _chunks(batches, most, False):
             digest = zlib.crc32(_joined(words))
             to = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % buckets
             order = np.argsort(to, kind="stable")
@@ -148,11 +160,9 @@ def _encode_words(path: str):
 
 def _code_rows(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, names, found, words in _chunks(batches, most):
-            number = {w: k for k, w in enumerate(words)}
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            codes = np.fromiter(chain.from_iterable(map(number.__getitem__, ws) for ws in found), np.uint32, int(sizes.sum()))
-            yield _row(chunk=chunk, digest=zlib.crc32(_joined(words)), numbers=_pack(sizes), payload=_pack(codes), doc_ids=names)
+        for chunk, names, codes, words in _chunks(batches, most, True):
+            sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+            yield _row(chunk=chunk, digest=zlib.crc32(_joined(words)), numbers=_pack(sizes), payload=_pack(np.concatenate(codes)), doc_ids=names)
 
     return run
 
