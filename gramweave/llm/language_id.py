@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._base import slices
+from ._base import bounded, slices, stash
 
 CELLS = 1 << 18
 LONGEST = 4
@@ -129,9 +129,14 @@ def train(docs: DataFrame, per_language: int = 300, landmarks: int = 24) -> Mode
     """Learn from text and lang of rows that are not held out."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text")
     labelled = named.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    # about four times as many rows of each language as are wanted have a hash below its edge, so few reach a window
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    edge = F.when(F.col("n") <= 8 * per_language, F.lit(2**63 - 1)).otherwise((F.lit(4.0 * per_language) / F.col("n") * 2.0**64 - 2.0**63).cast("long"))
+    edges = stash(counts.select(F.col("lang").alias("_lang"), edge.alias("_edge")), "edges")
+    low = labelled.select("lang", "h", "doc_id").join(bounded(edges, 64), F.col("lang") == F.col("_lang")).where("h <= _edge")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     # bounded: per_language rows of each language, without their texts
-    picked = labelled.select("lang", "h", "doc_id").withColumn("nth", rank).where(F.col("nth") <= per_language).select("lang", "h", "doc_id").distinct()
+    picked = low.select("lang", "h", "doc_id").withColumn("nth", rank).where(F.col("nth") <= per_language).select("lang", "h", "doc_id").distinct()
     sample = labelled.join(F.broadcast(picked), ["lang", "h", "doc_id"]).select("h", "lang", "text").mapInArrow(_sample_cells, "h long, lang string, cells binary")
     rows = sorted((r.lang, r.h, bytes(r.cells)) for r in sample.collect())
     return fit([(lang, np.frombuffer(cells, np.int32)) for lang, _, cells in rows], landmarks)
