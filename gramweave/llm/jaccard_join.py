@@ -37,6 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramweave.operators.spread import spread
+
 from ._base import drop_stash, plain, slices, stash
 from ._graph import components
 
@@ -481,7 +483,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> D
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 ORACLE = r"""

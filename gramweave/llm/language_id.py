@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gramweave.operators.spread import spread
+
 from ._base import bounded, slices, stash
 
 CELLS = 1 << 18
@@ -168,6 +170,6 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gramweave.operators.spread import spread
+
 from ._base import bounded, plain, slices, stash
 from .tokenizer_units import encoder
 
@@ -170,4 +172,4 @@ def pack(docs: DataFrame, tokenizer: str, *, words: bool = True, end_id: int = 0
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), path("word_bpe_49k.json"))
+    return pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), path("word_bpe_49k.json"))

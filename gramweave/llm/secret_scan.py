@@ -26,6 +26,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramweave.operators.spread import spread
+
 from ._base import stash
 
 
@@ -238,7 +240,7 @@ def report(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return report(scan(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
 
 
 def _sql_rule(rule: Rule, number: int) -> str:

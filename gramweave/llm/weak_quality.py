@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramweave.operators.spread import spread
+
 from ._base import slices
 
 CELLS = 1 << 13
@@ -258,6 +260,6 @@ LEAST = 0.35
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     found = classify(docs, train(docs))
     return found.select("doc_id", F.col("_score").alias("score"), (F.col("_score") >= LEAST).alias("keep"))
