@@ -54,6 +54,7 @@ def lev_bytes_turns(spark, sf_dir):
     """Byte distance of each turn to the next one of its conversation."""
     turns = table(spark, sf_dir, "conversations")
     pairs = turns.select("conv_id", "turn", F.col("text").alias("a")).join(turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b")), ["conv_id", "turn"])
+    pairs = pairs.repartition(spark.sparkContext.defaultParallelism, "conv_id", "turn")
     return distance.distance(pairs, engine="long", unit="bytes").select("conv_id", "turn", "distance")
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gramweave.operators import grammars
+from gramweave.operators.spread import spread
 from gramweave.sources import generate
 from gramweave.plans.distances import FIBONACCI, table
 
 
 def _turns(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
 
 
 def _names(spark, sf_dir):
@@ -28,7 +29,7 @@ def lz_factors_automaton(spark, sf_dir):
 
 def lz_benchmark(spark, sf_dir):
     """Factors of the benchmark passages, whole: their number, and that both methods agree."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", grammars.factorize("text").alias("f"), grammars.factorize("text", "automaton").alias("g"))
+    items = spread(table(spark, sf_dir, "benchmark")).select("item_id", grammars.factorize("text").alias("f"), grammars.factorize("text", "automaton").alias("g"))
     return items.select("item_id", F.size("f").cast("long").alias("n_factors"), (F.col("f") == F.col("g")).alias("agree"))
 
 
