@@ -44,3 +44,12 @@ def bit_place(x) -> tuple:
     """Columns: the 64-wide word of a point, and its bit."""
     x = F.col(x) if isinstance(x, str) else x
     return F.floor(x / 64).cast("long"), F.pmod(x, F.lit(64)).cast("long")
+
+
+def interval_words(points: DataFrame, removed: DataFrame, place: str = "x") -> DataFrame:
+    """(word, bits): the surviving ends of each 64-wide word as text, the highest point first."""
+    gone = removed.select(F.col(place)).distinct().withColumn("_gone", F.lit(True))
+    word, bit = bit_place(place)
+    marked = points.join(gone, place, "left").select(word.alias("word"), (-bit).alias("at"), F.when(F.col("_gone").isNull(), "1").otherwise("0").alias("b"))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "b")))  # 64 points at most
+    return marked.groupBy("word").agg(F.array_join(F.transform(ordered, lambda x: x["b"]), "").alias("bits"))

@@ -167,6 +167,12 @@ def part_intervals(spark, sf_dir):
     return components.interval_find(points, part.where("p_size > 25").select(F.col("p_partkey").alias("x")), by="p_brand")
 
 
+def interval_words(spark, sf_dir):
+    """The surviving ends of the parts' intervals, 64 to a word."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("x"), "p_size")
+    return components.interval_words(part.select("x"), part.where("p_size > 25").select("x"))
+
+
 def bit_places(spark, sf_dir):
     word, bit = components.bit_place("p_partkey")
     part = table(spark, sf_dir, "part")
@@ -198,7 +204,7 @@ LENGTHS = "WITH RECURSIVE l AS (SELECT 1::BIGINT AS len UNION ALL SELECT greates
 QUERIES = {f.__name__: f for f in (
     lev_part_pairs, lev_threshold, lev_rows, lev_topk_nearest, lev_near_names, lev_bytes_turns, lev_wildcard, lcs_wildcard, lcs_pairs, lcs_native_pairs, indel_pairs, blow_up_pairs, compressed_pairs,
     compressed_pairs_direct, compressed_fibonacci, order_pairs, dp_grid, substitution_cost, fibonacci_strings, periodic_strings, random_prefixes, random_stream, prefix_growth, fasta_records,
-    supplier_components, part_intervals, bit_places,
+    supplier_components, part_intervals, interval_words, bit_places,
 )}
 
 ORACLES = {
@@ -239,5 +245,6 @@ ORACLES = {
       s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.seen = s.a)
       SELECT node::BIGINT AS node, min(seen)::BIGINT AS root FROM r GROUP BY node""",
     "part_intervals": "SELECT p_brand, p_partkey AS x, min(CASE WHEN p_size <= 25 THEN p_partkey END) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last FROM part",
+    "interval_words": "SELECT p_partkey // 64 AS word, string_agg(CASE WHEN p_size > 25 THEN '0' ELSE '1' END, '' ORDER BY p_partkey DESC) AS bits FROM part GROUP BY word",
     "bit_places": "SELECT p_partkey, p_partkey // 64 AS word, p_partkey % 64 AS bit, ceil(p_partkey / 7)::BIGINT AS ceil_div, CASE WHEN p_partkey > 0 THEN length(bin(p_partkey)) ELSE -1 END::BIGINT AS msb FROM part",
 }
