@@ -408,8 +408,8 @@ def _small(df: DataFrame, width: int) -> bool:
 
 
 def _with_sets(classes: DataFrame, sets: DataFrame) -> DataFrame:
-    found = sets.join(F.broadcast(classes) if _small(classes, 64) else classes, "id")
-    return found
+    """The classes with their sets: only classes of some block come here."""
+    return sets.join(F.broadcast(classes) if _small(classes, 64) else classes, "id")
 
 
 def link_classes(sets: DataFrame, percent: int) -> DataFrame:

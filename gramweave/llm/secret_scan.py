@@ -16,7 +16,6 @@ are verified one by one; spans are in code points, end exclusive; an empty table
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -157,7 +156,7 @@ def _candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def _bit(bitmap: Column, position: Column) -> Column:
     byte = F.conv(F.hex(F.substring(bitmap, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) > 0, F.lit(False))
+    return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), position % 8).cast("int")) > 0, F.lit(False))
 
 
 def _spans(text: Column, rule: Rule, number: int) -> Column:
