@@ -8,7 +8,9 @@ nothing, one of a single page has 0. A branch's importance joins both over the b
 of low importance on enough pages are noise of that host and are removed from each page. Marks of the
 page's author rule where they exist: menus, footers, forms, adverts and the like by tag, class or
 role always go, and on a page with an article (or main) only text inside it stays; there,
-the tree removes nothing, since an article's branch is content by declaration.
+the tree removes nothing, since an article's branch is content by declaration. A mark that holds the
+article takes nothing from it: html and body bear no mark, class words count as whole tokens, and a
+form that holds the page's structure is a wrapper. Of articles, those in the fewest marks are the page's.
 
 Statistics leave the tasks as counts and are summed by key, so a host of any share of the pages is
 no group anywhere. Defined cases: null or empty html gives the empty text; pages without url form
@@ -42,12 +44,16 @@ NOISE_TAGS = frozenset("aside button canvas dialog footer form head menu nav nos
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related respond share sharing sidebar social sponsor sponsored subscribe toolbar".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 CONTENT = frozenset("article main".split())
+#: A form that holds one of these wraps the page.
+STRUCTURE = CONTENT | frozenset("footer h1 header nav".split())
+#: Tags whose author says that nothing in them is the page's own text, even if they hold an article: their
+#: mark weighs more than any number of others, as do invisible elements.
+HARD, WEIGHT = frozenset("aside button canvas dialog footer head menu nav noscript object select svg template".split()), 1 << 20
 #: An open element of a kind that ends where one of these begins.
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-WORDS = re.compile(r"[^a-z0-9]+")
 
 #: Branches below this importance, on this share of a host's pages and so many at least, are noise.
 LEAST_IMPORTANCE, LEAST_SHARE, LEAST_PAGES = 0.3, 0.05, 4
@@ -61,20 +67,27 @@ class Page:
     """Blocks of text with the path of their element, and the presentations of nodes."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, bool]] = []  # path, text, inside an article
+        # path, text, weight of the marks around its article (-1 outside of articles), forms around it
+        self.blocks: list[tuple[str, str, int, tuple[int, ...]]] = []
         self.children: dict[str, list[str]] = {}
         self._text: list[str] = []
-        # name, path, noise, article
-        self._open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        # name, path, weight of its marks, that of the marks around its article, forms
+        self._open: list[tuple[str, str, int, int, tuple[int, ...]]] = [("", "", 0, -1, ())]
+        self._forms = 0
+        self._wrappers: set[int] = set()
         self._read(source)
         self._flush()
+        if self._forms > len(self._wrappers):
+            plain = {b[2] for b in self.blocks if self._wrappers.issuperset(b[3])}
+            # a form that holds all there is, of the article or the page, is a wrapper too
+            self.blocks = [b for b in self.blocks if b[2] not in plain or self._wrappers.issuperset(b[3])]
 
     def _flush(self) -> None:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                _, path, _, article = self._open[-1]
-                self.blocks.append((path, text, article))
+                _, path, _, article, forms = self._open[-1]
+                self.blocks.append((path, text, article, forms))
             self._text = []
 
     def _say(self, raw: str) -> None:
@@ -102,13 +115,15 @@ class Page:
     def _begin(self, name: str, rest: str) -> None:
         if name in RAW:
             return
-        label, noise = name, name in NOISE_TAGS
+        label, noise = name, (WEIGHT if name in HARD else 1) if name in NOISE_TAGS else 0
         if rest.strip(" /"):
             found = {k.lower(): (v or "").strip("\"'").lower() for k, v in ATTRIBUTE.findall(rest)}
             if kinds := found.get("class"):
                 label += "." + ".".join(sorted(kinds.split()))
-            words = {*WORDS.split(kinds or ""), *WORDS.split(found.get("id", ""))}
-            noise = noise or bool(words & NOISE_WORDS) or found.get("role") in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+            if not NOISE_WORDS.isdisjoint([*(kinds or "").split(), found.get("id", "").strip()]) or found.get("role") in NOISE_ROLES:
+                noise = noise or 1
+            if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
+                noise = WEIGHT
         if name in VOID:
             if name in ("br", "hr"):
                 self._flush()
@@ -118,10 +133,21 @@ class Page:
         self._flush()
         while self._open[-1][0] and name in CLOSED_BY.get(self._open[-1][0], ()):
             self._open.pop()
-        _, path, dropped, article = self._open[-1]
-        noise = noise and name not in CONTENT or name == "header" and not article
+        _, path, dropped, article, forms = self._open[-1]
+        if name in STRUCTURE and forms:
+            self._wrappers.update(forms)
+        if name in CONTENT:
+            noise = 0
+            if article < 0:  # the page's content begins: what is around it marks it no more
+                dropped, article, forms = 0, dropped, ()
+        elif name in ("html", "body"):
+            noise = 0
+        elif name == "header" and article < 0:
+            noise = noise or 1
+        elif name == "form" and noise == 1:
+            noise, forms, self._forms = 0, (*forms, self._forms), self._forms + 1
         self.children.setdefault(path, []).append(label)
-        self._open.append((name, f"{path}/{label}" if name not in ("html", "body") else path, dropped or noise, article or name in CONTENT))
+        self._open.append((name, f"{path}/{label}" if name not in ("html", "body") else path, dropped + noise, article, forms))
 
     def _close(self, name: str) -> None:
         if name == "br":
@@ -136,8 +162,11 @@ class Page:
                 return  # a stray end tag doesn't close what holds the article
 
     def text(self, noise: frozenset[str] = frozenset()) -> str:
-        inside = any(article for _, _, article in self.blocks)
-        return "\n".join(text for path, text, article in self.blocks if (article if inside else not (noise and any(p in noise for p in branches(path)))))
+        levels = {article for _, _, article, _ in self.blocks}
+        level = min((x for x in levels if x >= 0), default=-1)
+        if level >= WEIGHT and -1 in levels:
+            level = -1  # an article in a menu, an aside or out of sight isn't the page's while other text is
+        return "\n".join(text for path, text, article, _ in self.blocks if article == level and (level >= 0 or not (noise and any(p in noise for p in branches(path)))))
 
 
 def branches(path: str) -> list[str]:
@@ -163,9 +192,9 @@ def _count(most: int = 200_000):
         for batch in slices(batches, 128):
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = Page(source)
-                found = {(host, path, CONTENTS, xxhash.xxh3_64_intdigest(text) >> 1) for path, text, _ in page.blocks}
+                found = {(host, path, CONTENTS, xxhash.xxh3_64_intdigest(text) >> 1) for path, text, *_ in page.blocks}
                 found |= {(host, path, PRESENTATION, xxhash.xxh3_64_intdigest(" ".join(a for a, b in pairwise([*labels, ""]) if a != b)) >> 1) for path, labels in page.children.items()}
-                found |= {(host, path, PRESENCE, 0) for path in {*(p for p, _, _ in page.blocks), *page.children}}
+                found |= {(host, path, PRESENCE, 0) for path in {*(p for p, *_ in page.blocks), *page.children}}
                 found.add((host, "", PRESENCE, 0))
                 held.update(found)
             if len(held) > most:

@@ -111,6 +111,30 @@ def test_extraction(spark):
     assert html_extract.extract(pages.limit(0)).collect() == []
 
 
+ARTICLE = "<article><h1>T</h1><p>whole text</p></article>"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body class='has-sidebar no-comments'><nav>n</nav>{ARTICLE}<p>out</p>", "T\nwhole text"),
+    (f"<html class=nav><body id=comments style='display:none'>{ARTICLE}", "T\nwhole text"),
+    (f"<div id=main-with-nav>{ARTICLE}</div>", "T\nwhole text"),
+    (f"<div class=banner><div class=sidebar>{ARTICLE}</div></div><p>out</p>", "T\nwhole text"),
+    (f"<header>{ARTICLE}</header>", "T\nwhole text"),
+    (f"<form><nav>n</nav>{ARTICLE}<input></form>", "T\nwhole text"),
+    ("<body class=page-nav><form id=aspnetForm><nav>n</nav><p>whole</p><div class=ad>a</div></form><p>end</p>", "whole\nend"),
+    ("<form><p>all</p></form>", "all"),
+    ("<article><form><p>all</p></form></article><p>out</p>", "all"),
+    ("<article><p>x</p><form><p>f</p></form></article>", "x"),
+    ("<div class='post no-share'><p>kept</p></div><div id=share>s</div>", "kept"),
+    ("<main>m<div class=comments><article>c</article></div></main>", "m"),
+    ("<div class=sidebar><article>teaser</article></div><main>m</main>", "m"),
+    ("<p>text</p><aside><article>teaser</article></aside>", "text"),
+    ("<aside><article>only</article></aside>", "only"),
+])
+def test_marks_around_the_article_take_nothing_from_it(page, text):
+    assert html_extract.Page(page).text() == text
+
+
 @pytest.mark.parametrize("limit", [32 << 20, 0])
 def test_style_tree_removes_what_a_site_repeats(spark, monkeypatch, limit):
     monkeypatch.setattr(html_extract, "BROADCAST_BYTES", limit)
