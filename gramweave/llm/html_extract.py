@@ -12,8 +12,10 @@ the tree removes nothing, since an article's branch is content by declaration. A
 article takes nothing from it: html and body bear no mark, class words count as whole tokens, and a
 form that holds the page's structure is a wrapper. Of articles, those in the fewest marks are the page's.
 
-Statistics leave the tasks as counts and are summed by key, so a host of any share of the pages is
-no group anywhere. Defined cases: null or empty html gives the empty text; pages without url form
+Copies tell nothing about a site, so statistics count distinct pages: those of a host that differ in some
+block or presentation. Pages leave the tasks as digests of these, meet by the digest of all of them, and
+distinct ones are counted and summed by key, so a host of any share of the pages is no group anywhere.
+Branches that leave a page without any text are not removed from it. Defined cases: null or empty html gives the empty text; pages without url form
 one host; rows of equal page_id are extracted one by one; broken markup is read as browsers do
 (unclosed elements end with their parent, a cut tag at the end is no text); an empty table gives no
 row.
@@ -166,7 +168,9 @@ class Page:
         level = min((x for x in levels if x >= 0), default=-1)
         if level >= WEIGHT and -1 in levels:
             level = -1  # an article in a menu, an aside or out of sight isn't the page's while other text is
-        return "\n".join(text for path, text, article, _ in self.blocks if article == level and (level >= 0 or not (noise and any(p in noise for p in branches(path)))))
+        own = [(path, text) for path, text, article, _ in self.blocks if article == level]
+        left = [(path, text) for path, text in own if not any(p in noise for p in branches(path))] if noise and level < 0 else own
+        return "\n".join(text for _, text in left or own)
 
 
 def branches(path: str) -> list[str]:
@@ -175,13 +179,43 @@ def branches(path: str) -> list[str]:
     return [*(path[:k] for k in cuts), path]
 
 
+FEATURES = "page binary, host string, paths array<string>, kinds array<int>, digests array<long>"
 COUNTS = "host string, path string, kind int, digest long, pages long"
 PRESENCE, CONTENTS, PRESENTATION = range(3)
 
 
+def _features(most: int = 200_000):
+    """Of each page its host, what is counted of it and a digest of both; copies within a task go at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in slices(batches, 128):
+            rows: list[tuple] = []
+            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                page = Page(source)
+                found = {(path, CONTENTS, xxhash.xxh3_64_intdigest(text) >> 1) for path, text, *_ in page.blocks}
+                found |= {(path, PRESENTATION, xxhash.xxh3_64_intdigest(" ".join(a for a, b in pairwise([*labels, ""]) if a != b)) >> 1) for path, labels in page.children.items()}
+                found |= {(path, PRESENCE, 0) for path in {"", *(p for p, *_ in page.blocks), *page.children}}
+                features = sorted(found)
+                digest = xxhash.xxh3_128_digest(repr((host, features)))
+                if digest not in seen:
+                    seen.add(digest)
+                    rows.append((digest, host, *map(list, zip(*features))))
+            if rows:
+                kinds = (pa.binary(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=[x.split()[0] for x in FEATURES.split(", ")])
+            if len(seen) > most:
+                seen.clear()
+
+    return run
+
+
 def _count(most: int = 200_000):
+    """Counts of distinct pages; equal ones come one after another."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+        last = None
 
         def flush() -> pa.RecordBatch:
             rows = list(zip(*((*key, n) for key, n in held.items())))
@@ -190,13 +224,10 @@ def _count(most: int = 200_000):
             return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(rows, kinds)], names=[x.split()[0] for x in COUNTS.split(", ")])
 
         for batch in slices(batches, 128):
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                page = Page(source)
-                found = {(host, path, CONTENTS, xxhash.xxh3_64_intdigest(text) >> 1) for path, text, *_ in page.blocks}
-                found |= {(host, path, PRESENTATION, xxhash.xxh3_64_intdigest(" ".join(a for a, b in pairwise([*labels, ""]) if a != b)) >> 1) for path, labels in page.children.items()}
-                found |= {(host, path, PRESENCE, 0) for path in {*(p for p, *_ in page.blocks), *page.children}}
-                found.add((host, "", PRESENCE, 0))
-                held.update(found)
+            for digest, host, *features in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if digest != last:
+                    held.update((host, *feature) for feature in zip(*features))
+                last = digest
             if len(held) > most:
                 yield flush()
         if held:
@@ -211,7 +242,8 @@ def noise_branches(pages: DataFrame) -> DataFrame:
     A path is kept here only if it is on LEAST_SHARE of the host's pages, so a host has a bounded
     number of them: 1 / LEAST_SHARE times the nodes of a page.
     """
-    counts = pages.mapInArrow(_count(), COUNTS).groupBy("host", "path", "kind", "digest").agg(F.sum("pages").alias("n"))
+    distinct = pages.mapInArrow(_features(), FEATURES).repartition("page").sortWithinPartitions("page")
+    counts = distinct.mapInArrow(_count(), COUNTS).groupBy("host", "path", "kind", "digest").agg(F.sum("pages").alias("n"))
     sums = stash(counts.groupBy("host", "path").agg(
         F.sum(F.when(F.col("kind") == PRESENCE, F.col("n"))).alias("m"),
         F.sum(F.when(F.col("kind") == CONTENTS, 1)).alias("features"),

@@ -145,6 +145,21 @@ def test_style_tree_removes_what_a_site_repeats(spark, monkeypatch, limit):
     assert all(r.text.startswith("Welcome") for r in few)  # too few pages to tell
 
 
+@pytest.mark.parametrize("texts, copies", [(1, 4), (2, 5), (3, 10), (6, 40)])
+def test_copies_of_a_page_are_no_boilerplate(spark, texts, copies):
+    # scripts are no text, so they don't tell copies apart
+    pages = [(k, "http://s.example/", f"<script>{k}</script><div class=top>Menu</div><div class=body><p>Story {k % texts} begins</p></div>") for k in range(texts * copies)]
+    found = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
+    menu = "Menu\n" if texts < html_extract.LEAST_PAGES else ""
+    assert {r.page_id: r.text for r in found} == {k: f"{menu}Story {k % texts} begins" for k in range(texts * copies)}
+
+
+def test_no_page_loses_all_its_text(spark):
+    pages = [(k, None, f"<div class=top>Menu</div><p>Story {k}</p>") for k in range(9)] + [(9, None, "<div class=top>Menu</div>")]
+    found = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {k: f"Story {k}" if k < 9 else "Menu" for k in range(10)}
+
+
 @needs_data
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
