@@ -5,10 +5,10 @@ are one node of the host's style tree. For a node, the distribution of its prese
 sequence of its children's labels) and of its contents (digests of its text blocks) over the pages
 gives its importance: a content that is spread over all pages has entropy near 1 and tells
 nothing, one of a single page has 0. A branch's importance joins both over the branch; branches
-of low importance on enough pages are noise of that host and are removed from each page. Marks of the
-page's author rule where they exist: menus, footers, forms, adverts and the like by tag, class or
-role always go, and on a page with an article (or main) only text inside it stays; there,
-the tree removes nothing, since an article's branch is content by declaration. A mark that holds the
+of low importance on enough pages are noise of that host and are removed from each page, those within
+articles too. Marks of the page's author come in addition: menus, footers, forms, adverts and the like by
+tag, class or role always go, and on a page with an article (or main) only text inside it stays; an
+article itself and what holds it are content by declaration. A mark that holds the
 article takes nothing from it: html and body bear no mark, class words count as whole tokens, and a
 form that holds the page's structure is a wrapper. Of articles, those in the fewest marks are the page's.
 
@@ -121,7 +121,7 @@ class Page:
         if rest.strip(" /"):
             found = {k.lower(): (v or "").strip("\"'").lower() for k, v in ATTRIBUTE.findall(rest)}
             if kinds := found.get("class"):
-                label += "." + ".".join(sorted(kinds.split()))
+                label += "." + ".".join(sorted(kinds.replace("/", "|").split()))
             if not NOISE_WORDS.isdisjoint([*(kinds or "").split(), found.get("id", "").strip()]) or found.get("role") in NOISE_ROLES:
                 noise = noise or 1
             if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
@@ -169,13 +169,18 @@ class Page:
         if level >= WEIGHT and -1 in levels:
             level = -1  # an article in a menu, an aside or out of sight isn't the page's while other text is
         own = [(path, text) for path, text, article, _ in self.blocks if article == level]
-        left = [(path, text) for path, text in own if not any(p in noise for p in branches(path))] if noise and level < 0 else own
+        left = [(path, text) for path, text in own if not any(p in noise for p in branches(path, level >= 0))] if noise else own
         return "\n".join(text for _, text in left or own)
 
 
-def branches(path: str) -> list[str]:
-    """The path and those of all that holds it."""
+def branches(path: str, inside: bool = False) -> list[str]:
+    """The path and those of all that holds it; with inside, only those below its first article or main."""
     cuts = [k for k, c in enumerate(path) if c == "/"][1:]
+    if inside:
+        names = path.split("/")[1:]
+        first = next(k for k, label in enumerate(names) if label.split(".", 1)[0] in CONTENT)
+        cuts = [*cuts, len(path)][first + 1 :]
+        return [path[:k] for k in cuts]
     return [*(path[:k] for k in cuts), path]
 
 

@@ -160,6 +160,16 @@ def test_no_page_loses_all_its_text(spark):
     assert {r.page_id: r.text for r in found} == {k: f"Story {k}" if k < 9 else "Menu" for k in range(10)}
 
 
+def test_style_tree_removes_repeated_notices_within_articles(spark):
+    # copies of a page and the article's own branch are no notices
+    pages = [(k, "http://s.example/", f"<div class=x><article><h1>Title {k // 2}</h1><p>Story {k // 2}<p>ends<div class=cta>Get our app</div></article></div><p>out</p>") for k in range(12)]
+    pages += [(k, "http://t.example/", "<main><h1>Same</h1><p>text</p></main>") for k in range(12, 20)]
+    found = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {k: f"Title {k // 2}\nStory {k // 2}\nends" if k < 12 else "Same\ntext" for k in range(20)}
+    assert html_extract.Page("<div class='w-1/2'><p>x").blocks[0][0] == "/div.w-1|2/p"
+    assert html_extract.branches("/div/main.a/p/x", True) == ["/div/main.a/p", "/div/main.a/p/x"]
+
+
 @needs_data
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
