@@ -57,11 +57,11 @@ CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset fo
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
-#: Branches below this importance, on this share of a host's pages and so many at least, are noise.
-LEAST_IMPORTANCE, LEAST_SHARE, LEAST_PAGES = 0.3, 0.05, 4
+#: Branches below this importance, on so many distinct pages of a host at least, are noise.
+LEAST_IMPORTANCE, LEAST_PAGES = 0.3, 4
 #: Weight of a node's own presentation against its contents.
 DAMPING = 0.9
-#: Bytes of noise paths that are broadcast at most; beyond it pages are joined by salted host.
+#: Bytes of noise paths that are broadcast at most; beyond it pages meet those of their host by salted host.
 BROADCAST_BYTES, SALTS = 32 << 20, 32
 
 
@@ -242,11 +242,7 @@ def _count(most: int = 200_000):
 
 
 def noise_branches(pages: DataFrame) -> DataFrame:
-    """(host, paths): branches of low importance. `pages` has host and html.
-
-    A path is kept here only if it is on LEAST_SHARE of the host's pages, so a host has a bounded
-    number of them: 1 / LEAST_SHARE times the nodes of a page.
-    """
+    """(host, path): branches of low importance. `pages` has host and html."""
     distinct = pages.mapInArrow(_features(), FEATURES).repartition("page").sortWithinPartitions("page")
     counts = distinct.mapInArrow(_count(), COUNTS).groupBy("host", "path", "kind", "digest").agg(F.sum("pages").alias("n"))
     sums = stash(counts.groupBy("host", "path").agg(
@@ -265,16 +261,42 @@ def noise_branches(pages: DataFrame) -> DataFrame:
     branch = own.select("host", "path", "m", "looks").join(spread, ["host", "path"])
     content = F.lit(1.0) - F.when(F.col("features") > 0, F.col("entropy") / F.col("features")).otherwise(1.0)
     rated = branch.select("host", "path", "m", (DAMPING * content + (1 - DAMPING) * F.least(F.coalesce("looks", F.lit(0.0)), F.lit(1.0))).alias("importance"))
-    total = own.where("path = ''").select("host", F.col("m").alias("total"))
-    low = rated.join(total, "host").where((F.col("importance") < LEAST_IMPORTANCE) & (F.col("m") >= LEAST_PAGES) & (F.col("m") >= LEAST_SHARE * F.col("total")))
-    return low.groupBy("host").agg(F.collect_set("path").alias("paths"))
+    return rated.where((F.col("importance") < LEAST_IMPORTANCE) & (F.col("m") >= LEAST_PAGES)).select("host", "path")
+
+
+def _texts(batch: pa.RecordBatch, noise: list[frozenset[str]]) -> pa.RecordBatch:
+    """Of page_id, url, html the texts."""
+    texts = [Page(h).text(n) for h, n in zip(batch.column(2).to_pylist(), noise)]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def _extract(known):
+    """Rows (page_id, url, html, host) with the broadcast paths of every host."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 128):
+            yield _texts(batch, [known.value.get(host, frozenset()) for host in batch.column(3).to_pylist()])
+
+    return run
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extract_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (page_id, url, html, host, path) by host, those with a path of noise before the pages of each salt."""
+    last, paths, noise = None, set(), frozenset()
     for batch in slices(batches, 128):
-        source, paths = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        texts = [Page(h).text(frozenset(p or ())) for h, p in zip(source, paths)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        pages, held = [], []
+        for k, (host, path) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+            if host != last:
+                last, paths, noise = host, set(), frozenset()
+            if path is not None:
+                paths.add(path)
+                continue
+            if len(noise) < len(paths):
+                noise = frozenset(paths)
+            pages.append(k)
+            held.append(noise)
+        if pages:
+            yield _texts(batch.take(pa.array(pages)), held)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -282,13 +304,21 @@ def extract(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
     noise = stash(noise_branches(rows.select("host", "html")), "noise")
-    size = noise.agg(F.sum(F.length(F.array_join("paths", " ")) + F.length("host") + 64).alias("n")).first().n or 0
+    size = noise.agg(F.sum(F.length("path") + F.length("host") + 64).alias("n")).first().n or 0
+    kind = pages.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, url string, text string"
     if size <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(noise), "host", "left")
+        known: dict[str, set[str]] = {}
+        for name, path in noise.collect():
+            known.setdefault(name, set()).add(path)
+        held = pages.sparkSession.sparkContext.broadcast({name: frozenset(paths) for name, paths in known.items()})
+        found = rows.mapInArrow(_extract(held), schema)
     else:
-        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)))
-        joined = salted.join(noise.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
-    found = joined.select("page_id", "url", "html", "paths").mapInArrow(_extract, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
+        salted = rows.withColumns({"path": F.lit(None).cast("string"), "salt": F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")})
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("page_id", kind), ("url", "string"), ("html", "string"))]
+        marks = noise.select(*nothing, "host", "path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        ordered = salted.unionByName(marks).repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("path").isNull())
+        found = ordered.select("page_id", "url", "html", "host", "path").mapInArrow(_extract_sorted, schema)
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

@@ -154,6 +154,14 @@ def test_copies_of_a_page_are_no_boilerplate(spark, texts, copies):
     assert {r.page_id: r.text for r in found} == {k: f"{menu}Story {k % texts} begins" for k in range(texts * copies)}
 
 
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_small_share_of_a_large_host(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", limit)
+    pages = [(k, f"http://{'small' if k >= 300 else 'hot'}.example/", ("<div class=word>Bell rings</div>" if k % 50 == 0 or k >= 300 else "") + f"<p>Story {k}</p>") for k in range(306)]
+    found = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {k: f"Story {k}" for k in range(306)}
+
+
 def test_no_page_loses_all_its_text(spark):
     pages = [(k, None, f"<div class=top>Menu</div><p>Story {k}</p>") for k in range(9)] + [(9, None, "<div class=top>Menu</div>")]
     found = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
