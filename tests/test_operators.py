@@ -28,6 +28,15 @@ def test_components(spark):
     assert all(r.node == r.root for r in alone)
 
 
+@pytest.mark.parametrize("path", [[*range(0, 256, 2), *range(255, 0, -2)], list(range(300, 44, -1))])
+def test_components_of_long_paths(spark, path):
+    # ids that grow towards the middle, and ones that fall along the path; an edge to a node that isn't there
+    edges = spark.createDataFrame([*zip(path, path[1:]), (path[5], -7)], "a long, b long")
+    nodes = spark.createDataFrame([(k,) for k in [*path, 1000]], "node long")
+    found = {r.node: r.root for r in components.components(nodes, edges).collect()}
+    assert found == {**dict.fromkeys(path, min(path)), 1000: 1000}
+
+
 def test_intervals_that_double(spark):
     n = 256
     points = spark.range(n).withColumnRenamed("id", "x").withColumn("g", F.lit(1))
