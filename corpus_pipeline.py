@@ -15,8 +15,14 @@ from gramweave.llm._base import stash
 from gramweave.operators.spread import spread
 
 #: Languages that the corpus is meant to hold are those learnt from; a text of no language goes, and
-#: so does one whose language is less sure than this.
-LEAST_LANGUAGE = 0.3
+#: so does one whose language is less sure than this. A score is a share of all languages, which is 1 / L at
+#: least, so with many languages the edge is this many times that.
+LEAST_LANGUAGE, LEAST_TIMES = 0.3, 1.2
+
+
+def least_language(languages: int) -> float:
+    """The least score of a text that stays."""
+    return min(LEAST_LANGUAGE, LEAST_TIMES / languages)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -47,10 +53,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learnt, surely enough."""
-    rows = _numbered(docs)
-    found = language_id.identify(rows, language_id.train(_known(docs, "doc_id", "text", "lang")), tuple(rows.columns), _place(docs, "text"))
-    return _restored(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)), docs)
+    """Documents in a language that was learnt, surely enough; those with a letter if none could be learnt."""
+    rows, text = _numbered(docs), _place(docs, "text")
+    model = language_id.train(_known(docs, "doc_id", "text", "lang"))
+    if model is None:
+        return _restored(rows.where(F.col(text).cast("string").rlike(r"\p{L}")), docs)
+    found = language_id.identify(rows, model, tuple(rows.columns), text)
+    return _restored(found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= least_language(len(model.languages)))), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,6 +199,31 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(DATA)).count() == sizes[5]
 
 
+def test_pipeline_language_without_labels(spark):
+    import corpus_pipeline
+
+    rows = [(1, "Clean text.", None), (2, "12 !", None), (3, None, None), (4, "été", None), (None, "held out", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.text for r in corpus_pipeline.language(spark, docs, "").collect()) == ["Clean text.", "held out", "été"]
+
+
+def test_pipeline_language_with_many_languages(spark, monkeypatch):
+    import corpus_pipeline
+
+    assert corpus_pipeline.least_language(4) == corpus_pipeline.LEAST_LANGUAGE
+    rnd, grams, rows = random.Random(1), language_id.Grams(), []
+    for lang in range(60):
+        words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(40)]
+        rows += [(f"l{lang:02}", grams.cells(" ".join(rnd.choices(words, k=60)))) for _ in range(6)]
+        short = words[0]
+    model = language_id.fit(rows, landmarks=3)
+    monkeypatch.setattr(language_id, "train", lambda docs: model)
+    docs = spark.createDataFrame([(1, short)], "doc_id long, text string")
+    score = language_id.identify(docs, model).first()
+    assert score.lang_pred == "l59" and score.score < corpus_pipeline.LEAST_LANGUAGE
+    assert corpus_pipeline.language(spark, docs, "").count() == 1
+
+
 def test_pipeline_with_odd_tables(spark, tmp_path):
     import corpus_pipeline
 
