@@ -4,11 +4,13 @@ Byte-level BPE never merges across a pre-token. In texts whose characters are al
 (scripts whose classes and case rules are the same in every library), a blank between two
 visible characters always starts a pre-token, so the text can be cut there and the ids of a cut
 depend on the cut alone: the library's model runs once for each distinct cut, and a dictionary
-gives the others. Any other text goes to the library as a whole.
+gives the others. Any other text goes to the library as a whole, as does one that holds the content of
+an added token (such as an end mark), which the library by default takes for that token.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -31,13 +33,18 @@ def byte_letters() -> list[str]:
 class UnitEncoder:
     """ids of texts as little-endian bytes of `width` bytes an id."""
 
-    def __init__(self, path: str, words: bool, most: int = 300_000):
-        """words: the vocabulary lower-cases and drops white space; else it keeps every byte."""
+    def __init__(self, path: str, words: bool, most: int = 300_000, ordinary: bool = False):
+        """words: the vocabulary lower-cases and drops white space; else it keeps every byte. ordinary:
+        contents of added tokens are ordinary text, which is not the library's default."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = ordinary
+        added = {} if ordinary else self.library.get_added_tokens_decoder()
+        contents = sorted(token.content for token in added.values())
+        self.added = re.compile("|".join(map(re.escape, contents)), re.I) if contents else None
+        self.mark = os.path.commonprefix(contents).rstrip("".join(filter(str.isalpha, "".join(contents)))) if contents else ""
         self.model = self.library.model
         self.words, self.most, self.known = words, most, {}
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
@@ -46,7 +53,8 @@ class UnitEncoder:
         self.letters = dict(enumerate(byte_letters()))
         self.blank, self.marks = self.letters[32], {}
         if words:
-            self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+            steps = json.loads(self.library.to_str())["pre_tokenizer"]["pretokenizers"]
+            self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
         else:
             from public_tokenizers import PATTERN
 
@@ -95,7 +103,7 @@ class UnitEncoder:
             self.known.clear()
         if not text:
             return b""
-        if UNSTABLE.search(text):
+        if UNSTABLE.search(text) or self.added and self.mark in text and self.added.search(text):
             return self._whole(text)
         if self.words:
             return b"".join(self._known(text.lower().split()))

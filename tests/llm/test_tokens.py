@@ -16,7 +16,7 @@ from gramweave.llm.tokenizer_units import UnitEncoder
 P = pytest.importorskip("public_tokenizers")
 
 #: Nulls, empties, ties, repeats, white space of all sorts, other scripts, marks, a very long text.
-ROWS = [(5, "The cat, the dog. It's 42!"), (3, None), (3, ""), (3, "  a  b \n c\t"), (3, "same"), (3, "same"), (None, "no id"), (9, "日本 Ünïcödé Σίσυφος <|endoftext|> \x1c x"), (1, "tail \n \n "), (2, "word " * 3000), (8, "x" * 5000)]
+ROWS = [(5, "The cat, the dog. It's 42!"), (3, None), (3, ""), (3, "  a  b \n c\t"), (3, "same"), (3, "same"), (None, "no id"), (9, "日本 Ünïcödé Σίσυφος <|endoftext|> \x1c x"), (1, "tail \n \n "), (2, "word " * 3000), (8, "x" * 5000), (4, "end <|endoftext|> start"), (4, "<|StartOfText|><|startoftext|>x <|endoftext|"), (4, "a <| b")]
 SCHEMA = "doc_id long, text string"
 CLASHING = "doc_id long, text string, part int, segment int, n_tokens string, chunk string, length double, nth long, _row int, h string"
 
@@ -28,7 +28,6 @@ def libraries():
     out = {}
     for words, name in ((False, "byte_bpe_50k.json"), (True, "word_bpe_49k.json")):
         out[words] = Tokenizer.from_file(P.path(name))
-        out[words].encode_special_tokens = True
     return out
 
 
@@ -37,7 +36,7 @@ def encoders():
     return {False: UnitEncoder(P.path("byte_bpe_50k.json"), False, most=50), True: UnitEncoder(P.path("word_bpe_49k.json"), True, most=50)}
 
 
-@given(st.text(alphabet="ab  \n\t'sTé1²,.! Ñß-_ \r\x1c\x85ć日ΣİǰJ̌", max_size=25))
+@given(st.text(alphabet="ab  \n\t'sTé1²,.! Ñß-_ \r\x1c\x85ć日ΣİǰJ̌", max_size=25) | st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", " ", "a", " it's"]), max_size=8).map("".join))
 @settings(max_examples=300, deadline=None)
 def test_units_encode_as_the_library(libraries, encoders, text):
     for words in (False, True):
