@@ -5,11 +5,16 @@ size. A segment is one self-contained binary record of the format below, kept in
 column of a Parquet table, so that Spark's commit protocol covers the loss of executors and no
 executor needs a local file:
 
-    4s magic, B id width, B low bits, H 0, Q documents, Q ids, Q high bytes, Q low bytes, Q samples
-    ids, little-endian; high bits in unary; low bits packed; one sampled position per 256 ones
+    4s magic, B id width, H 0, Q documents, Q ids, Q null doc_ids, q first doc_id,
+    Elias-Fano of the boundaries, Elias-Fano of the doc_ids less the first one, ids (little-endian)
 
-The boundary of document i is select1(i) on the high bits joined with its low bits: about
-2 + log2(ids / documents) bits a document in place of a 64-bit table.
+    Elias-Fano: B low bits, Q high bytes, Q low bytes, Q samples; high bits in unary; low bits packed;
+    one sampled position (32 bits) per 256 ones
+
+Document i begins at select1(i) on the high bits joined with its low bits, about 2 + log2(ids / documents)
+bits a document; doc_ids ascend, so they take the same code. There is no table of 64-bit numbers. Reading a file
+selects the boundaries of a record from its bytes' counts of ones; `fetch` finds single documents by binary search
+over selected doc_ids and two selects, each from its sample on.
 
 Defined cases: null text is the empty text (only the end id); documents of equal doc_id are
 ordered by a hash of the text; null doc_ids come first; an empty table gives no segment.
@@ -19,59 +24,43 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._base import plain, scratch_path, slices
 from .tokenizer_units import encoder
 
-MAGIC = b"EFT1"
-HEAD = struct.Struct("<4sBBHQQQQQ")
+MAGIC = b"EFT2"
+HEAD, PART = struct.Struct("<4sBHQQQq"), struct.Struct("<BQQQ")
 SAMPLE = 256
-SEGMENTS = "part int, segment int, n_docs long, n_ids long, doc_ids array<long>, record binary"
+SEGMENTS = "part int, segment int, n_docs long, n_ids long, first_id long, last_id long, record binary"
 
-
-def ef_encode(values: np.ndarray, universe: int) -> tuple[int, bytes, bytes, bytes]:
-    """Low bits, high part, low part and select samples of a monotone sequence in 0..universe."""
-    n = len(values)
-    low_bits = max(0, (universe // max(n, 1)).bit_length() - 1)
-    values = values.astype(np.uint64)
-    ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-    unary = np.zeros((universe >> low_bits) + n + 1, np.uint8)
-    unary[ones] = 1
-    lows = ((values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return low_bits, np.packbits(unary, bitorder="little").tobytes(), np.packbits(lows.ravel(), bitorder="little").tobytes(), ones[::SAMPLE].astype("<u4").tobytes()
+#: By byte: how many ones it has, and where the k-th of them is.
+ONES = np.array([b.bit_count() for b in range(256)])
+PLACES = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[:8] for b in range(256)])
 
 
-class Segment:
-    """A read record: boundaries by select, ids by slice."""
+class EliasFano:
+    """A read code of a monotone sequence of unsigned numbers."""
 
-    def __init__(self, record: bytes):
-        magic, self.width, self.low_bits, _, self.n_docs, self.n_ids, high, low, samples = HEAD.unpack_from(record)
-        if magic != MAGIC:
-            raise ValueError("not a token record")
-        at = HEAD.size
-        self.ids = np.frombuffer(record, f"<u{self.width}", self.n_ids, at)
-        at += self.n_ids * self.width
+    def __init__(self, record: bytes, at: int = 0):
+        self.low_bits, high, low, samples = PART.unpack_from(record, at)
+        at += PART.size
         self.high = np.frombuffer(record, np.uint8, high, at)
         self.low = np.frombuffer(record, np.uint8, low, at + high)
         self.samples = np.frombuffer(record, "<u4", samples, at + high + low)
-
-    def _low(self, i: int) -> int:
-        value = 0
-        for k in range(self.low_bits):
-            bit = i * self.low_bits + k
-            value |= (int(self.low[bit >> 3]) >> (bit & 7) & 1) << k
-        return value
+        self.end = at + high + low + 4 * samples
 
     def select(self, i: int) -> int:
-        """Where document i begins (i = n_docs: the end), from its sample on."""
+        """Number i, from its sample on."""
         bit, left = int(self.samples[i // SAMPLE]), i % SAMPLE
         byte = bit >> 3
         word = int(self.high[byte]) >> (bit & 7) << (bit & 7)
@@ -79,28 +68,75 @@ class Segment:
             left -= ones
             byte += 1
             word = int(self.high[byte])
-        for _ in range(left):
-            word &= word - 1
-        place = (byte << 3) + (word & -word).bit_length() - 1
-        return (place - i) << self.low_bits | self._low(i)
+        value = 0
+        for k in range(self.low_bits):
+            at = i * self.low_bits + k
+            value |= (int(self.low[at >> 3]) >> (at & 7) & 1) << k
+        return ((byte << 3) + int(PLACES[word, left]) - i) << self.low_bits | value
+
+    def selects(self, n: int) -> np.ndarray:
+        """The first n numbers, by the counts of ones of the bytes in front."""
+        i = np.arange(n)
+        upto = np.cumsum(ONES[self.high])
+        byte = np.searchsorted(upto, i, "right")
+        own = self.high[byte]
+        ones = (byte << 3) + PLACES[own, i - upto[byte] + ONES[own]]
+        lows = np.unpackbits(self.low, bitorder="little")[: n * self.low_bits].reshape(n, self.low_bits)
+        packed = np.zeros(n, np.uint64)
+        for k in range(self.low_bits):
+            packed |= lows[:, k].astype(np.uint64) << np.uint64(k)
+        return (ones - i).astype(np.uint64) << np.uint64(self.low_bits) | packed
+
+
+def ef_encode(values: np.ndarray) -> bytes:
+    """The code of a monotone sequence of unsigned numbers."""
+    n, universe = len(values), int(values[-1]) if len(values) else 0
+    low_bits = max(0, (universe // max(n, 1)).bit_length() - 1)
+    values = values.astype(np.uint64)
+    ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+    unary = np.zeros((universe >> low_bits) + n + 1, np.uint8)
+    unary[ones] = 1
+    lows = ((values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+    high, low, samples = np.packbits(unary, bitorder="little").tobytes(), np.packbits(lows.ravel(), bitorder="little").tobytes(), ones[::SAMPLE].astype("<u4")
+    return PART.pack(low_bits, len(high), len(low), len(samples)) + high + low + samples.tobytes()
+
+
+class Segment:
+    """A read record: boundaries and doc_ids by select, ids by slice."""
+
+    def __init__(self, record: bytes):
+        magic, self.width, _, self.n_docs, self.n_ids, self.nulls, self.first = HEAD.unpack_from(record)
+        if magic != MAGIC:
+            raise ValueError("not a token record")
+        self.ends = EliasFano(record, HEAD.size)
+        self.names = EliasFano(record, self.ends.end)
+        self.ids = np.frombuffer(record, f"<u{self.width}", self.n_ids, self.names.end)
 
     def bounds(self) -> np.ndarray:
         """All n_docs + 1 boundaries at once."""
-        n = self.n_docs + 1
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:n]
-        lows = np.unpackbits(self.low, bitorder="little")[: n * self.low_bits].reshape(n, self.low_bits)
-        return ((ones - np.arange(n)) << self.low_bits) + lows.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+        return self.ends.selects(self.n_docs + 1).astype(np.int64)
+
+    def doc_ids(self) -> list[int | None]:
+        known = self.names.selects(self.n_docs - self.nulls) + np.array([self.first]).view(np.uint64)
+        return [None] * self.nulls + known.view(np.int64).tolist()
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.select(i) : self.select(i + 1)]
+        return self.ids[self.ends.select(i) : self.ends.select(i + 1)]
 
+    def find(self, doc_id: int) -> range:
+        """The places of documents of an id."""
+        places = range(self.n_docs - self.nulls)
+        known = lambda k: self.names.select(k) + self.first
+        return range(self.nulls + bisect_left(places, doc_id, key=known), self.nulls + bisect_right(places, doc_id, key=known))
 
-def pack_segment(ids: list[bytes], width: int) -> bytes:
-    """The record of some documents' ids."""
+
+def pack_segment(names: list[int | None], ids: list[bytes], width: int) -> bytes:
+    """The record of some documents' ids. doc_ids ascend, nulls first."""
     ends = np.concatenate([[0], np.cumsum([len(x) // width for x in ids])])
-    total = int(ends[-1])
-    low_bits, high, low, samples = ef_encode(ends, total)
-    return HEAD.pack(MAGIC, width, low_bits, 0, len(ids), total, len(high), len(low), len(samples) // 4) + b"".join(ids) + high + low + samples
+    known = np.array([x for x in names if x is not None], np.int64)
+    first = int(known[0]) if len(known) else 0
+    apart = known.view(np.uint64) - np.array([first]).view(np.uint64)
+    return HEAD.pack(MAGIC, width, 0, len(ids), int(ends[-1]), len(names) - len(known), first) + ef_encode(ends) + ef_encode(apart) + b"".join(ids)
 
 
 def _segments(path: str, words: bool, end_id: int, most_ids: int, most_docs: int):
@@ -111,8 +147,9 @@ def _segments(path: str, words: bool, end_id: int, most_ids: int, most_docs: int
 
         def flush() -> pa.RecordBatch:
             nonlocal names, held, size, number
-            row = {"part": [part], "segment": [number], "n_docs": [len(held)], "n_ids": [size], "doc_ids": [names], "record": [pack_segment(held, enc.width)]}
-            out = pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("record", pa.binary())]))
+            known = [x for x in names if x is not None] or [None]
+            row = {"part": [part], "segment": [number], "n_docs": [len(held)], "n_ids": [size], "first_id": [known[0]], "last_id": [known[-1]], "record": [pack_segment(names, held, enc.width)]}
+            out = pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("record", pa.binary())]))
             names, held, size, number = [], [], 0, number + 1
             return out
 
@@ -155,9 +192,9 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
 def _documents(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4):
-            for part, number, doc_ids, record in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for part, number, record in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 seg = Segment(record)
-                bounds = seg.bounds()
+                bounds, doc_ids = seg.bounds(), seg.doc_ids()
                 wide = memoryview(seg.ids.astype("<u4")).cast("B")
                 cut = bounds.tolist()
                 n = len(doc_ids)
@@ -175,11 +212,24 @@ def _documents(with_ids: bool):
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32 and, if wanted, ids."""
     schema = "part int, segment int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    rows = spark.read.schema(SEGMENTS).parquet(path).select("part", "segment", "doc_ids", "record").mapInArrow(_documents(with_ids), schema)
+    rows = spark.read.schema(SEGMENTS).parquet(path).select("part", "segment", "record").mapInArrow(_documents(with_ids), schema)
     more = ["ids"] if with_ids else []
     return rows.join(read_segments(spark, path), ["part", "segment"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *more)
 
 
+def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of the documents of some doc_ids: records whose range holds none are not read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4):
+            found = [(name, seg.document(k).astype(np.int64)) for seg in map(Segment, batch.column(0).to_pylist()) for name in wanted for k in seg.find(name)]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([n for n, _ in found], pa.int64()), "ids": pa.array([x for _, x in found], pa.list_(pa.int64()))})
+
+    wanted = sorted(set(doc_ids))
+    near = reduce(Column.__or__, [F.lit(x).between(F.col("first_id"), F.col("last_id")) for x in wanted], F.lit(False))
+    return spark.read.schema(SEGMENTS).parquet(path).where(near).select("record").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 

@@ -47,12 +47,15 @@ def test_units_encode_as_the_library(libraries, encoders, text):
 @given(st.lists(st.integers(0, 60), min_size=1, max_size=700))
 @settings(max_examples=60, deadline=None)
 def test_elias_fano_boundaries(sizes):
-    record = token_files.pack_segment([np.full(n, k, "<u2").tobytes() for k, n in enumerate(sizes)], 2)
+    names = [None, None, *(3 * k - 100 if k % 3 else -(2**63) for k in range(len(sizes)))][: len(sizes)]
+    names.sort(key=lambda x: (x is not None, x))
+    record = token_files.pack_segment(names, [np.full(n, k, "<u2").tobytes() for k, n in enumerate(sizes)], 2)
     seg = token_files.Segment(record)
     ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-    assert seg.bounds().tolist() == ends and [seg.select(i) for i in range(len(ends))] == ends
+    assert seg.bounds().tolist() == ends and [seg.ends.select(i) for i in range(len(ends))] == ends
+    assert seg.doc_ids() == names and all(names.index(x) in seg.find(x) and names.count(x) == len(seg.find(x)) for x in set(names) - {None}) and not seg.find(10**9)
     assert all((seg.document(i) == i).all() and len(seg.document(i)) == n for i, n in enumerate(sizes))
-    bits = 8 * (len(seg.high) + len(seg.low))
+    bits = 8 * (len(seg.ends.high) + len(seg.ends.low))
     assert bits <= (2 + max(0, np.log2(max(1, sum(sizes)) / len(sizes)) + 1)) * (len(sizes) + 1) + 40
 
 
@@ -81,6 +84,13 @@ def test_token_files(spark, tmp_path, libraries, schema):
         at += r.n_tokens
 
 
+def test_fetched_documents(spark, tmp_path, libraries):
+    found = _written(spark, ROWS, tmp_path, libraries)
+    for asked in ([3, 9, 77], [2], []):
+        rows = token_files.fetch(spark, str(tmp_path / "t"), asked).collect()
+        assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == Counter((r.doc_id, tuple(r.ids)) for r in found if r.doc_id in asked)
+
+
 def test_token_files_of_nothing(spark, tmp_path, libraries):
     assert _written(spark, [], tmp_path, libraries) == []
 
