@@ -1,6 +1,9 @@
 """Language identification, quality, HTML extraction and the pipeline."""
 
+import math
 import random
+import tracemalloc
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -174,8 +177,80 @@ def test_style_tree_removes_repeated_notices_within_articles(spark):
     pages += [(k, "http://t.example/", "<main><h1>Same</h1><p>text</p></main>") for k in range(12, 20)]
     found = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in found} == {k: f"Title {k // 2}\nStory {k // 2}\nends" if k < 12 else "Same\ntext" for k in range(20)}
-    assert html_extract.Page("<div class='w-1/2'><p>x").blocks[0][0] == "/div.w-1|2/p"
-    assert html_extract.branches("/div/main.a/p/x", True) == ["/div/main.a/p", "/div/main.a/p/x"]
+
+
+def test_names_of_nodes():
+    page = html_extract.Page("<div id=x class='w-1/2'><main class=a><p>t<p>u</main></div><div id=comments>c</div><div>d</div>")
+    (node, *_), (again, *_), (marked, *_), (plain, *_) = page.blocks
+    assert node == again and len({node, marked, plain}) == 3 and marked in page.marked and plain not in page.marked
+    top = html_extract.child(html_extract.ROOT, "div.w-1/2")
+    main = html_extract.child(top, "main.a")
+    assert node == html_extract.child(main, "p") and page.roots == {main}
+    assert page.removed(frozenset([top, main, node]), True) == {node} and page.removed(frozenset([top]), False) == {top, main, node}
+
+
+def _importance(sources):
+    """Importance of each node of one host by the definition, from the tree of distinct pages."""
+    pages = list({str(sorted(f for f in html_extract.features_of(p) if f[0] not in p.marked)): html_extract.features_of(p) for p in map(html_extract.Page, sources)}.values())
+    kinds = defaultdict(lambda: defaultdict(Counter))
+    for page in pages:
+        for node, kind, digest in page:
+            kinds[node][kind][digest] += 1
+    out, parent = {}, {node: max(k[html_extract.PRESENCE]) for node, k in kinds.items()}
+    chain = {}
+    for node in kinds:
+        chain[node] = [node]
+        while chain[node][-1] != html_extract.ROOT:
+            chain[node].append(parent[chain[node][-1]])
+    for node, own in kinds.items():
+        m = sum(own[html_extract.PRESENCE].values())
+        entropies = []
+        for below, k in kinds.items():
+            if node in chain[below]:
+                pages_of = sum(k[html_extract.PRESENCE].values())
+                # a content of n pages has entropy log n over them, of log m at most
+                entropies += [math.log(n) / math.log(pages_of) if pages_of > 1 else 0.0 for n in k[html_extract.CONTENTS].values()]
+        looks = own[html_extract.PRESENTATION]
+        total = sum(looks.values())
+        style = -sum(n / total * math.log(n / total) for n in looks.values()) / math.log(m) if m > 1 and total > 1 else 0.0
+        content = 1 - (sum(entropies) / len(entropies) if entropies else 1.0)
+        out[node] = m, html_extract.DAMPING * content + (1 - html_extract.DAMPING) * min(1.0, style)
+    return out
+
+
+def test_importance_by_the_definition(spark):
+    draw = random.Random(5)
+    sources = []
+    for k in range(24):
+        parts = "".join(f"<p>{draw.choice(['same', 'other', f'own {k}'])}</p>" + draw.choice(["", "<ul><li>x<li>y</ul>", f"<div><div class=q>{k % 3}</div></div>"]) for _ in range(draw.randint(1, 4)))
+        sources.append(f"<nav><a>Home</a></nav><div class=w>{parts}<div class=cta>Get it</div></div><footer>{k % 2}</footer>")
+    sources += sources[:9]
+    found = html_extract.importance(spark.createDataFrame([("h", s) for s in sources], "host string, html string").repartition(3)).collect()
+    want = _importance(sources)
+    assert {r.node for r in found} == set(want) and len(found) == len(want)
+    for r in found:
+        assert r.m == want[r.node][0] and abs(r.importance - want[r.node][1]) < 1e-9
+
+
+def test_deep_nesting_takes_memory_in_proportion(spark):
+    tracemalloc.start()
+    page = html_extract.Page("<div>" * 100_000 + "deep" + "</div></p>" * 100_000)
+    features = html_extract.features_of(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert page.text() == "deep" and len(features) > 100_000 and peak < 500 << 20
+    pages = [(k, "<div>" * 300 + f"<p>Story {k}</p><p class=x>all</p>") for k in range(6)]
+    found = html_extract.extract(spark.createDataFrame([(k, None, h) for k, h in pages], "page_id long, url string, html string")).collect()
+    assert {r.text for r in found} == {f"Story {k}" for k in range(6)}
+
+
+def test_importance_rates_menus_and_footers_too(spark):
+    """The tree sees what the marks name: a repeated footer has no importance, comments of readers have much."""
+    pages = [f"<nav><a>Home</a></nav><article><p>Story {k}</p></article><div class=comments><p>I say {k}</p></div><footer>Same</footer>" for k in range(8)]
+    page = html_extract.Page(pages[0])
+    rated = {r.node: r.importance for r in html_extract.importance(spark.createDataFrame([("h", s) for s in pages], "host string, html string")).collect()}
+    menu, story, comment, footer = (rated[b.node] for b in page.blocks)
+    assert menu < 0.01 and footer < 0.01 and story > 0.85 and comment > 0.85 and page.text() == "Story 0"
 
 
 @needs_data
