@@ -60,8 +60,41 @@ def plain(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def column(df: DataFrame, name: str) -> str | None:
+    """Of columns with numbers for names (`numbered`), the one that was the first of a name."""
+    exact = [k for k, c in enumerate(df.columns) if c == name] or [k for k, c in enumerate(df.columns) if c.lower() == name.lower()]
+    return f"_{exact[0]}" if exact else None
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns with numbers for names: whatever they are called, they clash with none of an operator's own."""
+    return df.toDF(*[f"_{k}" for k in range(len(df.columns))])
+
+
+def beside(df: DataFrame, keep: tuple[str, ...], text: str, run, found: list[tuple[str, str]]) -> DataFrame:
+    """The kept columns and what `run` makes of batches of them with the text behind: its last columns take the text's place."""
+    rows = numbered(df)
+    rows = rows.select(*[F.col(column(df, c)).alias(f"_{k}") for k, c in enumerate(keep)], F.col(column(df, text)).cast("string").alias("text"))
+    schema = ", ".join([*(f"{name} {kind}" for name, kind in rows.dtypes[:-1]), *(f"found{k} {kind}" for k, (_, kind) in enumerate(found))])
+    return rows.mapInArrow(run, schema).toDF(*keep, *[name for name, _ in found])
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Smaller Arrow batches, which bound what is held as Python objects at once."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def sample_edge(hashes: DataFrame, rows: int, sample: int) -> int:
+    """A bound of `h` that `sample` distinct hashes at least do not exceed (all, if there are no more), and few times as many.
+
+    The share of the rows' count is enough unless many rows are equal; then the bound widens eightfold until it is.
+    """
+    share = 1.3 * sample / max(rows, 1) + 1e-12
+    while share < 1:
+        edge = int(-(2**63) + share * (2**64 - 1))
+        if hashes.where(F.col("h") <= F.lit(edge)).select("h").distinct().count() >= sample:
+            return edge
+        share *= 8
+    return 2**63 - 1

@@ -6,8 +6,9 @@ the product of their counts. Nyström landmarks, some documents of each language
 training set; one-versus-rest kernel ridge regression is solved in their span. Scoring is two
 matrix products a batch: presence x landmarks, then kernel values x coefficients.
 
-Fitted on a bounded sample: at most `per_language` labelled rows of each language (those with the
-least hash of doc_id), of which `landmarks` are landmarks. Prediction reads every whole text.
+Fitted on a bounded sample: at most `per_language` different labelled rows of each language (those with the
+least hash of doc_id and text; equal rows count once) and at most `most` in all, of which `landmarks` a language
+are landmarks. Prediction reads every whole text.
 
 Defined cases: null text or text without a letter is `und` with score 0, as is everything if no
 row can be learnt from; a null doc_id is held out; rows without lang teach nothing; ties go to
@@ -27,7 +28,7 @@ from pyspark.sql.window import Window
 
 from gramweave.operators.spread import spread
 
-from ._base import bounded, slices, stash
+from ._base import beside, bounded, drop_stash, slices, stash
 
 CELLS = 1 << 18
 LONGEST = 4
@@ -127,29 +128,40 @@ def _sample_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), batch.column(1).take(pa.array(kept, pa.int64())), pa.array([found[k].astype(np.int32).tobytes() for k in kept], pa.binary())], names=["h", "lang", "cells"])
 
 
-def train(docs: DataFrame, per_language: int = 300, landmarks: int = 24) -> Model | None:
+def train(docs: DataFrame, per_language: int = 300, landmarks: int = 24, most: int = 20_000) -> Model | None:
     """Learn from text and lang of rows that are not held out."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text")
-    labelled = named.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    # about four times as many rows of each language as are wanted have a hash below its edge, so few reach a window
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    edge = F.when(F.col("n") <= 8 * per_language, F.lit(2**63 - 1)).otherwise((F.lit(4.0 * per_language) / F.col("n") * 2.0**64 - 2.0**63).cast("long"))
-    edges = stash(counts.select(F.col("lang").alias("_lang"), edge.alias("_edge")), "edges")
-    low = labelled.select("lang", "h", "doc_id").join(bounded(edges, 64), F.col("lang") == F.col("_lang")).where("h <= _edge")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    # bounded: per_language rows of each language, without their texts
-    picked = low.select("lang", "h", "doc_id").withColumn("nth", rank).where(F.col("nth") <= per_language).select("lang", "h", "doc_id").distinct()
-    sample = labelled.join(F.broadcast(picked), ["lang", "h", "doc_id"]).select("h", "lang", "text").mapInArrow(_sample_cells, "h long, lang string, cells binary")
+    doc_id = F.col("doc_id").cast("long")
+    labelled = docs.where(F.col("lang").isNotNull() & doc_id.isNotNull() & ~held_out(doc_id)).select(F.col("lang").cast("string").alias("lang"), F.xxhash64(doc_id, F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+    counts = stash(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    each = min(per_language, max(1, most // max(1, counts.count())))
+    # about four times as many rows of each language as are wanted have a hash below its edge; where many rows
+    # are equal the edge widens eightfold until enough different ones have
+    shares = counts.select(F.col("lang").alias("of"), (F.lit(4.0 * each) / F.col("n")).alias("share"))
+    while True:
+        edge = F.when(F.col("share") >= 0.5, F.lit(2**63 - 1)).otherwise((F.col("share") * 2.0**64 - 2.0**63).cast("long"))
+        edges = bounded(shares.withColumn("edge", edge), 64)
+        low = stash(labelled.select("lang", "h").join(edges, F.col("lang") == F.col("of")).where("h <= edge").select("lang", "h").distinct(), "low")
+        tally = bounded(low.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), 64)
+        short = (F.coalesce("n", F.lit(0)) < each) & (F.col("share") < 0.5)
+        found = stash(shares.join(tally, F.col("of") == F.col("lang"), "left").select("of", "share", short.alias("short")), "shares")
+        if found.where("short").isEmpty():
+            break
+        drop_stash(low)
+        shares = found.select("of", F.when(F.col("short"), F.col("share") * 8).otherwise(F.col("share")).alias("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    # bounded by `most`: hashes without their texts
+    picked = low.select("lang", "h", rank.alias("nth")).where(F.col("nth") <= each).select("lang", "h")
+    sample = labelled.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("h", "lang", "text").mapInArrow(_sample_cells, "h long, lang string, cells binary")
     rows = sorted((r.lang, r.h, bytes(r.cells)) for r in sample.collect())
     return fit([(lang, np.frombuffer(cells, np.int32)) for lang, _, cells in rows], landmarks)
 
 
-def _predict(model: Model | None, at: int):
+def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for batch in slices(batches, 128):
             n = batch.num_rows
-            found = [grams.cells(t) for t in batch.column(at).to_pylist()] if model else [None] * n
+            found = [grams.cells(t) for t in batch.column(batch.num_columns - 1).to_pylist()] if model else [None] * n
             names, score = [UNKNOWN] * n, [0.0] * n
             if kept := [k for k, cells in enumerate(found) if cells is not None]:
                 values = model.scores([found[k] for k in kept])
@@ -157,16 +169,14 @@ def _predict(model: Model | None, at: int):
                 shares /= shares.sum(1, keepdims=True)
                 for k, best, share in zip(kept, values.argmax(1).tolist(), shares.max(1).tolist()):
                     names[k], score[k] = model.languages[best], round(share, 6)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "name", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns of every row, lang_pred and score."""
-    rows = docs.select(*keep, *[F.col(text).cast("string").alias("_text")] * (text not in keep))
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
-    return rows.mapInArrow(_predict(model, rows.columns.index(text if text in keep else "_text")), f"{schema}, lang_pred string, score double").drop("_text")
+def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The kept columns of every row, then the predicted language and its score; kept columns may have any names."""
+    return beside(docs, keep, text, _predict(model), [(into[0], "string"), (into[1], "double")])
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

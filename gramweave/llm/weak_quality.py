@@ -5,8 +5,8 @@ occurs (counted over all documents; there are 3 ** labellers patterns at most) i
 expectation-maximisation needs to estimate the share of bad documents and, for each labeller, how it
 votes on good and on bad ones. The posterior of a document's pattern is its soft label. A linear
 scorer over hashed features (n-grams of character classes, and buckets of repetition statistics)
-learns those posteriors by logistic regression, on at most `sample` documents (those with the least
-hash of doc_id), and scores every whole text; documents below `least` are rejected.
+learns those posteriors by logistic regression, on at most `sample` different documents (those with the least
+hash of doc_id and text; equal rows count once), and scores every whole text; documents below `least` are rejected.
 
 Defined cases: null text, or text without a visible character, has score 0 and is rejected; text
 too short for the labellers gets no vote and the scorer decides; rows of equal doc_id are
@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 
 from gramweave.operators.spread import spread
 
-from ._base import slices
+from ._base import beside, sample_edge, slices
 
 CELLS = 1 << 13
 LONGEST = 6
 BAD, GOOD, NONE = 0, 1, 2
 #: Documents of fewer words get no vote from labellers that count words.
 FEW = 8
+#: Words within which the share of distinct ones is taken.
+WINDOW = 1000
 
 _classes: list[np.ndarray] = []
 
@@ -73,7 +75,8 @@ class Reader:
         self.kinds = classes()[points]
         n = len(self.words)
         self.repeats = sum(map(eq, self.words, self.words[1:])) / (n - 1) if n > 1 else 0.0
-        self.distinct = len(set(self.words)) / n if n else 1.0
+        # by windows, as the share falls with the length of any text
+        self.distinct = sum(len(set(self.words[k : k + WINDOW])) for k in range(0, n, WINDOW)) / n if n else 1.0
 
     def votes(self) -> list[int]:
         kinds, n = self.kinds, len(self.words)
@@ -91,7 +94,7 @@ class Reader:
             _bad(self.text.count(" | ") / n, 0.08) if n > 2 else NONE,
             _bad(len(BARE.findall(self.text)) / n, 0.1) if n > 2 else NONE,
             _bad(self.repeats, 0.2) if long else NONE,
-            _bad(1 - self.distinct, 0.65) if 40 <= n <= 2000 else NONE,
+            _bad(1 - self.distinct, 0.65) if n >= 40 else NONE,
             _bad(len(self.text) / max(1, len(zlib.compress(self.text.encode("utf-8", "surrogatepass"), 1))), 5) if n >= 40 else NONE,
             BAD if proper < 0.6 else GOOD if proper > 0.9 else NONE,
         ]
@@ -224,35 +227,32 @@ def train(docs: DataFrame, sample: int = 4000) -> tuple[Labels, Scorer] | None:
     tally.sort()
     patterns = np.array([[int(c) for c in r.pattern] for r in tally])
     labels = expect_maximise(patterns, np.array([r["count"] for r in tally], np.float64))
-    # a threshold of the hash that about `sample` rows pass, then exactly the least `sample` of them
-    share = min(1.0, 1.3 * sample / sum(r["count"] for r in tally) + 1e-12)
-    edge = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
-    rows = visible.where(F.col("h") <= F.lit(edge)).select("h", "text").mapInArrow(_features, "pattern string, h long, cells binary, weights binary").orderBy("h").limit(sample).collect()
-    if not rows:
-        return None
+    edge = sample_edge(visible, sum(r["count"] for r in tally), sample)
+    # one row a hash, combined before the shuffle; then exactly the least `sample` of them
+    few = visible.where(F.col("h") <= F.lit(edge)).groupBy("h").agg(F.first("text").alias("text")).select("h", "text")
+    rows = few.mapInArrow(_features, "pattern string, h long, cells binary, weights binary").orderBy("h").limit(sample).collect()
     target = labels.posterior(np.array([[int(c) for c in r.pattern] for r in rows]))
     return labels, fit_scorer([(np.frombuffer(r.cells, np.int32), np.frombuffer(r.weights, np.float32)) for r in rows], target)
 
 
-def _score(models: tuple[Labels, Scorer] | None, at: int):
+def _score(models: tuple[Labels, Scorer] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             score = []
-            for text in batch.column(at).to_pylist():
+            for text in batch.column(batch.num_columns - 1).to_pylist():
                 if text is None or not text.strip():
                     score.append(0.0)
                 else:
                     score.append(1.0 if models is None else round(models[1].score(*Reader(text).cells()), 6))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "_score"])
+            kept = batch.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
     return run
 
 
-def classify(docs: DataFrame, models: tuple[Labels, Scorer] | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns of every row and `_score`, the probability of a good document."""
-    rows = docs.select(*keep, *[F.col(text).cast("string").alias("_text")] * (text not in keep))
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
-    return rows.mapInArrow(_score(models, rows.columns.index(text if text in keep else "_text")), f"{schema}, _score double").drop("_text")
+def classify(docs: DataFrame, models: tuple[Labels, Scorer] | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", into: str = "_score") -> DataFrame:
+    """The kept columns of every row and `into`, the probability of a good document; kept columns may have any names."""
+    return beside(docs, keep, text, _score(models), [(into, "double")])
 
 
 #: Documents of a lower score are rejected.
@@ -261,5 +261,5 @@ LEAST = 0.35
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    found = classify(docs, train(docs))
-    return found.select("doc_id", F.col("_score").alias("score"), (F.col("_score") >= LEAST).alias("keep"))
+    found = classify(docs, train(docs), into="score")
+    return found.select("doc_id", "score", (F.col("score") >= LEAST).alias("keep"))

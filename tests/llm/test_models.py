@@ -74,6 +74,94 @@ def test_expectation_maximisation():
     assert rate[:4].min() > rate[4]  # the careless labeller is found
 
 
+ODD = [
+    ("three rows", [(k % 3, ["The cat sat on the mat and then it slept.", "Und der Hund lief in den Wald ein.", "xq## !! @@ $$ zz ## !! && %% ~~ == xq ## !!"][k % 3], ["en", "de", "en"][k % 3]) for k in range(6000)]),
+    ("one doc_id", [(9155, f"The cat {k} sat on the mat number {k}." if k % 2 else f"Und der Hund {k} lief in den Wald.", "en" if k % 2 else "de") for k in range(6000)]),
+    ("no doc_id", [(None, f"The cat {k} sat.", "en") for k in range(600)]),
+]
+
+
+@pytest.mark.parametrize("name, rows", ODD)
+def test_samples_of_repeated_rows(spark, monkeypatch, name, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    sizes = []
+    fit = weak_quality.fit_scorer
+    monkeypatch.setattr(weak_quality, "fit_scorer", lambda found, target, **more: (sizes.append(len(found)), fit(found, target, **more))[1])
+    quality = weak_quality.train(docs, sample=50)
+    assert quality is not None and sizes == [3 if name == "three rows" else 50]
+    if name == "three rows":
+        kept = {r.doc_id: r._score for r in weak_quality.classify(docs, quality).collect()}
+        assert kept[2] < weak_quality.LEAST < min(kept[0], kept[1])
+    learnt = []
+    learn = language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda found, *more: (learnt.append(Counter(lang for lang, _ in found)), learn(found, *more))[1])
+    model = language_id.train(docs, per_language=10)
+    if name == "no doc_id":
+        assert model is None  # they are held out
+    else:
+        assert model.languages == ["de", "en"] and max(learnt[0].values()) <= 10
+        assert sum(learnt[0].values()) <= 3 if name == "three rows" else learnt[0] == {"de": 10, "en": 10}
+
+
+def test_kept_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_score", "score", "lang_pred", "_text", "found0", "_0", "h", "Text"]
+    docs = spark.createDataFrame([(1, "The cat.", *"abcdefgh")]).toDF(*names)
+    scored = weak_quality.classify(docs, None, tuple(names[:9]))
+    assert scored.columns == [*names[:9], "_score"] and [tuple(r) for r in scored.collect()] == [(1, "The cat.", *"abcdefg", 1.0)]
+    found = language_id.identify(docs, None, tuple(names[:9]))
+    assert [tuple(r) for r in found.collect()] == [(1, "The cat.", *"abcdefg", "und", 0.0)]
+
+
+def test_expectation_maximisation_by_rows():
+    """One step on patterns with counts is the step on single rows."""
+    rng = np.random.default_rng(3)
+    rows = rng.integers(0, 3, (300, 4))
+    patterns, counts = np.unique(rows, axis=0, return_counts=True)
+    for rounds in (1, 7):
+        a = weak_quality.expect_maximise(patterns, counts.astype(float), rounds)
+        good, rate = 0.8, np.zeros((4, 2, 3))
+        rate[:, 0], rate[:, 1] = [0.4, 0.2, 0.4], [0.02, 0.58, 0.4]
+        for _ in range(rounds):
+            weight = []
+            for row in rows:
+                p = [(1 - good), good]
+                for k, v in enumerate(row):
+                    p = [p[c] * rate[k, c, v] for c in (0, 1)]
+                weight.append([x / sum(p) for x in p])
+            rate = np.full((4, 2, 3), 0.5)
+            for row, w in zip(rows, weight):
+                for k, v in enumerate(row):
+                    rate[k, :, v] += w
+            rate /= rate.sum(2, keepdims=True)
+            for k in range(4):
+                over = max(0, rate[k, 1, 0] - rate[k, 0, 0] / 10)
+                rate[k, 1, 0] -= over
+                rate[k, 1, 2] += over
+            good = min(0.98, max(0.02, sum(w[1] for w in weight) / len(rows)))
+        assert abs(a.good - good) < 1e-9 and np.allclose(a.votes, rate)
+
+
+def test_kernel_and_ridge_by_the_definition():
+    """Kernel values from sets of n-grams, and the ridge solution in the landmarks' span by least squares."""
+    rows = [(lang, text) for _, text, lang in _documents(40, 3)]
+    grams = language_id.Grams()
+    cells = [(lang, grams.cells(text)) for lang, text in rows]
+    model = language_id.fit(sorted(cells, key=lambda r: (r[0], r[1].tobytes())), landmarks=4)
+    ordered = sorted(cells, key=lambda r: (r[0], r[1].tobytes()))
+    marks = []
+    for lang in model.languages:
+        own = sorted((c for name, c in ordered if name == lang), key=len)
+        marks += [own[k] for k in np.unique(np.linspace(len(own) // 3, len(own) - 1, 4).astype(int))]
+    kernel = lambda a, b: len(set(a.tolist()) & set(b.tolist())) / (len(a) * len(b)) ** 0.5
+    k = np.array([[kernel(c, m) for m in marks] for _, c in ordered])
+    inner = np.array([[kernel(a, m) for m in marks] for a in marks])
+    want = np.array([[1.0 if name == lang else -1.0 for lang in model.languages] for name, _ in ordered])
+    # min |K a - y|^2 + ridge a' W a, as stacked least squares
+    root = np.linalg.cholesky(1e-2 * inner + 1e-6 * np.eye(len(marks))).T
+    solved = np.linalg.lstsq(np.vstack([k, root]), np.vstack([want, np.zeros_like(root[:, : want.shape[1]])]), rcond=None)[0]
+    assert np.allclose(model.scores([c for _, c in ordered]), k @ solved, atol=1e-3)
+
+
 @needs_data
 def test_quality_against_labels(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
