@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,9 +49,48 @@ def test_odd_vectors(spark):
     found = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.neighbours(vectors, F.col("vec_id") % 100 == 0).collect())
     assert found == [(0, 1, 1), (0, 2, 2), (0, 3, 100), (0, 4, 2), (100, 1, 0), (100, 2, 1), (100, 3, 2), (100, 4, 2)]
     assert ann.neighbours(vectors.limit(0), F.lit(True)).collect() == []
+    # lengths are tables of their own, whatever the first row has
+    mixed = spark.createDataFrame([(0, [1.0]), (100, [3.0]), *((k, [float(k), 1.0]) for k in range(200, 260)), (300, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    found = {(r.query_id, r["rank"]): r.vec_id for r in ann.neighbours(mixed, F.col("vec_id") % 100 == 0).collect()}
+    assert found[0, 1] == 100 and found[100, 1] == 0 and [found[200, k] for k in (1, 2, 3)] == [201, 202, 203] and (300, 1) not in found and len(found) == 12
     assert ann.neighbours(vectors.where("vec_id = 0"), F.lit(True)).collect() == []
 
 
+@pytest.mark.parametrize("sample", [400, 20_000])
+def test_recall_on_embeddings(spark, sample):
+    """A small sample gives fewer centroids than the rows' root, so lists are pairs of centroids."""
+    path = Path("/root/testdata/sf0.01/embeddings.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    vectors = spark.read.parquet(str(path))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.v for r in rows])
+    found = {}
+    for r in ann.neighbours(vectors, F.col("vec_id") % 100 == 0, sample=sample).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(found[int(ids[q])] & {i for i, _ in _brute(ids, x, q, 10)}) for q in np.flatnonzero(ids % 100 == 0))
+    recall = hits / (10 * int((ids % 100 == 0).sum()))
+    print(f"recall with a sample of {sample}: {recall:.3f}")
+    assert recall >= 0.95
+
+
+def test_lists_follow_the_rows():
+    x = np.random.default_rng(1).normal(size=(800, 6))
+    few, many = ann.fit(x, 800, k=5), ann.fit(x, 10**6, k=5)
+    assert len(few.coarse) == 28 and len(many.coarse) == 1000 and len(many.base) == 100
+    lists = many.lists(x)
+    assert (np.abs(many.decoded(lists, many.codes(x, lists)) - x).max(1) < 2).mean() > 0.9
+    table = many.tables(x[0], lists[:50])
+    codes = many.codes(x[:50], lists[:50])
+    summed = sum(table[np.arange(50), s, codes[:, s]] for s in range(table.shape[1]))
+    assert np.allclose(summed, ((many.decoded(lists[:50], codes) - x[0]) ** 2).sum(1))
+
+
+def test_shards_hold_their_rows():
+    first, parts = ann.shards(np.array([5, 3, 2, 40, 1, 9]), 10)
+    assert parts.tolist() == [1, 1, 1, 4, 1, 1] and first.tolist() == [0, 0, 0, 1, 5, 5]
+
+
 # near duplicates
 
 
