@@ -13,20 +13,25 @@ from dataclasses import dataclass, field
 import numpy as np
 
 SENTINEL = -1
+#: Characters beyond which factors come from the suffix automaton: its time does not grow with the square.
+LONG = 30_000
 
 
 def factorize(text) -> list[tuple[int, int]]:
     """LZ factors as inclusive ranges: the leftmost earlier copy, wholly in front, of the longest
-    prefix of the rest that has one, else the position itself. Grows a substring search."""
+    prefix of the rest that has one, else the position itself. A copy is followed as far as it agrees;
+    then one longer is searched for, from there on."""
     out, i, n = [], 0, len(text)
     while i < n:
-        begin, size, at = i, 1, 0
-        grown = 1
-        while i + grown <= n:
-            at = text.find(text[i : i + grown], at, i)
+        begin, size, at = i, 0, 0
+        while i + size < n:
+            at = text.find(text[i : i + size + 1], at, i)
             if at < 0:
                 break
-            begin, size, grown = at, grown, grown + 1
+            begin, size, room = at, size + 1, min(i - at, n - i)
+            while size < room and text[at + size] == text[i + size]:
+                size += 1
+        size = max(size, 1)
         out.append((begin, begin + size - 1))
         i += size
     return out
@@ -219,7 +224,9 @@ def _halved(text, shared: bool) -> Grammar:
 def compressed(text, factors: list[tuple[int, int]] | None = None) -> Grammar:
     """A height-balanced grammar from the LZ factors: copies are harvested from what is spelt already and joined."""
     g, spelt = Grammar(), 0
-    for begin, end in factorize(text) if factors is None else factors:
+    if factors is None:
+        factors = factorize(text) if len(text) <= LONG else factorize_automaton(text)
+    for begin, end in factors:
         if begin == spelt:
             piece, size = g.terminal(text[begin]), 1
         else:
@@ -253,7 +260,8 @@ def blow_up(g: Grammar, sentinel=SENTINEL) -> Grammar:
 
 
 def block_length(n: int, productions: int, xfactor: float = 1.0, ffactor: float = 1.0, least: int = 1) -> int:
-    """Block size from compressibility: f = max(2, ff * N / n), x = max(f / sqrt(log2 f), min(5, N)), then min(floor(x * xf), N)."""
+    """Block size from compressibility (a fixed formula): f = max(2, ff * N / n), x = max(f / sqrt(log2 f), min(5, N)),
+    then min(floor(x * xf), N). The direct route knows no least size: 0 there."""
     if not n:
         return least
     f = max(2.0, ffactor * n / max(1, productions))
@@ -263,31 +271,37 @@ def block_length(n: int, productions: int, xfactor: float = 1.0, ffactor: float
 
 def blocks(g: Grammar, x: int) -> list[tuple[str, tuple[int, ...]]]:
     """A cover by blocks (kind, nodes in order): `key` is a node of x..2x-1 symbols whose children
-    are shorter than x; what lies between keys is gathered to `gap` blocks of fewer than 2x."""
+    are shorter than x. Between two keys lie the right children on the way up from the first one (`right`) and
+    then the left children on the way down to the second one (`left`); such blocks have fewer than 2x symbols.
+    A text shorter than x is one `left` block."""
     if x < 1:
         raise ValueError("blocks have one symbol at least")
     if g.root is None:
         return []
     out: list[tuple[str, tuple[int, ...]]] = []
-    gap: list[int] = []
+    held: list[int] = []
+    kind, size = "left", 0
 
     def close() -> None:
-        if gap:
-            out.append(("gap", tuple(gap)))
-            gap.clear()
+        nonlocal size
+        if held:
+            out.append((kind, tuple(held)))
+            held.clear()
+            size = 0
 
-    todo = [g.root]
+    todo = [(g.root, "left")]
     while todo:
-        node = todo.pop()
+        node, side = todo.pop()
         if g.size[node] < x:
-            if gap and sum(g.size[k] for k in gap) + g.size[node] >= 2 * x:
+            if side != kind or size + g.size[node] >= 2 * x:
                 close()
-            gap.append(node)
+            kind, size = side, size + g.size[node]
+            held.append(node)
         elif g.left[node] < 0 or max(g.size[g.left[node]], g.size[g.right[node]]) < x:
             close()
             out.append(("key", (node,)))
         else:
-            todo += [g.right[node], g.left[node]]
+            todo += [(g.right[node], "right"), (g.left[node], "left")]
     close()
     return out
 

@@ -8,7 +8,6 @@ the unit-Monge product. The plain distance has dense (min,+) tables in the same
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,9 +15,13 @@ import numpy as np
 from gramweave.functions.grammar import Grammar, factorize
 
 FAR = np.int64(1) << 40
-SMALL = 24
-#: Cells up to which a table is built by halving rather than along grammars.
-HALVED = 1 << 14
+SMALL = 16
+#: Products of one depth up to which their staircases are walked one by one.
+STEPPED = 128
+#: Symbols of both strings up to which a product with H goes through H itself.
+DENSE = 48
+#: Cells up to which a table is combed cell by cell rather than put together from parts.
+COMBED = 1 << 24
 
 
 # dense algebra
@@ -81,59 +84,132 @@ def multiply(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
     The inner index is halved. Each half is a smaller product; of the two, the minimum takes the
     lower half's on one side of a staircase and the upper half's on the other, and the points that
-    neither side keeps go on the stairs, lowest row with highest column.
+    neither side keeps go on the stairs, lowest row with highest column. All products of one depth are
+    one pass: they lie side by side in whole arrays, and their staircases are walked in step.
     """
     n = len(p)
-    if n <= SMALL:
-        found = density(min_plus(distribution(unfolded(p)), distribution(unfolded(q))))
-        return found.argmax(1) if n else p.copy()
-    half = n // 2
-    low = p < half
-    halves = []
-    for rows, inner in ((np.flatnonzero(low), q[:half]), (np.flatnonzero(~low), q[half:])):
-        columns = np.sort(inner)
-        part = multiply(p[rows] - (0 if len(halves) == 0 else half), np.searchsorted(columns, inner))
-        halves.append((rows, columns[part]))
-    (rows_low, cols_low), (rows_high, cols_high) = halves
-    column_of = np.empty(n, np.int64)
-    column_of[rows_low], column_of[rows_high] = cols_low, cols_high
-    columns, row_of, from_low = column_of.tolist(), inverse(column_of).tolist(), low.tolist()
+    if n <= 1:
+        return p.copy()
+    p, q, starts = np.asarray(p, np.int64), np.asarray(q, np.int64), np.array([0, n])
+    levels = []
+    while np.diff(starts).max() > SMALL:
+        sizes = np.diff(starts)
+        half = sizes // 2
+        base = np.repeat(starts[:-1], sizes)
+        low = p < np.repeat(half, sizes)
+        column = base + q
+        row_of = np.empty(n, np.int64)
+        row_of[column] = np.arange(n)
+        inner_low = (np.arange(n) - base < np.repeat(half, sizes))[row_of]  # by column: whether its inner index is in the lower half
+        new_starts = np.empty(2 * len(sizes) + 1, np.int64)
+        new_starts[::2], new_starts[1::2] = starts, starts[:-1] + half
+        to = []  # where rows and columns go: lower halves first, each in order
+        for flag in (low, inner_low):
+            before = np.cumsum(flag) - flag
+            before = before - np.repeat(before[np.minimum(starts[:-1], n - 1)], sizes)
+            at = np.arange(n) - base
+            to.append(base + np.where(flag, before, np.repeat(half, sizes) + at - before))
+        levels.append((starts, low, to))
+        moved = np.empty(n, np.int64)
+        moved[to[0]] = np.where(low, p, p - np.repeat(half, sizes))
+        fresh = np.repeat(new_starts[:-1], np.diff(new_starts))
+        p, q, starts = moved, to[1][column] - fresh, new_starts
+    out = _small_products(p, q, starts) + np.repeat(starts[:-1], np.diff(starts))
+    for starts, low, (rows, columns) in reversed(levels):
+        back = np.empty(n, np.int64)
+        back[columns] = np.arange(n)
+        out = _combined(back[out][rows], low, starts)
+    return out
+
+
+def _small_products(p: np.ndarray, q: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Products by the definition, those of equal size at once."""
+    out, sizes = np.empty(len(p), np.int64), np.diff(starts)
+    for n in np.unique(sizes[sizes > 0]):
+        own = starts[:-1][sizes == n]
+        for some in np.array_split(own, max(1, len(own) * (n + 1) ** 2 >> 21)):
+            at = some[:, None] + np.arange(n)
+            sums = []
+            for perm in (p[at], q[at]):
+                s = np.zeros((len(some), n + 1, n + 1), np.int16)
+                s[:, :-1, 1:] = perm[:, :, None] < np.arange(1, n + 1)
+                sums.append(s[:, ::-1].cumsum(1, dtype=np.int16)[:, ::-1])
+            least = sums[0][:, :, :1] + sums[1][:, :1, :]
+            for j in range(1, n + 1):
+                np.minimum(least, sums[0][:, :, j, None] + sums[1][:, None, j], out=least)
+            found = least[:, :-1, 1:] - least[:, :-1, :-1] - least[:, 1:, 1:] + least[:, 1:, :-1]
+            out[at] = found.argmax(2)
+    return out
+
+
+def _combined(column_of: np.ndarray, low: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Products from both halves' points: `column_of` of each row; low: whether the lower half has it."""
+    n = len(low)
+    row_of = np.empty(n, np.int64)
+    row_of[column_of] = np.arange(n)
+    stairs = _stairs if len(starts) <= STEPPED else _stairs_in_step
     # a point stays if its half rules at all four corners of its cell: at the last corner for the lower half, the first for the upper
-    ruled = np.array(_stairs(columns, row_of, from_low, 0))
-    lost = np.array(_stairs(columns, row_of, from_low, -1))
-    kept = np.where(low, column_of + 1 <= ruled[1:], column_of > lost[:-1])
+    ruled = stairs(column_of, row_of, low, starts, 0)
+    lost = stairs(column_of, row_of, low, starts, -1)
+    at = np.arange(n) + np.repeat(np.arange(len(starts) - 1), np.diff(starts))  # a product of n rows has n + 1 stairs
+    kept = np.where(low, column_of + 1 <= ruled[at + 1], column_of > lost[at])
     taken = np.zeros(n, bool)
     taken[column_of[kept]] = True
+    # left-over rows and columns of one product meet in opposite order
+    rows, columns = np.flatnonzero(~kept), np.flatnonzero(~taken)
+    product = np.searchsorted(starts, columns, "right")
     out = column_of.copy()
-    out[~kept] = np.flatnonzero(~taken)[::-1]
+    out[rows] = columns[np.lexsort((-columns, product))]
     return out
 
 
-def _stairs(columns: list[int], row_of: list[int], from_low: list[bool], most: int) -> list[int]:
-    """For each i in 0..n the last k (-1: none) at which the lower half exceeds the upper by `most` at most.
+def _stairs(columns: np.ndarray, rows: np.ndarray, low: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """For each i in 0..n the last k (-1: none) at which the lower half exceeds the upper by `most` at most; products one by one.
 
     The excess at (i, k) is the number of upper points in rows before i and columns before k, less the
     lower points in rows from i and columns from k on; it grows in i and in k.
     """
-    n = len(columns)
-    out, k, excess = [0] * (n + 1), -1, 0
-    for i in range(n, -1, -1):
-        if i < n:
-            if k < 0:
-                excess -= from_low[i]
-            elif from_low[i]:
-                excess -= columns[i] >= k
-            else:
-                excess -= columns[i] < k
-        if k < 0 and excess <= most:
-            k = 0
-        while 0 <= k < n:
-            row = row_of[k]
-            more = excess + (row >= i if from_low[row] else row < i)
-            if more > most:
-                break
-            excess, k = more, k + 1
-        out[i] = k
+    column_of, row_of, from_low, found = columns.tolist(), rows.tolist(), low.tolist(), []
+    for first, last in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        out, k, excess, some = [0] * (last - first + 1), first, 0, most >= 0
+        for i in range(last, first - 1, -1):
+            if i < last:
+                excess -= column_of[i] >= k if from_low[i] else column_of[i] < k
+                some = some or excess <= most
+            while some and k < last:
+                row = row_of[k]
+                more = excess + (row >= i if from_low[row] else row < i)
+                if more > most:
+                    break
+                excess, k = more, k + 1
+            out[i - first] = k if some else first - 1
+        found.append(np.array(out))
+    return np.concatenate(found)
+
+
+def _stairs_in_step(columns: np.ndarray, rows: np.ndarray, low: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """The same for many products at once, each of which goes one step to the right or up in turn."""
+    n, products = len(low), len(starts) - 1
+    first, last = starts[:-1], starts[1:]
+    out = np.empty(n + products, np.int64)
+    row_low = low[rows]  # by column
+    i, k, excess = last.copy(), first.copy(), np.zeros(products, np.int64)
+    shift = np.arange(products)
+    live = shift
+    while len(live):
+        a, b = i[live], k[live]
+        e, end = excess[live], last[live]
+        column = np.minimum(b, n - 1)
+        row = rows[column]
+        more = e + np.where(row_low[column], row >= a, row < a)
+        right = (e <= most) & (b < end) & (more <= most)
+        out[a + live] = np.where(e <= most, b, first[live] - 1)
+        a = np.where(right, a, a - 1)
+        up = np.clip(a, 0, n - 1)
+        change = np.where(low[up], columns[up] >= b, columns[up] < b)
+        excess[live] = np.where(right, more, e - change)
+        i[live], k[live] = a, b + right
+        live = live[a >= first[live]]
     return out
 
 
@@ -198,34 +274,40 @@ def vector_times_h(vector: np.ndarray, t: Table) -> np.ndarray:
 
 
 def vector_times_h_runs(vector: np.ndarray, t: Table) -> np.ndarray:
-    """The same without H: column by column, one symbol of S drops a prefix of the candidates by one.
+    """The same without H, in n log n steps of whole arrays.
 
-    Candidates that a later one is not below can never win again, so the rest lie in runs of
-    falling differences; a drop shifts one difference and may let two neighbours meet.
+    The place of a column's maximum never falls from column to column. Columns halve their distance in each
+    round; a column searches between the places of its two neighbours only, where S differs from a
+    constant by a running count, so a round passes over the vector once.
     """
-    m = len(t.perm)
-    value = vector.astype(np.int64) - (np.arange(m + 1) - t.rows)
+    n = len(t.perm)
+    i = np.arange(n + 1)
+    value = vector.astype(np.int64) - (i - t.rows)
+    perm = np.append(t.perm, n)
+    keyed = value * (n + 2) - i  # greater values, then lesser places
+    where = np.full(n + 1, -1, np.int64)
+    where[0] = keyed.argmax()
+    where[n] = (keyed + i * (n + 2)).argmax()  # S(i, n) = n - i
+    step = 1 << max(0, n - 1).bit_length()
+    while step > 1:
+        step //= 2
+        columns = np.arange(step, n, 2 * step)
+        if not len(columns):
+            continue
+        low, high = where[columns - step], where[np.minimum(columns + step, n)]
+        sizes = high - low + 1
+        start = np.cumsum(sizes) - sizes
+        at = np.arange(start[-1] + sizes[-1]) + np.repeat(low - start, sizes)
+        before = perm[at] < np.repeat(columns, sizes)
+        best = np.maximum.reduceat(keyed[at] + (np.cumsum(before) - before) * (n + 2), start)
+        where[columns] = -best % (n + 2)
+    # S on the path of the places: from (i, j) to (i', j + 1)
     rank = inverse(t.perm)
-    # best[j] = j + max_i (vector(i) - (i - rows) - S(i, j)); S drops rows 0..rank[j] when column j passes
-    keep: list[int] = []
-    for i in range(m + 1):
-        while keep and value[keep[-1]] <= value[i]:
-            keep.pop()
-        keep.append(i)
-    gaps = [int(value[a] - value[b]) for a, b in zip(keep, keep[1:])]
-    top, out = int(value[keep[0]]), np.empty(m + 1, np.int64)
-    out[0] = top
-    for j in range(m):
-        last = bisect_left(keep, int(rank[j]) + 1) - 1  # candidates 0..last lose one
-        if last >= 0:
-            top -= 1
-            if last < len(gaps):
-                gaps[last] -= 1
-                if gaps[last] == 0:  # the earlier candidate is no better any more
-                    gaps.pop(last)
-                    keep.pop(last)
-        out[j + 1] = top + j + 1
-    return out
+    held = np.searchsorted(where, np.arange(n), "right") - 1  # rows from where[j] on are passed at column j
+    passed = t.perm < held
+    total = np.concatenate([[0], np.cumsum(passed[where[0] :])])[where - where[0]]
+    s = np.concatenate([[0], np.cumsum(rank >= where[1:])]) - total
+    return value[where] + i - s
 
 
 def applied(t: Table, border: np.ndarray) -> np.ndarray:
@@ -233,40 +315,64 @@ def applied(t: Table, border: np.ndarray) -> np.ndarray:
     m, n = t.rows, t.cols
     i = np.arange(m + n + 1)
     lifted = border + np.where(i < m, i - m, 0)
-    return vector_times_h(lifted, t) + np.where(i >= n, n - i, 0)
+    product = vector_times_h if m + n <= DENSE else vector_times_h_runs
+    return product(lifted, t) + np.where(i >= n, n - i, 0)
 
 
-def table_of(a, b) -> Table:
-    """The table of two non-empty sequences. Parts of equal content are built once: short sequences are
-    halved, long ones follow their grammars, so repetitive ones need few different parts."""
-    known: dict = {}
-
-    def merged(x, y, left_of, right_of, size_of) -> Table:
-        key = (x, y)
-        if key not in known:
-            if size_of(x) > 1:
-                known[key] = stacked(merged(left_of(x), y, left_of, right_of, size_of), merged(right_of(x), y, left_of, right_of, size_of))
-            elif size_of(y) > 1:
-                known[key] = beside(merged(x, left_of(y), left_of, right_of, size_of), merged(x, right_of(y), left_of, right_of, size_of))
-            else:
-                known[key] = cell(x[0] == y[0] if isinstance(x, tuple) else x == y)
-        return known[key]
+def combed(a: np.ndarray, b: np.ndarray) -> Table:
+    """The table of two sequences of whole numbers, one anti-diagonal of cells at a time.
+
+    One strand enters each cell from the left and one from above. They cross unless the symbols are equal or
+    they have crossed before; where the strands leave is the permutation.
+    """
+    m, n = len(a), len(b)
+    up = np.ascontiguousarray(a[::-1])
+    kind = np.int16 if m + n < 1 << 15 else np.int32
+    left, top = np.arange(m, dtype=kind), np.arange(m, m + n, dtype=kind)
+    for d in range(m + n - 1):
+        first, size = max(0, m - 1 - d), min(d + 1, m, n, m + n - 1 - d)
+        rows, cols = slice(first, first + size), slice(first + d - m + 1, first + d - m + 1 + size)
+        h, v = left[rows], top[cols]
+        turned = (up[rows] == b[cols]) | (h > v)
+        moved = (h ^ v) * turned
+        h ^= moved
+        v ^= moved
+    perm = np.empty(m + n, np.int64)
+    perm[left] = np.arange(n, n + m)
+    perm[top] = np.arange(n)
+    return Table(m, n, perm)
 
-    if len(a) * len(b) <= HALVED:
-        return merged(tuple(a), tuple(b), lambda t: t[: len(t) // 2], lambda t: t[len(t) // 2 :], len)
+
+def table_of(a, b) -> Table:
+    """The table of two non-empty sequences: combed, or, where that is too many cells, put together along their
+    grammars from combed parts. Parts of equal content are built once, so repetitive sequences need few."""
+    names = {symbol: k for k, symbol in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = (np.array([names[c] for c in part], np.int32) for part in (a, b))
+    if len(a) * len(b) <= COMBED:
+        return combed(x, y)
     # one grammar for both, whose nodes are shared wherever contents are
-    names = {symbol: chr(0x10000 + k) for k, symbol in enumerate(dict.fromkeys([*a, *b]))}
-    g = Grammar()
-    nodes = []
-    for part in (a, b):
-        text, spelt, root = "".join(names[c] for c in part), 0, None
+    g, nodes = Grammar(), []
+    for part in (x, y):
+        text, spelt, root = "".join(chr(0x10000 + k) for k in part.tolist()), 0, None
         for begin, end in factorize(text):
-            parts = [g.terminal(text[begin])] if begin == spelt else g.harvest(root, begin, end + 1)
+            parts = [g.terminal(ord(text[begin]) - 0x10000)] if begin == spelt else g.harvest(root, begin, end + 1)
             for piece in parts:
                 root = piece if root is None else g.join(root, piece)
             spelt += end - begin + 1
         nodes.append(root)
-    return merged(nodes[0], nodes[1], g.left.__getitem__, g.right.__getitem__, g.size.__getitem__)
+    known: dict[tuple[int, int], Table] = {}
+
+    def merged(p: int, q: int) -> Table:
+        if (p, q) not in known:
+            if g.size[p] * g.size[q] <= COMBED // 4:
+                known[p, q] = combed(np.array(g.spell(p), np.int32), np.array(g.spell(q), np.int32))
+            elif g.size[p] >= g.size[q]:
+                known[p, q] = stacked(merged(g.left[p], q), merged(g.right[p], q))
+            else:
+                known[p, q] = beside(merged(p, g.left[q]), merged(p, g.right[q]))
+        return known[p, q]
+
+    return merged(*nodes)
 
 
 # dense tables of the distance
@@ -316,13 +422,21 @@ def distance_applied(table: np.ndarray, border: np.ndarray) -> np.ndarray:
 
 
 def distance_table_of(a, b) -> np.ndarray:
-    if len(a) > 1:
-        cut = len(a) // 2
-        return distance_stacked(distance_table_of(a[:cut], b), distance_table_of(a[cut:], b), len(b))
-    if len(b) > 1:
-        cut = len(b) // 2
-        return distance_beside(distance_table_of(a, b[:cut]), distance_table_of(a, b[cut:]), len(a))
-    return distance_cell(a[0] == b[0])
+    """The dense table of two non-empty sequences: rows of the plain recurrence from all inputs at once."""
+    m, n = len(a), len(b)
+    names = {symbol: k for k, symbol in enumerate(dict.fromkeys([*a, *b]))}
+    other = np.array([names[c] for c in b])
+    across, starts = np.arange(n + 1), np.arange(m + n + 1)
+    row = across - (starts[:, None] - m)  # from the top: right only
+    row = np.where((row < 0) | (starts[:, None] < m), FAR, row)
+    right = [row[:, -1]]
+    for r, c in enumerate(a, 1):
+        best = np.empty_like(row)
+        best[:, 0] = np.where(starts >= m - r, np.minimum(row[:, 0] + 1, np.where(starts == m - r, 0, FAR)), FAR)
+        best[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (other != names[c]))
+        row = np.minimum(np.minimum.accumulate(best - across, 1) + across, FAR)
+        right.append(row[:, -1])
+    return np.concatenate([row, np.stack(right[-2::-1], 1)], 1)
 
 
 # sweep of the block grid

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramweave.functions import grammar
@@ -120,6 +120,15 @@ def partition(rows: DataFrame, text: str, keep: list[str], x: int | None = None,
     return rows.select(*keep, F.inline(kernel(_over(cut), schema)(F.col(text))))
 
 
+def block_size(n, productions, xfactor: float = 1.0, ffactor: float = 1.0, direct: bool = False) -> Column:
+    """Column: block size of n symbols (in the subsequence route those of the blown-up text) from the productions of
+    their grammar; of the direct route it may be 0, of the other it is 1 at least."""
+    n = F.col(n) if isinstance(n, str) else n
+    f = F.greatest(F.lit(2.0), ffactor * n / F.greatest(F.lit(1), F.col(productions) if isinstance(productions, str) else productions))
+    x = F.greatest(f / F.sqrt(F.log2(f)), F.least(F.lit(5), n).cast("double"))
+    return F.greatest(F.lit(0 if direct else 1).cast("long"), F.least(F.floor(x * xfactor), n.cast("long")))
+
+
 def dot(text, folded: bool = True, builder: str = "compressed"):
     """Column: the grammar as GraphViz text."""
 

@@ -97,7 +97,7 @@ def compressed_pairs_direct(spark, sf_dir):
 
 def compressed_fibonacci(spark, sf_dir):
     """Each Fibonacci string against the next one, over compressed blocks."""
-    f = generate.fibonacci(spark, 12).where("n >= 1")
+    f = generate.fibonacci(spark, 20).where("n >= 1")
     pairs = f.select("n", F.col("text").alias("a")).join(f.select((F.col("n") - 1).alias("n"), F.col("text").alias("b")), "n")
     return distance.distance(pairs, engine="grammar").select("n", "distance")
 
@@ -153,9 +153,11 @@ def fasta_records(spark, sf_dir):
 
 
 def supplier_components(spark, sf_dir):
-    """Suppliers, nations and regions as one graph: the least node of each one's component."""
-    nation = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 10_000_000).cast("long").alias("a"), (F.col("n_regionkey") + 20_000_000).cast("long").alias("b"))
-    edges = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("a"), (F.col("s_nationkey") + 10_000_000).cast("long").alias("b")).unionByName(nation)
+    """Suppliers, nations and regions as one graph: the least node of each one's component. A node's number is thrice its
+    key and its kind, so that no two kinds meet whatever the keys are."""
+    node = lambda key, kind: (3 * F.col(key).cast("long") + kind)
+    nation = table(spark, sf_dir, "nation").select(node("n_nationkey", 1).alias("a"), node("n_regionkey", 2).alias("b"))
+    edges = table(spark, sf_dir, "supplier").select(node("s_suppkey", 0).alias("a"), node("s_nationkey", 1).alias("b")).unionByName(nation)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     return components.components(nodes, edges)
 
@@ -227,7 +229,7 @@ ORACLES = {
     "blow_up_pairs": f"SELECT a, b, levenshtein(a, b)::BIGINT AS distance FROM ({PAIRS})",
     "compressed_pairs": f"SELECT a, b, levenshtein(a, b)::BIGINT AS distance FROM ({PAIRS})",
     "compressed_pairs_direct": f"SELECT a, b, levenshtein(a, b)::BIGINT AS distance FROM ({PAIRS})",
-    "compressed_fibonacci": FIBONACCI.format(to=12) + " SELECT n, levenshtein(text, following)::BIGINT AS distance FROM f WHERE n BETWEEN 1 AND 11",
+    "compressed_fibonacci": FIBONACCI.format(to=20) + " SELECT n, levenshtein(text, following)::BIGINT AS distance FROM f WHERE n BETWEEN 1 AND 19",
     "order_pairs": "SELECT o_orderpriority AS a, c_mktsegment AS b, count(*) AS orders, levenshtein(a, b)::BIGINT AS distance FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
     "dp_grid": _lcs(PAIRS, True, "SELECT a, b, i::BIGINT AS i, unnest(range(0, len(r))) AS j, unnest(r) AS v FROM rows"),
     "substitution_cost": f"""WITH w AS ({WILD}), x AS (SELECT DISTINCT unnest(string_split(a, '')) AS x, b FROM w), y AS (SELECT DISTINCT x, unnest(string_split(b, '')) AS y FROM x)
@@ -241,7 +243,7 @@ ORACLES = {
       marked AS (SELECT *, sum(CASE WHEN starts_with(value, '>') THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY n)::BIGINT AS record FROM lines WHERE NOT starts_with(value, ';')),
       rows AS (SELECT file, record, coalesce(max(CASE WHEN starts_with(value, '>') THEN substr(value, 2) END), '') AS name, coalesce(string_agg(replace(value, ' ', ''), '' ORDER BY n) FILTER (NOT starts_with(value, '>')), '') AS seq FROM marked GROUP BY file, record)
       SELECT file, record, name, seq FROM rows QUALIFY seq <> '' OR record = max(record) OVER (PARTITION BY file) AND record > 0""",
-    "supplier_components": """WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_nationkey + 10000000 AS b FROM supplier UNION ALL SELECT n_nationkey + 10000000, n_regionkey + 20000000 FROM nation),
+    "supplier_components": """WITH RECURSIVE e AS (SELECT 3 * s_suppkey AS a, 3 * s_nationkey + 1 AS b FROM supplier UNION ALL SELECT 3 * n_nationkey + 1, 3 * n_regionkey + 2 FROM nation),
       s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM s UNION SELECT r.node, s.b FROM r JOIN s ON r.seen = s.a)
       SELECT node::BIGINT AS node, min(seen)::BIGINT AS root FROM r GROUP BY node""",
     "part_intervals": "SELECT p_brand, p_partkey AS x, min(CASE WHEN p_size <= 25 THEN p_partkey END) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last FROM part",

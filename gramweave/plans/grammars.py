@@ -74,6 +74,13 @@ def block_partition(spark, sf_dir):
     return joined.groupBy("conv_id", "turn").agg(F.array_join(F.transform(ordered, lambda x: x["content"]), "").alias("text"), F.sum("len").alias("len"))
 
 
+def block_sizes(spark, sf_dir):
+    """Block sizes of both routes, a part's key and size standing for symbols and productions."""
+    part = table(spark, sf_dir, "part")
+    size = lambda direct: grammars.block_size("p_partkey", "p_size", 0.4, 2.0, direct)
+    return part.select("p_partkey", size(False).alias("x"), size(True).alias("x_direct"))
+
+
 def dot_folded(spark, sf_dir):
     return _names(spark, sf_dir).select("p_name", grammars.dot("p_name").alias("dot"))
 
@@ -84,7 +91,7 @@ def dot_unfolded(spark, sf_dir):
     return _names(spark, sf_dir).select("p_name", lines.alias("edges"))
 
 
-QUERIES = {f.__name__: f for f in (lz_factors, lz_factors_automaton, lz_benchmark, lz_fibonacci, slp_round_trip, slp_derive, slp_balanced, slp_blow_up, compression_ratio, block_partition, dot_folded, dot_unfolded)}
+QUERIES = {f.__name__: f for f in (lz_factors, lz_factors_automaton, lz_benchmark, lz_fibonacci, slp_round_trip, slp_derive, slp_balanced, slp_blow_up, compression_ratio, block_partition, block_sizes, dot_folded, dot_unfolded)}
 
 #: LZ factors of texts (k, t) by recursion: the longest extension that occurs in front, else one character.
 LZ = """WITH RECURSIVE texts AS ({texts}), f AS (
@@ -104,5 +111,8 @@ ORACLES = {
     "slp_balanced": "SELECT DISTINCT p_name, 2 * length(p_name) - 1 AS n_productions, length(p_name) AS derived_len FROM part",
     "slp_blow_up": "SELECT conv_id, turn, len(list_distinct(string_split(text, ''))) + 1 AS added, 2 * length(text) AS blown_len FROM conversations",
     "block_partition": "SELECT conv_id, turn, text, length(text) AS len FROM conversations",
+    "block_sizes": """WITH f AS (SELECT p_partkey, greatest(2.0::DOUBLE, 2.0::DOUBLE * p_partkey / greatest(1, p_size)) AS f FROM part),
+      x AS (SELECT p_partkey, least(floor(0.4::DOUBLE * greatest(f / sqrt(log2(f)), least(5, p_partkey)::DOUBLE))::BIGINT, p_partkey::BIGINT) AS x FROM f)
+      SELECT p_partkey, greatest(x, 1) AS x, greatest(x, 0) AS x_direct FROM x""",
     "dot_unfolded": "SELECT DISTINCT p_name, 2 * length(p_name) - 2 AS edges FROM part",
 }

@@ -43,14 +43,14 @@ def plain_stages() -> list[Stage]:
     return [("computation", lambda pair: strings.plain_distance(*pair))]
 
 
-def grammar_stages(xfactor: float = 1.0, ffactor: float = 1.0) -> list[Stage]:
+def grammar_stages(xfactor: float = 1.0, ffactor: float = 1.0, least: int = 1) -> list[Stage]:
     """Compress, build the tables of blocks, sweep the grid: the distance of one pair of texts."""
 
     def compress(pair):
         out = []
         for text in pair:
             g = grammar.blow_up(grammar.compressed(text))
-            x = grammar.block_length(2 * len(text), g.productions(), xfactor, ffactor)
+            x = max(grammar.block_length(2 * len(text), g.productions(), xfactor, ffactor), min(least, 2 * len(text)))
             out.append([tuple(c for k in nodes for c in g.spell(k)) for _, nodes in grammar.blocks(g, x)])
         return out
 

@@ -61,7 +61,7 @@ def test_blocks_cover(s, x):
     spelt = ""
     for kind, nodes in grammar.blocks(g, x):
         text = "".join(c for k in nodes for c in g.spell(k))
-        assert len(text) < 2 * x and (kind == "gap" or len(text) >= x)
+        assert len(text) < 2 * x and (kind in ("left", "right") or len(text) >= x)
         spelt += text
     assert spelt == s
 
@@ -91,3 +91,22 @@ def test_dot(spark):
     assert folded.startswith("digraph") and folded.count("->") == 4 and unfolded.count("--") == 6
     rows = spark.createDataFrame([("ab",)], "t string")
     assert rows.select(grammars.dot("t").alias("d")).first().d.startswith("digraph")
+
+
+def test_kinds_of_blocks():
+    g = grammar.halved("abcdefgh")  # a full tree of eight
+    assert [k for k, _ in grammar.blocks(g, 2)] == ["key"] * 4
+    assert [k for k, _ in grammar.blocks(g, 9)] == ["left"]
+    g = grammar.Grammar()
+    a, b, c, d = (g.terminal(x) for x in "abcd")
+    g.root = g.pair(g.pair(a, g.pair(b, c)), g.pair(d, g.pair(c, d)))  # a (bc) | d (cd): left of each key
+    assert grammar.blocks(g, 2) == [("left", (a,)), ("key", (g.pair(b, c),)), ("left", (d,)), ("key", (g.pair(c, d),))]
+    g.root = g.pair(g.pair(g.pair(a, b), c), g.pair(d, g.pair(c, d)))  # (ab) c | d (cd): one on the way up, one on the way down
+    assert [k for k, _ in grammar.blocks(g, 2)] == ["key", "right", "left", "key"]
+
+
+def test_long_texts_take_the_automaton(monkeypatch):
+    monkeypatch.setattr(grammar, "LONG", 10)
+    assert grammar.compressed("abracadabra" * 9).text() == "abracadabra" * 9
+    monkeypatch.setattr(grammar, "factorize", None)
+    assert grammar.compressed("abracadabra" * 9).text() == "abracadabra" * 9
