@@ -181,12 +181,40 @@ def test_sketches_recover_the_difference():
     texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 80))) for _ in range(200)] + ["", ""]
     a = [fingerprints._keys(t) for t in texts]
     b = [*a[1:], a[0]]
-    both = [Counter(x.tolist()) for x in a], [Counter(x.tolist()) for x in b]
-    want = [sum(((x - y) + (y - x)).values()) for x, y in zip(*both)]
-    assert fingerprints.differing(a, b).tolist() == want
-    assert fingerprints.differing(a, b, cells=3).tolist() == want  # which must retry
-    assert fingerprints.likeness([a[-1]], [a[-2]]).tolist() == [1.0]
+    third = fingerprints.sizes(a)
+    other = np.roll(third, -1)
+    want = [len(set(x.tolist()) ^ set(y.tolist())) for x, y in zip(a, b)]
+    assert fingerprints.differing(a, b, np.maximum(third, other))[0].tolist() == want
+    found, tries = fingerprints.differing(a, b, np.ones(len(a), np.int64))  # which must retry
+    assert found.tolist() == want and tries.max() > 2
+    assert fingerprints.likeness([a[-1]], [a[-2]], third[-1:], third[-2:-1]).tolist() == [1.0]
     assert all(len(set(k.tolist())) == len(k) for k in a)
+    # what is written gives back all digests, and the likeness of any two
+    shown = fingerprints.written(a, third)
+    assert all(sorted(fingerprints.read(s)[0].tolist()) == sorted(k.tolist()) for s, k in zip(shown, a))
+    jaccard = [len(set(x.tolist()) & set(y.tolist())) / max(1, len(set(x.tolist()) | set(y.tolist()))) for x, y in zip(a, b)]
+    near = fingerprints.likeness(a, b, third, other)
+    assert [fingerprints.likeness_of(x, y) for x, y in zip(shown, [*shown[1:], shown[0]])] == near.tolist()
+    assert [1.0 if not len(x) + len(y) else j for x, y, j in zip(a, b, jaccard)] == pytest.approx(near.tolist())
+
+
+def test_paragraphs_of_any_script():
+    rng = np.random.default_rng(0)
+    for low, high in ((0x4E00, 0x8E00), (0x410, 0x450), (97, 100)):
+        near = []
+        for _ in range(20):
+            one, two = ("".join(map(chr, rng.integers(low, high, 4000).tolist())) for _ in range(2))
+            assert "".join(fingerprints.paragraphs(one)) == one
+            keys = [fingerprints._keys(one), fingerprints._keys(one[:2000] + two[:2000]), fingerprints._keys(one[:1000] + "new" + one[1000:])]
+            shown = fingerprints.written(keys, fingerprints.sizes(keys))
+            near.append(fingerprints.likeness_of(shown[0], shown[1]))
+            assert fingerprints.likeness_of(shown[0], shown[2]) > 0.8  # an edit moves no cut but those near it
+        assert sum(near) / 20 > 0.3 and min(near) > 0.15
+    assert max(map(len, fingerprints.paragraphs("a" * 100_000))) <= fingerprints.MOST
+    # order and separators count
+    one = lambda t: fingerprints.written([k := fingerprints._keys(t)], fingerprints.sizes([k]))[0]
+    for a, b in (("one.\ntwo.\nthree.\n", "three.\ntwo.\none.\n"), ("cats dogs", "cats\ndogs"), ("", " ")):
+        assert one(a) != one(b) and one(a) == one(a) and fingerprints.likeness_of(one(a), one(b)) < 1
 
 
 @pytest.mark.parametrize("range_rows", [1, 3, 1000])
@@ -197,15 +225,42 @@ def test_next_documents(spark, range_rows):
     found = sorted(fingerprints.compare_with_next(docs, range_rows).collect())
     rows = [(i, t or "") for i, t in sorted(rows)]
     assert len(found) == len(rows)
-    for (i, t), (_, following), r in zip(rows, [*rows[1:], rows[0]], found):
+    for (i, t), (_, following), r, after in zip(rows, [*rows[1:], rows[0]], found, [*found[1:], found[0]]):
         edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
         assert (r.doc_id, r.n_chars, r.edited_sha256) == (i, len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.edited_fingerprint == fingerprints.written([fingerprints._keys(edited)])[0]
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        keys = [fingerprints._keys(edited)]
+        assert r.edited_fingerprint == fingerprints.written(keys, fingerprints.sizes(keys))[0]
+        # both likenesses come from the written fingerprints alone
+        assert r.near_edited == fingerprints.likeness_of(r.fingerprint, r.edited_fingerprint)
+        assert r.near_next == fingerprints.likeness_of(r.fingerprint, after.fingerprint)
         if edited == t:
             assert r.fingerprint == r.edited_fingerprint and r.near_edited == 1
 
 
+def test_sketches_of_documents_peel_at_first(spark):
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    texts = [r.text or "" for r in spark.read.parquet(str(path)).orderBy("doc_id").select("text").collect()]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, [*texts[1:], texts[0]])]
+    a, b = ([fingerprints._keys(t) for t in side] for side in (texts, edited))
+    third = np.maximum(fingerprints.sizes(a), fingerprints.sizes(b))
+    assert (fingerprints.differing(a, b, third)[1] == 0).mean() >= 0.9
+
+
+def test_an_id_of_many_rows_is_dealt(spark):
+    rows = [(7, f"text {k} of one id") for k in range(300)] + [(None, f"none {k}") for k in range(90)] + [(k, "same") for k in range(9)] + [(3, "same")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = fingerprints.compare_with_next(docs, 16).collect()
+    assert len(found) == len(rows)
+    # by id (nulls first), then hash: each row's next is the next one, whatever range it is in
+    ordered = [r.text for r in docs.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()]
+    after = Counter()
+    for t, n in zip(ordered, [*ordered[1:], ordered[0]]):
+        after[hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()] += 1
+    assert after == Counter(r.edited_sha256 for r in found)
+
+
 def test_fingerprints_of_ties_and_nothing(spark):
     docs = spark.createDataFrame([(None, "a. b"), (1, None), (1, "x"), (1, "x"), (5, "c")], "doc_id long, text string")
     found = fingerprints.compare_with_next(docs, 1).collect()
