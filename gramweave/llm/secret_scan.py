@@ -2,16 +2,18 @@
 
 Each rule's regex is parsed and a Boolean trigram query derived from it: any text that matches must
 hold all trigrams of one of its alternatives. The corpus is indexed once for the trigrams that the
-rules ask for (postings: one bitmap of 32,768 documents a trigram and bucket); a query is the AND of
+rules ask for (postings: one bitmap of 32,768 rows of a file a trigram); a query is the AND of
 its trigrams' bitmaps, then the OR of its alternatives. Only candidates meet the regex. Rules whose
 regex has no mandatory trigram (`hex`) scan every text.
 
-Documents have places in the bitmaps by a hash of doc_id into about twice as many places as there are
-rows, so bitmaps stay dense whatever the ids are. Rows that share a place, and letters, which are
+A row's place is its file and its number in it, which any reading of the table gives again, so postings are summed where
+they are read and no document is moved: bitmaps that are too many for one broadcast go out in blocks of files, each with the
+scan of those files. A table that is not read from Parquet files is written first. Rows that share a place (of a
+table that repeats its files' rows), and letters, which are
 indexed in lower case, may let a text pass for nothing; the regex decides.
 
-Defined cases: null or empty text has no span; rows of equal or null doc_id share their bits and
-are verified one by one; spans are in code points, end exclusive; an empty table gives no row.
+Defined cases: null or empty text has no span; doc_id plays no part, so rows of equal or null doc_id
+are verified one by one; spans are in code points, end exclusive; an empty table gives no row; kept columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ from itertools import product
 from re import _constants as C
 from re import _parser as parser
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramweave.operators.spread import spread
 
-from ._base import stash
+from ._base import column, numbered, stash
 
 
 @dataclass(frozen=True)
@@ -52,7 +55,7 @@ RULES = (
 BASE = 3
 #: Documents of one bitmap: what the bitmap functions hold in 4 KB.
 BITS = 32_768
-#: Bytes of candidate bitmaps that are broadcast at most; beyond it documents are joined by doc_id.
+#: Bytes of candidate bitmaps that are broadcast at once; of more, blocks of files are.
 BROADCAST_BYTES = 32 << 20
 #: Strings that a part of a regex is expanded to at most, before its trigrams are taken.
 EXPAND = 64
@@ -137,21 +140,34 @@ def trigram_query(pattern: str) -> Alternatives:
     return _parse(parser.parse(pattern))[1]
 
 
-def _candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(bucket, c0, c1, ...): the documents of a bucket that may match each indexed rule, as bitmaps. `docs` has place and text."""
-    spark = docs.sparkSession
+def _placed(docs: DataFrame, text: str) -> DataFrame:
+    """The columns with numbers for names, the text with null as the empty one, and each row's place: file, chunk and bit."""
+    places = ("_file", "_row")
+    try:
+        own = docs.metadataColumn("_metadata")
+        rows = docs.select("*", F.xxhash64(own["file_path"]), own["row_index"])
+    except AnalysisException:  # not rows of Parquet files
+        own = (docs := stash(numbered(docs), "texts")).metadataColumn("_metadata")
+        rows = docs.select("*", F.xxhash64(own["file_path"]), own["row_index"])
+    rows = rows.toDF(*[f"_{k}" for k in range(len(docs.columns))], *places)
+    row = F.col("_row")
+    return rows.select("*", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), F.floor(row / BITS).alias("_chunk"), (row % BITS).alias("_bit")).drop("_row")
+
+
+def _candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(_file, _chunk, c0, c1, ...): which rows of a chunk may match each indexed rule, as bitmaps."""
+    spark = rows.sparkSession
     asked = [(no, alt, trigram, len(trigrams)) for no, rule in enumerate(rules) if (q := trigram_query(rule.pattern)) != ANY for alt, trigrams in enumerate(sorted(map(sorted, q))) for trigram in trigrams]
     vocabulary = sorted({x[2] for x in asked})
-    lowered = docs.select("place", F.lower("text").alias("low"))
+    lowered = rows.select("_file", "_chunk", "_bit", F.lower("_text").alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(n)) for n, t in enumerate(vocabulary)]))
-    posts = lowered.select("place", F.explode(held).alias("trigram")).select("trigram", F.bitmap_bucket_number("place").alias("bucket"), F.bitmap_bit_position("place").alias("bit"))
-    # postings travel as numbers and become bitmaps behind the shuffle; a trigram's many documents are many buckets
-    index = posts.repartition("bucket", "trigram").groupBy("bucket", "trigram").agg(F.bitmap_construct_agg("bit").alias("docs"))
+    posts = lowered.select("_file", "_chunk", "_bit", F.explode(held).alias("trigram"))
+    index = posts.groupBy("_file", "_chunk", "trigram").agg(F.bitmap_construct_agg("_bit").alias("docs"))
     terms = spark.createDataFrame([(no, alt, vocabulary.index(t), n) for no, alt, t, n in asked], "rule int, alt int, trigram int, n int")
-    matched = index.join(F.broadcast(terms), "trigram").groupBy("bucket", "rule", "alt", "n").agg(F.bitmap_and_agg("docs").alias("docs"), F.count(F.lit(1)).alias("found"))
+    matched = index.join(F.broadcast(terms), "trigram").groupBy("_file", "_chunk", "rule", "alt", "n").agg(F.bitmap_and_agg("docs").alias("docs"), F.count(F.lit(1)).alias("found"))
     alternatives = matched.where("found = n")
     columns = [F.bitmap_or_agg(F.when(F.col("rule") == no, F.col("docs"))).alias(f"c{no}") for no in sorted({x[0] for x in asked})]
-    return alternatives.groupBy("bucket").agg(*columns)
+    return alternatives.groupBy("_file", "_chunk").agg(*columns)
 
 
 def _bit(bitmap: Column, position: Column) -> Column:
@@ -177,33 +193,32 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     return F.when(F.size(matches) > 0, scan).otherwise(empty)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """The kept columns of each row and `spans`: [(start, rule, end)] of all rules by start, then rule."""
-    places = max(BITS, 2 * docs.count())
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(places)) + 1
-    rows = docs.select(*[F.col(c) for c in keep], place.alias("_place"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    found = stash(_candidates(rows.select(F.col("_place").alias("place"), F.col("_text").alias("text")), rules), "candidates")
-    flags = [c for c in found.columns if c != "bucket"]
-    bucket, bit = F.bitmap_bucket_number("_place"), F.bitmap_bit_position("_place")
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], text: str) -> DataFrame:
+    """The columns with numbers for names, and `_spans`."""
+    rows = _placed(docs, column(docs, text))
+    found = stash(_candidates(rows, rules), "candidates")
+    flags = [c for c in found.columns if c[0] == "c"]
     # the check of the broadcast's size: rows counted, 4 KB a bitmap
-    if found.count() * len(flags) * BITS // 8 <= BROADCAST_BYTES:
-        marked = rows.join(F.broadcast(found.withColumnRenamed("bucket", "_bucket")), bucket == F.col("_bucket"), "left").drop("_bucket")
-        marked = marked.withColumns({c: _bit(F.col(c), bit) for c in flags})
-    else:
-        bits = found.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))))
-        bits = bits.select("bucket", "_bit", *[_bit(F.col(c), F.col("_bit")).alias(c) for c in flags]).where(reduce(Column.__or__, map(F.col, flags)))
-        bits = bits.select(F.col("bucket").alias("_bucket"), "_bit", *flags)
-        marked = rows.join(bits, (bucket == F.col("_bucket")) & (bit == F.col("_bit")), "left").drop("_bucket", "_bit")
-        marked = marked.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in flags})
+    blocks = max(1, -(-found.count() * len(flags) * BITS // 8 // max(1, BROADCAST_BYTES)))
+    blocks = min(blocks, max(1, found.select("_file").distinct().count())) if blocks > 1 else 1
+    file, chunk = (found[c].alias(f"_of{c}") for c in ("_file", "_chunk"))
+    kept = found.select(file, chunk, *flags)
+    marked = []
+    for k in range(blocks):
+        own = lambda df, c: df.where(F.pmod(F.col(c), F.lit(blocks)) == k) if blocks > 1 else df  # noqa: E731, B023
+        part = own(rows, "_file").join(F.broadcast(own(kept, "_of_file")), (F.col("_file") == F.col("_of_file")) & (F.col("_chunk") == F.col("_of_chunk")), "left")
+        marked.append(part.withColumns({c: _bit(F.col(c), F.col("_bit")) for c in flags}))
     empty = F.array().cast("array<struct<start:int,rule:int,end:int>>")
-    text = F.col("_text")
     spans = []
     for number, rule in enumerate(rules):
-        if f"c{number}" in flags:
-            spans.append(F.when(F.col(f"c{number}"), _spans(text, rule, number)).otherwise(empty))
-        else:
-            spans.append(F.when(text.rlike(rule.pattern), _spans(text, rule, number)).otherwise(empty))
-    return marked.select(*keep, F.array_sort(F.concat(*spans)).alias("spans"))
+        possible = F.col(f"c{number}") if f"c{number}" in flags else F.col("_text").rlike(rule.pattern)
+        spans.append(F.when(possible, _spans(F.col("_text"), rule, number)).otherwise(empty))
+    return reduce(DataFrame.unionAll, marked).select(*[f"_{k}" for k in range(len(docs.columns))], F.array_sort(F.concat(*spans)).alias("_spans"))
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id", "text"), text: str = "text", into: str = "spans") -> DataFrame:
+    """The kept columns of each row and `into`: [(start, rule, end)] of all rules by start, then rule."""
+    return _scanned(docs, rules, text).select(*[column(docs, c) for c in keep], "_spans").toDF(*keep, into)
 
 
 def _shown(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -211,20 +226,21 @@ def _shown(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rule"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The same rows and columns, every span of the text replaced by a mark (overlapping spans by one)."""
-    names = docs.columns
-    scanned = scan(docs, rules, tuple(names))
+    at = column(docs, text)
+    own = F.col(at).cast("string")
     start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, span: Column) -> Column:
         begins = span["start"] + 1 >= state["at"]
-        gap = F.substring(F.col("text"), state["at"], F.greatest(span["start"] + 1 - state["at"], F.lit(0)))
+        gap = F.substring(own, state["at"], F.greatest(span["start"] + 1 - state["at"], F.lit(0)))
         return F.struct(F.greatest(state["at"], span["end"] + 1).alias("at"), F.when(begins, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"]).alias("out"))
 
-    rest = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"], F.char_length("text")))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text"))
-    return scanned.select(*[clean.alias("text") if c == "text" else F.col(c) for c in names])
+    rest = lambda s: F.concat(s["out"], F.substring(own, s["at"], F.char_length(own)))
+    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, rest)).otherwise(own)
+    names = [f"_{k}" for k in range(len(docs.columns))]
+    return _scanned(docs, rules, text).select(*[clean.alias(c) if c == at else F.col(c) for c in names]).toDF(*docs.columns)
 
 
 def _is_rule(number: int):

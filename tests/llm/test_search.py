@@ -302,6 +302,37 @@ def test_spans(spark, monkeypatch, limit):
     assert secret_scan.scan(docs.limit(0)).collect() == []
 
 
+def _all_spans(text):
+    more = ((3, "-----BEGIN [A-Z ]*PRIVATE KEY-----"), (4, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"), (5, "gh[opsu]_[A-Za-z0-9]{36,}"))
+    return sorted([*_spans(text), *((m.start(), k, m.end()) for k, p in more for m in re.finditer(p, text))])
+
+
+def test_all_kinds_from_files(spark, monkeypatch, tmp_path):
+    """Rows of several files, in blocks of files; no text is moved."""
+    rnd = random.Random(9)
+    parts = ["-----BEGIN EC PRIVATE KEY-----", "eyJ", "abcdefgh1", "eyJabcdefgh1.abcdefgh1.x", "gho_" + "a1" * 18, "ghx_", ".", " ", "token=abcdef", "f" * 24]
+    rows = [(k % 7, "".join(rnd.choices(parts, k=rnd.randint(0, 6)))) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    want = Counter((i, t, tuple(_all_spans(t))) for i, t in rows)
+    for limit in (32 << 20, 30_000, 0):
+        monkeypatch.setattr(secret_scan, "BROADCAST_BYTES", limit)
+        found = secret_scan.scan(docs.withColumn("more", F.lit(1)))
+        assert Counter((r.doc_id, r.text, tuple((s.start, s.rule, s.end) for s in r.spans)) for r in found.collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan and "RoundRobin" not in plan
+    assert plan.count("BroadcastHashJoin") >= 5
+
+
+def test_names_of_kept_columns_are_free(spark):
+    names = ["doc_id", "spans", "c0", "_place", "_bucket", "_file", "_text", "TEXT_", "text"]
+    docs = spark.createDataFrame([(1, "s", 0, "p", 2, "f", "t", "u", "token=abcdef!"), (1, None, None, None, None, None, None, None, None)], "doc_id long, spans string, c0 int, _place string, _bucket int, _file string, _text string, TEXT_ string, text string")
+    found = secret_scan.redact(docs)
+    assert found.columns == names
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "s", 0, "p", 2, "f", "t", "u", "[SECRET]!"), (1, *[None] * 8)], key=str)
+    assert secret_scan.scan(docs, keep=("doc_id", "spans", "c0")).columns == ["doc_id", "spans", "c0", "spans"]
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(_secret_rows()[:5], "doc_id long, text string")
     assert not re.search("Python|Pandas|Arrow", secret_scan.report(secret_scan.scan(docs))._jdf.queryExecution().executedPlan().toString())
