@@ -7,18 +7,23 @@ is in one of the n - T + 1 short ones. DivideSkip merges the short lists and pro
 
 1. Each task reads its texts, reduces each to its set, and keeps the set once for equal sets (its
    class). Sets go to a table; nothing with a text is shuffled.
-2. Entries of the inverted lists go to buckets of the shingle, packed. A bucket sends back those
+2. Entries of the inverted lists go to buckets of the shingle, packed; of a shingle that many classes of
+   a chunk have, only the number goes. A bucket sends back those
    whose shingle has another class, with the list's length; a class whose lists are too few for T
    drops out. The rest order their lists by length, and the entries of the short ones meet by
    shingle: classes of one shingle and of sizes that can link get edges to the least of them (linear
-   in the list).
+   in the list). Those of one size meet in their chunk already and send one of them on, so a bucket
+   gets a common shingle once a chunk and size.
 3. Connected classes are a block: all links lie within blocks. Small blocks are searched many to a
    task. A block beyond the bounds of a task is dealt in chunks and each pair of chunks is searched;
    first all of it meets a few hubs, and classes that those join need no search among themselves.
 4. A search returns a spanning forest of the links. Components of all of them, and of
    equal sets, get their smallest doc_id.
 
-Shingles are 64-bit hashes, of which 46 bits are kept for comparing sets. Defined cases: A-Z count as
+A search merges up to 256 entries of short lists by a heap, more by sorting. Then it probes: long lists for the partners
+(DivideSkip), or, of 24 partners at most, their sets for the long lists' shingles; the counts are the same.
+Shingles are 64-bit hashes, of which 46 bits are kept for comparing sets. Sets are told apart by 128 bits; classes
+are numbered by 64 of them, and by other ones where two sets agree in those. Defined cases: A-Z count as
 a-z; fewer than five words are one shingle; null or empty text and text of blanks only has no
 shingle, links with nothing and is its own component; rows of equal doc_id are one node only if
 their sets are equal; a null doc_id never names a component unless all its members are null.
@@ -44,10 +49,12 @@ from ._graph import components
 
 WIDTH = 5
 BITS = np.uint64((1 << 46) - 1)
-#: Bounds of what one search task holds: classes and shingles.
-CLASSES, SHINGLES = 4096, 2_000_000
+#: Bounds of what one search task holds: classes and shingles. Blocks of more than FEW classes are dealt in up to PARTS before.
+CLASSES, SHINGLES, FEW, PARTS = 4096, 2_000_000, 256, 16
 #: Shingles of the classes of one chunk.
 CHUNK = 3_000_000
+#: Classes of a chunk from which on a shingle's entries stay in it, and their number goes to the bucket.
+COMMON = 32
 HUBS = 24
 BROADCAST_BYTES = 32 << 20
 
@@ -91,21 +98,25 @@ def _unpack(data: bytes, width: int) -> np.ndarray:
 SETS = "doc_id long, n int, id long, proof long, grams binary"
 
 
+def _digest(grams: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(grams.tobytes())
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in slices(batches, 512):
             sizes, ids, proofs, grams = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, width)
-                digest = xxhash.xxh3_128_digest(found.tobytes())
+                digest = _digest(found)
                 ids.append(int.from_bytes(digest[:8], "little", signed=True))
                 proofs.append(int.from_bytes(digest[8:], "little", signed=True))
                 sizes.append(len(found))
-                fresh = len(found) and ids[-1] not in seen
+                fresh = len(found) and digest not in seen
                 grams.append(_pack(np.unique(found & BITS), 6) if fresh else None)
                 if fresh and len(seen) < 1 << 20:
-                    seen.add(ids[-1])
+                    seen.add(digest)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(ids, pa.int64()), pa.array(proofs, pa.int64()), pa.array(grams, pa.binary())], names=[x.split()[0] for x in SETS.split(", ")])
 
     return run
@@ -119,7 +130,7 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-ENTRIES = "chunk long, bucket int, counts binary, grams binary, more binary"
+ENTRIES = "chunk long, bucket int, counts binary, grams binary, more binary, common binary"
 POSTS = "bucket int, grams binary, ids binary, sizes binary"
 
 
@@ -139,7 +150,7 @@ def _entries(buckets: int):
     """All entries of the inverted lists, packed for each chunk of classes and bucket of shingles.
 
     An entry is the shingle's place in its bucket, and its class by how many each class of the chunk
-    has there. The chunk's own row (sizes and ids of its classes) goes along in some bucket.
+    has there. The chunk's own row (sizes and ids of its classes, and who has its common shingles) goes along in some bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,10 +161,18 @@ def _entries(buckets: int):
             nonlocal grams, ids, sizes, held, number
             chunk, classes = part << 32 | number, len(ids)
             flat, owner = np.concatenate(grams), np.repeat(np.arange(classes), [len(g) for g in grams])
+            each, inverse, many = np.unique(flat, return_inverse=True, return_counts=True)
+            common = many >= COMMON
+            stays = common[inverse]
+            hot, counts = each[common], many[common]
+            owners = owner[stays][np.argsort(flat[stays], kind="stable")]
+            yield _rows(ENTRIES, [(chunk, chunk % buckets, _planes(np.array(sizes)), None, np.array(ids, np.int64).tobytes(), _pack(hot, 6) + _planes(np.concatenate([counts, owners])))])
+            for group in _groups((hot % np.uint64(buckets)).astype(np.int64)):
+                yield _rows(ENTRIES, [(chunk, int(hot[group[0]] % np.uint64(buckets)), _planes(counts[group]), _pack(hot[group] // np.uint64(buckets), 5), None, b"")])
+            flat, owner = flat[~stays], owner[~stays]
             to = (flat % np.uint64(buckets)).astype(np.int64)
-            yield _rows(ENTRIES, [(chunk, chunk % buckets, _planes(np.array(sizes)), None, np.array(ids, np.int64).tobytes())])
             for group in _groups(to):
-                yield _rows(ENTRIES, [(chunk, int(to[group[0]]), _planes(np.bincount(owner[group], minlength=classes)), _pack(flat[group] // np.uint64(buckets), 5), None)])
+                yield _rows(ENTRIES, [(chunk, int(to[group[0]]), _planes(np.bincount(owner[group], minlength=classes)), _pack(flat[group] // np.uint64(buckets), 5), None, None)])
             grams, ids, sizes, held, number = [], [], [], 0, number + 1
 
         for batch in slices(batches, 512):
@@ -176,44 +195,63 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = None
 
     def flush() -> Iterator[pa.RecordBatch]:
-        flat = np.concatenate([g for _, _, _, g in held])
-        _, inverse, length = np.unique(flat, return_inverse=True, return_counts=True)
-        length, at = length[inverse], 0
-        for chunk, bucket, counts, grams in held:
+        flat = np.concatenate([grams for _, _, _, grams, _ in held])
+        weight = np.concatenate([np.ones(len(grams)) if common is None else counts for _, _, counts, grams, common in held])
+        _, inverse = np.unique(flat, return_inverse=True)
+        length, at = np.bincount(inverse, weight).astype(np.int64)[inverse], 0
+        for chunk, bucket, counts, grams, common in held:
             own = length[at : at + len(grams)]
             at += len(grams)
             stays = own > 1
-            if stays.any():
+            if common is not None:
+                yield _rows(ENTRIES, [(chunk, bucket, None, _pack(grams, 5), _planes(own), common)])
+            elif stays.any():
                 owner = np.repeat(np.arange(len(counts)), counts)
-                yield _rows(ENTRIES, [(chunk, bucket, _planes(np.bincount(owner[stays], minlength=len(counts))), _pack(grams[stays], 5), _planes(own[stays]))])
+                yield _rows(ENTRIES, [(chunk, bucket, _planes(np.bincount(owner[stays], minlength=len(counts))), _pack(grams[stays], 5), _planes(own[stays]), None)])
         held.clear()
 
     for batch in slices(batches, 16):
-        for chunk, bucket, counts, grams, more in zip(*(batch.column(k).to_pylist() for k in range(5))):
+        for chunk, bucket, counts, grams, more, common in zip(*(batch.column(k).to_pylist() for k in range(6))):
             if bucket != last and held:
                 yield from flush()
             last = bucket
             if grams is None:
-                yield _rows(ENTRIES, [(chunk, -1, counts, None, more)])
+                yield _rows(ENTRIES, [(chunk, -1, counts, None, more, common)])
             else:
-                held.append((chunk, bucket, _unplanes(counts), _unpack(grams, 5)))
+                held.append((chunk, bucket, _unplanes(counts), _unpack(grams, 5), common))
     if held:
         yield from flush()
 
 
 def _short(percent: int, buckets: int):
-    """The short lists' entries of a chunk's classes: rarest first, those of no other class being the shortest."""
+    """The short lists' entries of a chunk's classes: rarest first, those of no other class being the shortest.
+
+    Classes of one shingle and size are connected here (rows of buckets below 0 hold such edges); the least of them goes on.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, sizes, keys, owners, lengths = None, None, [], [], []
-        for bucket, counts, grams, more in zip(*(rows.column(c).to_pylist() for c in ("bucket", "counts", "grams", "more"))):
-            counts = _unplanes(counts)
+        ids, sizes, keys, owners, lengths, own, common, far = None, None, [], [], [], b"", [], []
+        for chunk, bucket, counts, grams, more, kind in zip(*(rows.column(c).to_pylist() for c in ("chunk", "bucket", "counts", "grams", "more", "common"))):
             if grams is None:
-                sizes, ids = counts.astype(np.int64), np.frombuffer(more, np.int64)
+                sizes, ids, own = _unplanes(counts).astype(np.int64), np.frombuffer(more, np.int64), kind
+                continue
+            key, length = _unpack(grams, 5) * np.uint64(buckets) + np.uint64(bucket), _unplanes(more)
+            if kind is not None:
+                common.append(key)
+                far.append(length)
             else:
-                keys.append(_unpack(grams, 5) * np.uint64(buckets) + np.uint64(bucket))
+                counts = _unplanes(counts)
+                keys.append(key)
                 owners.append(np.repeat(np.arange(len(counts)), counts))
-                lengths.append(_unplanes(more))
+                lengths.append(length)
+        if common:  # all of the chunk's common shingles came back: in order they are its own
+            key, length = np.concatenate(common), np.concatenate(far)
+            order = np.argsort(key)
+            numbers = _unplanes(own[6 * len(key) :]).astype(np.int64)
+            counts = numbers[: len(key)]
+            keys.append(np.repeat(key[order], counts))
+            lengths.append(np.repeat(length[order], counts))
+            owners.append(numbers[len(key) :])
         out = []
         if keys:
             key, owner, length = np.concatenate(keys), np.concatenate(owners), np.concatenate(lengths)
@@ -224,14 +262,31 @@ def _short(percent: int, buckets: int):
             take = (sizes - -(-percent * sizes // 100) + 1) - (sizes - count)
             nth = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
             kept = nth < take[owner]
-            key, owner = key[kept], owner[kept]
+            key, name, n = key[kept], ids[owner[kept]], sizes[owner[kept]]
+            order = np.lexsort((name, n, key))
+            key, name, n = key[order], name[order], n[order]
+            first = np.append(True, (key[1:] != key[:-1]) | (n[1:] != n[:-1])) if len(key) else np.zeros(0, bool)
+            if not first.all():
+                hub = name[first][np.cumsum(first) - 1]
+                pairs = _pairs(hub[~first], name[~first])
+                out.append((-1 - int(rows.column("chunk")[0].as_py() % buckets), pairs[0].tobytes(), pairs[1].tobytes(), None))
+            key, name, n = key[first], name[first], n[first]
             to = (key % np.uint64(buckets)).astype(np.int64)
-            out = [(int(to[g[0]]), _pack(key[g], 6), ids[owner[g]].tobytes(), _planes(sizes[owner[g]])) for g in _groups(to)]
+            out += [(int(to[g[0]]), _pack(key[g], 6), name[g].tobytes(), _planes(n[g])) for g in _groups(to)]
         return pa.Table.from_batches([_rows(POSTS, out)] if out else [], schema=pa.schema([("bucket", pa.int32()), ("grams", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())]))
 
     return run
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of different numbers."""
+    apart = a != b
+    order = np.lexsort((b[apart], a[apart]))
+    a, b = a[apart][order], b[apart][order]
+    fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+    return a[fresh], b[fresh]
+
+
 def _joined(percent: int):
     """Edges that connect the classes of one shingle whose sizes can link."""
 
@@ -251,8 +306,10 @@ def _joined(percent: int):
         start[1:] = (gram[1:] != gram[:-1]) | (100 * n[:-1] < percent * n[1:])
         run = np.cumsum(start) - 1
         hub = np.minimum.reduceat(own, np.flatnonzero(start))[run] if len(own) else own
-        pairs = np.unique(np.stack([hub, own], 1)[hub != own], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        return found(*_pairs(hub, own))
+
+    def found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list, list] = ([], [], [])
@@ -263,6 +320,9 @@ def _joined(percent: int):
                     yield edges(*held)
                     held = ([], [], [])
                 last = bucket
+                if bucket < 0:
+                    yield found(np.frombuffer(grams, np.int64), np.frombuffer(ids, np.int64))
+                    continue
                 for part, value in zip(held, (_unpack(grams, 6), np.frombuffer(ids, np.int64), _unplanes(sizes))):
                     part.append(value)
         if held[0]:
@@ -425,12 +485,12 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
     blocks = components(edges).select("id", F.col("root").alias("block"))
     classes = stash(_with_sets(blocks, sets).groupBy("id", "block").agg(F.first("n").alias("n")), "classes")
     sizes = stash(classes.groupBy("block").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")), "blocks")
-    cut = F.ceil(F.greatest(F.col("m") / CLASSES, F.col("total") / SHINGLES)).cast("int")
+    cut = F.ceil(F.greatest(F.least(F.col("m") / FEW, F.lit(PARTS)), F.col("m") / CLASSES, F.col("total") / SHINGLES)).cast("int")
     total = sizes.agg(F.sum("total").alias("n"), F.max(cut).alias("most")).first()
     if total.n is None:
         return blocks.select("id", F.col("block").alias("root"))
     bins = max(parts, -(-total.n // (SHINGLES // 2)))
-    large = sizes.where(cut > 1).select("block", cut.alias("cut"))
+    large = sizes.where(cut > 1).select("block", "m", cut.alias("cut"))
     small = classes.join(F.broadcast(large) if _small(large, 16) else large, "block", "left_anti")
     task = small.select("id", "block", F.pmod(F.xxhash64("block"), F.lit(bins)).alias("task"), F.lit(0).alias("chunk"), F.col("id").alias("label"))
     links = stash(_with_sets(task, sets).groupBy("task").applyInArrow(_search(percent, False), "a long, b long"), "links")
@@ -442,9 +502,9 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
 def _large(classes: DataFrame, large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of blocks that no task may hold: hubs first, then pairs of chunks that aren't one component yet."""
     own = classes.join(F.broadcast(large) if _small(large, 16) else large, "block")
-    own = stash(own.select("id", "block", "cut", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int").alias("chunk")), "large")
+    own = stash(own.select("id", "block", "m", "cut", F.pmod(F.xxhash64("id"), F.col("cut")).cast("int").alias("chunk")), "large")
     # hubs: about HUBS classes of the first chunk by hash, with every chunk
-    hub = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(CLASSES)) < HUBS
+    hub = F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("m") / F.col("cut"))) < HUBS
     hubs = own.where(hub & (F.col("chunk") == 0)).select("id", "block", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("part"))
     first = own.select("id", "block", F.col("chunk").alias("part"), F.lit(1).alias("chunk")).unionByName(hubs.select("id", "block", "part", F.lit(0).alias("chunk")))
     first = first.groupBy("id", "block", "part").agg(F.min("chunk").alias("chunk"))
@@ -462,21 +522,42 @@ def _large(classes: DataFrame, large: DataFrame, sets: DataFrame, percent: int)
     return found.unionByName(more)
 
 
+def _told_apart(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows and (id, least, m) of their classes, once no two different sets have one id."""
+    turn = 0
+    while True:
+        groups = rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m"), F.min("proof").alias("p"), F.max("proof").alias("q"))
+        alike = stash(groups.where("p <> q").select(F.col("id").alias("of")), "alike")
+        if not (n := alike.count()):
+            drop_stash(alike)
+            return rows, groups.select("id", "least", "m")
+        turn += 1
+        told = rows.join(F.broadcast(alike) if n * 16 <= BROADCAST_BYTES else alike, F.col("id") == F.col("of"), "left")
+        older, rows = rows, stash(told.withColumn("id", F.when(F.col("of").isNotNull(), F.xxhash64("id", "proof", F.lit(turn))).otherwise(F.col("id"))).drop("of"), "sets", "uncompressed")
+        drop_stash(older, alike)
+
+
+#: Classes of more copies than this, or than a millionth of all rows, are named by a broadcast: there are a million at most.
+COPIES, MOST_COPIED = 10_000, 1_000_000
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    rows = stash(plain(docs).mapInArrow(_sets(width), SETS), "sets", "uncompressed")
+    rows, groups = _told_apart(stash(plain(docs).mapInArrow(_sets(width), SETS), "sets", "uncompressed"))
     sets = rows.where("grams is not null").select("id", "n", "grams")
-    groups = rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m"), F.min("proof").alias("p"), F.max("proof").alias("q"))
-    if not groups.where("p <> q").isEmpty():
-        raise RuntimeError("two different sets have one 64-bit digest")
-    groups = groups.select("id", "least", "m")
     linked = link_classes(sets, percent)
     rooted = groups.join(linked, "id", "left").select("id", "least", "m", "root")
     named = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
     # only classes with copies or links need a name other than their own row's
-    names = rooted.where("m > 1 or root is not null").join(named, "root", "left").select("id", F.coalesce("component", "least").alias("component"))
+    names = rooted.where("m > 1 or root is not null").join(named, "root", "left").select("id", "m", F.coalesce("component", "least").alias("component"))
     names = stash(names, "names")
-    found = rows.select("doc_id", "n", "id").join(names, (rows["id"] == names["id"]) & (rows["n"] > 0), "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # the many copies of one text get their name where they are; the others by a join
+    many = F.col("m") > max(COPIES, rows.count() // MOST_COPIED)
+    copied, others = names.where(many).select(F.col("id").alias("copied"), F.col("component").alias("name")), names.where(~many).select(F.col("id").alias("other"), "component")
+    found = rows.select("doc_id", "n", "id").join(F.broadcast(copied), (F.col("id") == F.col("copied")) & (F.col("n") > 0), "left")
+    found = found.withColumn("key", F.when(F.col("copied").isNull() & (F.col("n") > 0), F.col("id")).otherwise(F.monotonically_increasing_id()))
+    found = found.join(others, (F.col("key") == F.col("other")) & F.col("copied").isNull() & (F.col("n") > 0), "left")
+    found = found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("name", "component", "doc_id").alias("component_id"))
     found = stash(found, "components")
     drop_stash(rows, names)
     return found

@@ -132,9 +132,11 @@ def _texts(seed, n):
     return rows
 
 
-@pytest.mark.parametrize(("classes", "shingles"), [(4096, 2_000_000), (20, 10**7), (4096, 300)])
+@pytest.mark.parametrize(("classes", "shingles", "few", "common", "copies"), [(4096, 2_000_000, 256, 32, 10_000), (20, 10**7, 256, 2, 1), (4096, 300, 256, 5, 3), (4096, 10**7, 8, 32, 0)])
 @pytest.mark.parametrize("percent", [80, 60])
-def test_components_of_links(spark, monkeypatch, classes, shingles, percent):
+def test_components_of_links(spark, monkeypatch, classes, shingles, few, common, copies, percent):
+    for name, value in (("FEW", few), ("COMMON", common), ("COPIES", copies)):
+        monkeypatch.setattr(jaccard_join, name, value)
     monkeypatch.setattr(jaccard_join, "CLASSES", classes)
     monkeypatch.setattr(jaccard_join, "SHINGLES", shingles)
     rows = _texts(percent, 300)
@@ -142,6 +144,14 @@ def test_components_of_links(spark, monkeypatch, classes, shingles, percent):
     assert Counter(map(tuple, jaccard_join.near_duplicates(docs, percent).collect())) == _linked(rows, percent)
 
 
+def test_sets_of_one_id_are_told_apart(spark, monkeypatch):
+    whole = jaccard_join._digest
+    monkeypatch.setattr(jaccard_join, "_digest", lambda grams: bytes([len(grams) % 3]) * 8 + whole(grams)[8:])
+    rows = _texts(7, 200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, jaccard_join.near_duplicates(docs, 80).collect())) == _linked(rows, 80)
+
+
 def test_edge_of_the_threshold(spark):
     words = [f"w{k}" for k in range(49)]
     a, b = " ".join(words[:44]), " ".join([*words[:44], *words[44:49]])  # 40 and 45 shingles: 40 of 45
