@@ -6,25 +6,33 @@
 2. A bucket meets its words from all chunks; each distinct word is encoded once there, and the
    ids return to the chunks, packed with the numbers.
 3. The chunk's documents come as arrays of word numbers, that is by position; the ids of the words
-   are put in at their positions. Decoding looks every id up in the table of token bytes.
+   are put in at their positions. Decoding joins the ids of the chunk's words to the token-byte table, which goes
+   to the tasks as a broadcast: it has a row a token, whatever the corpus.
 
 Positions thus travel as one number each and words once a chunk, in a few thousand rows rather
-than one row a pre-token. Step 1 runs once for the words and once for the numbers; a digest of the
-word list tells if the input was not the same both times, so it must be a table that reads alike
-twice (files, a checkpoint).
+than one row a pre-token. Step 1 runs once for the words and once for the numbers, which moves less than writing
+the numbers would; a digest of the word list makes sure that both saw the same. Input that isn't read straight from
+files (a shuffle's rows may come in another order after a loss) is written to the shared folder first.
+
+The pattern's classes agree for all characters of Unicode 15.1 between the library and the cutter here. A text with
+a character that is newer or in no use is one word, which the encoder splits itself.
 
 Defined cases: null text is empty (no ids, digests of the empty string); documents of equal or
-null doc_id stay separate rows; an empty table gives no row. Texts with characters outside of the
-scripts whose classes all libraries agree on count as one word, which the encoder splits itself.
+null doc_id stay separate rows; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +42,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import plain, slices
-from .tokenizer_units import UNSTABLE
+from ._base import plain, slices, stash
 
 #: Between packed words: a byte that UTF-8 never uses.
 GAP = "\udcff"
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 16_000_000
+#: Buckets of words at most: with more, a chunk's words would go out in more rows, of a few words each.
+BUCKETS = 8192
 
 ROWS = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("digest", pa.int64()), ("numbers", pa.binary()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
 ROWS_SQL = "chunk long, bucket int, digest long, numbers binary, payload binary, doc_ids array<long>"
@@ -57,23 +66,43 @@ def encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
-_held: dict = {}
+@cache
+def held_encoding(path: str):
+    """One encoder for the life of a Python worker."""
+    return encoding(path)
+
+
+@cache
+def strays() -> re.Pattern:
+    """Characters of no class in Unicode 15.1, which a library of another version may class."""
+    table = unicodedata if unicodedata.unidata_version.startswith("15.") else unicodedata.ucd_3_2_0
+    unused = (c for c in range(128, sys.maxunicode + 1) if table.category(chr(c)) == "Cn")
+    runs = ([c for _, c in run] for _, run in groupby(enumerate(unused), lambda x: x[1] - x[0]))
+    return re.compile("[" + "".join(f"{chr(run[0])}-{chr(run[-1])}" for run in runs) + "]")
+
 
+def token_table(spark: SparkSession, path: str) -> DataFrame:
+    """The token-byte table: id, token."""
+    return spark.createDataFrame([(rank, bytearray(token)) for token, rank in read_ranks(path).items()], "id long, token binary")
 
-def once(kind, path: str):
-    """One encoder or table for the life of a Python worker."""
-    if (kind, path) not in _held:
-        _held[kind, path] = kind(path)
-    return _held[kind, path]
 
+def _broadcast(table: DataFrame):
+    """The table's tokens by id, in the tasks. It has a row a token of the vocabulary."""
+    rows = {r.id: bytes(r.token) for r in table.collect()}
+    tokens = pa.array([rows.get(k, b"") for k in range(max(rows, default=-1) + 1)], pa.binary())
+    return table.sparkSession.sparkContext.broadcast(tokens)
 
-def token_bytes(path: str) -> list[bytes]:
-    """The token-byte table by id, of the size of the vocabulary."""
-    ranks = read_ranks(path)
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
-    return table
+
+def spelt(names: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Runs of ids joined to what stands for an id: the run k ends in front of ends[k]."""
+    if not len(ends):
+        return []
+    found = names.take(pa.array(ids))
+    if not len(found):
+        return [b""] * len(ends)
+    _, offsets, data = found.buffers()
+    data, at = data.to_pybytes(), np.frombuffer(offsets, np.int32, len(found) + 1)[ends].tolist()
+    return [data[a:b] for a, b in zip([0, *at], at)]
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -105,7 +134,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int, coded: bool) -> Iterat
     names, codes, numbers, size = [], [], Numbers(), 0
     for batch in slices(batches):
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = [text] if text and UNSTABLE.search(text) else find(text)
+            words = find(text) if text.isascii() or not strays().search(text) else [text]
             names.append(doc_id)
             if coded:
                 codes.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
@@ -142,7 +171,7 @@ def _word_rows(buckets: int, most: int):
 
 def _encode_words(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known, last = once(encoding, path).encode_ordinary, {}, None
+        encode, known, last = held_encoding(path).encode_ordinary, {}, None
         for batch in slices(batches, 16):
             for chunk, bucket, digest, numbers, packed in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if bucket != last:
@@ -167,36 +196,32 @@ def _code_rows(most: int):
     return run
 
 
-def _reassemble(path: str, digests: bool):
+def _reassemble(tokens, digests: bool):
     def run(coded: pa.Table, encoded: pa.Table) -> pa.Table:
-        tokens = once(token_bytes, path)
-        decimal = list(map(str, range(len(tokens))))
+        decimal = pa.array([b"%d " % k for k in range(len(tokens.value))], pa.binary())
         parts = [] if not encoded.num_rows else list(zip(*(encoded.column(k).to_pylist() for k in ("digest", "numbers", "payload"))))
         places = [np.cumsum(_unpack(numbers)) for _, numbers, _ in parts]
         size = sum(map(len, places))
-        ids_of, text_of, count = [""] * size, [b""] * size, np.zeros(size, np.int64)
+        ids_of, text_of, count = [b""] * size, [b""] * size, np.zeros(size, np.int64)
+        for (_, _, words), place in zip(parts, places):
+            flat = _unpack(words)
+            n = int(flat[0])
+            ends = np.cumsum(flat[1 : n + 1].astype(np.int64))
+            count[place] = flat[1 : n + 1]
+            for k, own, text in zip(place.tolist(), spelt(decimal, flat[n + 1 :], ends), spelt(tokens.value, flat[n + 1 :], ends)):
+                ids_of[k], text_of[k] = own, text
         out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids": [], "decoded": []}
         for digest, numbers, payload, names in zip(*(coded.column(k).to_pylist() for k in ("digest", "numbers", "payload", "doc_ids"))):
             codes, ends = _unpack(payload), np.cumsum(_unpack(numbers)).tolist()
             if any(p[0] != digest for p in parts) or codes.size and size <= int(codes.max()):
-                raise RuntimeError("the input was not read alike twice: write it to a table first")
-            for (_, _, words), place in zip(parts, places):
-                flat = _unpack(words)
-                n = int(flat[0])
-                sizes = flat[1 : n + 1]
-                count[place] = sizes
-                ids, end = flat[n + 1 :].tolist(), 0
-                for k, m in zip(place.tolist(), sizes.tolist()):
-                    own, end = ids[end : end + m], end + m
-                    ids_of[k] = " ".join([decimal[i] for i in own])
-                    text_of[k] = b"".join([tokens[i] for i in own])
+                raise RuntimeError("the input was not read alike twice")
             for k, name in enumerate(names):
                 own = codes[ends[k - 1] if k else 0 : ends[k]]
                 at = own.tolist()
-                ids, text = " ".join([ids_of[c] for c in at]), b"".join([text_of[c] for c in at])
+                ids, text = b"".join([ids_of[c] for c in at])[:-1], b"".join([text_of[c] for c in at])
                 out["doc_id"].append(name)
                 out["n_tokens"].append(int(count[own].sum()))
-                out["ids"].append(hashlib.sha256(ids.encode()).hexdigest() if digests else ids)
+                out["ids"].append(hashlib.sha256(ids).hexdigest() if digests else ids.decode())
                 out["decoded"].append(hashlib.sha256(text).hexdigest() if digests else text)
         kinds = pa.int64(), pa.int64(), pa.string(), pa.string() if digests else pa.binary()
         return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), kinds)})
@@ -204,31 +229,45 @@ def _reassemble(path: str, digests: bool):
     return run
 
 
+def _reads_alike(df: DataFrame) -> bool:
+    """Whether the rows come straight from files: no step between may give them in another order."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.child()
+    return node.nodeName() == "LogicalRelation" or node.nodeName().startswith("Relation")
+
+
 def encode_and_decode(docs: DataFrame, ranks: str, *, digests: bool = False, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Per document: doc_id, n_tokens, ids (decimal, joined by blanks) and the bytes decoded from them; with digests, the SHA-256 of both."""
-    source, parts = plain(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = source.mapInArrow(_word_rows(4 * parts, chunk_chars), ROWS_SQL)
+    spark, source = docs.sparkSession, plain(docs)
+    if not _reads_alike(source):
+        source = stash(source, "texts")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = source.mapInArrow(_word_rows(min(4 * parts, BUCKETS), chunk_chars), ROWS_SQL)
     encoded = words.repartition(parts, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_encode_words(ranks), ROWS_SQL)
     coded = source.mapInArrow(_code_rows(chunk_chars), ROWS_SQL)
-    kind = "string" if digests else "binary"
-    return coded.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_reassemble(ranks, digests), f"doc_id long, n_tokens long, ids string, decoded {kind}")
+    kind, tokens = "string" if digests else "binary", _broadcast(token_table(spark, ranks))
+    return coded.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_reassemble(tokens, digests), f"doc_id long, n_tokens long, ids string, decoded {kind}")
 
 
-def _decode(path: str):
+def _decode(tokens):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = once(token_bytes, path)
         for batch in slices(batches, 256):
-            spelled = [None if ids is None else b"".join([tokens[i] for i in ids]) for ids in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spelled, pa.binary())], names=[*batch.schema.names[:-1], "decoded"])
+            ids = batch.column(batch.num_columns - 1)
+            sizes = np.array([0 if x is None else len(x) for x in ids.to_pylist()], np.int64)
+            found = spelt(tokens.value, ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes))
+            found = [x if held else None for x, held in zip(found, ids.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], names=[*batch.schema.names[:-1], "decoded"])
 
     return run
 
 
 def decode(rows: DataFrame, ranks: str, ids: str = "ids") -> DataFrame:
-    """Replace an array column of ids by `decoded`, the bytes that the token-byte table (of vocabulary size, in each worker) has for them."""
+    """Replace an array column of ids by `decoded`, the bytes of the token-byte table that is joined to them. A null array stays null."""
     kept = [c for c in rows.columns if c not in (ids, "decoded")]
     frame = rows.select(*[f"`{c}`" for c in kept], F.col(ids).cast("array<long>"))
-    return frame.mapInArrow(_decode(ranks), ", ".join([*(f"`{c}` {kind}" for c, kind in rows.dtypes if c in kept), "decoded binary"]))
+    tokens = _broadcast(token_table(rows.sparkSession, ranks))
+    return frame.mapInArrow(_decode(tokens), ", ".join([*(f"`{c}` {kind}" for c, kind in rows.dtypes if c in kept), "decoded binary"]))
 
 
 def op5_word_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Token files, packing, and the distinct-word shuffle, against the tokenizer libraries."""
 
 import hashlib
+import random
 import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -159,6 +161,41 @@ def test_word_shuffle(spark, tmp_path, schema, chunk):
     assert word_shuffle.encode_and_decode(docs.limit(0), P.path("byte_bpe_50k.tiktoken")).collect() == []
 
 
+def test_cuts_are_the_library_s():
+    """Every character that is in use counts as the letter, number, mark or blank that it is to the library: the
+    library encodes two characters to one token only if they are one cut."""
+    import tiktoken
+    import unicodedata
+
+    chars = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs") and not 0x3400 < ord(c) < 0x9FFF and not 0xAC00 < ord(c) < 0xD7A3 and not 0x17000 < ord(c) < 0x18CD5 and not 0x20000 < ord(c) < 0x323AF]
+    assert len(chars) > 30_000 and not any(map(word_shuffle.strays().search, chars))
+    pairs = [p + c for c in chars for p in "a1!"]
+    ranks = {bytes([b]): b for b in range(256)}
+    for pair in pairs:
+        ranks.setdefault(pair.encode(), len(ranks))
+    library = tiktoken.Encoding("pairs", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    find = regex.compile(P.PATTERN).findall
+    assert [p for p in pairs if (len(library.encode_ordinary(p)) == 1) != (len(find(p)) == 1)] == []
+    assert word_shuffle.strays().search(chr(0x10FFFF)) and word_shuffle.strays().search("a" + chr(0x378))
+
+
+#: Text in many scripts, whose words occur in many documents.
+SCRIPTS = "Съешь ещё этих мягких французских булок, да выпей чаю. Η ταχεία αλώπηξ πηδάει. نص حكيم له سر قاطع 我能吞下玻璃而不伤身体。 いろはにほへと 123 ٣٤ 🎉🎉 c'est déjà l'été\u2028 \u3000 x"
+
+
+def test_words_of_all_scripts_are_shuffled(spark, tmp_path):
+    rnd = random.Random(4)
+    texts = [" ".join(rnd.choices(SCRIPTS.split(" "), k=rnd.randrange(40))) for _ in range(60)] + ["x\U0010ffff 我能 y"]
+    spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(2).write.parquet(str(tmp_path / "docs"))
+    encoding = word_shuffle.encoding(P.path("byte_bpe_50k.tiktoken"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    want = {k: (" ".join(map(str, encoding.encode_ordinary(t))), t.encode()) for k, t in enumerate(texts)}
+    for source in (docs, docs.repartition(3, "text")):  # straight from files, or written first
+        found = word_shuffle.encode_and_decode(source, P.path("byte_bpe_50k.tiktoken"), chunk_chars=900).collect()
+        assert {r.doc_id: (r.ids, bytes(r.decoded)) for r in found} == want
+    assert word_shuffle._reads_alike(docs.select("text").where("doc_id > 3")) and not word_shuffle._reads_alike(docs.repartition(3))
+
+
 def test_decode(spark):
     rows = spark.createDataFrame([(1, [15496, 995]), (2, []), (3, None)], "k long, ids array<long>")
     found = {r.k: r.decoded for r in word_shuffle.decode(rows, P.path("byte_bpe_50k.tiktoken")).collect()}
