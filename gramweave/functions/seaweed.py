@@ -258,14 +258,25 @@ def from_h(h: np.ndarray, rows: int) -> Table:
     return Table(rows, len(h) - 1 - rows, density(h_matrix(h, rows)).argmax(1))
 
 
+def _among(s: np.ndarray, before: int, after: int) -> np.ndarray:
+    """The distribution of a direct sum (identity, P, identity) from that of P."""
+    p = len(s) - 1
+    at = np.arange(before + p + after + 1)
+    inner, first, last = np.clip(at - before, 0, p), np.minimum(at, before), np.maximum(at - before - p, 0)
+    steps = lambda v: np.maximum(v[None] - v[:, None], 0)
+    return steps(first) + s[np.ix_(inner, inner)] + steps(last)
+
+
 def h_stacked(top: np.ndarray, bottom: np.ndarray, cols: int) -> np.ndarray:
-    """H of A's upper and lower part over one B of so many symbols."""
-    return h_of(stacked(from_h(top, len(top) - 1 - cols), from_h(bottom, len(bottom) - 1 - cols)))
+    """H of A's upper and lower part over one B of so many symbols: a (min,+) product of distributions."""
+    m1, m2 = len(top) - 1 - cols, len(bottom) - 1 - cols
+    return h_matrix(min_plus(_among(h_matrix(top, m1), m2, 0), _among(h_matrix(bottom, m2), 0, m1)), m1 + m2)
 
 
 def h_beside(left: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
     """H of one A of so many symbols over B's left and right part."""
-    return h_of(beside(from_h(left, rows), from_h(right, rows)))
+    n1, n2 = len(left) - 1 - rows, len(right) - 1 - rows
+    return h_matrix(min_plus(_among(h_matrix(left, rows), 0, n2), _among(h_matrix(right, rows), n1, 0)), rows)
 
 
 def vector_times_h(vector: np.ndarray, t: Table) -> np.ndarray:
@@ -310,13 +321,20 @@ def vector_times_h_runs(vector: np.ndarray, t: Table) -> np.ndarray:
     return value[where] + i - s
 
 
+def _passed(border: np.ndarray, m: int, n: int, product) -> np.ndarray:
+    i = np.arange(m + n + 1)
+    return product(border + np.where(i < m, i - m, 0)) + np.where(i >= n, n - i, 0)
+
+
 def applied(t: Table, border: np.ndarray) -> np.ndarray:
     """Outputs of a block from its inputs (values of the common subsequence along the border)."""
-    m, n = t.rows, t.cols
-    i = np.arange(m + n + 1)
-    lifted = border + np.where(i < m, i - m, 0)
-    product = vector_times_h if m + n <= DENSE else vector_times_h_runs
-    return product(lifted, t) + np.where(i >= n, n - i, 0)
+    product = vector_times_h if t.rows + t.cols <= DENSE else vector_times_h_runs
+    return _passed(border, t.rows, t.cols, lambda v: product(v, t))
+
+
+def h_applied(h: np.ndarray, rows: int, border: np.ndarray) -> np.ndarray:
+    """The same outputs from the dense H."""
+    return _passed(border, rows, len(h) - 1 - rows, lambda v: (v[:, None] + h).max(0))
 
 
 def combed(a: np.ndarray, b: np.ndarray) -> Table:

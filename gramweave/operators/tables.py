@@ -141,7 +141,7 @@ def apply_dense(table, border, rows, kind: str = "distance") -> Column:
         dense, border = _dense(table), np.asarray(border, np.int64)
         if kind == "distance":
             return seaweed.distance_applied(dense, border).tolist()
-        return seaweed.applied(seaweed.from_h(dense, int(m)), border).tolist()
+        return seaweed.h_applied(dense, int(m), border).tolist()
 
     def run(table: pd.Series, border: pd.Series, rows: pd.Series) -> pd.Series:
         return pd.Series([one(*values) for values in zip(table, border, rows)], dtype=object)
@@ -149,6 +149,15 @@ def apply_dense(table, border, rows, kind: str = "distance") -> Column:
     return kernel(run, "array<long>")(table, border, rows)
 
 
+def equals_dense(table, h) -> Column:
+    """Column: whether a permutation table and a dense H table are the same table."""
+
+    def run(table: pd.DataFrame, h: pd.Series) -> pd.Series:
+        return pd.Series([bool(np.array_equal(seaweed.h_of(_read(t)), _dense(x))) for t, x in zip(table.to_dict("records"), h)])
+
+    return kernel(run, "boolean")(table, h)
+
+
 def times_h(vector, table, fast: bool = True) -> Column:
     """Column: the (max,+) product of a vector with a table's H, by runs or by the definition."""
     times = seaweed.vector_times_h_runs if fast else seaweed.vector_times_h

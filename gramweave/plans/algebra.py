@@ -197,12 +197,29 @@ def h_beside(spark, sf_dir):
 
 
 def block_repository(spark, sf_dir):
-    """The repository: the table of each two blocks that some pair needs, once."""
+    """The repository: the table of each two blocks that some pair needs, once. Every table, applied to an empty border,
+    gives the common subsequence of its blocks; the blocks of a pair have all of its symbols, blown up."""
+    from gramweave.functions import strings
     from gramweave.operators import blocks
 
     cut = F.pandas_udf(blocks._cut(False, 1.0, 1.0), blocks.SEQUENCE)
-    found = blocks.repository(_pairs(spark, sf_dir).select(cut("a").alias("a_seq"), cut("b").alias("b_seq")), direct=False)
-    return found.select("a_block", "b_block", F.size("cells").cast("long").alias("size"))
+    sequences = _pairs(spark, sf_dir).select("a", "b", cut("a").alias("a_seq"), cut("b").alias("b_seq"))
+    rows = sequences.select("a", "b", F.explode("a_seq").alias("x"), "b_seq").select("a", "b", "x", F.explode("b_seq").alias("y"))
+    rows = rows.select("a", "b", F.col("x.block").alias("a_block"), F.col("x.content").alias("u"), F.col("y.block").alias("b_block"), F.col("y.content").alias("v"))
+    spelt = lambda c: F.array_join(F.transform(c, lambda k: F.when(k < 0, F.lit("$")).otherwise(F.char(k))), "")
+    held = rows.join(blocks.repository(sequences, direct=False), ["a_block", "b_block"])
+    m, n = F.size("u").cast("long"), F.size("v").cast("long")
+    border = F.array_repeat(F.lit(0).cast("long"), (m + n + 1).cast("int"))
+    found = tables.apply(F.struct(m.alias("rows"), n.alias("cols"), F.col("cells").alias("perm")), border)
+    checked = held.withColumn("found", F.get(found, n.cast("int"))).withColumn("lcs", strings.lcs_native(spelt(F.col("u")), spelt(F.col("v"))))
+    return checked.groupBy("a", "b").agg(F.bool_and(F.col("found") == F.col("lcs")).alias("agree"), F.sum(m * n).alias("cells"))
+
+
+def table_equal(spark, sf_dir):
+    """The permutation table of each pair against its dense H, and against that with one value changed."""
+    both = _pairs(spark, sf_dir).withColumn("table", tables.build("a", "b")).withColumn("h", tables.build_h("a", "b"))
+    changed = F.concat(F.array(F.transform(F.get("h", F.lit(0)), lambda v: v + 1)), F.slice("h", 2, F.size("h") - 1))
+    return both.select("a", "b", tables.equals_dense("table", "h").alias("same"), tables.equals_dense("table", changed).alias("other"))
 
 
 def matrix_dump(spark, sf_dir):
@@ -221,7 +238,7 @@ def vector_times_table(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     min_plus, max_plus, max_plus_part, vector_max_plus, matrix_equal, matrix_fill, distribution, density, unfold_h, h_inverse, permutation_matrix, permutation_inverse, permutation_valid, permutation_swap,
-    permutation_sum, unit_monge, unit_monge_definition, cell_tables, table_apply, table_stack, table_beside, table_reduce, dense_stack, dense_beside, h_stack, h_beside, block_repository, matrix_dump, vector_times_table,
+    permutation_sum, unit_monge, unit_monge_definition, cell_tables, table_apply, table_stack, table_beside, table_reduce, dense_stack, dense_beside, h_stack, h_beside, block_repository, table_equal, matrix_dump, vector_times_table,
 )}
 
 A = "SELECT l_linenumber::BIGINT AS i, month(l_shipdate) AS j, sum(l_quantity)::BIGINT AS v FROM lineitem GROUP BY ALL"
@@ -263,6 +280,8 @@ ORACLES = {
     "dense_beside": f"SELECT a, b, j, levenshtein(a, substr(b, 1, j))::BIGINT AS distance FROM (SELECT a, b, unnest(range(0, length(b) + 1)) AS j FROM ({PAIRS})) WHERE length(b) > 1",
     "h_stack": _lcs(PAIRS, False, PREFIXES + " AND length(a) > 1"),
     "h_beside": _lcs(PAIRS, False, PREFIXES + " AND length(b) > 1"),
+    "block_repository": f"SELECT a, b, true AS agree, 4 * length(a) * length(b) AS cells FROM ({PAIRS})",
+    "table_equal": f"SELECT a, b, true AS same, false AS other FROM ({PAIRS})",
     "matrix_dump": f"""WITH a AS ({A}), b AS ({B}), c AS (SELECT a.i, b.j, min(a.v + b.v) AS v FROM a JOIN b ON a.j = b.i GROUP BY ALL)
       SELECT i, string_agg(coalesce(v::VARCHAR, '∞'), ' ' ORDER BY j) AS line FROM (SELECT DISTINCT i FROM c) CROSS JOIN (SELECT unnest(range(0, 32)) AS j) LEFT JOIN c USING (i, j) GROUP BY i""",
     "vector_times_table": f"SELECT a, b, true AS agree, length(a) + length(b) + 1 AS n FROM ({PAIRS})",

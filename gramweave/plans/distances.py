@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gramweave.functions import strings
 from gramweave.operators import components, distance
@@ -137,7 +138,11 @@ def random_prefixes(spark, sf_dir):
 
 
 def random_stream(spark, sf_dir):
-    return generate.random_stream(spark, 200).select("len", F.char_length("text").cast("long").alias("found"))
+    """Texts of one stream: their lengths, characters of no alphabet, and whether the next one goes on with it (it starts anew)."""
+    rows = generate.random_stream(spark, 200)
+    after = F.lead("text").over(Window.orderBy("len"))
+    goes_on = F.coalesce(F.startswith(after, F.col("text")), F.lit(False)) & (F.col("len") > 8)
+    return rows.select("len", F.char_length("text").cast("long").alias("found"), F.regexp_count("text", F.lit("[^acgt]")).cast("long").alias("others"), goes_on.alias("goes_on"), F.when(F.col("len") > 40, F.size(F.array_distinct(F.split("text", "")))).cast("long").alias("letters"))
 
 
 def prefix_growth(spark, sf_dir):
@@ -237,7 +242,7 @@ ORACLES = {
     "fibonacci_strings": FIBONACCI.format(to=16) + " SELECT n, text, length(text) AS len FROM f WHERE n >= 2",
     "periodic_strings": "SELECT p_partkey, substr(repeat('acgt', 1 + p_size), 1, p_size) AS text FROM part",
     "random_prefixes": "SELECT p_partkey, true AS is_prefix, p_size::BIGINT AS len, 0::BIGINT AS others FROM part",
-    "random_stream": LENGTHS.format(most=200) + " SELECT len, len AS found FROM l",
+    "random_stream": LENGTHS.format(most=200) + " SELECT len, len AS found, 0::BIGINT AS others, false AS goes_on, CASE WHEN len > 40 THEN 4 END::BIGINT AS letters FROM l",
     "prefix_growth": LENGTHS.format(most=1000) + " SELECT item_id, len, substr(text, 1, len) AS prefix FROM benchmark, l WHERE len < length(text)",
     "fasta_records": """WITH lines AS (SELECT conv_id::VARCHAR AS file, turn AS n, CASE WHEN role = 'user' THEN '>' || text ELSE text END AS value FROM conversations),
       marked AS (SELECT *, sum(CASE WHEN starts_with(value, '>') THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY n)::BIGINT AS record FROM lines WHERE NOT starts_with(value, ';')),

@@ -60,18 +60,40 @@ def slp_blow_up(spark, sf_dir):
     return found.select("conv_id", "turn", (F.col("blown_productions") - F.col("n_productions")).alias("added"), "blown_len")
 
 
+def slp_halved(spark, sf_dir):
+    """Productions, height and ratio of the halved tree, whose equal parts are one production."""
+    found = grammars.compression(_turns(spark, sf_dir), "text", ["conv_id", "turn"], "halved")
+    return found.select("conv_id", "turn", "n_productions", "height", F.round("ratio", 9).alias("ratio"))
+
+
 def compression_ratio(spark, sf_dir):
-    found = grammars.compression(_turns(spark, sf_dir), "text", ["conv_id", "turn"])
-    return found.select("conv_id", "turn", "n_factors", "n_productions", "derived_len", "height", "ratio")
+    """The compressed grammars' measures against their production tables: each pair is balanced and as high and long as
+    its sides make it; productions, height and ratio are those of the table."""
+    turns, own = _turns(spark, sf_dir), ["conv_id", "turn"]
+    table = grammars.productions(turns, "text", own)
+    side = lambda name: table.select(*own, F.col("prod_id").alias(f"{name}_id"), F.col("height").alias(f"{name}_height"), F.col("len").alias(f"{name}_len"))
+    both = table.join(side("left"), [*own, "left_id"], "left").join(side("right"), [*own, "right_id"], "left")
+    pair = (F.abs(F.col("left_height") - F.col("right_height")) <= 1) & (F.col("height") == 1 + F.greatest("left_height", "right_height")) & (F.col("len") == F.col("left_len") + F.col("right_len"))
+    right = F.when(F.col("kind") == "N", F.coalesce(pair, F.lit(False))).otherwise((F.col("height") == 0) & (F.col("len") == 1))
+    held = both.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.max("height").alias("h"), F.bool_and(right).alias("balanced"))
+    found = grammars.compression(turns, "text", own).join(held, own)
+    agrees = (F.col("n") == F.col("n_productions")) & (F.col("h") == F.col("height")) & (F.abs(F.col("ratio") * F.col("derived_len") - F.col("n")) < 1e-6)
+    return found.select(*own, "derived_len", "balanced", agrees.alias("agrees"), (F.col("n_factors") <= F.col("derived_len")).alias("factors"))
 
 
 def block_partition(spark, sf_dir):
-    """Turns put together again from their blocks, which equal contents share."""
-    cut = grammars.partition(_turns(spark, sf_dir), "text", ["conv_id", "turn"])
+    """Turns put together again from their blocks, which equal contents share;
+    how many key blocks don't have x to 2x - 1 symbols, or others 2x or more."""
+    turns, own = _turns(spark, sf_dir), ["conv_id", "turn"]
+    cut = grammars.partition(turns, "text", own)
     contents = cut.select("block_id", "content").distinct()
     joined = cut.drop("content").join(contents, "block_id")
+    sized = grammars.compression(turns, "text", own).select(*own, grammars.block_size("derived_len", "n_productions").alias("x"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "content")))
-    return joined.groupBy("conv_id", "turn").agg(F.array_join(F.transform(ordered, lambda x: x["content"]), "").alias("text"), F.sum("len").alias("len"))
+    key, size, x = F.col("kind") == "key", F.col("len"), F.col("x")
+    odd = F.when(key, (size < x) | (size >= 2 * x)).otherwise(size >= 2 * x)
+    known = F.col("kind").isin("key", "left", "right")
+    return joined.join(sized, own).groupBy(*own).agg(F.array_join(F.transform(ordered, lambda v: v["content"]), "").alias("text"), F.sum("len").alias("len"), F.sum(odd.cast("long")).alias("odd_sizes"), F.bool_and(known).alias("known_kinds"))
 
 
 def block_sizes(spark, sf_dir):
@@ -82,7 +104,10 @@ def block_sizes(spark, sf_dir):
 
 
 def dot_folded(spark, sf_dir):
-    return _names(spark, sf_dir).select("p_name", grammars.dot("p_name").alias("dot"))
+    """Nodes and edges of the folded graph: a node for each different part of the halved text, two edges for each that is a pair."""
+    dot = grammars.dot("p_name", builder="halved")
+    count = lambda pattern: F.regexp_count(dot, F.lit(pattern)).cast("long")
+    return _names(spark, sf_dir).select("p_name", count(r"\[label=").alias("nodes"), count(" -> ").alias("edges"), count('label="[^X"]').alias("letters"))
 
 
 def dot_unfolded(spark, sf_dir):
@@ -91,7 +116,7 @@ def dot_unfolded(spark, sf_dir):
     return _names(spark, sf_dir).select("p_name", lines.alias("edges"))
 
 
-QUERIES = {f.__name__: f for f in (lz_factors, lz_factors_automaton, lz_benchmark, lz_fibonacci, slp_round_trip, slp_derive, slp_balanced, slp_blow_up, compression_ratio, block_partition, block_sizes, dot_folded, dot_unfolded)}
+QUERIES = {f.__name__: f for f in (lz_factors, lz_factors_automaton, lz_benchmark, lz_fibonacci, slp_round_trip, slp_derive, slp_balanced, slp_halved, slp_blow_up, compression_ratio, block_partition, block_sizes, dot_folded, dot_unfolded)}
 
 #: LZ factors of texts (k, t) by recursion: the longest extension that occurs in front, else one character.
 LZ = """WITH RECURSIVE texts AS ({texts}), f AS (
@@ -99,7 +124,9 @@ LZ = """WITH RECURSIVE texts AS ({texts}), f AS (
   SELECT k, t, i + greatest(m, 1), seq + 1, CASE WHEN m = 0 THEN i ELSE strpos(substr(t, 1, i), substr(t, i + 1, m)) - 1 END, greatest(m, 1) FROM (
     SELECT *, coalesce(list_max(list_filter(range(1, length(t) - i + 1), lambda l: contains(substr(t, 1, i), substr(t, i + 1, l)))), 0) AS m FROM f WHERE i < length(t)))"""
 NAMES = LZ.format(texts="SELECT DISTINCT p_name AS k, p_name AS t FROM part") + ' SELECT k AS p_name, seq, b AS "begin", b + n - 1 AS "end" FROM f WHERE seq >= 0'
-TURN_TEXT = "SELECT conv_id, turn, text{more} FROM conversations"
+#: The different parts of texts (k, t) that are halved again and again, the first half being the longer one.
+HALVES = """WITH RECURSIVE parts AS (SELECT DISTINCT {k}, {t} AS part FROM {source} WHERE length({t}) > 0 UNION
+  SELECT {k}, unnest([substr(part, 1, (length(part) + 1) // 2), substr(part, (length(part) + 1) // 2 + 1)]) FROM parts WHERE length(part) > 1)"""
 
 ORACLES = {
     "lz_factors": NAMES,
@@ -109,10 +136,13 @@ ORACLES = {
     "slp_round_trip": "SELECT conv_id, turn, text AS balanced, text AS halved, text AS compressed FROM conversations",
     "slp_derive": "SELECT DISTINCT p_name, p_name AS text FROM part",
     "slp_balanced": "SELECT DISTINCT p_name, 2 * length(p_name) - 1 AS n_productions, length(p_name) AS derived_len FROM part",
+    "slp_halved": HALVES.format(k="conv_id, turn", t="text", source="conversations") + " SELECT conv_id, turn, count(*) AS n_productions, ceil(log2(max(length(part))))::BIGINT AS height, round(count(*) / max(length(part)), 9) AS ratio FROM parts GROUP BY ALL",
+    "compression_ratio": "SELECT conv_id, turn, length(text) AS derived_len, true AS balanced, true AS agrees, true AS factors FROM conversations",
     "slp_blow_up": "SELECT conv_id, turn, len(list_distinct(string_split(text, ''))) + 1 AS added, 2 * length(text) AS blown_len FROM conversations",
-    "block_partition": "SELECT conv_id, turn, text, length(text) AS len FROM conversations",
+    "block_partition": "SELECT conv_id, turn, text, length(text) AS len, 0::BIGINT AS odd_sizes, true AS known_kinds FROM conversations",
     "block_sizes": """WITH f AS (SELECT p_partkey, greatest(2.0::DOUBLE, 2.0::DOUBLE * p_partkey / greatest(1, p_size)) AS f FROM part),
       x AS (SELECT p_partkey, least(floor(0.4::DOUBLE * greatest(f / sqrt(log2(f)), least(5, p_partkey)::DOUBLE))::BIGINT, p_partkey::BIGINT) AS x FROM f)
       SELECT p_partkey, greatest(x, 1) AS x, greatest(x, 0) AS x_direct FROM x""",
+    "dot_folded": HALVES.format(k="p_name", t="p_name", source="part") + " SELECT p_name, count(*) AS nodes, 2 * count(*) FILTER (length(part) > 1) AS edges, count(*) FILTER (length(part) = 1) AS letters FROM parts GROUP BY p_name",
     "dot_unfolded": "SELECT DISTINCT p_name, 2 * length(p_name) - 2 AS edges FROM part",
 }

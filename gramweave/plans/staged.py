@@ -17,19 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from gramweave.functions import grammar, seaweed, strings
 
 Stage = tuple[str, Callable]
-ROWS = "engine string, size long, trial int, stage string, seconds double"
+ROWS = "engine string, size long, trial int, stage string, seconds double, outcome long"
 
 
-def run(spark: SparkSession, engine: str, stages: list[Stage], inputs: Iterable, trials: int = 5) -> DataFrame:
-    """Measurements of all stages over the inputs: (size, value) pairs."""
+def run(spark: SparkSession, engine: str, stages: list[Stage], inputs: Iterable, trials: int = 5, outcome: Callable | None = None) -> DataFrame:
+    """Measurements of all stages over the inputs: (size, value) pairs. outcome: what to keep of the last stage's value, as a number."""
     rows = []
     for size, value in inputs:
         for trial in range(trials):
             at = value
-            for name, stage in stages:
+            for k, (name, stage) in enumerate(stages, 1):
                 began = time.perf_counter()
                 at = stage(at)
-                rows.append((engine, int(size), trial, name, time.perf_counter() - began))
+                took = time.perf_counter() - began
+                rows.append((engine, int(size), trial, name, took, int(outcome(at)) if outcome and k == len(stages) else None))
     return spark.createDataFrame(rows, ROWS)
 
 
