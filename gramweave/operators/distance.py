@@ -40,11 +40,13 @@ def distance(pairs: DataFrame, a: str = "a", b: str = "b", *, engine: str = "aut
 
 
 def over_distinct(pairs: DataFrame, a: str, b: str, expression, into: str) -> DataFrame:
-    """Evaluate an expensive expression once for each distinct pair and join the results back."""
-    key = F.xxhash64(a, b)
-    known = pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct().withColumn("_value", expression(F.col("_a"), F.col("_b"))).withColumn("_key", F.xxhash64("_a", "_b"))
-    joined = pairs.withColumn("_key", key).join(known, "_key", "left").where(F.col(a).eqNullSafe(F.col("_a")) & F.col(b).eqNullSafe(F.col("_b")))
-    return joined.select(*pairs.columns, F.col("_value").alias(into))
+    """Evaluate an expensive expression once for each distinct pair and join the results back; columns may have any names."""
+    names = [f"_{k}" for k in range(len(pairs.columns))]
+    x, y = (F.col(names[pairs.columns.index(c)]) for c in (a, b))
+    rows = pairs.toDF(*names)
+    known = rows.select(x.alias("u"), y.alias("v")).distinct().withColumn("value", expression(F.col("u"), F.col("v"))).withColumn("of", F.xxhash64("u", "v"))
+    joined = rows.withColumn("key", F.xxhash64(x, y)).join(known, (F.col("key") == F.col("of")) & x.eqNullSafe(F.col("u")) & y.eqNullSafe(F.col("v")), "left")
+    return joined.select(*names, "value").toDF(*pairs.columns, into)
 
 
 def within(pairs: DataFrame, k: int, a: str = "a", b: str = "b", into: str = "distance") -> DataFrame:

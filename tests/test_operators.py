@@ -123,3 +123,26 @@ def test_staged_runs(spark):
     assert staged.run(spark, "build", staged.compression_stages(), [(5, "abaab")], trials=1).count() == 1
     grid = trials.sweep_grid(spark, step=3.0)
     assert staged.sweep_factors(spark, ("abaab", "babaa"), grid, trials=2).count() == 8
+
+
+def test_columns_of_any_name(spark):
+    from gramweave.operators import distance
+
+    rows = spark.createDataFrame([("ab", "b", 1, 2, 3, "k"), ("ab", "b", 4, 5, 6, "l"), (None, "x", 7, 8, 9, "m")], "a string, b string, _a int, _0 int, key int, value string")
+    found = distance.distance(rows, engine="lcs", into="lcs")
+    assert found.columns == [*rows.columns, "lcs"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("ab", "b", 1, 2, 3, "k", 1), ("ab", "b", 4, 5, 6, "l", 1), (None, "x", 7, 8, 9, "m", None)], key=str)
+
+
+def test_files_are_split(spark, tmp_path):
+    text = ";a comment\nlost\n>one\nac gt\n>two\n>three\nac\n;x\ngt\n>four\n"
+    for k in range(3):
+        (tmp_path / f"{k}.fa").write_text(text * (1 + 200 * k))
+    rows = lambda df: sorted((r.file.rpartition("/")[2], r.record, r.name, r.seq) for r in df.collect())
+    whole = rows(fasta.read(spark, str(tmp_path)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        assert rows(fasta.read_split(spark, str(tmp_path))) == whole and len(whole) > 1000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
