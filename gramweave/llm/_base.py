@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramweave.sources.scratch import scratch_path
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own on a local master only."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = tempfile.mkdtemp(prefix="gramweave-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/gramweave/{tag}-{uuid.uuid4().hex}"
+#: For each `cleared` block that is open, the tables written in it.
+_open: list[list[DataFrame]] = []
 
 
 def stash(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
@@ -35,6 +22,8 @@ def stash(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stash_path = path
+    for tables in _open:
+        tables.append(back)
     return back
 
 
@@ -46,6 +35,16 @@ def drop_stash(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def cleared() -> Iterator[None]:
+    """Delete all tables that operators write inside of the block when it ends: for callers who have written their results by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        drop_stash(*_open.pop())
+
+
 #: Bytes of a counted table that is broadcast at most.
 BROADCAST_BYTES = 32 << 20
 

@@ -232,3 +232,15 @@ def test_vectors_of_one_id(spark, ids):
     rows = [(ids[0], [float(k % 3), 1.0]) for k in range(300)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert ann.neighbours(vectors, F.lit(True)).collect() == []  # no candidates but those of the query's own id
+
+
+def test_written_tables_are_cleared(spark):
+    from gramweave.llm import _base
+
+    rows = spark.range(3)
+    with _base.cleared():
+        inner = _base.stash(rows, "a")
+        assert inner.count() == 3
+    files = spark._jvm.org.apache.hadoop.fs.Path(inner.stash_path)
+    assert not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
+    assert _base.stash(rows, "b").count() == 3 and not _base._open
