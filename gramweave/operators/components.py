@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gramweave.operators.lineage import kept
+
+#: Points of one key that a window may order, and how many places make a word of points beyond it (a word of words has half as many).
+PLAIN, FAN = 1_000_000, 4096
+
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     """(node, root): the least node of each one's component. `edges` has a and b, both in `nodes`.
@@ -16,12 +21,6 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFr
     the order of ids along a path. Lineage is cut by reliable checkpoints where the session has a
     checkpoint folder.
     """
-    spark = nodes.sparkSession
-    durable = spark.sparkContext.getCheckpointDir() is not None
-
-    def kept(table: DataFrame) -> DataFrame:
-        return table.checkpoint() if durable else table.cache()
-
     labels = kept(nodes.select(F.col(node).alias("v")).distinct().withColumn("rep", F.col("v")))
     left = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for end in ("a", "b"):
@@ -41,12 +40,31 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFr
 
 
 def interval_find(points: DataFrame, removed: DataFrame, place: str = "x", by: str | None = None) -> DataFrame:
-    """(x, last): the last point of each point's interval. A point ends an interval unless it is in `removed`."""
+    """(x, last): the last point of each point's interval. A point ends an interval unless it is in `removed`.
+
+    Many points are cut in words of FAN places, in each of which a window finds the ends; a point without one in its word
+    has the first end of a later word, which is the same question on a table of words.
+    """
+    keys = [by] if by else []
     gone = removed.select(F.col(place)).distinct().withColumn("_gone", F.lit(True))
     marked = points.join(gone, place, "left")
-    ends = F.when(F.col("_gone").isNull(), F.col(place))
-    window = Window.partitionBy(*([by] if by else [])).orderBy(place).rowsBetween(0, Window.unboundedFollowing)
-    return marked.select(*([by] if by else []), place, F.first(ends, ignorenulls=True).over(window).alias("last"))
+    rows = marked.select(*keys, F.col(place).alias("_x"), F.when(F.col("_gone").isNull(), F.col(place)).alias("_end"))
+    return _ends(rows, keys).select(*keys, F.col("_x").alias(place), F.col("_last").alias("last"))
+
+
+def _ends(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _x, _last): the first `_end` at `_x` or behind it."""
+    onward = lambda *by: F.first("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_x").rowsBetween(0, Window.unboundedFollowing))
+    if (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= PLAIN:
+        return rows.select(*keys, "_x", onward(*keys).alias("_last"))
+    rows = kept(rows.withColumn("_word", F.floor(F.col("_x") / FAN).cast("long")))
+    words = rows.groupBy(*keys, "_word").agg(F.min("_end").alias("_end"))
+    # each word, and a place behind it that asks for the words to come
+    asked = words.select(*keys, (2 * F.col("_word") + 1).alias("_x"), F.lit(None).cast(words.schema["_end"].dataType).alias("_end"))
+    later = _ends(kept(words.select(*keys, (2 * F.col("_word")).alias("_x"), "_end").unionByName(asked)), keys)
+    later = later.where(F.pmod(F.col("_x"), F.lit(2)) == 1).select(*keys, F.floor(F.col("_x") / 2).cast("long").alias("_word"), F.col("_last").alias("_later"))
+    found = rows.withColumn("_own", onward(*keys, "_word")).join(later, [*keys, "_word"])
+    return found.select(*keys, "_x", F.coalesce("_own", "_later").alias("_last"))
 
 
 def bit_place(x) -> tuple:

@@ -7,6 +7,7 @@ as a kernel on Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gramweave.functions import grammar
 from gramweave.functions.strings import kernel
+from gramweave.operators.lineage import kept
 
 FACTORS = "array<struct<begin:long,end:long>>"
 
@@ -62,15 +64,18 @@ def derive(table: DataFrame, keep: list[str], most: int = 64) -> DataFrame:
 
     Rounds follow the height, which balanced builders bound by the logarithm of the length.
     """
+    table = kept(table)
     height = table.agg(F.max("height")).first()[0] or 0
     if height > most:
         raise ValueError(f"a grammar of height {height} isn't balanced")
-    spelt = table.where("kind = 'T'").select(*keep, "prod_id", F.col("symbol").alias("spelt"))
+    levels = [kept(table.where("kind = 'T'").select(*keep, "prod_id", F.col("symbol").alias("spelt")))]
     for level in range(1, height + 1):
+        spelt = reduce(DataFrame.unionByName, levels)
         own = table.where(F.col("height") == level).select(*keep, "prod_id", "left_id", "right_id")
         left = spelt.select(*keep, F.col("prod_id").alias("left_id"), F.col("spelt").alias("l"))
         right = spelt.select(*keep, F.col("prod_id").alias("right_id"), F.col("spelt").alias("r"))
-        spelt = spelt.unionByName(own.join(left, [*keep, "left_id"]).join(right, [*keep, "right_id"]).select(*keep, "prod_id", F.concat("l", "r").alias("spelt")))
+        levels.append(kept(own.join(left, [*keep, "left_id"]).join(right, [*keep, "right_id"]).select(*keep, "prod_id", F.concat("l", "r").alias("spelt"))))
+    spelt = reduce(DataFrame.unionByName, levels)
     return table.where("is_root").select(*keep, "prod_id").join(spelt, [*keep, "prod_id"]).select(*keep, F.col("spelt").alias("text"))
 
 

@@ -18,13 +18,18 @@ def _names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_name").distinct()
 
 
+def _texts(spark, sf_dir):
+    """Names of parts and the benchmark's passages, whole."""
+    return _names(spark, sf_dir).select(F.col("p_name").alias("text")).unionByName(table(spark, sf_dir, "benchmark").select("text").distinct())
+
+
 def lz_factors(spark, sf_dir):
-    return grammars.factor_rows(_names(spark, sf_dir), "p_name", ["p_name"])
+    return grammars.factor_rows(_texts(spark, sf_dir), "text", ["text"])
 
 
 def lz_factors_automaton(spark, sf_dir):
-    found = _names(spark, sf_dir).select("p_name", F.posexplode(grammars.factorize("p_name", "automaton")).alias("seq", "f"))
-    return found.select("p_name", F.col("seq").cast("long").alias("seq"), "f.begin", "f.end")
+    found = _texts(spark, sf_dir).select("text", F.posexplode(grammars.factorize("text", "automaton")).alias("seq", "f"))
+    return found.select("text", F.col("seq").cast("long").alias("seq"), "f.begin", "f.end")
 
 
 def lz_benchmark(spark, sf_dir):
@@ -45,13 +50,14 @@ def slp_round_trip(spark, sf_dir):
 
 
 def slp_derive(spark, sf_dir):
-    """Names spelt from the production table, level by level."""
-    return grammars.derive(grammars.productions(_names(spark, sf_dir), "p_name", ["p_name"]), ["p_name"])
+    """Names and passages spelt from the production table, level by level."""
+    texts = _texts(spark, sf_dir).select(F.col("text").alias("whole"))
+    return grammars.derive(grammars.productions(texts, "whole", ["whole"]), ["whole"])
 
 
 def slp_balanced(spark, sf_dir):
     """Productions of the balanced tree without sharing."""
-    return grammars.productions(_names(spark, sf_dir), "p_name", ["p_name"], "balanced").groupBy("p_name").agg(F.count(F.lit(1)).alias("n_productions"), F.max("len").alias("derived_len"))
+    return grammars.productions(_turns(spark, sf_dir), "text", ["conv_id", "turn"], "balanced").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_productions"), F.max("len").alias("derived_len"))
 
 
 def slp_blow_up(spark, sf_dir):
@@ -123,19 +129,20 @@ LZ = """WITH RECURSIVE texts AS ({texts}), f AS (
   SELECT k, t, 0::BIGINT AS i, -1::BIGINT AS seq, 0::BIGINT AS b, 0::BIGINT AS n FROM texts UNION ALL
   SELECT k, t, i + greatest(m, 1), seq + 1, CASE WHEN m = 0 THEN i ELSE strpos(substr(t, 1, i), substr(t, i + 1, m)) - 1 END, greatest(m, 1) FROM (
     SELECT *, coalesce(list_max(list_filter(range(1, length(t) - i + 1), lambda l: contains(substr(t, 1, i), substr(t, i + 1, l)))), 0) AS m FROM f WHERE i < length(t)))"""
-NAMES = LZ.format(texts="SELECT DISTINCT p_name AS k, p_name AS t FROM part") + ' SELECT k AS p_name, seq, b AS "begin", b + n - 1 AS "end" FROM f WHERE seq >= 0'
+TEXTS = "SELECT p_name AS t FROM part UNION SELECT text FROM benchmark"
+FACTORS = LZ.format(texts=f"SELECT t AS k, t FROM ({TEXTS})") + ' SELECT k AS text, seq, b AS "begin", b + n - 1 AS "end" FROM f WHERE seq >= 0'
 #: The different parts of texts (k, t) that are halved again and again, the first half being the longer one.
 HALVES = """WITH RECURSIVE parts AS (SELECT DISTINCT {k}, {t} AS part FROM {source} WHERE length({t}) > 0 UNION
   SELECT {k}, unnest([substr(part, 1, (length(part) + 1) // 2), substr(part, (length(part) + 1) // 2 + 1)]) FROM parts WHERE length(part) > 1)"""
 
 ORACLES = {
-    "lz_factors": NAMES,
-    "lz_factors_automaton": NAMES,
+    "lz_factors": FACTORS,
+    "lz_factors_automaton": FACTORS,
     "lz_benchmark": LZ.format(texts="SELECT item_id AS k, text AS t FROM benchmark") + " SELECT k AS item_id, max(seq) + 1 AS n_factors, true AS agree FROM f GROUP BY k",
     "lz_fibonacci": FIBONACCI.format(to=18) + " SELECT n, n AS n_factors, length(text) AS derived_len, 2 * length(text) AS blown_len FROM f WHERE n >= 1",
     "slp_round_trip": "SELECT conv_id, turn, text AS balanced, text AS halved, text AS compressed FROM conversations",
-    "slp_derive": "SELECT DISTINCT p_name, p_name AS text FROM part",
-    "slp_balanced": "SELECT DISTINCT p_name, 2 * length(p_name) - 1 AS n_productions, length(p_name) AS derived_len FROM part",
+    "slp_derive": f"SELECT t AS whole, t AS text FROM ({TEXTS})",
+    "slp_balanced": "SELECT conv_id, turn, 2 * length(text) - 1 AS n_productions, length(text) AS derived_len FROM conversations",
     "slp_halved": HALVES.format(k="conv_id, turn", t="text", source="conversations") + " SELECT conv_id, turn, count(*) AS n_productions, ceil(log2(max(length(part))))::BIGINT AS height, round(count(*) / max(length(part)), 9) AS ratio FROM parts GROUP BY ALL",
     "compression_ratio": "SELECT conv_id, turn, length(text) AS derived_len, true AS balanced, true AS agrees, true AS factors FROM conversations",
     "slp_blow_up": "SELECT conv_id, turn, len(list_distinct(string_split(text, ''))) + 1 AS added, 2 * length(text) AS blown_len FROM conversations",

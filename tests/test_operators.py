@@ -146,3 +146,16 @@ def test_files_are_split(spark, tmp_path):
         assert rows(fasta.read_split(spark, str(tmp_path))) == whole and len(whole) > 1000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("plain, fan", [(10**6, 4096), (40, 8)])
+@pytest.mark.parametrize("by", ["g", None])
+def test_intervals_of_many_points(spark, monkeypatch, plain, fan, by):
+    monkeypatch.setattr(components, "PLAIN", plain)
+    monkeypatch.setattr(components, "FAN", fan)
+    rnd = random.Random(plain)
+    points = sorted((k % 2 if by else 0, x) for k, x in enumerate(rnd.sample(range(-200, 3000), 150)))
+    removed = {x for _, x in points if rnd.random() < 0.9}
+    found = components.interval_find(spark.createDataFrame(points, "g long, x long"), spark.createDataFrame([(x,) for x in removed], "x long"), by=by)
+    want = {x: min((y for h, y in points if h == g and y >= x and y not in removed), default=None) for g, x in points}
+    assert {r.x: r.last for r in found.collect()} == want
