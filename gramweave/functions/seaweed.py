@@ -148,11 +148,11 @@ def _combined(column_of: np.ndarray, low: np.ndarray, starts: np.ndarray) -> np.
     row_of = np.empty(n, np.int64)
     row_of[column_of] = np.arange(n)
     stairs = _stairs if len(starts) <= STEPPED else _stairs_in_step
-    # a point stays if its half rules at all four corners of its cell: at the last corner for the lower half, the first for the upper
-    ruled = stairs(column_of, row_of, low, starts, 0)
-    lost = stairs(column_of, row_of, low, starts, -1)
+    # a point stays if its half rules at all four corners of its cell: at the last corner for the lower half, the first for the
+    # upper. Upper points whose first corner is a tie lie on the stairs, in the same order as what is left over there.
+    ruled = stairs(column_of, row_of, low, starts)
     at = np.arange(n) + np.repeat(np.arange(len(starts) - 1), np.diff(starts))  # a product of n rows has n + 1 stairs
-    kept = np.where(low, column_of + 1 <= ruled[at + 1], column_of > lost[at])
+    kept = np.where(low, column_of + 1 <= ruled[at + 1], column_of > ruled[at])
     taken = np.zeros(n, bool)
     taken[column_of[kept]] = True
     # left-over rows and columns of one product meet in opposite order
@@ -163,47 +163,45 @@ def _combined(column_of: np.ndarray, low: np.ndarray, starts: np.ndarray) -> np.
     return out
 
 
-def _stairs(columns: np.ndarray, rows: np.ndarray, low: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
-    """For each i in 0..n the last k (-1: none) at which the lower half exceeds the upper by `most` at most; products one by one.
+def _stairs(columns: np.ndarray, rows: np.ndarray, low: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each i in 0..n the last k at which the lower half doesn't exceed the upper; products one by one.
 
     The excess at (i, k) is the number of upper points in rows before i and columns before k, less the
-    lower points in rows from i and columns from k on; it grows in i and in k.
+    lower points in rows from i and columns from k on; it grows in i and in k, and is 0 at most at the first k.
     """
     column_of, row_of, from_low, found = columns.tolist(), rows.tolist(), low.tolist(), []
     for first, last in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        out, k, excess, some = [0] * (last - first + 1), first, 0, most >= 0
+        out, k, excess = [0] * (last - first + 1), first, 0
         for i in range(last, first - 1, -1):
             if i < last:
                 excess -= column_of[i] >= k if from_low[i] else column_of[i] < k
-                some = some or excess <= most
-            while some and k < last:
+            while k < last:
                 row = row_of[k]
-                more = excess + (row >= i if from_low[row] else row < i)
-                if more > most:
-                    break
-                excess, k = more, k + 1
-            out[i - first] = k if some else first - 1
+                if row >= i if from_low[row] else row < i:
+                    if not excess:
+                        break
+                    excess += 1
+                k += 1
+            out[i - first] = k
         found.append(np.array(out))
     return np.concatenate(found)
 
 
-def _stairs_in_step(columns: np.ndarray, rows: np.ndarray, low: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+def _stairs_in_step(columns: np.ndarray, rows: np.ndarray, low: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The same for many products at once, each of which goes one step to the right or up in turn."""
     n, products = len(low), len(starts) - 1
     first, last = starts[:-1], starts[1:]
     out = np.empty(n + products, np.int64)
     row_low = low[rows]  # by column
     i, k, excess = last.copy(), first.copy(), np.zeros(products, np.int64)
-    shift = np.arange(products)
-    live = shift
+    live = np.arange(products)
     while len(live):
-        a, b = i[live], k[live]
-        e, end = excess[live], last[live]
+        a, b, e = i[live], k[live], excess[live]
         column = np.minimum(b, n - 1)
         row = rows[column]
         more = e + np.where(row_low[column], row >= a, row < a)
-        right = (e <= most) & (b < end) & (more <= most)
-        out[a + live] = np.where(e <= most, b, first[live] - 1)
+        right = (b < last[live]) & (more <= 0)
+        out[a + live] = b
         a = np.where(right, a, a - 1)
         up = np.clip(a, 0, n - 1)
         change = np.where(low[up], columns[up] >= b, columns[up] < b)
