@@ -70,8 +70,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard_join.near_duplicates(numbered.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")))
     groups = numbered.select("_row", F.col(doc_id).alias("doc_id")).join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
-    first = groups.groupBy("component_id").agg(F.min_by("_row", order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = stash(groups.join(first, "component_id").where("_row <> first").select("_row"), "gone")
+    # combined before the shuffle, and met again by row, so that a large group is no group in any task
+    first = groups.groupBy("component_id").agg(F.min_by("_row", order).alias("first")).select(F.col("first").alias("_row"))
+    gone = stash(numbered.select("_row").join(first, "_row", "left_anti"), "gone")
     if gone.count() * 16 <= jaccard_join.BROADCAST_BYTES:
         gone = F.broadcast(gone)
     return _restored(numbered.join(gone, "_row", "left_anti"), docs)
