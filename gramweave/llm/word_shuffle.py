@@ -25,14 +25,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import sys
 import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -73,12 +71,15 @@ def held_encoding(path: str):
 
 
 @cache
-def strays() -> re.Pattern:
-    """Characters of no class in Unicode 15.1, which a library of another version may class."""
+def strays() -> np.ndarray:
+    """Of each code point, whether it has no class in Unicode 15.1, so that a library of another version may class it."""
     table = unicodedata if unicodedata.unidata_version.startswith("15.") else unicodedata.ucd_3_2_0
-    unused = (c for c in range(128, sys.maxunicode + 1) if table.category(chr(c)) == "Cn")
-    runs = ([c for _, c in run] for _, run in groupby(enumerate(unused), lambda x: x[1] - x[0]))
-    return re.compile("[" + "".join(f"{chr(run[0])}-{chr(run[-1])}" for run in runs) + "]")
+    return np.array([table.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
+
+
+def is_cut_alike(text: str) -> bool:
+    """Whether the cutter here has the classes of the library for all of the text's characters."""
+    return text.isascii() or not strays()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any()
 
 
 def token_table(spark: SparkSession, path: str) -> DataFrame:
@@ -134,7 +135,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int, coded: bool) -> Iterat
     names, codes, numbers, size = [], [], Numbers(), 0
     for batch in slices(batches):
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = find(text) if text.isascii() or not strays().search(text) else [text]
+            words = find(text) if is_cut_alike(text) else [text]
             names.append(doc_id)
             if coded:
                 codes.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
