@@ -70,6 +70,12 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"_{k}" for k in range(len(df.columns))])
 
 
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """Some columns by name, whatever stands beside them (the first of names that differ by case only); one that isn't there is null."""
+    at = [column(df, name) for name in names]
+    return numbered(df).select(*[(F.col(k) if k else F.lit(None).cast("string")).alias(name) for k, name in zip(at, names, strict=True)])
+
+
 def beside(df: DataFrame, keep: tuple[str, ...], text: str, run, found: list[tuple[str, str]]) -> DataFrame:
     """The kept columns and what `run` makes of batches of them with the text behind: its last columns take the text's place."""
     rows = numbered(df)

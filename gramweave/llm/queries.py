@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .ann import op2_nearest_neighbours
+from .filter_audit import ORACLE as AUDIT_ORACLE
+from .filter_audit import op12_filter_audit
 from .fingerprints import op6_fingerprints
 from .html_extract import op8_html_extraction
 from .jaccard_join import ORACLE as JACCARD_ORACLE
@@ -26,9 +28,11 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scans": op10_secret_scans,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op9_jaccard_join": JACCARD_ORACLE,
     "op10_secret_scans": SECRET_ORACLE,
+    "op12_filter_audit": AUDIT_ORACLE,
 }
