@@ -34,12 +34,12 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-#: The failure conditions that look at one document (fixed values), of `text`, `words` and `chars`.
-LOCAL: dict[str, Column] = {
-    "A": F.size("words") < 50,
-    "B": 100 * F.size(F.array_distinct("words")) < 65 * F.size("words"),
-    "C": 100 * F.char_length(F.regexp_replace("text", "[^A-Z]+", "")) > 5 * F.col("chars"),
-    "D": F.col("text").rlike("[#$%&*|]"),
+#: The failure conditions that look at one document (fixed values), of `text`, `words` and `chars`; SQL or columns.
+LOCAL: dict[str, str | Column] = {
+    "A": "size(words) < 50",
+    "B": "100 * size(array_distinct(words)) < 65 * size(words)",
+    "C": "100 * char_length(regexp_replace(text, '[^A-Z]+', '')) > 5 * chars",
+    "D": "text rlike '[#$%&*|]'",
 }
 #: The filter that looks at the whole table: the text of a smaller doc_id.
 COPY = "E"
@@ -47,14 +47,14 @@ COPY = "E"
 MOST = 7
 
 
-def masks(docs: DataFrame, conditions: Mapping[str, Column] = LOCAL, copy: str | None = COPY, part: str = "source") -> DataFrame:
+def masks(docs: DataFrame, conditions: Mapping[str, str | Column] = LOCAL, copy: str | None = COPY, part: str = "source") -> DataFrame:
     """(doc_id, part, mask, n): which filters rows of a doc_id, part and text fail (bit k: the k-th one), and how many rows they are."""
     letters = [*conditions, *([copy] if copy else [])]
     if len(letters) > MOST:
         raise ValueError(f"{len(letters)} filters have {factorial(len(letters))} orders; at most {MOST} are audited")
     rows = picked(docs, "doc_id", "text", part).toDF("doc_id", "text", "part").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("part").cast("string"), F.lit("")).alias("part"))
     seen = rows.withColumns({"words": _words(F.col("text")), "chars": F.char_length("text")})
-    bits = [F.when(condition, 1 << k).otherwise(0) for k, condition in enumerate(conditions.values())]
+    bits = [F.when(F.expr(condition) if isinstance(condition, str) else condition, 1 << k).otherwise(0) for k, condition in enumerate(conditions.values())]
     marked = seen.select("doc_id", "part", F.unhex(F.sha2("text", 256)).alias("digest"), sum(bits, F.lit(0)).alias("mask"))
     counted = stash(marked.groupBy("doc_id", "part", "digest", "mask").agg(F.count(F.lit(1)).alias("n")), "masks")
     if not copy:
@@ -89,7 +89,7 @@ def _orders(letters: str) -> tuple[Column, Column, Column]:
     return F.split(F.lit(",".join(names)), ","), F.lit(before), F.lit([list(order) for order in orders])
 
 
-def audit(docs: DataFrame, labels: DataFrame, conditions: Mapping[str, Column] = LOCAL, copy: str | None = COPY, part: str = "source", lost: Mapping[str, str] = {"good_lost": "quality", "toxic_lost": "toxic"}) -> DataFrame:  # noqa: B006
+def audit(docs: DataFrame, labels: DataFrame, conditions: Mapping[str, str | Column] = LOCAL, copy: str | None = COPY, part: str = "source", lost: Mapping[str, str] = {"good_lost": "quality", "toxic_lost": "toxic"}) -> DataFrame:  # noqa: B006
     """A row for each part, order of the filters and step: what is kept, removed here, removed before although it fails here, failing here alone, labelled and removed here, and the filter's share over all orders."""
     letters = "".join(conditions) + (copy or "")
     n = len(letters)
