@@ -34,7 +34,7 @@ from gramweave.operators.spread import spread
 from ._base import bounded, drop_stash, picked, slices, stash
 
 #: Word occurrences of a chunk (a parameter), chunks' worth of them that a task holds open, and bytes of text that are cut at once.
-CHUNK, OPEN, SLICE = 1 << 18, 4, 1 << 22
+CHUNK, OPEN, SLICE = 1 << 19, 4, 1 << 22
 #: Candidates are phrases of 2 to WORDS words that occur LEAST times; the first TOP of a language are reported.
 WORDS, LEAST, TOP = 5, 100, 2000
 #: A candidate goes if a longer one that holds it has so many hundredths of its frequency.
@@ -153,21 +153,22 @@ def phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, lang: str =
     counted = listed.groupBy("lang", "word").agg(count).where(F.col("f") >= least)
     none = F.lit(None).cast("long")
     levels = [_with_ids(counted.select("lang", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("left"), none.alias("right"), "f", F.array("f").alias("firsts"), F.array("f").alias("lasts")), "words")]
-    named = listed.join(levels[0].select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"]).select("of", "number", "id")
-    own = own.select("chunk", F.lit(b"").alias("places"), F.col("places").alias("numbers"))
-    written = []
+    # names that are counted to be few go out to the chunks' lists; of more, both are shuffled
+    named = listed.join(bounded(levels[0].select("id", "lang", F.col("phrase").alias("word")), 64), ["lang", "word"]).select("of", "number", "id")
+    earlier, own = own, own.select("chunk", F.lit(b"").alias("places"), F.col("places").alias("numbers"))
     for size in range(2, words + 1):
         paired = own.groupBy("chunk").cogroup(named.groupBy("of")).applyInArrow(_paired(size == words), PAIRS)
         own = stash(paired, "pairs")
-        written.append(own)
+        drop_stash(earlier)
+        earlier = own
         listed = own.select("chunk", F.posexplode(F.arrays_zip("lefts", "rights", "counts")).alias("number", "x")).select(F.col("chunk").alias("of"), "number", F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"), F.col("x.counts").alias("count"))
         counted = listed.groupBy("left", "right").agg(count).where(F.col("f") >= least)
         first, last = _parts(levels[-1])
         joined = counted.join(first, "left").join(last, "right")
         columns = [F.concat_ws(" ", "first_phrase", "last").alias("phrase"), "last", "left", "right", "f", F.concat("firsts", F.array("f")).alias("firsts"), F.concat("lasts", F.array("f")).alias("lasts")]
         levels.append(_with_ids(joined.select("lang", *columns), "phrases"))
-        named = listed.join(levels[-1].select("id", "left", "right"), ["left", "right"]).select("of", "number", "id")
-    drop_stash(*written)
+        named = listed.join(bounded(levels[-1].select("id", "left", "right"), 24), ["left", "right"]).select("of", "number", "id")
+    drop_stash(earlier)
     return levels, totals
 
 
