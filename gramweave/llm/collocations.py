@@ -10,7 +10,7 @@ word a level, and what contains a phrase is looked up the same way: a longer can
 a word longer that has it and is at least as frequent.
 
 Only distinct words and pairs of a chunk are shuffled by key, never occurrences, so a word that is everywhere is
-one row a chunk. Each level's chunks are a written table; a lost executor repeats a level's tasks at most.
+one row a chunk; pairs go by bucket of their hash, a compressed list for each chunk. Names that are few go out to the chunks. Each level's chunks are a written table; a lost executor repeats a level's tasks at most.
 
 Defined cases: null lang is `und`; null or empty text has no word; doc_id plays no part, so repeated rows all count;
 ties are broken by score, frequency and phrase; an empty table gives no row; other columns may have any name;
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gramweave.operators.spread import spread
 
-from ._base import bounded, drop_stash, picked, slices, stash
+from ._base import BROADCAST_BYTES, bounded, drop_stash, picked, slices, stash
 
 #: Word occurrences of a chunk (a parameter), chunks' worth of them that a task holds open, and bytes of text that are cut at once.
 CHUNK, OPEN, SLICE = 1 << 19, 4, 1 << 22
@@ -109,28 +109,135 @@ def chunks(docs: DataFrame, lang: str = "lang", chunk: int = CHUNK) -> DataFrame
     return rows.mapInArrow(_chunked(chunk), "chunk long, lang string, places binary, words array<string>, counts array<long>")
 
 
-PAIRS = "chunk long, places binary, numbers binary, lefts array<long>, rights array<long>, counts array<long>"
+PAIRS_DDL = "chunk long, places binary, numbers binary, lefts array<long>, rights array<long>, counts array<long>"
+PAIRS = pa.schema([("chunk", pa.int64()), ("places", pa.binary()), ("numbers", pa.binary()), *[(name, pa.list_(pa.int64())) for name in ("lefts", "rights", "counts")]])
 
 
-def _paired(last: bool):
-    """The kernel of a level: names of a chunk's phrases come in, its adjacent pairs of named phrases go out."""
+def _pairs_of(chunk: int, places: np.ndarray, numbers: np.ndarray, ids: np.ndarray, last: bool) -> pa.RecordBatch | None:
+    """A chunk of one level more: the adjacent pairs of its named phrases, which ones they are, and how often each occurs."""
+    kept = ids[numbers] > 0
+    places, numbers = places[kept], numbers[kept]
+    next_to = np.flatnonzero(places[1:] == places[:-1] + 1)
+    if not len(next_to):
+        return None
+    pairs, inverse, counts = np.unique(numbers[next_to].astype(np.int64) << 32 | numbers[next_to + 1], return_inverse=True, return_counts=True)
+    blobs = (b"", b"") if last else (places[next_to].tobytes(), inverse.astype(np.int32).tobytes())
+    ends = pa.array([0, len(pairs)], pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(values)) for values in (ids[pairs >> 32], ids[pairs & 0xFFFFFFFF], counts.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *[pa.array([b], pa.binary()) for b in blobs], *lists], PAIRS.names)
+
+
+def _read(places: pa.Scalar, numbers: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    numbers = np.frombuffer(numbers.as_buffer(), np.int32)
+    places = places.as_buffer()
+    return np.frombuffer(places, np.int32) if len(places) else np.arange(len(numbers), dtype=np.int32), numbers
+
+
+def _paired_by_group(last: bool):
+    """A level where names are many: a chunk comes with the names of its phrases."""
 
     def run(own: pa.Table, named: pa.Table) -> pa.Table:
-        if not own.num_rows or not named.num_rows:
-            return pa.table({name: pa.array([], kind) for name, kind in (("chunk", pa.int64()), ("places", pa.binary()), ("numbers", pa.binary()), *((c, pa.list_(pa.int64())) for c in ("lefts", "rights", "counts")))})
-        numbers = np.frombuffer(own["numbers"][0].as_buffer(), np.int32)
-        places = own["places"][0].as_buffer()
-        places = np.frombuffer(places, np.int32) if places is not None and len(places) else np.arange(len(numbers), dtype=np.int32)
-        ids = np.zeros(int(numbers.max(initial=0)) + 1, np.int64)
-        ids[named["number"].to_numpy()] = named["id"].to_numpy()
-        kept = ids[numbers] > 0
-        places, numbers = places[kept], numbers[kept]
-        next_to = np.flatnonzero(places[1:] == places[:-1] + 1)
-        pairs, inverse, counts = np.unique(numbers[next_to].astype(np.int64) << 32 | numbers[next_to + 1], return_inverse=True, return_counts=True)
-        lists = (ids[pairs >> 32], ids[pairs & 0xFFFFFFFF], counts.astype(np.int64))
-        blobs = (b"", b"") if last else (places[next_to].tobytes(), inverse.astype(np.int32).tobytes())
-        ends = pa.array([0, len(pairs)], pa.int32())
-        return pa.table({"chunk": own["chunk"], "places": pa.array([blobs[0]], pa.binary()), "numbers": pa.array([blobs[1]], pa.binary())} | {name: pa.ListArray.from_arrays(ends, pa.array(values)) for name, values in zip(("lefts", "rights", "counts"), lists, strict=True)})
+        batch = None
+        if own.num_rows and named.num_rows:
+            places, numbers = _read(own["places"][0], own["numbers"][0])
+            ids = np.zeros(int(numbers.max(initial=0)) + 1, np.int64)
+            ids[named["number"].to_numpy()] = named["id"].to_numpy()
+            batch = _pairs_of(own["chunk"][0].as_py(), places, numbers, ids, last)
+        return PAIRS.empty_table() if batch is None else pa.Table.from_batches([batch])
+
+    return run
+
+
+class _Words:
+    """Ids of a chunk's words."""
+
+    columns = ("lang", "words")
+
+    def __init__(self, names: pa.Table) -> None:
+        self.of: defaultdict[str, dict[str, int]] = defaultdict(dict)
+        for lang, word, number in zip(*(names[c].to_pylist() for c in ("lang", "phrase", "id")), strict=True):
+            self.of[lang][word] = number
+
+    def ids(self, lang: pa.Scalar, words: pa.Scalar) -> np.ndarray:
+        of = self.of[lang.as_py()]
+        return np.array([0, *[of.get(w, 0) for w in words.as_py()]], np.int64)  # 0 is the end of a piece
+
+
+class _Names:
+    """Ids of a chunk's pairs."""
+
+    columns = ("lefts", "rights")
+
+    def __init__(self, names: pa.Table) -> None:
+        left, right, ids = (names[c].to_numpy() for c in ("left", "right", "id"))
+        self.left, self.right = np.unique(left), np.unique(right)
+        keys = np.searchsorted(self.left, left) * len(self.right) + np.searchsorted(self.right, right)
+        order = np.argsort(keys)
+        self.keys, self.of = keys[order], ids[order]
+
+    def ids(self, lefts: pa.Scalar, rights: pa.Scalar) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(lefts.values), np.int64)
+        at = []
+        for values, known in ((lefts.values.to_numpy(), self.left), (rights.values.to_numpy(), self.right)):
+            place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            at.append((place, known[place] == values))
+        keys = at[0][0] * len(self.right) + at[1][0]
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(at[0][1] & at[1][1] & (self.keys[place] == keys), self.of[place], 0)
+
+
+def _paired_in_place(names, kind: type, last: bool):
+    """A level where names are few: they go out to the chunks, which stay where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = kind(names.value)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk, places, numbers, *lists = (batch.column(c)[k] for c in range(batch.num_columns))
+                found = _pairs_of(chunk.as_py(), *_read(places, numbers), known.ids(*lists), last)
+                if found is not None:
+                    yield found
+
+    return run
+
+
+def _packed(buckets: int):
+    """A chunk's pairs and counts by hash of the pair: sorted, the first ids as steps, and compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for k in range(batch.num_rows):
+                left, right, counts = (batch.column(c)[k].values.to_numpy() for c in range(3))
+                bucket = (left * np.int64(0x9E3779B97F4A7C1) ^ right * np.int64(0x2545F4914F6CDD1D)).view(np.uint64) >> np.uint64(24)
+                bucket = (bucket % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((right, left, bucket))
+                left, right, counts, bucket = left[order], right[order], counts[order], bucket[order]
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                ends = np.append(starts[1:], len(bucket))
+                packs = []
+                for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                    packs.append(codec.compress(np.concatenate([np.diff(left[a:b], prepend=0), right[a:b], counts[a:b]]).tobytes(), asbytes=True))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(ends - starts), pa.array(packs, pa.binary())], ["bucket", "size", "pack"])
+
+    return run
+
+
+def _counted(least: int):
+    """The frequent pairs of a bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        codec = pa.Codec("zstd")
+        parts = [np.frombuffer(codec.decompress(pack, 24 * size, asbytes=True), np.int64).reshape(3, size) for size, pack in zip(table["size"].to_pylist(), table["pack"].to_pylist(), strict=True)]
+        left = np.concatenate([np.cumsum(p[0]) for p in parts])
+        right, counts = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+        order = np.lexsort((right, left))
+        left, right, counts = left[order], right[order], counts[order]
+        starts = np.flatnonzero((np.diff(left, prepend=-1) != 0) | (np.diff(right, prepend=-1) != 0))
+        total = np.add.reduceat(counts, starts)
+        kept = total >= least
+        return pa.table({"left": left[starts[kept]], "right": right[starts[kept]], "f": total[kept]})
 
     return run
 
@@ -140,35 +247,54 @@ def _with_ids(counted: DataFrame, tag: str) -> DataFrame:
     return stash(counted.select((F.monotonically_increasing_id() + 1).alias("id"), "*"), tag)
 
 
-def phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, lang: str = "lang", chunk: int = CHUNK) -> tuple[list[DataFrame], DataFrame]:
+#: Pairs of a bucket, about.
+BUCKET = 1 << 20
+
+
+def phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, lang: str = "lang", chunk: int = CHUNK, few: int = BROADCAST_BYTES) -> tuple[list[DataFrame], DataFrame]:
     """The frequent phrases of 1 to `words` words, a written table each, and (lang, n).
 
     A phrase has id, lang, phrase, its last word, the ids `left` and `right` of its parts, and the counts `firsts` and `lasts` of its
-    first and last 1, 2, ... words; the last of either is its own.
+    first and last 1, 2, ... words; the last of either is its own. A level's names whose bytes are counted to be at most `few` go out to the
+    chunks, others are joined with the chunks' lists and meet the chunks by shuffles; the result is the same.
     """
+    spark = docs.sparkSession
     own = stash(chunks(docs, lang, chunk), "chunks")
-    listed = own.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select(F.col("chunk").alias("of"), "lang", (F.col("at") + 1).alias("number"), F.col("x.words").alias("word"), F.col("x.counts").alias("count"))
+    listed = own.select(F.col("chunk").alias("of"), "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("of", "lang", (F.col("at") + 1).alias("number"), F.col("x.words").alias("word"), F.col("x.counts").alias("count"))
     totals = stash(own.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    count = F.sum("count").alias("f")
-    counted = listed.groupBy("lang", "word").agg(count).where(F.col("f") >= least)
+    counted = listed.groupBy("lang", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
     none = F.lit(None).cast("long")
     levels = [_with_ids(counted.select("lang", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("left"), none.alias("right"), "f", F.array("f").alias("firsts"), F.array("f").alias("lasts")), "words")]
-    # names that are counted to be few go out to the chunks' lists; of more, both are shuffled
-    named = listed.join(bounded(levels[0].select("id", "lang", F.col("phrase").alias("word")), 64), ["lang", "word"]).select("of", "number", "id")
-    earlier, own = own, own.select("chunk", F.lit(b"").alias("places"), F.col("places").alias("numbers"))
+    buckets = max(spark.sparkContext.defaultParallelism, (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET)
+    sent = []
     for size in range(2, words + 1):
-        paired = own.groupBy("chunk").cogroup(named.groupBy("of")).applyInArrow(_paired(size == words), PAIRS)
-        own = stash(paired, "pairs")
+        names, is_words, last = levels[-1], size == 2, size == words
+        blobs = [F.lit(b"").alias("places"), F.col("places").alias("numbers")] if is_words else ["places", "numbers"]
+        if names.count() * (64 if is_words else 24) <= few:
+            kind = _Words if is_words else _Names
+            sent.append(spark.sparkContext.broadcast(names.select(*(("lang", "phrase", "id") if is_words else ("left", "right", "id"))).toArrow()))
+            paired = own.select("chunk", *blobs, *kind.columns).mapInArrow(_paired_in_place(sent[-1], kind, last), PAIRS_DDL)
+        else:
+            if is_words:
+                named = listed.join(names.select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"])
+            else:
+                listed = own.select(F.col("chunk").alias("of"), F.posexplode(F.arrays_zip("lefts", "rights")).alias("number", "x")).select("of", "number", F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"))
+                named = listed.join(names.select("id", "left", "right"), ["left", "right"])
+            paired = own.select("chunk", *blobs).groupBy("chunk").cogroup(named.select("of", "number", "id").groupBy("of")).applyInArrow(_paired_by_group(last), PAIRS_DDL)
+        earlier, own = own, stash(paired, "pairs")
         drop_stash(earlier)
-        earlier = own
-        listed = own.select("chunk", F.posexplode(F.arrays_zip("lefts", "rights", "counts")).alias("number", "x")).select(F.col("chunk").alias("of"), "number", F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"), F.col("x.counts").alias("count"))
-        counted = listed.groupBy("left", "right").agg(count).where(F.col("f") >= least)
-        first, last = _parts(levels[-1])
-        joined = counted.join(first, "left").join(last, "right")
+        packed = own.select("lefts", "rights", "counts").mapInArrow(_packed(buckets), "bucket long, size long, pack binary")
+        # the number is given: packs are small for what they hold
+        counted = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_counted(least), "left long, right long, f long")
+        counted = stash(counted, "counts")
+        first, rest = _parts(levels[-1])
+        joined = counted.join(first, "left").join(rest, "right")
         columns = [F.concat_ws(" ", "first_phrase", "last").alias("phrase"), "last", "left", "right", "f", F.concat("firsts", F.array("f")).alias("firsts"), F.concat("lasts", F.array("f")).alias("lasts")]
         levels.append(_with_ids(joined.select("lang", *columns), "phrases"))
-        named = listed.join(bounded(levels[-1].select("id", "left", "right"), 24), ["left", "right"]).select("of", "number", "id")
-    drop_stash(earlier)
+        drop_stash(counted)
+    drop_stash(own)
+    for names in sent:
+        names.destroy()
     return levels, totals
 
 
@@ -194,9 +320,9 @@ def exact_score(a: Column, n: Column, l: Column, r: Column) -> Column:  # noqa:
     return F.call_function("div", F.lit(1000).cast("decimal(4,0)") * long(a) * long(n), long(l) * long(r))
 
 
-def collocations(docs: DataFrame, words: int = WORDS, least: int = LEAST, percent: int = PERCENT, top: int | None = TOP, lang: str = "lang", chunk: int = CHUNK) -> DataFrame:
+def collocations(docs: DataFrame, words: int = WORDS, least: int = LEAST, percent: int = PERCENT, top: int | None = TOP, lang: str = "lang", chunk: int = CHUNK, few: int = BROADCAST_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first phrases by score, frequency and phrase; all of them if `top` is None."""
-    levels, totals = phrases(docs, words, least, lang, chunk)
+    levels, totals = phrases(docs, words, least, lang, chunk, few)
     totals = bounded(totals, 32)
     found = []
     for size, level in enumerate(levels[1:], 2):

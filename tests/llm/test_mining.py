@@ -164,16 +164,16 @@ def mined(rows, words, least, percent):
     return out
 
 
-@pytest.mark.parametrize(("percent", "chunk"), [(100, collocations.CHUNK), (60, 64)])
-def test_collocations_equal_counting(spark, percent, chunk):
+@pytest.mark.parametrize(("percent", "chunk", "few"), [(100, collocations.CHUNK, collocations.BROADCAST_BYTES), (60, 64, 0), (80, 64, 1500)])
+def test_collocations_equal_counting(spark, percent, chunk, few):
     rng = random.Random(percent)
     vocabulary = ["Of", "the", "a", "bé", "中", "x\x1cy", "#", "to be"]
     text = lambda n: "".join(rng.choice(vocabulary) + rng.choice([" ", " ", "  ", "\t", ". ", ", ", "\n"]) for _ in range(n))
     rows = [(k, rng.choice([None, "", text(rng.randrange(1, 60))]), rng.choice([None, "und", "en", "fr"]), None) for k in range(80)]
     rows += [(1, "one two three four five six " * 30, "en", None)] * 3 + [(2, text(9000), "en", None)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    # of 64 words: many chunks of many slices, also in a task that reads one text
-    found = collocations.collocations(clashing(docs), least=9, percent=percent, top=None, chunk=chunk).collect()
+    # of 64 words: many chunks of many slices, also in a task that reads one text; `few` sends names out, joins them, or both
+    found = collocations.collocations(clashing(docs), least=9, percent=percent, top=None, chunk=chunk, few=few).collect()
     want = mined(rows, 5, 9, percent)
     assert Counter((r.lang, r.phrase, r.a, r.l, r.r, r.n, r.score) for r in found) == Counter(want) and len(want) > 50
     for lang in {r.lang for r in found}:
