@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramweave.sources.scratch import scratch_path
@@ -54,9 +54,9 @@ def bounded(df: DataFrame, width: int, limit: int = BROADCAST_BYTES) -> DataFram
     return F.broadcast(df) if df.count() * width <= limit else df.hint("merge")
 
 
-def plain(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id as long and text with null as the empty string; extra columns go."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
+def plain(docs: DataFrame) -> DataFrame:
+    """doc_id as long and text with null as the empty string; extra columns go, whatever their names."""
+    return picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def column(df: DataFrame, name: str) -> str | None:
@@ -76,6 +76,14 @@ def picked(df: DataFrame, *names: str) -> DataFrame:
     return numbered(df).select(*[(F.col(k) if k else F.lit(None).cast("string")).alias(name) for k, name in zip(at, names, strict=True)])
 
 
+def told_apart(df: DataFrame, *wanted: str) -> DataFrame:
+    """The table with one column of each name, if case doesn't count: one that is wanted as it is spelt, else the first."""
+    names = {}
+    for name in (*wanted, *df.columns):
+        names.setdefault(name.lower(), name)
+    return picked(df, *[name for name in names.values() if column(df, name)])
+
+
 def beside(df: DataFrame, keep: tuple[str, ...], text: str, run, found: list[tuple[str, str]]) -> DataFrame:
     """The kept columns and what `run` makes of batches of them with the text behind: its last columns take the text's place."""
     rows = numbered(df)

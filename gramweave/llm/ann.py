@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._base import bounded, stash
+from ._base import bounded, stash, told_apart
 
 
 @dataclass(frozen=True)
@@ -273,7 +273,7 @@ def _of_one_length(usable: DataFrame, size: int, rows: int, k: int, sample: int,
 def neighbours(vectors: DataFrame, queries: Column, *, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = 20_000, shard_rows: int = 16_384, query_rows: int = 32_768) -> DataFrame:
     """The k nearest rows found of each row that `queries` selects: query_id, rank, vec_id, score (Euclidean distance)."""
     spark = vectors.sparkSession
-    named = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector"), queries.alias("asked")).where(F.col("vec_id").isNotNull())
+    named = told_apart(vectors, vec_id, embedding).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector"), queries.alias("asked")).where(F.col("vec_id").isNotNull())
     usable = named.where(_usable("vector"))
     # one index for each length of vectors; a table has one as a rule
     lengths = usable.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asked").cast("int")).alias("q")).where("n > 1 and q > 0").orderBy("size").collect()

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._base import plain, slices, stash
+from ._base import picked, plain, slices, stash
 
 #: Characters of a paragraph: how many decide on a cut, how many lie between two cuts on average, how many there are at most.
 WINDOW, EVERY, MOST = 6, 48, 1024
@@ -280,7 +280,7 @@ def compare_with_next(docs: DataFrame, range_rows: int = 2048) -> DataFrame:
     spark = docs.sparkSession
     named = plain(docs).withColumn("h", F.xxhash64("text"))
     # ranges of doc_id, without the texts: their edges are quantiles, several ranges a task even out
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("key"))
+    ids = picked(docs, "doc_id").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL)).alias("key"))
     count, parts = ids.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, min(max(-(-count // range_rows), 8 * parts), count // 16 + 1, RANGES))
     asked = [k / ranges for k in range(1, ranges)] or [0.5]

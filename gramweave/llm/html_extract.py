@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from gramweave.operators.spread import spread
 
-from ._base import drop_stash, slices, stash
+from ._base import drop_stash, picked, slices, stash
 
 # Elements by the part they play in a page.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -374,6 +374,7 @@ def _extract_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    pages = picked(pages, "page_id", "url", "html")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
     noise = stash(noise_branches(rows.select("host", "html")), "noise")
     size = noise.agg(F.sum(F.length("host") + 100).alias("n")).first().n or 0

@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from gramweave.operators.spread import spread
 
-from ._base import beside, bounded, drop_stash, slices, stash
+from ._base import beside, bounded, drop_stash, picked, slices, stash
 
 CELLS = 1 << 18
 LONGEST = 4
@@ -130,7 +130,7 @@ def _sample_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(docs: DataFrame, per_language: int = 300, landmarks: int = 24, most: int = 20_000) -> Model | None:
     """Learn from text and lang of rows that are not held out."""
-    doc_id = F.col("doc_id").cast("long")
+    docs, doc_id = picked(docs, "doc_id", "text", "lang"), F.col("doc_id").cast("long")
     labelled = docs.where(F.col("lang").isNotNull() & doc_id.isNotNull() & ~held_out(doc_id)).select(F.col("lang").cast("string").alias("lang"), F.xxhash64(doc_id, F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
     counts = stash(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
     each = min(per_language, max(1, most // max(1, counts.count())))
@@ -150,8 +150,8 @@ def train(docs: DataFrame, per_language: int = 300, landmarks: int = 24, most: i
         shares = found.select("of", F.when(F.col("short"), F.col("share") * 8).otherwise(F.col("share")).alias("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     # bounded by `most`: hashes without their texts
-    picked = low.select("lang", "h", rank.alias("nth")).where(F.col("nth") <= each).select("lang", "h")
-    sample = labelled.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("h", "lang", "text").mapInArrow(_sample_cells, "h long, lang string, cells binary")
+    chosen = low.select("lang", "h", rank.alias("nth")).where(F.col("nth") <= each).select("lang", "h")
+    sample = labelled.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("h", "lang", "text").mapInArrow(_sample_cells, "h long, lang string, cells binary")
     rows = sorted((r.lang, r.h, bytes(r.cells)) for r in sample.collect())
     return fit([(lang, np.frombuffer(cells, np.int32)) for lang, _, cells in rows], landmarks)
 
@@ -181,5 +181,5 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    found = identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs))
+    found = identify(picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

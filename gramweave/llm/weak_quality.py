@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gramweave.operators.spread import spread
 
-from ._base import beside, sample_edge, slices
+from ._base import beside, picked, sample_edge, slices
 
 CELLS = 1 << 13
 LONGEST = 6
@@ -219,7 +219,7 @@ def _features(batches):
 
 def train(docs: DataFrame, sample: int = 4000) -> tuple[Labels, Scorer] | None:
     """Fit on the patterns of all documents and the features of a bounded sample. `docs` has doc_id and text."""
-    visible = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h"), F.col("text").cast("string").alias("text")).where(F.length(F.trim("text")) > 0)
+    visible = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h"), F.col("text").cast("string").alias("text")).where(F.length(F.trim("text")) > 0)
     # at most 3 ** labellers rows
     tally = visible.select("text").mapInArrow(_votes, "pattern string").groupBy("pattern").count().collect()
     if not tally:
