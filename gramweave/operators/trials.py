@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gramweave.operators.places import running
+
 #: Statistic -> place in t sorted trials, by whole-number division.
 PLACES = {"min": "0", "lower": "(n - 1) div 4", "median": "n div 2", "upper": "3 * (n - 1) div 4", "max": "n - 1"}
 
 
 def trial_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """min, lower, median, upper, max (elements of the sorted trials), mean and rsd (percent) of each group."""
-    ordered = Window.partitionBy(*by).orderBy(value)
-    placed = rows.select(*by, F.col(value).alias("v"), (F.row_number().over(ordered) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("n"))
-    picked = [F.max(F.when(F.col("k") == F.expr(place), F.col("v"))).alias(name) for name, place in PLACES.items()]
-    return placed.groupBy(*by).agg(*picked, F.avg("v").alias("mean"), (100 * F.stddev_pop("v") / F.avg("v")).alias("rsd"))
+    """min, lower, median, upper, max (elements of the sorted trials), mean and rsd (percent) of each group.
+
+    Trials are counted by value before they are dealt; running sums of the counts over ranges of values then tell which value
+    stands at which place, so that no task gets a group.
+    """
+    counted = rows.groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = running(counted, by, ["v"], F.col("n"), into="k")
+    mean = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), (100 * F.stddev_pop(value) / F.avg(value)).alias("rsd"))
+    whole = mean.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)], *[F.expr(place).alias(f"_{name}") for name, place in PLACES.items()], "mean", "rsd")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(by)], F.lit(True))
+    holds = lambda name: (F.col("k") <= F.col(f"_{name}")) & (F.col(f"_{name}") < F.col("k") + F.col("n"))
+    picked = [F.max(F.when(holds(name), F.col("v"))).alias(name) for name in PLACES]
+    return placed.join(whole, same).groupBy(*by, "mean", "rsd").agg(*picked).select(*by, *PLACES, "mean", "rsd")
 
 
 def totals(stats: DataFrame, by: list[str]) -> DataFrame:

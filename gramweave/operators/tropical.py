@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gramweave.operators.places import running
+from gramweave.sources.scratch import written
+
 
 def _product(a: DataFrame, b: DataFrame, best, by: list[str]) -> DataFrame:
     left = a.select(*by, F.col("i"), F.col("j").alias("k"), F.col("v").alias("x"))
@@ -100,6 +103,29 @@ def permutation_distribution(p: DataFrame) -> DataFrame:
     return distribution(dense.join(ones, ["i", "j"], "left").select("i", "j", F.coalesce("one", F.lit(0).cast("long")).alias("v")))
 
 
+def dominance(points: DataFrame, asked: DataFrame, weight: Column | None = None) -> DataFrame:
+    """The rows asked, (i, j) and more, with `count`: the points (r, c) with r >= i and c < j, or the sum of their weights.
+
+    Rows from i on are i itself and one range of a power of two for each bit that i lacks. A point lies in one range of each power,
+    so points and questions meet by range, and there running sums over the columns answer. That is a row a bit for each
+    point and question, whatever the number of cells; no matrix is formed. Rows and columns are whole numbers from 0.
+    """
+    marks = points.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), (F.lit(1) if weight is None else weight).cast("long").alias("w"))
+    asked = written(asked.withColumn("_no", F.monotonically_increasing_id()), "asked")
+    bits = max(1, int(marks.agg(F.max("r")).first()[0] or 0).bit_length())
+    level = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level")
+    held = marks.select("c", "w", "r", level).select("level", F.expr("shiftright(r, level)").alias("range"), "c", "w", F.lit(None).cast("long").alias("_no"))
+    held = held.where((F.col("range") % 2 == 1) | (F.col("level") == 0))
+    wanted = asked.select("_no", F.greatest(F.col("i"), F.lit(0)).cast("long").alias("i"), F.col("j").cast("long").alias("c"))
+    above = wanted.select("_no", "i", "c", level).select("_no", "level", F.expr("shiftright(i, level)").alias("range"), "c")
+    lacking = above.where(F.col("range") % 2 == 0).select("level", (F.col("range") + 1).alias("range"), "c", F.lit(0).cast("long").alias("w"), "_no")
+    own = wanted.select(F.lit(0).alias("level"), F.col("i").alias("range"), "c", F.lit(0).cast("long").alias("w"), "_no")
+    # at equal columns questions come first
+    summed = running(held.unionByName(lacking).unionByName(own), ["level", "range"], ["c", F.col("w") != 0, "_no"], F.col("w"))
+    counts = summed.where("_no IS NOT NULL").groupBy("_no").agg(F.sum("before").alias("count"))
+    return asked.join(counts, "_no", "left").select(*[c for c in asked.columns if c != "_no"], F.coalesce("count", F.lit(0)).alias("count"))
+
+
 def inverse(p: DataFrame) -> DataFrame:
     return p.select(F.col("c").alias("r"), F.col("r").alias("c"))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import algebra, distances, files, grammars, measurements
+from . import algebra, distances, files, grammars, measurements, rows
 
-QUERIES = {**distances.QUERIES, **grammars.QUERIES, **algebra.QUERIES, **measurements.QUERIES, **files.QUERIES}
-ORACLES = {**distances.ORACLES, **grammars.ORACLES, **algebra.ORACLES, **measurements.ORACLES, **files.ORACLES}
+QUERIES = {**distances.QUERIES, **grammars.QUERIES, **algebra.QUERIES, **measurements.QUERIES, **files.QUERIES, **rows.QUERIES}
+ORACLES = {**distances.ORACLES, **grammars.ORACLES, **algebra.ORACLES, **measurements.ORACLES, **files.ORACLES, **rows.ORACLES}
 
 
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
