@@ -67,6 +67,16 @@ def sweep_grid(spark, step: float = 0.3, most: float = 6.0, centre: float = 3.0)
     return ordered.withColumn("seq", F.row_number().over(Window.orderBy("away", "xfactor", "ffactor")).cast("long")).drop("away")
 
 
+def sweep_grids(rows: DataFrame, by: str, centre: Column, step: float = 0.3, most: float = 6.0) -> DataFrame:
+    """(by, xfactor, ffactor, seq): for each row the grid of factors, nearest to the row's own centre first."""
+    count = int(most / step + 1e-9)
+    axis = F.lit([round(k * step, 6) for k in range(1, count + 1)])
+    points = rows.select(by, centre.alias("_c"), F.explode(axis).alias("xfactor")).select(by, "_c", "xfactor", F.explode(axis).alias("ffactor"))
+    away = F.round(F.pow(F.col("xfactor") - F.col("_c"), 2) + F.pow(F.col("ffactor") - F.col("_c"), 2), 6)
+    order = Window.partitionBy(by).orderBy("_away", "xfactor", "ffactor")  # as many rows as a grid has
+    return points.withColumn("_away", away).select(by, "xfactor", "ffactor", F.row_number().over(order).cast("long").alias("seq"))
+
+
 def heat_map(rows: DataFrame, down: str, across: str, value: str, columns: list) -> DataFrame:
     return rows.groupBy(down).pivot(across, columns).agg(F.first(value))
 

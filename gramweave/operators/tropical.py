@@ -45,6 +45,13 @@ def filled(spark, n: int, m: int, value: int = 0) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("i")).crossJoin(spark.range(m).select(F.col("id").alias("j"))).withColumn("v", F.lit(value).cast("long"))
 
 
+def filled_each(rows: DataFrame, by: str, n: Column, m: Column, value: Column) -> DataFrame:
+    """(by, i, j, v): for each row a matrix of n rows and m columns of one value."""
+    to = lambda c: F.sequence(F.lit(0).cast("long"), c.cast("long") - 1)
+    sized = rows.select(by, n.alias("_n"), m.alias("_m"), value.cast("long").alias("v")).where("_n > 0 AND _m > 0")
+    return sized.select(by, F.explode(to(F.col("_n"))).alias("i"), "_m", "v").select(by, "i", F.explode(to(F.col("_m"))).alias("j"), "v")
+
+
 def from_nested(rows: DataFrame, nested: str, keep: list[str]) -> DataFrame:
     """Cells of an array of arrays."""
     return rows.select(*keep, F.posexplode(nested).alias("i", "_r")).select(*keep, F.col("i").cast("long").alias("i"), F.posexplode("_r").alias("j", "v")).withColumn("j", F.col("j").cast("long"))

@@ -54,7 +54,9 @@ def matrix_equal(spark, sf_dir):
 
 
 def matrix_fill(spark, sf_dir):
-    return tropical.filled(spark, 3, 4, 7)
+    """For each supplier a matrix that its key fills."""
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    return tropical.filled_each(table(spark, sf_dir, "supplier"), "s_suppkey", key % 4, 1 + nation % 5, key)
 
 
 def distribution(spark, sf_dir):
@@ -258,7 +260,7 @@ ORACLES = {
     "max_plus_part": f"WITH a AS ({A}), b AS ({B}) SELECT a.i - 2 AS i, b.j - 5 AS j, max(a.v + b.v) AS v FROM a JOIN b ON a.j = b.i WHERE a.i BETWEEN 2 AND 5 AND a.j BETWEEN 1 AND 9 AND b.j BETWEEN 5 AND 19 GROUP BY ALL",
     "vector_max_plus": f"WITH b AS ({B}), v AS (SELECT month(o_orderdate) AS i, count(*) AS x FROM orders GROUP BY ALL) SELECT j, max(v + x) AS value, arg_max(i, struct_pack(s := v + x, n := -i)) AS pos FROM b JOIN v USING (i) GROUP BY j",
     "matrix_equal": "SELECT true AS same, false AS other",
-    "matrix_fill": "SELECT i, j, 7::BIGINT AS v FROM (SELECT unnest(range(0, 3)) AS i), (SELECT unnest(range(0, 4)) AS j)",
+    "matrix_fill": "SELECT s_suppkey, i, unnest(range(0, 1 + s_nationkey % 5)) AS j, s_suppkey::BIGINT AS v FROM (SELECT *, unnest(range(0, s_suppkey % 4)) AS i FROM supplier)",
     "distribution": f"WITH p AS ({P}) {SIGMA.format(p='p')}",
     "density": f"WITH p AS ({P}) SELECT a.r AS i, b.c AS j, CASE WHEN a.c = b.c THEN 1 ELSE 0 END::BIGINT AS v FROM p a CROSS JOIN p b",
     "unfold_h": f"WITH p AS ({P}), s AS ({SIGMA.format(p='p')}) SELECT i, j, j - (i - 10) - v AS v FROM s",

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gramweave.functions import strings
 from gramweave.operators import components, distance
@@ -97,10 +96,11 @@ def compressed_pairs_direct(spark, sf_dir):
 
 
 def compressed_fibonacci(spark, sf_dir):
-    """Each Fibonacci string against the next one, over compressed blocks."""
-    f = generate.fibonacci(spark, 20).where("n >= 1")
-    pairs = f.select("n", F.col("text").alias("a")).join(f.select((F.col("n") - 1).alias("n"), F.col("text").alias("b")), "n")
-    return distance.distance(pairs, engine="grammar").select("n", "distance")
+    """For each supplier a Fibonacci string of its letters and the next one, over compressed blocks; of equal ones, once."""
+    key = F.col("s_suppkey")
+    n, letters = 1 + key % 15, [F.char(97 + key % 13), F.char(110 + F.floor(key / 13) % 13)]
+    pairs = table(spark, sf_dir, "supplier").select("s_suppkey", n.cast("long").alias("n"), generate.fibonacci_text(n, *letters).alias("a"), generate.fibonacci_text(n + 1, *letters).alias("b"))
+    return distance.distance(pairs, engine="grammar").select("s_suppkey", "n", "distance")
 
 
 def order_pairs(spark, sf_dir):
@@ -122,7 +122,10 @@ def substitution_cost(spark, sf_dir):
 
 
 def fibonacci_strings(spark, sf_dir):
-    return generate.fibonacci_source(spark, 15).select("n", "text", F.char_length("text").cast("long").alias("len"))
+    """For each part the Fibonacci string of a number from 2 on."""
+    n = 2 + F.col("p_partkey") % 14
+    found = table(spark, sf_dir, "part").select("p_partkey", n.cast("long").alias("n"), generate.fibonacci_text(n).alias("text"))
+    return found.withColumn("len", F.char_length("text").cast("long"))
 
 
 def periodic_strings(spark, sf_dir):
@@ -138,11 +141,11 @@ def random_prefixes(spark, sf_dir):
 
 
 def random_stream(spark, sf_dir):
-    """Texts of one stream: their lengths, characters of no alphabet, and whether the next one goes on with it (it starts anew)."""
-    rows = generate.random_stream(spark, 200)
-    after = F.lead("text").over(Window.orderBy("len"))
-    goes_on = F.coalesce(F.startswith(after, F.col("text")), F.lit(False)) & (F.col("len") > 8)
-    return rows.select("len", F.char_length("text").cast("long").alias("found"), F.regexp_count("text", F.lit("[^acgt]")).cast("long").alias("others"), goes_on.alias("goes_on"), F.when(F.col("len") > 40, F.size(F.array_distinct(F.split("text", "")))).cast("long").alias("letters"))
+    """For each customer a text of one stream: its length, characters of no alphabet, and whether the next one goes on with it (it starts anew)."""
+    rows = generate.stream_texts(table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 200 + 1).alias("len")), "len", "c_custkey")
+    after = rows.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("text").alias("after"))
+    goes_on = F.coalesce(F.startswith("after", F.col("text")), F.lit(False)) & (F.col("len") > 12)
+    return rows.join(after, "c_custkey", "left").select("c_custkey", F.char_length("text").cast("long").alias("found"), F.regexp_count("text", F.lit("[^acgt]")).cast("long").alias("others"), goes_on.alias("goes_on"), F.when(F.col("len") > 80, F.size(F.array_distinct(F.split("text", "")))).cast("long").alias("letters"))
 
 
 def prefix_growth(spark, sf_dir):
@@ -234,15 +237,15 @@ ORACLES = {
     "blow_up_pairs": f"SELECT a, b, levenshtein(a, b)::BIGINT AS distance FROM ({PAIRS})",
     "compressed_pairs": f"SELECT a, b, levenshtein(a, b)::BIGINT AS distance FROM ({PAIRS})",
     "compressed_pairs_direct": f"SELECT a, b, levenshtein(a, b)::BIGINT AS distance FROM ({PAIRS})",
-    "compressed_fibonacci": FIBONACCI.format(to=20) + " SELECT n, levenshtein(text, following)::BIGINT AS distance FROM f WHERE n BETWEEN 1 AND 19",
+    "compressed_fibonacci": FIBONACCI.format(to=16) + " SELECT s_suppkey, n, levenshtein(text, following)::BIGINT AS distance FROM supplier JOIN f ON n = 1 + s_suppkey % 15",
     "order_pairs": "SELECT o_orderpriority AS a, c_mktsegment AS b, count(*) AS orders, levenshtein(a, b)::BIGINT AS distance FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
     "dp_grid": _lcs(PAIRS, True, "SELECT a, b, i::BIGINT AS i, unnest(range(0, len(r))) AS j, unnest(r) AS v FROM rows"),
     "substitution_cost": f"""WITH w AS ({WILD}), x AS (SELECT DISTINCT unnest(string_split(a, '')) AS x, b FROM w), y AS (SELECT DISTINCT x, unnest(string_split(b, '')) AS y FROM x)
       SELECT x, y, CASE WHEN x = y OR x = '*' OR y = '*' THEN 0 ELSE 1 END::BIGINT AS cost FROM y""",
-    "fibonacci_strings": FIBONACCI.format(to=16) + " SELECT n, text, length(text) AS len FROM f WHERE n >= 2",
+    "fibonacci_strings": FIBONACCI.format(to=16) + " SELECT p_partkey, n, text, length(text) AS len FROM part JOIN f ON n = 2 + p_partkey % 14",
     "periodic_strings": "SELECT p_partkey, substr(repeat('acgt', 1 + p_size), 1, p_size) AS text FROM part",
     "random_prefixes": "SELECT p_partkey, true AS is_prefix, p_size::BIGINT AS len, 0::BIGINT AS others FROM part",
-    "random_stream": LENGTHS.format(most=200) + " SELECT len, len AS found, 0::BIGINT AS others, false AS goes_on, CASE WHEN len > 40 THEN 4 END::BIGINT AS letters FROM l",
+    "random_stream": "SELECT c_custkey, c_custkey % 200 + 1 AS found, 0::BIGINT AS others, false AS goes_on, CASE WHEN c_custkey % 200 + 1 > 80 THEN 4 END::BIGINT AS letters FROM customer",
     "prefix_growth": LENGTHS.format(most=1000) + " SELECT item_id, len, substr(text, 1, len) AS prefix FROM benchmark, l WHERE len < length(text)",
     "fasta_records": """WITH lines AS (SELECT conv_id::VARCHAR AS file, turn AS n, CASE WHEN role = 'user' THEN '>' || text ELSE text END AS value FROM conversations),
       marked AS (SELECT *, sum(CASE WHEN starts_with(value, '>') THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY n)::BIGINT AS record FROM lines WHERE NOT starts_with(value, ';')),

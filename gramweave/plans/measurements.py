@@ -35,7 +35,8 @@ def speedups(spark, sf_dir):
 
 
 def sweep_order(spark, sf_dir):
-    return trials.sweep_grid(spark)
+    """For each supplier a grid of factors, outwards from the remainder of its key."""
+    return trials.sweep_grids(table(spark, sf_dir, "supplier"), "s_suppkey", (F.col("s_suppkey") % 7).cast("double"), step=0.6)
 
 
 def heat_map(spark, sf_dir):
@@ -76,7 +77,8 @@ ORACLES = {
     "stage_totals": STAGES + ' SELECT iteration, 0::DOUBLE AS "min", 0::DOUBLE AS lower, sum(median) AS median, 0::DOUBLE AS upper, 0::DOUBLE AS "max", 0::DOUBLE AS mean, 0::DOUBLE AS rsd FROM s GROUP BY iteration',
     "stage_shares": STAGES + ", h AS (SELECT iteration, stage, median / sum(median) OVER (PARTITION BY iteration) AS share FROM s) SELECT iteration, stage, round(share, 6) AS share, round(sum(share) OVER (PARTITION BY iteration ORDER BY stage), 6) AS stacked FROM h",
     "speedups": STAGES + " SELECT a.iteration, round(a.median / n.median, 6) AS speedup FROM s a LEFT JOIN s n ON a.iteration = n.iteration AND n.stage = 'N' WHERE a.stage = 'A'",
-    "sweep_order": "WITH a AS (SELECT round(k * 0.3, 6) AS f FROM (SELECT unnest(range(1, 21))::DOUBLE AS k)) SELECT x.f AS xfactor, y.f AS ffactor, row_number() OVER (ORDER BY round(pow(x.f - 3, 2) + pow(y.f - 3, 2), 6), x.f, y.f) AS seq FROM a x CROSS JOIN a y",
+    "sweep_order": """WITH a AS (SELECT round(k * 0.6, 6) AS f FROM (SELECT unnest(range(1, 11))::DOUBLE AS k)), s AS (SELECT s_suppkey, (s_suppkey % 7)::DOUBLE AS c FROM supplier)
+      SELECT s_suppkey, x.f AS xfactor, y.f AS ffactor, row_number() OVER (PARTITION BY s_suppkey ORDER BY round(pow(x.f - c, 2) + pow(y.f - c, 2), 6), x.f, y.f) AS seq FROM s, a x, a y""",
     "heat_map": STAGES + " SELECT iteration, max(median) FILTER (stage = 'A') AS a, max(median) FILTER (stage = 'N') AS n, max(median) FILTER (stage = 'R') AS r FROM s GROUP BY iteration",
     "head_tail": STAGES + """ SELECT stage, iteration, median, 'head' AS "end" FROM s QUALIFY row_number() OVER (PARTITION BY stage ORDER BY iteration) <= 2
       UNION ALL SELECT stage, iteration, median, 'tail' FROM s QUALIFY row_number() OVER (PARTITION BY stage ORDER BY iteration DESC) <= 2""",

@@ -22,6 +22,14 @@ def fibonacci(spark: SparkSession, to: int) -> DataFrame:
     return rows.coalesce(1)
 
 
+def fibonacci_text(n: Column, first: Column | str = "a", second: Column | str = "b") -> Column:
+    """The n-th Fibonacci string of two letters: "", a, ab, then each the concatenation of the two before it."""
+    a, b = (c if isinstance(c, Column) else F.lit(c) for c in (first, second))
+    state = lambda text, following: F.struct(text.alias("text"), following.alias("following"))
+    step = lambda s, k: state(s["following"], F.when(k == 1, F.concat(a, b)).otherwise(F.concat(s["following"], s["text"])))
+    return F.when(n <= 0, F.lit("")).otherwise(F.aggregate(F.sequence(F.lit(1), n.cast("int")), state(F.lit(""), a), step, lambda s: s["text"]))
+
+
 def fibonacci_source(spark: SparkSession, to: int) -> DataFrame:
     """The strings that a run up to `to` yields: numbers 2 to `to` + 1."""
     return fibonacci(spark, to + 1).where("n >= 2")
@@ -58,6 +66,11 @@ def random_stream(spark: SparkSession, most: int, growth: float = GROWTH, alphab
     return rows.withColumn("text", random_text(F.col("len"), F.xxhash64(F.lit(seed), F.col("len")), alphabet))
 
 
+def stream_texts(rows: DataFrame, length: str, key: str, alphabet: str = ALPHABET, seed: int = STREAM_SEED) -> DataFrame:
+    """The rows with a text each of its own length, as from one running stream: a key's text is a prefix of no other one's."""
+    return rows.withColumn("text", random_text(F.col(length), F.xxhash64(F.lit(seed), F.col(key)), alphabet))
+
+
 def prefixes(rows: DataFrame, text: str, most: int, keep: list[str], growth: float = GROWTH) -> DataFrame:
     """Growing prefixes (len, prefix) of each text cut to `most`: all lengths below its own."""
     whole = F.substring(F.col(text), 1, most)

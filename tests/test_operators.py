@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gramweave.operators import components, trials
+from gramweave.operators import components, trials, tropical
 from gramweave.sources import fasta, generate, measurements
 from gramweave.streaming import with_distance
 
@@ -114,15 +114,29 @@ def test_staged_runs(spark):
     for _, stage in staged.grammar_stages():
         at = stage(at)
     assert at == plain_distance(*pair)
-    runs = staged.run(spark, "grammar", staged.grammar_stages(), [(len(pair[0]), pair)], trials=3)
-    stats = trials.trial_stats(runs, ["engine", "size", "stage"], "seconds").collect()
-    assert {r.stage for r in stats} == {"grammars", "tables", "grid"} and all(0 < r.min <= r.median <= r.max for r in stats)
-    assert staged.run(spark, "product", staged.product_stages(), staged.product_inputs([10, 50]), trials=2).count() == 4
+    pairs = spark.createDataFrame([(1, *pair), (2, "abaab", "babaa")], "id long, a string, b string").selectExpr("*", "char_length(a) AS size")
+    runs = staged.run(pairs, "grammar", staged.grammar_stages(), lambda row: (row["a"], row["b"]), ("id",), trials=3, outcome=int)
+    stats = trials.trial_stats(runs, ["id", "engine", "size", "stage"], "seconds").collect()
+    assert len(stats) == 6 and {r.stage for r in stats} == {"grammars", "tables", "grid"} and all(0 < r.min <= r.median <= r.max for r in stats)
+    assert {(r.id, r.outcome) for r in runs.where("stage = 'grid'").collect()} == {(1, plain_distance(*pair)), (2, plain_distance("abaab", "babaa"))}
+    perms = spark.createDataFrame([([2, 0, 1], [1, 0, 2], 3), ([0], [0], 1)], "p array<long>, q array<long>, size int")
+    assert staged.run(perms, "product", staged.product_stages(), staged.product_of, trials=2).count() == 4
     for fast in (True, False):
-        assert staged.run(spark, "vector", staged.vector_stages(fast), staged.vector_inputs([40]), trials=1).count() == 1
-    assert staged.run(spark, "build", staged.compression_stages(), [(5, "abaab")], trials=1).count() == 1
-    grid = trials.sweep_grid(spark, step=3.0)
-    assert staged.sweep_factors(spark, ("abaab", "babaa"), grid, trials=2).count() == 8
+        assert [r.outcome for r in staged.run(pairs.limit(1), "vector", staged.vector_stages(fast), staged.vector_of, trials=1, outcome=lambda v: v[-1]).collect()] == [3 * len(pair[0]) + 2 * len(pair[1])]
+    assert staged.run(pairs, "build", staged.compression_stages(), lambda row: row["a"], trials=1).count() == 2
+    swept = staged.sweep_factors(pairs, trials.sweep_grid(spark, step=3.0), trials=2).collect()
+    assert len(swept) == 16 and {(r.a, r.distance) for r in swept} == {(a, plain_distance(a, b)) for a, b in (pair, ("abaab", "babaa"))}
+
+
+def test_texts_and_grids_of_rows(spark):
+    texts = {r.n: r.text for r in generate.fibonacci(spark, 12).collect()}
+    rows = spark.range(13).select("id", generate.fibonacci_text(F.col("id")).alias("text"), generate.fibonacci_text(F.col("id"), "x", F.lit("y")).alias("other")).collect()
+    assert all(r.text == texts[r.id] and r.other == texts[r.id].translate(str.maketrans("ab", "xy")) for r in rows)
+    grid = [(r.xfactor, r.ffactor) for r in trials.sweep_grid(spark).orderBy("seq").collect()]
+    rows = trials.sweep_grids(spark.range(2), "id", F.lit(3.0)).orderBy("seq").collect()
+    assert all([(r.xfactor, r.ffactor) for r in rows if r.id == k] == grid for k in range(2))
+    cells = tropical.filled_each(spark.range(3), "id", F.col("id"), F.lit(2), F.col("id") * 5).collect()
+    assert sorted((r.id, r.i, r.j, r.v) for r in cells) == [(k, i, j, 5 * k) for k in range(3) for i in range(k) for j in range(2)]
 
 
 def test_columns_of_any_name(spark):
