@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gramweave.operators.lineage import kept
+from gramweave.sources.scratch import dropped, written
 
 #: Points of one key that a window may order, and how many places make a word of points beyond it (a word of words has half as many).
 PLAIN, FAN = 1_000_000, 4096
@@ -18,23 +19,26 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFr
     Each round hooks every node to the first of its neighbours and itself, in an order of hashes that is new each
     round, follows two hooks and contracts the edges, until no edge is left. The last node of a
     component in that order always goes, so it ends; in expectation a share of the nodes goes, whatever
-    the order of ids along a path. Lineage is cut by reliable checkpoints where the session has a
-    checkpoint folder.
+    the order of ids along a path. A round writes two tables, its hooks and the edges left; the hooks, fewer each round,
+    are followed from the nodes at the end, and stay under the lazy result.
     """
-    labels = kept(nodes.select(F.col(node).alias("v")).distinct().withColumn("rep", F.col("v")))
+    labels = nodes.select(F.col(node).alias("v")).distinct().withColumn("rep", F.col("v"))
     left = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for end in ("a", "b"):
         left = left.join(labels.select(F.col("v").alias(end)), end, "left_semi")
-    left, turn = kept(left.select("a", "b")), 0
+    left, turn = written(left.select("a", "b"), "edges"), 0
     while not left.isEmpty():
         place = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("to"))
         both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = kept(both.groupBy("a").agg(F.min(place("b")).alias("near")).select("a", F.least("near", place("a"))["to"].alias("to")))
-        jumped = kept(hooks.join(hooks.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", F.col("next").alias("to")))
-        labels = kept(labels.join(jumped.select(F.col("a").alias("rep"), "to"), "rep", "left").select("v", F.coalesce("to", "rep").alias("rep")))
+        hooks = both.groupBy("a").agg(F.min(place("b")).alias("near")).select("a", F.least("near", place("a"))["to"].alias("to"))
+        jumped = written(hooks.join(hooks.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", F.col("next").alias("to")), "hooks")
+        labels = labels.join(jumped.select(F.col("a").alias("rep"), "to"), "rep", "left").select("v", F.coalesce("to", "rep").alias("rep"))
         ends = jumped.select("a", F.col("to").alias("ta")), jumped.select(F.col("a").alias("b"), F.col("to").alias("tb"))
-        left = kept(left.join(ends[0], "a").join(ends[1], "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        older, left = left, written(left.join(ends[0], "a").join(ends[1], "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+        dropped(older)
         turn += 1
+    dropped(left)
+    labels = kept(labels)
     least = labels.groupBy("rep").agg(F.min("v").alias("root"))
     return labels.join(least, "rep").select(F.col("v").alias(node), "root")
 

@@ -110,7 +110,7 @@ def round_trip(text, builder: str = "compressed"):
 
 
 def partition(rows: DataFrame, text: str, keep: list[str], x: int | None = None, xfactor: float = 1.0, ffactor: float = 1.0) -> DataFrame:
-    """Blocks in order: pos, kind, block_id (of the content), content, len. x: block size, else from compressibility."""
+    """Blocks in order: pos, kind, block_id (of the content), content, len, and the text's derived_len and n_productions. x: block size, else from compressibility."""
 
     def cut(t: str) -> list[dict]:
         g = grammar.compressed(t)
@@ -118,10 +118,10 @@ def partition(rows: DataFrame, text: str, keep: list[str], x: int | None = None,
         out = []
         for pos, (kind, nodes) in enumerate(grammar.blocks(g, size)):
             content = "".join(c for k in nodes for c in g.spell(k))
-            out.append({"pos": pos, "kind": kind, "block_id": grammar.block_id(list(content)), "content": content, "len": len(content)})
+            out.append({"pos": pos, "kind": kind, "block_id": grammar.block_id(list(content)), "content": content, "len": len(content), "derived_len": len(t), "n_productions": g.productions()})
         return out
 
-    schema = "array<struct<pos:long,kind:string,block_id:string,content:string,len:long>>"
+    schema = "array<struct<pos:long,kind:string,block_id:string,content:string,len:long,derived_len:long,n_productions:long>>"
     return rows.select(*keep, F.inline(kernel(_over(cut), schema)(F.col(text))))
 
 

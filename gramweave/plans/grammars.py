@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gramweave.operators import grammars
 from gramweave.operators.spread import spread
 from gramweave.sources import generate
+from gramweave.sources.scratch import written
 from gramweave.plans.distances import FIBONACCI, table
 
 
@@ -79,7 +80,7 @@ def compression_ratio(spark, sf_dir):
     """The compressed grammars' measures against their production tables: each pair is balanced and as high and long as
     its sides make it; productions, height and ratio are those of the table."""
     turns, own = _turns(spark, sf_dir), ["conv_id", "turn"]
-    table = grammars.productions(turns, "text", own)
+    table = written(grammars.productions(turns, "text", own), "productions")
     side = lambda name: table.select(*own, F.col("prod_id").alias(f"{name}_id"), F.col("height").alias(f"{name}_height"), F.col("len").alias(f"{name}_len"))
     both = table.join(side("left"), [*own, "left_id"], "left").join(side("right"), [*own, "right_id"], "left")
     pair = (F.abs(F.col("left_height") - F.col("right_height")) <= 1) & (F.col("height") == 1 + F.greatest("left_height", "right_height")) & (F.col("len") == F.col("left_len") + F.col("right_len"))
@@ -94,15 +95,14 @@ def block_partition(spark, sf_dir):
     """Turns put together again from their blocks, which equal contents share;
     how many key blocks don't have x to 2x - 1 symbols, or others 2x or more."""
     turns, own = _turns(spark, sf_dir), ["conv_id", "turn"]
-    cut = grammars.partition(turns, "text", own)
+    cut = written(grammars.partition(turns, "text", own), "blocks")  # read twice, so that no text is compressed twice
     contents = cut.select("block_id", "content").distinct()
     joined = cut.drop("content").join(contents, "block_id")
-    sized = grammars.compression(turns, "text", own).select(*own, grammars.block_size("derived_len", "n_productions").alias("x"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "content")))
-    key, size, x = F.col("kind") == "key", F.col("len"), F.col("x")
+    key, size, x = F.col("kind") == "key", F.col("len"), grammars.block_size("derived_len", "n_productions")
     odd = F.when(key, (size < x) | (size >= 2 * x)).otherwise(size >= 2 * x)
     known = F.col("kind").isin("key", "left", "right")
-    return joined.join(sized, own).groupBy(*own).agg(F.array_join(F.transform(ordered, lambda v: v["content"]), "").alias("text"), F.sum("len").alias("len"), F.sum(odd.cast("long")).alias("odd_sizes"), F.bool_and(known).alias("known_kinds"))
+    return joined.groupBy(*own).agg(F.array_join(F.transform(ordered, lambda v: v["content"]), "").alias("text"), F.sum("len").alias("len"), F.sum(odd.cast("long")).alias("odd_sizes"), F.bool_and(known).alias("known_kinds"))
 
 
 def block_sizes(spark, sf_dir):

@@ -37,8 +37,9 @@ def _records(marked: DataFrame, order: str) -> DataFrame:
         F.coalesce(F.max(F.when(_header(), F.expr("substring(value, 2)"))), F.lit("")).alias("name"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~_header(), F.struct(order, F.regexp_replace("value", " ", "").alias("s"))))), lambda x: x["s"]), "").alias("seq"),
     )
-    most = F.max("record").over(Window.partitionBy("file"))
-    return rows.withColumn("_most", most).where((F.length("seq") > 0) | (F.col("record") == F.col("_most")) & (F.col("record") > 0)).select("file", "record", "name", "seq")
+    # a file's last record by its number alone: sequences stay where they are
+    last = marked.groupBy(F.col("file").alias("_file")).agg(F.max("record").alias("_most"))
+    return rows.join(last, F.col("file") == F.col("_file")).where((F.length("seq") > 0) | (F.col("record") == F.col("_most")) & (F.col("record") > 0)).select("file", "record", "name", "seq")
 
 
 def _header() -> Column:
