@@ -20,6 +20,8 @@ SMALL = 16
 STEPPED = 128
 #: Symbols of both strings up to which a product with H goes through H itself.
 DENSE = 48
+#: Cells that a product of Monge tables looks at at once.
+COLUMNS = 1 << 22
 #: Cells up to which a table is combed cell by cell rather than put together from parts.
 COMBED = 1 << 24
 
@@ -38,6 +40,32 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -min_plus(-a, -b)
 
 
+def monge_min_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same of two finite Monge tables, in n^2 log n steps of whole arrays.
+
+    The first place k of a minimum falls neither from row to row nor from column to column. Rows halve their distance in each
+    round, and a row searches between the places of its neighbours only, so a round looks at each column's places once.
+    """
+    n, inner, m = len(a), len(b), b.shape[1]
+    keyed, other = a * inner + np.arange(inner), np.ascontiguousarray(b.T) * inner  # least values, then least places
+    out = np.empty((n, m), np.int64)
+    for row in {0, n - 1}:
+        out[row] = (keyed[row] + other).min(1)
+    step, width = 1 << max(0, n - 1).bit_length(), max(1, COLUMNS // (n + inner))
+    while step > 1:
+        step //= 2
+        rows = np.arange(step, n - 1, 2 * step)
+        for first in range(0, m if len(rows) else 0, width):
+            columns = np.arange(first, min(m, first + width))
+            low = (out[np.ix_(rows - step, columns)] % inner).ravel()
+            sizes = (out[np.ix_(np.minimum(rows + step, n - 1), columns)] % inner).ravel() - low + 1
+            start = np.cumsum(sizes) - sizes
+            places = np.arange(start[-1] + sizes[-1]) + np.repeat(low - start, sizes)
+            sums = keyed[np.repeat(np.repeat(rows, len(columns)), sizes), places] + other[np.repeat(np.tile(columns, len(rows)), sizes), places]
+            out[np.ix_(rows, columns)] = np.minimum.reduceat(sums, start).reshape(len(rows), -1)
+    return out // inner
+
+
 def distribution(a: np.ndarray) -> np.ndarray:
     """S(i, j): the sum over rows from i on and columns before j."""
     out = np.zeros((a.shape[0] + 1, a.shape[1] + 1), np.int64)
@@ -268,13 +296,13 @@ def _among(s: np.ndarray, before: int, after: int) -> np.ndarray:
 def h_stacked(top: np.ndarray, bottom: np.ndarray, cols: int) -> np.ndarray:
     """H of A's upper and lower part over one B of so many symbols: a (min,+) product of distributions."""
     m1, m2 = len(top) - 1 - cols, len(bottom) - 1 - cols
-    return h_matrix(min_plus(_among(h_matrix(top, m1), m2, 0), _among(h_matrix(bottom, m2), 0, m1)), m1 + m2)
+    return h_matrix(monge_min_plus(_among(h_matrix(top, m1), m2, 0), _among(h_matrix(bottom, m2), 0, m1)), m1 + m2)
 
 
 def h_beside(left: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
     """H of one A of so many symbols over B's left and right part."""
     n1, n2 = len(left) - 1 - rows, len(right) - 1 - rows
-    return h_matrix(min_plus(_among(h_matrix(left, rows), 0, n2), _among(h_matrix(right, rows), n1, 0)), rows)
+    return h_matrix(monge_min_plus(_among(h_matrix(left, rows), 0, n2), _among(h_matrix(right, rows), n1, 0)), rows)
 
 
 def vector_times_h(vector: np.ndarray, t: Table) -> np.ndarray:
@@ -398,39 +426,38 @@ def distance_cell(same: bool) -> np.ndarray:
     return np.array([[0, 1, FAR], [1, 0 if same else 1, 1], [FAR, 1, 0]], np.int64)
 
 
-def _identity(n: int) -> np.ndarray:
-    out = np.full((n, n), FAR)
-    np.fill_diagonal(out, 0)
-    return out
+def _filled(table: np.ndarray, rows: int, cols: int, far: int) -> np.ndarray:
+    """The table with its corners, where there is no path, filled so that all of it is Monge: the farther from the band, the more."""
+    i, j = np.indices(table.shape)
+    gap = np.maximum(j - i - cols, i - j - rows)
+    return np.where(gap > 0, far * gap, table)
 
 
-def distance_beside(left: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
-    """Paths over the left block to the shared side, then over the right one."""
-    n1, n2 = len(left) - 1 - rows, len(right) - 1 - rows
-    first = np.full((rows + n1 + n2 + 1, n1 + rows + n2 + 1), FAR)
-    first[: rows + n1 + 1, : n1 + rows + 1] = left
-    first[rows + n1 :, n1 + rows :] = np.minimum(first[rows + n1 :, n1 + rows :], _steps(n2))
-    second = np.full((n1 + rows + n2 + 1, n1 + n2 + rows + 1), FAR)
-    second[: n1 + 1, : n1 + 1] = _steps(n1)
-    second[n1:, n1:] = right
-    return np.minimum(min_plus(first, second), FAR)
+def _through(first: np.ndarray, second: np.ndarray, far: int) -> np.ndarray:
+    found = monge_min_plus(first, second)
+    return np.where(found < far, found, FAR)
 
 
-def _steps(n: int) -> np.ndarray:
-    """Along a border without a block: a point reaches itself only."""
-    return _identity(n + 1)
+def distance_beside(left: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
+    """Paths over the left block to its bottom, or to the shared side and over the right one."""
+    n1, n2 = len(left) - 1 - rows, len(right) - 1 - rows
+    far = 8 * (rows + n1 + n2)
+    out = np.full((rows + n1 + n2 + 1, n1 + n2 + rows + 1), FAR)
+    out[: rows + n1 + 1, : n1 + 1] = left[:, : n1 + 1]
+    out[: rows + n1 + 1, n1:] = _through(_filled(left, rows, n1, far)[:, n1:], _filled(right, rows, n2, far)[: rows + 1], far)
+    out[rows + n1 :, n1:] = np.minimum(out[rows + n1 :, n1:], right[rows:])
+    return out
 
 
 def distance_stacked(top: np.ndarray, bottom: np.ndarray, cols: int) -> np.ndarray:
-    """Paths over the upper block to the shared side, then over the lower one."""
+    """Paths over the upper block to its right side, or to the shared side and over the lower one."""
     m1, m2 = len(top) - 1 - cols, len(bottom) - 1 - cols
-    first = np.full((m2 + m1 + cols + 1, m2 + cols + m1 + 1), FAR)
-    first[: m2 + 1, : m2 + 1] = _steps(m2)
-    first[m2:, m2:] = np.minimum(first[m2:, m2:], top)
-    second = np.full((m2 + cols + m1 + 1, cols + m2 + m1 + 1), FAR)
-    second[: m2 + cols + 1, : cols + m2 + 1] = bottom
-    second[m2 + cols :, cols + m2 :] = np.minimum(second[m2 + cols :, cols + m2 :], _steps(m1))
-    return np.minimum(min_plus(first, second), FAR)
+    far = 8 * (cols + m1 + m2)
+    out = np.full((m2 + m1 + cols + 1, cols + m2 + m1 + 1), FAR)
+    out[: m2 + 1, : cols + m2 + 1] = bottom[: m2 + 1]
+    out[m2:, : cols + m2 + 1] = _through(_filled(top, m1, cols, far)[:, : cols + 1], _filled(bottom, m2, cols, far)[m2:], far)
+    out[m2:, cols + m2 :] = np.minimum(out[m2:, cols + m2 :], top[:, cols:])
+    return out
 
 
 def distance_applied(table: np.ndarray, border: np.ndarray) -> np.ndarray:

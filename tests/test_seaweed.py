@@ -103,3 +103,21 @@ def test_single_cells(spark):
     rows = spark.createDataFrame([("a", "a"), ("a", "b")], "a string, b string")
     perms = [list(r.t.perm) for r in rows.select(tables.cell(F.col("a"), F.col("b")).alias("t")).collect()]
     assert perms == [[0, 1], [1, 0]]
+
+
+def test_products_of_monge_tables():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        n, inner, m = rng.integers(1, 30, 3)
+        monge = lambda r, c: np.cumsum(np.cumsum(-rng.integers(0, 3, (r, c)), 0), 1) + rng.integers(0, 50, (r, 1)) + rng.integers(0, 50, (1, c))  # noqa: E731, B023
+        a, b = monge(n, inner), monge(inner, m)
+        assert (S.monge_min_plus(a, b) == S.min_plus(a, b)).all()
+
+
+def test_distance_tables_of_any_cut():
+    rng = random.Random(13)
+    for _ in range(80):
+        a, b = ["".join(rng.choice("ab") for _ in range(rng.randrange(2, 16))) for _ in range(2)]
+        whole, i, j = S.distance_table_of(a, b), rng.randrange(1, len(a)), rng.randrange(1, len(b))
+        assert (S.distance_stacked(S.distance_table_of(a[:i], b), S.distance_table_of(a[i:], b), len(b)) == whole).all()
+        assert (S.distance_beside(S.distance_table_of(a, b[:j]), S.distance_table_of(a, b[j:]), len(a)) == whole).all()
