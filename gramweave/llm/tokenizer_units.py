@@ -33,7 +33,7 @@ def byte_letters() -> list[str]:
 class UnitEncoder:
     """ids of texts as little-endian bytes of `width` bytes an id."""
 
-    def __init__(self, path: str, words: bool, most: int = 300_000, ordinary: bool = False):
+    def __init__(self, path: str, words: bool, most: int = 1_500_000, ordinary: bool = False):
         """words: the vocabulary lower-cases and drops white space; else it keeps every byte. ordinary:
         contents of added tokens are ordinary text, which is not the library's default."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

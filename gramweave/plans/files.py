@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gramweave.plans import staged
 from gramweave.plans.distances import PAIRS, part_pairs, table
 from gramweave.sources import fasta, measurements
+from gramweave.sources import fasta_format as fasta_format_source
 from gramweave.sources.scratch import scratch_path
 
 
@@ -39,6 +40,16 @@ def fasta_written(spark, sf_dir):
     return fasta.read(spark, path).select("name", "seq")
 
 
+def fasta_format(spark, sf_dir):
+    """Conversations written as records by the format's writer, and read by ranges of 4096 bytes, of which records cover several."""
+    fasta_format_source.register(spark)
+    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("name"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "")
+    path = scratch_path(spark, "format")
+    turns.agg(F.translate(body, " \n\r>;", "_").alias("seq")).write.format("fasta").mode("append").save(path)
+    return spark.read.format("fasta").option("rangeBytes", 4096).load(path).select("name", "seq")
+
+
 def measurement_files(spark, sf_dir):
     """Order statistics of quantities by line number, written as a measurement table and read again."""
     from gramweave.operators import trials
@@ -91,7 +102,7 @@ def staged_factors(spark, sf_dir):
     return found.select("a", "b", "xfactor", "ffactor", F.col("trial").cast("long").alias("trial"), (F.col("seconds") >= 0).alias("timed"), "distance")
 
 
-QUERIES = {f.__name__: f for f in (fasta_files, fasta_split, fasta_written, measurement_files, staged_distances, staged_kernels, staged_factors)}
+QUERIES = {f.__name__: f for f in (fasta_files, fasta_split, fasta_written, fasta_format, measurement_files, staged_distances, staged_kernels, staged_factors)}
 
 SEQUENCES = r"""SELECT conv_id::VARCHAR AS name, string_agg(replace(split_part(text, chr(10), 1), ' ', ''), '' ORDER BY turn) AS seq FROM conversations GROUP BY conv_id"""
 TRIAL = f"(SELECT unnest(range(0, {TRIALS}))::INT AS trial)"
@@ -100,6 +111,7 @@ ORACLES = {
     "fasta_files": SEQUENCES,
     "fasta_split": SEQUENCES,
     "fasta_written": "SELECT item_id::VARCHAR AS name, translate(text, ' ' || chr(10), '__') AS seq FROM benchmark",
+    "fasta_format": "SELECT conv_id::VARCHAR AS name, translate(string_agg(text, '' ORDER BY turn), ' ' || chr(10) || chr(13) || '>;', '_') AS seq FROM conversations GROUP BY conv_id",
     "measurement_files": """SELECT l_linenumber::BIGINT AS "N", v[1]::DOUBLE AS "min", v[(n - 1) // 4 + 1]::DOUBLE AS lower, v[n // 2 + 1]::DOUBLE AS median, v[3 * (n - 1) // 4 + 1]::DOUBLE AS upper, v[n]::DOUBLE AS "max",
       0::BIGINT AS "L2_hits", 1::BIGINT AS "L2_miss", 2::BIGINT AS "L3_hits", 3::BIGINT AS "L3_miss", 4::BIGINT AS instructions
       FROM (SELECT l_linenumber, list_sort(list(l_quantity)) AS v, count(*) AS n FROM lineitem GROUP BY l_linenumber)""",

@@ -130,3 +130,39 @@ def test_dominance_and_order_statistics(spark):
         t = len(own)
         assert (s.min, s.lower, s.median, s.upper, s.max) == (own[0], own[(t - 1) // 4], own[t // 2], own[3 * (t - 1) // 4], own[-1])
         assert abs(s.mean - np.mean(own)) < 1e-12 and abs(s.rsd - 100 * np.std(own) / np.mean(own)) < 1e-9
+
+
+def test_sequence_format(spark, tmp_path):
+    """Ranges of any size give each record once; attempts that are not committed leave nothing."""
+    import io
+
+    from gramweave.sources import fasta, fasta_format
+
+    rng = random.Random(14)
+    text = "".join(rng.choice([">n%d\n" % k, "acgt\n", "ac gt", "\n", ";note\n", ">\n", "g" * 40 + "\n"]) for k in range(300))
+    whole = list(fasta_format.records(io.BytesIO(text.encode()), 0, len(text)))
+    for size in (1, 7, 64, 1000):
+        found = [r for at in range(0, len(text), size) for r in fasta_format.records(io.BytesIO(text.encode()), at, min(len(text), at + size))]
+        assert found == whole
+    path = tmp_path / "x.fa"
+    path.write_text(text)
+    known = sorted((r.name, r.seq) for r in fasta.read(spark, str(path)).where("record > 0").collect())
+    assert sorted((n, s) for _, n, s in whole) == known and len(known) > 50
+
+    fasta_format.register(spark)
+    read = spark.read.format("fasta").option("rangeBytes", 100).load(str(path))
+    assert sorted((r.name, r.seq) for r in read.collect()) == known and read.rdd.getNumPartitions() > 5
+    out = str(tmp_path / "out")
+    rows = spark.createDataFrame([(f"r{k}", "acgt" * k, 1) for k in range(90)], "name string, seq string, more int").repartition(5)
+    rows.write.format("fasta").mode("append").save(out)
+    assert {(r.name, r.seq) for r in spark.read.format("fasta").load(out).collect()} == {(f"r{k}", "acgt" * k) for k in range(1, 90)} | {(r.name, r.seq) for r in spark.read.format("fasta").load(out).where("seq = ''").collect()}
+    writer = fasta_format.FastaWriter({"path": out}, ["name", "seq"], True)
+    first, again = (writer.write(iter([("twice", "tt")])) for _ in range(2))  # a task and its repetition
+    assert first.staged != again.staged
+    writer.commit([again, None])
+    assert [(r.name, r.seq) for r in spark.read.format("fasta").load(out).collect()] == [("twice", "tt")]
+    writer.write(iter([("lost", "aa")]))
+    writer.abort([])
+    assert [(r.name, r.seq) for r in spark.read.format("fasta").load(out).collect()] == [("twice", "tt")]
+    with pytest.raises(ValueError):
+        fasta_format.FastaWriter({"path": out}, ["name"], False)
