@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import cached_property, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +42,18 @@ class Model:
     probe: int
     rerank: int
 
-    @cached_property
-    def coarse(self) -> np.ndarray:
-        """The middle of each list."""
-        return (self.base[:, None] + self.finer).reshape(-1, self.base.shape[1])
+    @property
+    def count(self) -> int:
+        """The number of lists; their middles are never all formed, in the driver or in a task."""
+        return len(self.base) * len(self.finer)
+
+    def middles(self, lists: np.ndarray) -> np.ndarray:
+        return self.base[lists // len(self.finer)] + self.finer[lists % len(self.finer)]
+
+    def far(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances of some rows to the middles of all lists, from those to both kinds of centroids."""
+        across = (x @ self.finer.T)[:, None] - self.base @ self.finer.T
+        return (squares(x, self.base)[:, :, None] - 2 * across + (self.finer**2).sum(1)).reshape(len(x), -1)
 
     @property
     def width(self) -> int:
@@ -60,24 +68,24 @@ class Model:
         return near * len(self.finer) + nearest(x - self.base[near], self.finer)
 
     def codes(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        rest = self.padded(x - self.coarse[lists])
+        rest = self.padded(x - self.middles(lists))
         step = self.books.shape[2]
         return np.stack([nearest(rest[:, s * step : (s + 1) * step], book) for s, book in enumerate(self.books)], 1).astype(np.uint8)
 
     def decoded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
         rest = np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], 1)
-        return self.coarse[lists] + rest[:, : self.base.shape[1]]
+        return self.middles(lists) + rest[:, : self.base.shape[1]]
 
     def tables(self, query: np.ndarray, lists: np.ndarray) -> np.ndarray:
         """Squared distances of the query's residuals to the codes: lists x subspaces x codes."""
-        rest = self.padded(query - self.coarse[lists]).reshape(len(lists), self.books.shape[0], 1, self.books.shape[2])
+        rest = self.padded(query - self.middles(lists)).reshape(len(lists), self.books.shape[0], 1, self.books.shape[2])
         return ((rest - self.books) ** 2).sum(3)
 
     def probed(self, x: np.ndarray) -> Iterator[np.ndarray]:
         """The nearest lists of each query, a few queries at a time."""
-        step = max(1, (1 << 22) // len(self.coarse))
+        step = max(1, (1 << 22) // self.count)
         for at in range(0, len(x), step):
-            far = squares(x[at : at + step], self.coarse)
+            far = self.far(x[at : at + step])
             if self.probe >= far.shape[1]:
                 yield from np.broadcast_to(np.arange(far.shape[1]), far.shape)
             else:
@@ -121,7 +129,7 @@ def fit(x: np.ndarray, rows: int, *, k: int, subspaces: int = 16, cover: float =
     subspaces = min(subspaces, x.shape[1])
     width = -(-x.shape[1] // subspaces)
     model = Model(base, finer, np.zeros((subspaces, 1, width)), len(base) * len(finer), len(x))
-    rest = model.padded(x - model.coarse[(own := model.lists(x))])
+    rest = model.padded(x - model.middles(own := model.lists(x)))
     books = np.zeros((subspaces, min(256, len(x)), width))
     for s in range(subspaces):
         books[s] = kmeans(rest[:, s * width : (s + 1) * width], books.shape[1], 6, seed + s)
@@ -133,12 +141,12 @@ def fit(x: np.ndarray, rows: int, *, k: int, subspaces: int = 16, cover: float =
         exact = ((x - x[q]) ** 2).sum(1)
         exact[q] = np.inf
         true = np.argsort(exact, kind="stable")[: min(k, len(x) - 1)]
-        far = ((model.coarse - x[q]) ** 2).sum(1)
+        far = model.far(x[q : q + 1])[0]
         depth += [int((far < far[m]).sum()) for m in own[true]]
         near = ((spelt - x[q]) ** 2).sum(1)  # what the query's tables add up to
         ranks += [int((near < v).sum()) for v in near[true]]
     reach = lambda v: int(np.quantile(v, cover)) + 1 if v else 1
-    return replace(model, probe=min(len(model.coarse), reach(depth)), rerank=2 * reach(ranks) + 4 * k)
+    return replace(model, probe=min(model.count, reach(depth)), rerank=2 * reach(ranks) + 4 * k)
 
 
 def _usable(vector: str) -> Column:
@@ -254,7 +262,7 @@ def _of_one_length(usable: DataFrame, size: int, rows: int, k: int, sample: int,
     picked = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()
     model = fit(np.array(picked["vector"].tolist(), np.float64), rows, k=k)
     index = stash(usable.select("vec_id", "vector").mapInArrow(_assign(model, size), "vec_id long, vector array<double>, list int, code binary"), "ann")
-    counts = np.zeros(len(model.coarse), np.int64)
+    counts = np.zeros(model.count, np.int64)
     for row in index.groupBy("list").count().collect():  # one row a list: sample / 8 * FINER at most
         counts[row["list"]] = row["count"]
     first, parts = shards(counts, shard_rows)

@@ -77,7 +77,7 @@ def test_recall_on_embeddings(spark, sample):
 def test_lists_follow_the_rows():
     x = np.random.default_rng(1).normal(size=(800, 6))
     few, many = ann.fit(x, 800, k=5), ann.fit(x, 10**6, k=5)
-    assert len(few.coarse) == 28 and len(many.coarse) == 1000 and len(many.base) == 100
+    assert few.count == 28 and many.count == 1000 and len(many.base) == 100
     lists = many.lists(x)
     assert (np.abs(many.decoded(lists, many.codes(x, lists)) - x).max(1) < 2).mean() > 0.9
     table = many.tables(x[0], lists[:50])
@@ -358,3 +358,16 @@ def test_queries_of_rules():
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a token = 'abcdef0123456789abcdef0123' b", 7), (2, None, 8), (3, "clean", 9)], "doc_id long, text string, extra int")
     assert sorted(map(tuple, secret_scan.redact(docs).collect()), key=str) == sorted([(1, "a [SECRET]' b", 7), (2, None, 8), (3, "clean", 9)], key=str)
+
+
+def test_model_of_many_lists_is_small():
+    """What tasks get grows with both kinds of centroids, not with the lists that they form."""
+    import pickle
+
+    rng = np.random.default_rng(3)
+    model = ann.Model(rng.random((2500, 64)), rng.random((64, 64)), rng.random((16, 256, 4)), 1, 1)
+    x = rng.random((3, 64))
+    far = model.far(x)
+    some = rng.integers(0, model.count, 500)
+    assert model.count == 160_000 and np.allclose(far[:, some], ((x[:, None] - model.middles(some)) ** 2).sum(2))
+    assert len(pickle.dumps(model)) < 8 << 20
