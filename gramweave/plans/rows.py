@@ -27,7 +27,7 @@ def _permutations(rows, by: list[str]):
 def unit_monge_groups(spark, sf_dir):
     """The product of two orders of each customer's orders, of blocks and strips so small that all are merged."""
     p, q = _permutations(_orders(spark, sf_dir), ["key"])
-    return monge.product(p, q, "key", block=8, strip=2)
+    return monge.product(p, q, "key", block=8, strip=8)
 
 
 def unit_monge_orders(spark, sf_dir):
