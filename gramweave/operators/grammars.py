@@ -59,17 +59,18 @@ def productions(rows: DataFrame, text: str, keep: list[str], builder: str = "com
     return rows.select(*keep, F.inline(kernel(_over(table), schema)(F.col(text))))
 
 
-def derive(table: DataFrame, keep: list[str], most: int = 64) -> DataFrame:
+def derive(table: DataFrame, keep: list[str], fold: int = 16) -> DataFrame:
     """Texts from a production table: each round spells the nodes whose children are spelt.
 
-    Rounds follow the height, which balanced builders bound by the logarithm of the length.
+    Rounds follow the height, which balanced builders bound by the logarithm of the length; any other table takes
+    as many as it is high. What `fold` rounds have spelt becomes one table, so that plans don't grow with the height.
     """
     table = kept(table)
     height = table.agg(F.max("height")).first()[0] or 0
-    if height > most:
-        raise ValueError(f"a grammar of height {height} isn't balanced")
     levels = [kept(table.where("kind = 'T'").select(*keep, "prod_id", F.col("symbol").alias("spelt")))]
     for level in range(1, height + 1):
+        if len(levels) > fold:
+            levels = [kept(reduce(DataFrame.unionByName, levels))]
         spelt = reduce(DataFrame.unionByName, levels)
         own = table.where(F.col("height") == level).select(*keep, "prod_id", "left_id", "right_id")
         left = spelt.select(*keep, F.col("prod_id").alias("left_id"), F.col("spelt").alias("l"))

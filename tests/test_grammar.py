@@ -110,3 +110,18 @@ def test_long_texts_take_the_automaton(monkeypatch):
     assert grammar.compressed("abracadabra" * 9).text() == "abracadabra" * 9
     monkeypatch.setattr(grammar, "factorize", None)
     assert grammar.compressed("abracadabra" * 9).text() == "abracadabra" * 9
+
+
+def test_derivation_of_a_chain(spark):
+    """A table as high as its text is long."""
+    text = "abcabcab"
+    rows = [(1, k, "T", c, None, None, 0, 1, False) for k, c in enumerate(sorted(set(text)))]
+    ids, last, nodes = {c: k for k, c in enumerate(sorted(set(text)))}, None, len(set(text))
+    for k, c in enumerate(text):
+        if last is None:
+            last = ids[c]
+            continue
+        rows.append((1, nodes, "N", None, last, ids[c], k, k + 1, k == len(text) - 1))
+        last, nodes = nodes, nodes + 1
+    table = spark.createDataFrame(rows, "id long, prod_id long, kind string, symbol string, left_id long, right_id long, height long, len long, is_root boolean")
+    assert [r.text for r in grammars.derive(table, ["id"], fold=3).collect()] == [text]

@@ -121,3 +121,26 @@ def test_distance_tables_of_any_cut():
         whole, i, j = S.distance_table_of(a, b), rng.randrange(1, len(a)), rng.randrange(1, len(b))
         assert (S.distance_stacked(S.distance_table_of(a[:i], b), S.distance_table_of(a[i:], b), len(b)) == whole).all()
         assert (S.distance_beside(S.distance_table_of(a, b[:j]), S.distance_table_of(a, b[j:]), len(a)) == whole).all()
+
+
+@pytest.mark.parametrize(("name", "values"), [("COMBED", (4, 16, 200)), ("STEPPED", (0, 1 << 30)), ("SMALL", (1, 3)), ("DENSE", (0, 1 << 30)), ("COLUMNS", (1, 64))])
+def test_sizes_that_choose_a_way_change_nothing(monkeypatch, name, values):
+    rng = random.Random(15)
+    cases = [tuple("".join(rng.choice("ab") for _ in range(rng.randrange(1, 30))) for _ in range(2)) for _ in range(40)]
+    perms = [(np.random.default_rng(k).permutation(n), np.random.default_rng(k + 99).permutation(n)) for k, n in enumerate((1, 2, 17, 40, 90))]
+    half = lambda n: max(1, n // 2)
+
+    def found():
+        out = []
+        for a, b in cases:
+            t = S.table_of(a, b)
+            out += [t.perm.tolist(), S.applied(t, np.zeros(t.rows + t.cols + 1, np.int64)).tolist()]
+            if len(a) > 1:
+                parts = S.h_of(S.table_of(a[: half(len(a))], b)), S.h_of(S.table_of(a[half(len(a)) :], b))
+                out.append(S.h_stacked(*parts, len(b)).tolist())
+        return out + [S.multiply(p, q).tolist() for p, q in perms]
+
+    want = found()
+    for value in values:
+        monkeypatch.setattr(S, name, value)
+        assert found() == want
