@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from gramweave.sources.scratch import written
+
 
 def kept(table: DataFrame) -> DataFrame:
-    """The table, evaluated once: by a reliable checkpoint where the session has a checkpoint folder, else in the cache."""
-    return table.checkpoint() if table.sparkSession.sparkContext.getCheckpointDir() is not None else table.cache()
+    """The table, evaluated once: written to the shared folder and read back, so that nothing hangs on an executor's cache."""
+    return written(table, "kept")
