@@ -30,6 +30,17 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class Known(dict):
+    """What a function makes of each key, made when it is asked for first."""
+
+    def __init__(self, make) -> None:
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class UnitEncoder:
     """ids of texts as little-endian bytes of `width` bytes an id."""
 
@@ -46,7 +57,7 @@ class UnitEncoder:
         self.added = re.compile("|".join(map(re.escape, contents)), re.I) if contents else None
         self.mark = os.path.commonprefix(contents).rstrip("".join(filter(str.isalpha, "".join(contents)))) if contents else ""
         self.model = self.library.model
-        self.words, self.most, self.known = words, most, {}
+        self.words, self.most, self.known = words, most, Known(self._fresh)
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.width = array(self.code).itemsize
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
@@ -85,18 +96,12 @@ class UnitEncoder:
         if mark in ",.;:!?" and word.isalpha():
             if mark not in self.marks:
                 self.marks[mark] = self._cut(mark)
-            return (self.known.get(word) or self._unit(word)) + self.marks[mark]
+            return self.known[word] + self.marks[mark]
         return self._cut(unit if self.words else " " + unit)
 
-    def _known(self, units: list[str]) -> list:
-        found = list(map(self.known.get, units))
-        if None in found:
-            known = self.known
-            for unit in {u for u, v in zip(units, found) if v is None}:
-                # a cut that is empty or ends in white space belongs to a longer run of it: not a cut
-                known[unit] = 0 if not self.words and (not unit or unit[-1].isspace()) else self._unit(unit)
-            found = [known[u] if v is None else v for u, v in zip(units, found)]
-        return found
+    def _fresh(self, unit: str) -> bytes | int:
+        """ids of a cut; 0 if it is empty or ends in white space, which belongs to a longer run of it: not a cut."""
+        return 0 if not self.words and (not unit or unit[-1].isspace()) else self._unit(unit)
 
     def encode(self, text: str) -> bytes:
         if len(self.known) > self.most:
@@ -106,7 +111,7 @@ class UnitEncoder:
         if UNSTABLE.search(text) or self.added and self.mark in text and self.added.search(text):
             return self._whole(text)
         if self.words:
-            return b"".join(self._known(text.lower().split()))
+            return b"".join(map(self.known.__getitem__, text.lower().split()))
         units = text.split(" ")
         first = units.pop(0)
         if not units:
@@ -114,7 +119,7 @@ class UnitEncoder:
         if first and first[-1].isspace():
             return self._cut(text)
         try:
-            return (self._cut(first) if first else b"") + b"".join(self._known(units))
+            return (self._cut(first) if first else b"") + b"".join(map(self.known.__getitem__, units))
         except TypeError:
             return self._cut(text)
 
