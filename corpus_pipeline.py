@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of their documents. `run` writes every stage's result to the shared folder and reads it back as the
-next one's documents. Stages shield columns they don't know, whatever their names are.
+next one's documents; then the tables that the stage worked with, and the documents it read, are deleted.
+
+Defined cases of all stages: columns they don't know are kept as they are, whatever their names are, also where they differ from known
+ones by case only (the first is taken); rows are told apart by row, so rows of equal or null doc_id are separate documents; repeated rows are
+near duplicates of each other; a null or empty text is rejected by the first two stages and, where it comes to the others alone, stays
+as it is, has no near duplicate and no secret, and packs as its end id; texts of any length are worked on whole; a tie for the document that stays is
+broken by doc_id (null last), then by row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramweave.llm import jaccard_join, language_id, packing, secret_scan, weak_quality
-from gramweave.llm._base import stash
+from gramweave.llm._base import cleared, stash
 from gramweave.operators.spread import spread
+from gramweave.sources.scratch import dropped, written
 
 #: Languages that the corpus is meant to hold are those learnt from; a text of no language goes, and
 #: so does one whose language is less sure than this. A score is a share of all languages, which is 1 / L at
@@ -104,7 +111,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs, older = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"), "snappy")
+        with cleared():
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if older is not None:
+            dropped(older)
+        older = docs
     return STAGES[-1][1](spark, docs, sf_dir)
