@@ -207,7 +207,6 @@ _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 def _fold(items: Column, carry: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
     """What `step(carry, item) -> (carry, emitted array)` emits, in order. Blocks of items gather what they emit by themselves."""
     none = F.array().cast(f"array<{kind}>")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
 
     def inner(state: Column, item: Column) -> Column:
         after, emitted = step(state["carry"], item)
@@ -216,7 +215,11 @@ def _fold(items: Column, carry: Column, step: Callable[[Column, Column], tuple[C
     def outer(state: Column, block: Column) -> Column:
         return F.aggregate(block, F.struct(state["carry"].alias("carry"), none.alias("out")), inner, lambda s: F.struct(s["carry"].alias("carry"), F.concat(state["out"], s["out"]).alias("out")))
 
-    return F.when(F.size(items) > 0, F.aggregate(blocks, F.struct(carry.alias("carry"), none.alias("out")), outer, lambda s: s["out"])).otherwise(none)
+    def folded(all_items: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_items, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(all_items) > 0, F.aggregate(blocks, F.struct(carry.alias("carry"), none.alias("out")), outer, lambda s: s["out"])).otherwise(none)
+
+    return F.get(F.transform(F.array(items), folded), F.lit(0))  # so that the items are made once
 
 
 SPAN = "struct<start:int,end:int,rule:int>"
@@ -256,10 +259,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...]
     rows = docs.toDF(*[f"_{k}" for k in range(len(docs.columns))])
     own = F.coalesce(F.col(column(docs, text)).cast("string"), F.lit(""))
     rows = rows.select(*[F.col(column(docs, c)).alias(f"kept{k}") for k, c in enumerate(keep)], own.alias("whole"))
-    low = F.lower("whole")
-    gate = reduce(lambda a, b: a | b, [F.contains(low, F.lit(stem)) for stem in STEMS])
-    stream = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("whole", _UPPER, _LOWER), _BETWEEN, "  ")), F.lit(" "))
     kept = [f"kept{k}" for k in range(len(keep))]
+    rows = rows.select(*kept, "whole", F.lower("whole").alias("low"))  # a column, so that it is made once for all stems
+    gate = reduce(lambda a, b: a | b, [F.contains("low", F.lit(stem)) for stem in STEMS])
+    stream = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("whole", _UPPER, _LOWER), _BETWEEN, "  ")), F.lit(" "))
     rows = rows.select(*kept, F.regexp_count("whole", F.lit(_WORD)).cast("long").alias("n_words"), F.when(gate, stream).alias("stream"))
     keywords, patterns = F.lit([r.keyword for r in rules]), F.lit([r.pattern for r in rules])
     asked = F.filter(F.sequence(F.lit(0), F.lit(len(rules) - 1)), lambda r: F.contains(F.col("stream"), F.get(keywords, r)))
