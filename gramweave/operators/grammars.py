@@ -6,18 +6,23 @@ as a kernel on Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gramweave.functions import grammar
 from gramweave.functions.strings import kernel
 from gramweave.operators.lineage import kept
 
 FACTORS = "array<struct<begin:long,end:long>>"
+#: Rows that a task gives out at once, where a text has many.
+GIVEN = 1 << 15
 
 
 def _over(measure: Callable):
@@ -42,21 +47,66 @@ def factorize(text, method: str = "search"):
     return kernel(_over({"search": _factors, "automaton": _factors_automaton}[method]), FACTORS)(text)
 
 
+def _rows_of(rows: DataFrame, text: str, keep: list[str], run: Callable[[str], list[list]], schema: str, given: int = GIVEN) -> DataFrame:
+    """For each text the rows that run(text) has as columns of lists. A task holds the columns of one text and of `given` rows
+    at most, whatever the number of texts in a batch; `given` changes nothing else. A null text has no rows."""
+    asked = rows.select(*keep, F.col(text).alias("_text"))
+    whole = StructType([*asked.schema.fields[:-1], *StructType.fromDDL(schema).fields])
+    kinds = to_arrow_schema(whole)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.select(list(range(len(keep))))
+            columns, origin = [[] for _ in range(len(kinds) - len(keep))], []
+
+            def given_out(n: int) -> pa.RecordBatch:
+                taken = own.take(pa.array(origin[:n], pa.int64()))
+                made = [pa.array(c[:n], field.type) for c, field in zip(columns, list(kinds)[len(keep) :], strict=True)]
+                for c in (origin, *columns):
+                    del c[:n]
+                return pa.RecordBatch.from_arrays([*taken.columns, *made], names=kinds.names)  # noqa: B023
+
+            for k, t in enumerate(batch.column(len(keep))):
+                if not t.is_valid:
+                    continue
+                found = run(t.as_py())
+                n, at = len(found[0]), 0
+                while at < n:
+                    to = min(n, at + given - len(origin))
+                    origin += [k] * (to - at)
+                    for c, values in zip(columns, found, strict=True):
+                        c += values[at:to]
+                    at = to
+                    if len(origin) >= given:
+                        yield given_out(given)
+            if origin:
+                yield given_out(len(origin))
+
+    return asked.mapInArrow(stream, whole)
+
+
 def factor_rows(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row a factor: seq, begin, end."""
-    found = rows.select(*keep, F.posexplode(factorize(F.col(text))).alias("seq", "f"))
-    return found.select(*keep, F.col("seq").cast("long").alias("seq"), "f.begin", "f.end")
+
+    def found(t: str) -> list[list]:
+        factors = grammar.factorize(t)
+        return [list(range(len(factors))), [a for a, _ in factors], [b for _, b in factors]]
+
+    return _rows_of(rows, text, keep, found, "seq long, begin long, end long")
 
 
 def productions(rows: DataFrame, text: str, keep: list[str], builder: str = "compressed") -> DataFrame:
     """The production table: prod_id, kind, symbol, left_id, right_id, height, len, is_root."""
 
-    def table(t: str) -> list[dict]:
+    def table(t: str) -> list[list]:
         g = grammar.BUILDERS[builder](t)
-        return [{"prod_id": k, "kind": "T" if g.left[k] < 0 else "N", "symbol": g.symbol[k], "left_id": None if g.left[k] < 0 else g.left[k], "right_id": None if g.left[k] < 0 else g.right[k], "height": g.height[k], "len": g.size[k], "is_root": k == g.root} for k in g.reached()]
+        nodes = g.reached()
+        left, right = [g.left[k] for k in nodes], [g.right[k] for k in nodes]
+        ends = [a < 0 for a in left]
+        side = lambda ids: [None if end else k for k, end in zip(ids, ends)]
+        return [nodes, ["T" if end else "N" for end in ends], [g.symbol[k] for k in nodes], side(left), side(right), [g.height[k] for k in nodes], [g.size[k] for k in nodes], [k == g.root for k in nodes]]
 
-    schema = "array<struct<prod_id:long,kind:string,symbol:string,left_id:long,right_id:long,height:long,len:long,is_root:boolean>>"
-    return rows.select(*keep, F.inline(kernel(_over(table), schema)(F.col(text))))
+    return _rows_of(rows, text, keep, table, "prod_id long, kind string, symbol string, left_id long, right_id long, height long, len long, is_root boolean")
 
 
 def derive(table: DataFrame, keep: list[str], fold: int = 16) -> DataFrame:
