@@ -35,3 +35,16 @@ def test_productions_stream(spark, builder):
     assert "MapInArrow" in found._jdf.queryExecution().toString() and "ArrowEvalPython" not in found._jdf.queryExecution().toString()
     counts = {r.no: (r.n, r.size) for r in found.groupBy("no").agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("size")).collect()}
     assert counts == {no: (grammar.BUILDERS[builder](t).productions(), len(t)) for no, t in enumerate(_texts(20)) if t}
+
+
+def test_compressed_makes_few_nodes_that_it_does_not_need():
+    """A factor costs what it adds, not the flank of one tree of the whole text."""
+    rng = random.Random(5)
+    for letters in ("ab", "abcdefghij \n"):
+        text = "".join(rng.choice(letters) for _ in range(2000))
+        g = grammar.compressed(text)
+        assert g.text() == text and len(g.symbol) < 1.6 * g.productions()
+        for k in g.reached():
+            if g.left[k] >= 0:
+                a, b = g.left[k], g.right[k]
+                assert abs(g.height[a] - g.height[b]) <= 1 and g.height[k] == 1 + max(g.height[a], g.height[b]) and g.size[k] == g.size[a] + g.size[b]
