@@ -138,7 +138,7 @@ def compression(rows: DataFrame, text: str, keep: list[str], builder: str = "com
         g = grammar.compressed(t, factors) if builder == "compressed" else grammar.BUILDERS[builder](t)
         n = g.productions()
         empty = g.root is None
-        return {"n_factors": len(factors), "n_productions": n, "derived_len": len(t), "height": 0 if empty else g.height[g.root], "ratio": g.ratio(), "blown_productions": 0 if empty else grammar.blow_up(g).productions(), "blown_len": 2 * len(t)}
+        return {"n_factors": len(factors), "n_productions": n, "derived_len": len(t), "height": 0 if empty else g.height[g.root], "ratio": None if empty else n / g.size[g.root], "blown_productions": 0 if empty else grammar.blow_up(g).productions(), "blown_len": 2 * len(t)}
 
     schema = "struct<n_factors:long,n_productions:long,derived_len:long,height:long,ratio:double,blown_productions:long,blown_len:long>"
     return rows.select(*keep, kernel(_measured(measure), schema)(F.col(text)).alias("m")).select(*keep, "m.*")

@@ -48,3 +48,18 @@ def test_compressed_makes_few_nodes_that_it_does_not_need():
             if g.left[k] >= 0:
                 a, b = g.left[k], g.right[k]
                 assert abs(g.height[a] - g.height[b]) <= 1 and g.height[k] == 1 + max(g.height[a], g.height[b]) and g.size[k] == g.size[a] + g.size[b]
+
+
+@pytest.mark.parametrize("builder", ["compressed", "halved"])
+def test_measures_walk_a_grammar_once(spark, monkeypatch, builder):
+    """Productions are counted once for the number and the ratio, and once blown up."""
+    calls, counted = [], grammar.Grammar.reached
+    monkeypatch.setattr(grammar.Grammar, "reached", lambda g: calls.append(1) or counted(g))
+    seen = {}
+    monkeypatch.setattr(grammars, "kernel", lambda run, schema: seen.update(run=run) or (lambda c: c))
+    monkeypatch.setattr(grammars, "_measured", lambda measure: measure)
+    with pytest.raises(Exception):  # noqa: B017 - only the measure is wanted
+        grammars.compression(spark.range(1).select(F.lit("a").alias("text")), "text", [], builder).select("nothing")
+    found = seen["run"]("abcabcabcab")
+    g = grammar.BUILDERS[builder]("abcabcabcab")
+    assert len(calls) == 3 and found["ratio"] == g.ratio() and found["n_productions"] == g.productions() and found["blown_productions"] == g.productions() + 4
