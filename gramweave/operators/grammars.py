@@ -163,17 +163,15 @@ def round_trip(text, builder: str = "compressed"):
 def partition(rows: DataFrame, text: str, keep: list[str], x: int | None = None, xfactor: float = 1.0, ffactor: float = 1.0) -> DataFrame:
     """Blocks in order: pos, kind, block_id (of the content), content, len, and the text's derived_len and n_productions. x: block size, else from compressibility."""
 
-    def cut(t: str) -> list[dict]:
+    def cut(t: str) -> list[list]:
         g = grammar.compressed(t)
-        size = x or grammar.block_length(len(t), g.productions(), xfactor, ffactor)
-        out = []
-        for pos, (kind, nodes) in enumerate(grammar.blocks(g, size)):
-            content = "".join(c for k in nodes for c in g.spell(k))
-            out.append({"pos": pos, "kind": kind, "block_id": grammar.block_id(list(content)), "content": content, "len": len(content), "derived_len": len(t), "n_productions": g.productions()})
-        return out
-
-    schema = "array<struct<pos:long,kind:string,block_id:string,content:string,len:long,derived_len:long,n_productions:long>>"
-    return rows.select(*keep, F.inline(kernel(_over(cut), schema)(F.col(text))))
+        n = g.productions()
+        found = grammar.blocks(g, x or grammar.block_length(len(t), n, xfactor, ffactor))
+        contents = ["".join(c for k in nodes for c in g.spell(k)) for _, nodes in found]
+        ids = [grammar.block_id(list(c)) for c in contents]
+        return [list(range(len(found))), [kind for kind, _ in found], ids, contents, [len(c) for c in contents], [len(t)] * len(found), [n] * len(found)]
+
+    return _rows_of(rows, text, keep, cut, "pos long, kind string, block_id string, content string, len long, derived_len long, n_productions long")
 
 
 def block_size(n, productions, xfactor: float = 1.0, ffactor: float = 1.0, direct: bool = False) -> Column:

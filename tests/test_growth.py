@@ -63,3 +63,13 @@ def test_measures_walk_a_grammar_once(spark, monkeypatch, builder):
     found = seen["run"]("abcabcabcab")
     g = grammar.BUILDERS[builder]("abcabcabcab")
     assert len(calls) == 3 and found["ratio"] == g.ratio() and found["n_productions"] == g.productions() and found["blown_productions"] == g.productions() + 4
+
+
+def test_partition_streams(spark):
+    rows = spark.createDataFrame(list(enumerate(_texts(20))), "no long, text string")
+    found = grammars.partition(rows, "text", ["no"])
+    assert "MapInArrow" in found._jdf.queryExecution().toString() and "ArrowEvalPython" not in found._jdf.queryExecution().toString()
+    texts = {}
+    for r in sorted(found.collect(), key=lambda r: (r.no, r.pos)):
+        texts[r.no] = texts.get(r.no, "") + r.content
+    assert texts == {no: t for no, t in enumerate(_texts(20)) if t}
