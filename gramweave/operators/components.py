@@ -58,7 +58,8 @@ def interval_find(points: DataFrame, removed: DataFrame, place: str = "x", by: s
 
 def _ends(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, _x, _last): the first `_end` at `_x` or behind it."""
-    onward = lambda *by: F.first("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_x").rowsBetween(0, Window.unboundedFollowing))
+    # from the far end on: a frame that grows is one pass, one that shrinks is read anew for each row
+    onward = lambda *by: F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.desc("_x")).rowsBetween(Window.unboundedPreceding, 0))
     if (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= PLAIN:
         return rows.select(*keys, "_x", onward(*keys).alias("_last"))
     rows = kept(rows.withColumn("_word", F.floor(F.col("_x") / FAN).cast("long")))

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gramweave.functions import grammar
-from gramweave.operators import grammars
+from gramweave.operators import components, grammars
+from gramweave.sources import fasta_format
 
 
 def _texts(n, seed=3):
@@ -73,3 +74,26 @@ def test_partition_streams(spark):
     for r in sorted(found.collect(), key=lambda r: (r.no, r.pos)):
         texts[r.no] = texts.get(r.no, "") + r.content
     assert texts == {no: t for no, t in enumerate(_texts(20)) if t}
+
+
+def test_intervals_are_one_pass(spark):
+    """A frame that ends at the last row is read anew for every row."""
+    points = spark.range(5000).select((F.col("id") % 2).alias("by"), F.col("id").alias("x"))
+    removed = points.where("x % 7 > 1").select("x")
+    found = components.interval_find(points, removed, by="by")
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    ends = {b: [x for x in range(5000) if x % 2 == b and x % 7 <= 1] for b in (0, 1)}
+    want = {(b, x): next((e for e in ends[b] if e >= x), None) for b in (0, 1) for x in range(b, 5000, 2)}
+    assert {(r.by, r.x): r["last"] for r in found.collect()} == want
+
+
+def test_small_ranges_share_tasks(tmp_path, monkeypatch):
+    """However small the ranges are, there are few tasks, which cover each byte once."""
+    (tmp_path / "a.fasta").write_text("".join(f">n{k}\n{'acgt' * 9}\n" for k in range(3000)))
+    reader = fasta_format.FastaReader({"path": str(tmp_path), "rangeBytes": "64"})
+    monkeypatch.setattr(fasta_format, "TASKS", 16)
+    parts = reader.partitions()
+    assert len(parts) <= 17 and parts[0].begin == 0 and all(a.end == b.begin for a, b in zip(parts, parts[1:]))
+    assert sorted(r[2] for p in parts for r in reader.read(p)) == sorted(f"n{k}" for k in range(3000))
+    monkeypatch.setattr(fasta_format, "TASKS", 1 << 20)
+    assert len(reader.partitions()) > 2000
