@@ -1,6 +1,6 @@
 """Sequence files as a data source: `spark.read.format("fasta")` and `df.write.format("fasta")`.
 
-A file is read in ranges of bytes, one a task. A record belongs to the range in which its header begins, and is read to its end
+A file is read in ranges of bytes; a task gets one, or a run of neighbours where there are more than TASKS of less than RANGE. A record belongs to the range in which its header begins, and is read to its end
 wherever that lies, so a file may be larger than a task and no line is read for its number. Writers stage a file an attempt; only those of
 attempts that are committed get their names, and an abort removes the others, so a task that is repeated leaves nothing twice.
 
@@ -19,6 +19,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 #: Bytes of a range, and of a block that is read at once.
 RANGE, BLOCK = 64 << 20, 1 << 20
+#: Bytes of a block at least, where the range is small.
+LEAST = 1 << 16
+#: Tasks beyond which small ranges are joined.
+TASKS = 1024
 SCHEMA = "file string, begin long, name string, seq string"
 
 
@@ -46,6 +50,7 @@ def records(file, begin: int, end: int) -> Iterator[tuple[int, str, str]]:
     """(begin, name, sequence) of the records whose header begins in a range of bytes."""
     at = max(0, begin - 1)  # a header is at the start of a line, so the byte in front tells
     file.seek(at)
+    size = min(BLOCK, max(LEAST, end - at))
     held, start, own = b"", at, None
     head, lines = "", []
     fresh = begin == 0
@@ -56,7 +61,8 @@ def records(file, begin: int, end: int) -> Iterator[tuple[int, str, str]]:
             yield own, head, sequence
 
     while True:
-        block = file.read(BLOCK)
+        block = file.read(size)
+        size = min(BLOCK, 2 * size)
         held += block
         parts = held.split(b"\n")
         if block:
@@ -90,7 +96,10 @@ class FastaReader(DataSourceReader):
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         files = [info] if info.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
-        return [Range(f.path, at, min(f.size, at + self.range)) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.range)]
+        # whole ranges, so many a task that there are few tasks, each of RANGE at most (or of one range)
+        run = max(1, min(RANGE // self.range, -(-sum(f.size for f in files) // (self.range * TASKS))))
+        step = self.range * run
+        return [Range(f.path, at, min(f.size, at + step)) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, step)]
 
     def read(self, partition: Range) -> Iterator[tuple[str, int, str, str]]:
         system, _ = _open(self.path)
