@@ -29,21 +29,24 @@ def node_of(content: Column | str) -> Column:
     return F.unhex(F.sha2(content, 256))
 
 
-def productions(texts: DataFrame, text: str = "text") -> DataFrame:
+def productions(texts: DataFrame, text: str = "text", leaf: int = 1) -> DataFrame:
     """(node, size, left, right, left_size, left_symbol, right_symbol, content): each different part of the texts once.
 
-    A part of one character has no halves; a half of one character has its symbol with the pair, so that none needs to look it up.
+    A part of `leaf` characters at most has no halves; such a half has its symbols with the pair, so that none needs to look it up.
+    Every range of texts can be read whatever the leaves are; all parts, down to single characters, are there with leaves of one.
     Null and empty texts have no production. The result is a written table.
     """
     rounds = [written(texts.where(F.char_length(text) > 0).select(F.col(text).alias("content")).distinct(), "parts")]
-    while not (pairs := rounds[-1].where(F.char_length("content") > 1)).isEmpty():
+    while not (pairs := rounds[-1].where(F.char_length("content") > leaf)).isEmpty():
         halves = F.array(F.substring("content", F.lit(1), _half("content")), F.expr("substring(content, (char_length(content) + 1) div 2 + 1)"))
-        rounds.append(written(pairs.select(F.explode(halves).alias("content")).distinct(), "parts"))
+        below = pairs.select(F.explode(halves).alias("content"))
+        # leaves larger than a character are read from the pair that has them
+        rounds.append(written((below if leaf == 1 else below.where(F.char_length("content") > leaf)).distinct(), "parts"))
     parts = reduce(DataFrame.unionByName, rounds).distinct()
     size, half = F.char_length("content").cast("long"), _half("content").cast("long")
     first, rest = F.substring("content", F.lit(1), _half("content")), F.expr("substring(content, (char_length(content) + 1) div 2 + 1)")
-    pair = lambda c: F.when(size > 1, c)
-    found = written(parts.select(node_of("content").alias("node"), size.alias("size"), pair(node_of(first)).alias("left"), pair(node_of(rest)).alias("right"), pair(half).alias("left_size"), F.when((size > 1) & (half == 1), first).alias("left_symbol"), F.when((size > 1) & (size - half == 1), rest).alias("right_symbol"), "content"), "productions")
+    pair = lambda c: F.when(size > leaf, c)
+    found = written(parts.select(node_of("content").alias("node"), size.alias("size"), pair(node_of(first)).alias("left"), pair(node_of(rest)).alias("right"), pair(half).alias("left_size"), F.when((size > leaf) & (half <= leaf), first).alias("left_symbol"), F.when((size > leaf) & (size - half <= leaf), rest).alias("right_symbol"), "content"), "productions")
     dropped(*rounds)
     return found
 
@@ -59,7 +62,7 @@ def extract(asked: DataFrame, grammar: DataFrame, key: str = "id") -> DataFrame:
     without a node, or one beyond the text gives what there is of it, at least the empty text.
     """
     whole = asked.select(F.col(key).alias("_key"), "node", F.greatest(F.lit(0), "begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"))
-    sized = grammar.select("node", "size", "left", "right", "left_size", "left_symbol", "right_symbol", F.when(F.col("size") == 1, F.col("content")).alias("symbol"))
+    sized = grammar.select("node", "size", "left", "right", "left_size", "left_symbol", "right_symbol", F.when(F.col("left").isNull(), F.col("content")).alias("symbol"))
     going = written(whole.where("node IS NOT NULL AND begin < end").select("_key", "node", "begin", "end", F.lit(0).cast("long").alias("at")), "ranges")
     found = []
     ends = F.col("left_size")
@@ -70,9 +73,9 @@ def extract(asked: DataFrame, grammar: DataFrame, key: str = "id") -> DataFrame:
         first = F.struct(F.when(F.col("left_symbol").isNull(), F.col("left")).alias("node"), F.col("left_symbol").alias("symbol"), F.col("begin"), F.least("end", ends).alias("end"), F.col("at")).cast(step)
         after = F.greatest(F.col("begin") - ends, F.lit(0))
         rest = F.struct(F.when(F.col("right_symbol").isNull(), F.col("right")).alias("node"), F.col("right_symbol").alias("symbol"), after.alias("begin"), (F.least("end", "size") - ends).alias("end"), (F.col("at") + F.greatest(ends - F.col("begin"), F.lit(0))).alias("at")).cast(step)
-        children = F.when(F.col("size") == 1, F.when(F.col("begin") == 0, F.array(own)).otherwise(F.array().cast(f"array<{step}>"))).otherwise(F.concat(*[F.when(wanted, F.array(child)).otherwise(F.array().cast(f"array<{step}>")) for child, wanted in ((first, F.col("begin") < ends), (rest, (F.col("end") > ends) & (F.col("begin") < F.col("size"))))]))
+        children = F.when(F.col("left").isNull(), F.when(F.col("begin") < F.col("size"), F.array(own)).otherwise(F.array().cast(f"array<{step}>"))).otherwise(F.concat(*[F.when(wanted, F.array(child)).otherwise(F.array().cast(f"array<{step}>")) for child, wanted in ((first, F.col("begin") < ends), (rest, (F.col("end") > ends) & (F.col("begin") < F.col("size"))))]))
         below = written(met.select("_key", F.explode(children).alias("x")).select("_key", "x.*"), "ranges")
-        found.append(below.where("symbol IS NOT NULL").select("_key", "at", "symbol"))
+        found.append(below.where("symbol IS NOT NULL").select("_key", "at", F.substring("symbol", (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int")).alias("symbol")))
         going = below.where("symbol IS NULL").select("_key", "node", "begin", "end", "at")
     spelt = reduce(DataFrame.unionByName, found) if found else going.select("_key", "at", F.lit("").alias("symbol"))
     texts = spelt.groupBy("_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "symbol"))), lambda x: x["symbol"]), "").alias("text"))

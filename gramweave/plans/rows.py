@@ -12,6 +12,9 @@ from gramweave.plans.distances import ORACLES as DISTANCES
 from gramweave.plans.distances import part_pairs, table
 from gramweave.plans.grammars import HALVES
 
+#: Symbols of a production that ranges are read from without halving it.
+EXTRACTED = 64
+
 
 def _orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("key"), "o_orderkey", "o_orderdate", "o_totalprice")
@@ -67,7 +70,7 @@ def shared_productions(spark, sf_dir):
 def range_extraction(spark, sf_dir):
     """The middle third of each turn, read from the shared productions alone."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    grammar = shared.productions(turns)
+    grammar = shared.productions(turns, leaf=EXTRACTED)
     length = F.char_length("text")
     asked = turns.select(F.struct("conv_id", "turn").alias("id"), F.when(length > 0, shared.node_of("text")).alias("node"), F.floor(length / 3).alias("begin"), F.ceil(2 * length / 3).alias("end"))
     return shared.extract(asked, grammar).select("id.conv_id", "id.turn", "text")

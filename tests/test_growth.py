@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gramweave.functions import grammar
-from gramweave.operators import components, grammars
+from gramweave.operators import components, grammars, places, shared, tropical
 from gramweave.sources import fasta_format
 
 
@@ -97,3 +97,29 @@ def test_small_ranges_share_tasks(tmp_path, monkeypatch):
     assert sorted(r[2] for p in parts for r in reader.read(p)) == sorted(f"n{k}" for k in range(3000))
     monkeypatch.setattr(fasta_format, "TASKS", 1 << 20)
     assert len(reader.partitions()) > 2000
+
+
+@pytest.mark.parametrize("leaf", [1, 2, 5, 64])
+def test_ranges_from_productions_with_leaves(spark, leaf):
+    """Larger leaves are fewer productions and rounds, and read the same ranges."""
+    rng = random.Random(8)
+    texts = ["x", "ab", *["".join(rng.choice("abc\U0001f600") for _ in range(rng.randrange(1, 90))) for _ in range(12)]]
+    asked = [(k, t, a, a + rng.randrange(0, 40)) for k, t in enumerate(texts) for a in (0, len(t) // 3, len(t) - 1, len(t) + 3)]
+    rows = spark.createDataFrame([(i, *x[1:]) for i, x in enumerate(asked)], "id long, text string, begin long, end long")
+    table = shared.productions(rows, leaf=leaf)
+    found = shared.extract(rows.select("id", shared.node_of("text").alias("node"), "begin", "end"), table)
+    assert {r.id: r.text for r in found.collect()} == {i: t[a:b] for i, (_, t, a, b) in enumerate(asked)}
+    sizes = [r.size for r in table.select("size").collect()]
+    assert leaf == 1 or min(s for s in sizes if s not in map(len, texts)) > leaf if leaf < 40 else True
+
+
+def test_dominance_deals_in_ranges_of_bounded_rows(spark, monkeypatch):
+    dealt, run = [], places.running
+    monkeypatch.setattr(tropical, "running", lambda *a, parts=None, **b: dealt.append(parts) or run(*a, parts=parts, **b))
+    monkeypatch.setattr(tropical, "RANGE", 50)
+    rng = random.Random(9)
+    points = [(rng.randrange(60), rng.randrange(60)) for _ in range(300)]
+    asked = [(rng.randrange(64), rng.randrange(64)) for _ in range(40)]
+    found = tropical.dominance(spark.createDataFrame(points, "r long, c long"), spark.createDataFrame(asked, "i long, j long")).collect()
+    assert sorted(map(tuple, found)) == sorted((i, j, sum(r >= i and c < j for r, c in points)) for i, j in asked)
+    assert dealt[0] >= 340 * 6 // (2 * 50)
