@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gramweave.sources.scratch import written
 
+#: Rows of a range, where a caller knows how many there are.
+RANGE = 1 << 18
+
+
+def ranges(spark: SparkSession) -> int:
+    """Ranges that rows are dealt in at least."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
 
 def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], weight: Column | None = None, into: str = "before", parts: int | None = None) -> DataFrame:
     """The rows with the sum of the weights (1 each) of all rows of the same key before theirs; ties in any order.
@@ -20,14 +27,17 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], w
     (`written_to` of the result), as a range must not be drawn twice.
     """
     spark = rows.sparkSession
-    parts = parts or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or ranges(spark)
     weight = F.lit(1).cast("long") if weight is None else weight
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     dealt = written(rows.repartitionByRange(parts, *by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    at = F.struct(*by, "_range").alias("_at")  # one key, in which nulls are equal: the join and the window deal the rows once
     sums = dealt.groupBy(*by, "_range").agg(F.sum(weight).alias("_sum"))
-    starts = sums.select(*[F.col(c).alias(f"_of_{k}") for k, c in enumerate(by)], F.col("_range").alias("_in"), (F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_sum")).alias("_start"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{k}")) for k, c in enumerate(by)], F.col("_range") == F.col("_in"))
-    own = F.sum(weight).over(Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    found = dealt.join(starts, same).select(*rows.columns, (F.col("_start") + F.coalesce(own, F.lit(0))).alias(into))
+    starts = sums.select(at, (F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_sum")).alias("_start"))
+    kept = dealt.select("*", at)
+    if parts > ranges(spark):  # else a task would get the rows of several ranges
+        kept, starts = kept.repartition(parts, "_at"), starts.repartition(parts, "_at")
+    own = F.sum(weight).over(Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    found = kept.join(starts, "_at").select(*rows.columns, (F.col("_start") + F.coalesce(own, F.lit(0))).alias(into))
     found.written_to = dealt.written_to
     return found

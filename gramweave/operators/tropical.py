@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gramweave.operators.places import running
+from gramweave.operators.places import RANGE, ranges, running
 from gramweave.sources.scratch import written
 
 
@@ -119,7 +119,8 @@ def dominance(points: DataFrame, asked: DataFrame, weight: Column | None = None)
     """
     marks = points.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), (F.lit(1) if weight is None else weight).cast("long").alias("w"))
     asked = written(asked.withColumn("_no", F.monotonically_increasing_id()), "asked")
-    bits = max(1, int(marks.agg(F.max("r")).first()[0] or 0).bit_length())
+    top, points_n = marks.agg(F.max("r"), F.count(F.lit(1))).first()
+    bits = max(1, int(top or 0).bit_length())
     level = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level")
     held = marks.select("c", "w", "r", level).select("level", F.expr("shiftright(r, level)").alias("range"), "c", "w", F.lit(None).cast("long").alias("_no"))
     held = held.where((F.col("range") % 2 == 1) | (F.col("level") == 0))
@@ -128,7 +129,9 @@ def dominance(points: DataFrame, asked: DataFrame, weight: Column | None = None)
     lacking = above.where(F.col("range") % 2 == 0).select("level", (F.col("range") + 1).alias("range"), "c", F.lit(0).cast("long").alias("w"), "_no")
     own = wanted.select(F.lit(0).alias("level"), F.col("i").alias("range"), "c", F.lit(0).cast("long").alias("w"), "_no")
     # at equal columns questions come first
-    summed = running(held.unionByName(lacking).unionByName(own), ["level", "range"], ["c", F.col("w") != 0, "_no"], F.col("w"))
+    # a point has a row for each bit that it has, half of the bits in general; so has a question for each that it lacks
+    parts = -(-(points_n + asked.count()) * (bits + 1) // (2 * RANGE))
+    summed = running(held.unionByName(lacking).unionByName(own), ["level", "range"], ["c", F.col("w") != 0, "_no"], F.col("w"), parts=max(parts, ranges(marks.sparkSession)))
     counts = summed.where("_no IS NOT NULL").groupBy("_no").agg(F.sum("before").alias("count"))
     return asked.join(counts, "_no", "left").select(*[c for c in asked.columns if c != "_no"], F.coalesce("count", F.lit(0)).alias("count"))
 
