@@ -8,6 +8,8 @@ proportion to the strings, whatever the number of cells.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +20,8 @@ from gramweave.sources.scratch import dropped, written
 
 #: Symbols of a block's side, at least and at most, where its size isn't given; diagonals from one written table to the next.
 LEAST, MOST, EVERY = 4096, 1 << 20, 4
+#: Symbols of a side up to which a task takes many blocks at once, rather than a group each.
+SMALL = 1024
 STATE = "i int, j int, last_i int, last_j int, side string, text string, state binary, score long"
 
 
@@ -79,25 +83,48 @@ def subsequence_block(a: np.ndarray, b: np.ndarray, left: bytes | None, above: b
 BLOCKS = {"distance": distance_block, "subsequence": subsequence_block}
 
 
+def _moved(kind: str, v: dict, h: dict) -> list[dict]:
+    """What a block gives to its neighbours, from the rows of its left and its upper side."""
+    right, below, change = BLOCKS[kind](codes(v["text"]), codes(h["text"]), v["state"], h["state"])
+    out, last_row, last_column = [], v["i"] == v["last_i"], v["j"] == v["last_j"]
+    if not last_column:
+        out.append(v | {"j": v["j"] + 1, "state": right})
+    else:  # down the last column goes the sum of what the rows above changed
+        h["score"] += change
+    if not last_row:
+        out.append(h | {"i": h["i"] + 1, "state": below})
+    elif last_column:
+        out.append(h | {"side": "end", "text": None, "state": None})
+    return out
+
+
 def _advance(kind: str):
     def run(table: pa.Table) -> pa.Table:
-        rows = {r["side"]: r for r in table.select(["i", "j", "last_i", "last_j", "side", "text", "state", "score"]).to_pylist()}
-        if "end" in rows:
-            return table
-        v, h = rows["v"], rows["h"]
-        right, below, change = BLOCKS[kind](codes(v["text"]), codes(h["text"]), v["state"], h["state"])
-        out, last_row, last_column = [], v["i"] == v["last_i"], v["j"] == v["last_j"]
-        if not last_column:
-            out.append(v | {"j": v["j"] + 1, "state": right})
-        else:  # down the last column goes the sum of what the rows above changed
-            h["score"] += change
-        if not last_row:
-            out.append(h | {"i": h["i"] + 1, "state": below})
-        elif last_column:
-            out.append(h | {"side": "end", "text": None, "state": None})
-        ids = table["id"].combine_chunks().take(pa.array(np.zeros(len(out), np.int64)))
-        own = pa.Table.from_pylist(out, pa.schema([f for f in table.schema if f.name != "id"]))
-        return own.add_column(0, table.schema.field("id"), ids).select(table.column_names)
+        rows = {r["side"]: r for r in table.to_pylist()}
+        return table if "end" in rows else pa.Table.from_pylist(_moved(kind, rows["v"], rows["h"]), table.schema)
+
+    return run
+
+
+def _advance_sorted(kind: str):
+    """The same of many small blocks, whose rows stand one behind the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["side"] == "end":
+                    out.append(row)
+                elif waiting is None:
+                    waiting = row
+                else:
+                    v, h = (row, waiting) if row["side"] == "v" else (waiting, row)
+                    if (v["id"], v["i"], v["j"], h["side"]) != (h["id"], h["i"], h["j"], "h"):
+                        raise ValueError("a block has one left and one upper side")
+                    out += _moved(kind, v, h)
+                    waiting = None
+            yield pa.RecordBatch.from_pylist(out, batch.schema)
 
     return run
 
@@ -134,7 +161,11 @@ def wavefront(pairs: DataFrame, a: str = "a", b: str = "b", *, kind: str = "dist
         begun = starts.where(F.col("i") + F.col("j") == d)
         rows = begun if state is None else state.unionByName(begun)
         # the number of parts is given: few small rows are much work
-        state = rows.repartition(parts, "id", "i", "j").groupBy("id", "i", "j").applyInArrow(_advance(kind), f"id string, {STATE}")
+        dealt = rows.repartition(parts, "id", "i", "j")
+        if size <= SMALL:
+            state = dealt.sortWithinPartitions("id", "i", "j").mapInArrow(_advance_sorted(kind), f"id string, {STATE}")
+        else:
+            state = dealt.groupBy("id", "i", "j").applyInArrow(_advance(kind), f"id string, {STATE}")
         if (d + 1) % every == 0:
             state = written(state, "borders")
             if older is not None:

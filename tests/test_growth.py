@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gramweave.functions import grammar
-from gramweave.operators import components, grammars, places, shared, tropical
+from gramweave.operators import components, grammars, places, shared, tropical, wavefront
 from gramweave.sources import fasta_format
 
 
@@ -123,3 +123,13 @@ def test_dominance_deals_in_ranges_of_bounded_rows(spark, monkeypatch):
     found = tropical.dominance(spark.createDataFrame(points, "r long, c long"), spark.createDataFrame(asked, "i long, j long")).collect()
     assert sorted(map(tuple, found)) == sorted((i, j, sum(r >= i and c < j for r, c in points)) for i, j in asked)
     assert dealt[0] >= 340 * 6 // (2 * 50)
+
+
+@pytest.mark.parametrize("kind", ["distance", "subsequence"])
+def test_small_blocks_are_taken_many_at_once(spark, monkeypatch, kind):
+    rows = spark.createDataFrame([("abcabcd" * k, "abdacb" * (5 - k), k) for k in range(1, 5)], "a string, b string, k int")
+    found = wavefront.wavefront(rows, kind=kind, size=4, every=100)
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
+    monkeypatch.setattr(wavefront, "SMALL", 0)
+    assert sorted(found.collect()) == sorted(wavefront.wavefront(rows, kind=kind, size=4).collect())
