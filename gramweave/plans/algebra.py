@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from gramweave.operators import tables, tropical
 from gramweave.plans.distances import LAST, PAIRS, _lcs, part_pairs, table
+from gramweave.sources.scratch import written
 
 
 def _a(spark, sf_dir):
@@ -204,8 +205,10 @@ def block_repository(spark, sf_dir):
     from gramweave.functions import strings
     from gramweave.operators import blocks
 
-    cut = F.pandas_udf(blocks._cut(False, 1.0, 1.0), blocks.SEQUENCE)
-    sequences = _pairs(spark, sf_dir).select("a", "b", cut("a").alias("a_seq"), cut("b").alias("b_seq"))
+    cut = strings.kernel(blocks._cut(False, 1.0, 1.0), blocks.SEQUENCE)
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = _pairs(spark, sf_dir).repartition(parts, "a", "b")  # few rows, each much work
+    sequences = written(pairs.select("a", "b", cut("a").alias("a_seq"), cut("b").alias("b_seq")), "sequences")  # read twice
     rows = sequences.select("a", "b", F.explode("a_seq").alias("x"), "b_seq").select("a", "b", "x", F.explode("b_seq").alias("y"))
     rows = rows.select("a", "b", F.col("x.block").alias("a_block"), F.col("x.content").alias("u"), F.col("y.block").alias("b_block"), F.col("y.content").alias("v"))
     spelt = lambda c: F.array_join(F.transform(c, lambda k: F.when(k < 0, F.lit("$")).otherwise(F.char(k))), "")

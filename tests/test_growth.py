@@ -133,3 +133,22 @@ def test_small_blocks_are_taken_many_at_once(spark, monkeypatch, kind):
     assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
     monkeypatch.setattr(wavefront, "SMALL", 0)
     assert sorted(found.collect()) == sorted(wavefront.wavefront(rows, kind=kind, size=4).collect())
+
+
+def test_repository_cuts_pairs_not_parts(spark, tmp_path, monkeypatch):
+    """However many parts have a name and a type, these are cut once."""
+    from gramweave.plans import algebra
+    from gramweave.sources import scratch
+
+    parts = [("abc def", "XYZ AB"), ("abd", "XY"), ("b a", "ZZ TOP")]
+    spark.createDataFrame([(k, *parts[k % 3]) for k in range(300)], "p_partkey int, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    plans = []
+    monkeypatch.setattr(algebra, "written", lambda table, tag: plans.append(table._jdf.queryExecution().optimizedPlan().toString()) or scratch.written(table, tag), raising=False)
+    found = algebra.block_repository(spark, str(tmp_path))
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    for plan in plans:
+        lines = plan.splitlines()
+        if any("Aggregate" in line and "p_type" in line for line in lines):
+            last = max(k for k, line in enumerate(lines) if "Aggregate" in line)
+            assert not any("EvalPython" in line for line in lines[last:])
+    assert sorted(map(tuple, found.collect())) == sorted((a.upper(), b, True, 4 * len(a) * len(b)) for a, b in parts)
