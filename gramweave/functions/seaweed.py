@@ -115,10 +115,15 @@ def multiply(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     neither side keeps go on the stairs, lowest row with highest column. All products of one depth are
     one pass: they lie side by side in whole arrays, and their staircases are walked in step.
     """
-    n = len(p)
-    if n <= 1:
+    return multiply_many(p, q, np.array([0, len(p)])) if len(p) > 1 else p.copy()
+
+
+def multiply_many(p: np.ndarray, q: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Products of permutations that lie side by side from `starts` on, each counted from 0; see multiply."""
+    n, begins = len(p), starts
+    if not n:
         return p.copy()
-    p, q, starts = np.asarray(p, np.int64), np.asarray(q, np.int64), np.array([0, n])
+    p, q = np.asarray(p, np.int64), np.asarray(q, np.int64)
     levels = []
     while np.diff(starts).max() > SMALL:
         sizes = np.diff(starts)
@@ -147,7 +152,7 @@ def multiply(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         back = np.empty(n, np.int64)
         back[columns] = np.arange(n)
         out = _combined(back[out][rows], low, starts)
-    return out
+    return out - np.repeat(begins[:-1], np.diff(begins))
 
 
 def _small_products(p: np.ndarray, q: np.ndarray, starts: np.ndarray) -> np.ndarray:
