@@ -24,12 +24,14 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], w
 
     The rows are dealt in ranges of key and order, so a hot key lies in many ranges. A range's sum goes to a small table whose
     running sums are the ranges' starts; within a key's part of a range a window does the rest. The dealt rows are a written table
-    (`written_to` of the result), as a range must not be drawn twice.
+    (`written_to` of the result), as a range must not be drawn twice. Places of all rows together are numbers that they are written with.
     """
     spark = rows.sparkSession
     parts = parts or ranges(spark)
-    weight = F.lit(1).cast("long") if weight is None else weight
     order = [F.col(c) if isinstance(c, str) else c for c in order]
+    if not by and weight is None:
+        return _numbered(rows, order, into, parts)
+    weight = F.lit(1).cast("long") if weight is None else weight
     dealt = written(rows.repartitionByRange(parts, *by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     at = F.struct(*by, "_range").alias("_at")  # one key, in which nulls are equal: the join and the window deal the rows once
     sums = dealt.groupBy(*by, "_range").agg(F.sum(weight).alias("_sum"))
@@ -41,3 +43,15 @@ def running(rows: DataFrame, by: Sequence[str], order: Sequence[str | Column], w
     found = kept.join(starts, "_at").select(*rows.columns, (F.col("_start") + F.coalesce(own, F.lit(0))).alias(into))
     found.written_to = dealt.written_to
     return found
+
+
+def _numbered(rows: DataFrame, order: list[Column], into: str, parts: int) -> DataFrame:
+    """The rows with their places: ranges are written in order with the number of each row in its range, so they are dealt once."""
+    low = (1 << 33) - 1  # monotonically_increasing_id has the partition above the number within it
+    dealt = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    at = F.shiftright("_at", 33).alias("_range")
+    counts = dealt.groupBy(at).agg(F.count(F.lit(1)).alias("_sum"))
+    starts = counts.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_start"))
+    found = dealt.select("*", at).join(F.broadcast(starts), "_range").select(*rows.columns, (F.col("_start") + F.col("_at").bitwiseAND(F.lit(low))).alias(into))
+    found.written_to = dealt.written_to
+    return found

@@ -13,6 +13,9 @@ from pyspark.sql.window import Window
 from gramweave.operators.places import RANGE, ranges, running
 from gramweave.sources.scratch import written
 
+#: Questions up to which points are summed on a grid of them.
+FEW = 256
+
 
 def _product(a: DataFrame, b: DataFrame, best, by: list[str]) -> DataFrame:
     left = a.select(*by, F.col("i"), F.col("j").alias("k"), F.col("v").alias("x"))
@@ -120,6 +123,8 @@ def dominance(points: DataFrame, asked: DataFrame, weight: Column | None = None)
     marks = points.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), (F.lit(1) if weight is None else weight).cast("long").alias("w"))
     asked = written(asked.withColumn("_no", F.monotonically_increasing_id()), "asked")
     top, points_n = marks.agg(F.max("r"), F.count(F.lit(1))).first()
+    if (asked_n := asked.count()) ** 2 <= min(points_n, FEW**2):
+        return _dominance_of_few(marks, asked)
     bits = max(1, int(top or 0).bit_length())
     level = F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level")
     held = marks.select("c", "w", "r", level).select("level", F.expr("shiftright(r, level)").alias("range"), "c", "w", F.lit(None).cast("long").alias("_no"))
@@ -130,12 +135,26 @@ def dominance(points: DataFrame, asked: DataFrame, weight: Column | None = None)
     own = wanted.select(F.lit(0).alias("level"), F.col("i").alias("range"), "c", F.lit(0).cast("long").alias("w"), "_no")
     # at equal columns questions come first
     # a point has a row for each bit that it has, half of the bits in general; so has a question for each that it lacks
-    parts = -(-(points_n + asked.count()) * (bits + 1) // (2 * RANGE))
+    parts = -(-(points_n + asked_n) * (bits + 1) // (2 * RANGE))
     summed = running(held.unionByName(lacking).unionByName(own), ["level", "range"], ["c", F.col("w") != 0, "_no"], F.col("w"), parts=max(parts, ranges(marks.sparkSession)))
     counts = summed.where("_no IS NOT NULL").groupBy("_no").agg(F.sum("before").alias("count"))
     return asked.join(counts, "_no", "left").select(*[c for c in asked.columns if c != "_no"], F.coalesce("count", F.lit(0)).alias("count"))
 
 
+def _dominance_of_few(marks: DataFrame, asked: DataFrame) -> DataFrame:
+    """The same where squares of the questions are no more than the points: these are summed on the grid of the rows and columns
+    that are asked for, and none is moved."""
+    edges = lambda name: F.array_sort(F.collect_set(F.col(name).cast("long"))).alias(f"_{name}")
+    lines = F.broadcast(asked.agg(edges("i"), edges("j")))
+    # edges up to a row, and up to a column
+    held = marks.crossJoin(lines).select(F.size(F.filter("_i", lambda x: x <= F.col("r"))).alias("t"), F.size(F.filter("_j", lambda x: x <= F.col("c"))).alias("u"), "w")
+    cells = held.groupBy("t", "u").agg(F.sum("w").alias("w"))
+    at = lambda edges, name: F.array_position(edges, F.col(name).cast("long"))
+    wanted = asked.crossJoin(lines).select("_no", at("_i", "i").alias("_t"), at("_j", "j").alias("_u"))
+    counts = wanted.join(F.broadcast(cells), (F.col("t") >= F.col("_t")) & (F.col("u") < F.col("_u"))).groupBy("_no").agg(F.sum("w").alias("count"))
+    return asked.join(counts, "_no", "left").select(*[c for c in asked.columns if c != "_no"], F.coalesce("count", F.lit(0)).alias("count"))
+
+
 def inverse(p: DataFrame) -> DataFrame:
     return p.select(F.col("c").alias("r"), F.col("r").alias("c"))
 

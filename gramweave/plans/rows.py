@@ -21,14 +21,15 @@ def _orders(spark, sf_dir):
 
 
 def _permutations(rows, by: list[str]):
-    """Orders by key against their places by date, and against those by price."""
-    for order, place in ((["o_orderkey"], "k"), (["o_orderdate", "o_orderkey"], "d"), (["o_totalprice", "o_orderkey"], "t")):
-        rows = running(rows, by, order, into=place)
+    """Orders by key against their places by date, and against those by price. Places by key stand for the keys from there on."""
+    rows = running(rows, by, ["o_orderkey"], into="k").drop("o_orderkey")
+    rows = running(rows, by, ["o_totalprice", "k"], into="t").drop("o_totalprice")
+    rows = running(rows, by, ["o_orderdate", "k"], into="d").drop("o_orderdate")
     return rows.select(*by, F.col("k").alias("r"), F.col("d").alias("c")), rows.select(*by, F.col("k").alias("r"), F.col("t").alias("c"))
 
 
 def unit_monge_groups(spark, sf_dir):
-    """The product of two orders of each customer's orders, of blocks and strips so small that all are merged."""
+    """The product of two orders of each customer's orders, many customers in a task."""
     p, q = _permutations(_orders(spark, sf_dir), ["key"])
     return monge.product(p, q, "key", block=8, strip=8)
 

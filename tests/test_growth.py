@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gramweave.functions import grammar
-from gramweave.operators import components, grammars, places, shared, tropical, wavefront
+from gramweave.functions import grammar, seaweed
+from gramweave.operators import components, grammars, monge, places, shared, tropical, wavefront
 from gramweave.sources import fasta_format
 
 
@@ -152,3 +153,40 @@ def test_repository_cuts_pairs_not_parts(spark, tmp_path, monkeypatch):
             last = max(k for k, line in enumerate(lines) if "Aggregate" in line)
             assert not any("EvalPython" in line for line in lines[last:])
     assert sorted(map(tuple, found.collect())) == sorted((a.upper(), b, True, 4 * len(a) * len(b)) for a, b in parts)
+
+
+@pytest.mark.parametrize(("together", "blocks", "block", "strip"), [(0, 32, 4, 1), (0, 4, 1, 3), (0, 32, 2, 64), (30, 8, 5, 2), (1 << 16, 32, 8, 8)])
+def test_product_of_rows_small_and_large(spark, monkeypatch, together, blocks, block, strip):
+    """Small keys are multiplied many at once; the others are merged with few places of their strips. Both are the same products."""
+    rng = np.random.default_rng(block)
+    perms = {f"k{n}-{m}": (rng.permutation(n), rng.permutation(n)) for n in (1, 2, 3, 17, 40, 75) for m in range(3)}
+    perms["id"], perms["up"] = (np.arange(37), np.arange(37)[::-1].copy()), (np.arange(53)[::-1].copy(), np.arange(53)[::-1].copy())
+    perms["near"] = (np.argsort(np.arange(64) + rng.integers(0, 9, 64), kind="stable"), np.argsort(np.arange(64) + rng.integers(0, 9, 64), kind="stable"))
+    for name, value in (("TOGETHER", together), ("BLOCKS", blocks), ("CELLS", 64), ("MATCHED", 32)):
+        monkeypatch.setattr(monge, name, value, raising=False)
+    table = lambda side: spark.createDataFrame([(k, r, int(c)) for k, pair in perms.items() for r, c in enumerate(pair[side])], "key string, r long, c long")
+    product = monge.product(table(0), table(1), "key", block, strip)
+    if together > 75:
+        assert "MapInArrow" in product._jdf.queryExecution().toString()
+    found = product.collect()
+    assert sorted((x.key, x.r, x.c) for x in found) == sorted((k, r, int(c)) for k, (p, q) in perms.items() for r, c in enumerate(seaweed.multiply(p, q)))
+
+
+def test_places_of_all_rows_deal_them_once(spark):
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(rng.randrange(40), k) for k in range(700)], "v int, no int")
+    found = places.running(rows, [], ["v", F.desc("no")], into="at", parts=9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_at" not in plan and "windowspecdefinition(_at" not in plan
+    order = {r: k for k, r in enumerate(sorted(map(tuple, rows.collect()), key=lambda r: (r[0], -r[1])))}
+    assert {(r.v, r.no): r["at"] for r in found.collect()} == order
+    assert places.running(rows.limit(0), [], ["v"]).collect() == []
+
+
+def test_few_questions_move_no_points(spark, monkeypatch):
+    monkeypatch.setattr(tropical, "running", lambda *a, **b: pytest.fail("points are dealt"))
+    rng = random.Random(4)
+    points = [(rng.randrange(60), rng.randrange(60), rng.randrange(5)) for _ in range(300)]
+    asked = [(rng.randrange(-2, 64), rng.randrange(-2, 64)) for _ in range(14)] + [(7, 7), (7, 7), (0, 60)]
+    found = tropical.dominance(spark.createDataFrame(points, "r long, c long, w long"), spark.createDataFrame(asked, "i long, j long"), F.col("w")).collect()
+    assert sorted(map(tuple, found)) == sorted((i, j, sum(w for r, c, w in points if r >= i and c < j)) for i, j in asked)
