@@ -115,7 +115,9 @@ def multiply(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     neither side keeps go on the stairs, lowest row with highest column. All products of one depth are
     one pass: they lie side by side in whole arrays, and their staircases are walked in step.
     """
-    return multiply_many(p, q, np.array([0, len(p)])) if len(p) > 1 else p.copy()
+    if len(p) <= SMALL:
+        return _small_product(np.asarray(p, np.int64), np.asarray(q, np.int64))
+    return multiply_many(p, q, np.array([0, len(p)]))
 
 
 def multiply_many(p: np.ndarray, q: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -155,6 +157,23 @@ def multiply_many(p: np.ndarray, q: np.ndarray, starts: np.ndarray) -> np.ndarra
     return out - np.repeat(begins[:-1], np.diff(begins))
 
 
+#: Columns that count, for each column of a permutation of up to SMALL rows.
+_BEFORE = np.arange(SMALL + 1)
+
+
+def _small_product(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """One product by the definition."""
+    n = len(p)
+    if n <= 1:
+        return p.copy()
+    sums = np.zeros((2, n + 1, n + 1), np.int8)
+    np.less(np.stack((p, q))[:, ::-1, None], _BEFORE[: n + 1], out=sums[:, 1:], casting="unsafe")
+    sums = np.add.accumulate(sums, 1, np.int8)[:, ::-1]  # rows from i on, columns before j
+    least = (sums[0][:, :, None] + sums[1]).min(1)
+    steps = least[:-1] - least[1:]
+    return (steps[:, 1:] - steps[:, :-1]).argmax(1)
+
+
 def _small_products(p: np.ndarray, q: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Products by the definition, those of equal size at once."""
     out, sizes = np.empty(len(p), np.int64), np.diff(starts)

@@ -190,3 +190,14 @@ def test_few_questions_move_no_points(spark, monkeypatch):
     asked = [(rng.randrange(-2, 64), rng.randrange(-2, 64)) for _ in range(14)] + [(7, 7), (7, 7), (0, 60)]
     found = tropical.dominance(spark.createDataFrame(points, "r long, c long, w long"), spark.createDataFrame(asked, "i long, j long"), F.col("w")).collect()
     assert sorted(map(tuple, found)) == sorted((i, j, sum(w for r, c, w in points if r >= i and c < j)) for i, j in asked)
+
+
+def test_small_products_are_one_step(monkeypatch):
+    """A product of few rows needs no rounds."""
+    rng = np.random.default_rng(6)
+    pairs = [(rng.permutation(n), rng.permutation(n)) for n in range(seaweed.SMALL + 1) for _ in range(20)]
+    want = [seaweed.multiply_many(p, q, np.array([0, len(p)])) for p, q in pairs]
+    monkeypatch.setattr(seaweed, "multiply_many", lambda *a: pytest.fail("rounds"))
+    for (p, q), right in zip(pairs, want):
+        found = seaweed.multiply(p, q)
+        assert found.dtype == np.int64 and found.tolist() == right.tolist()
