@@ -145,8 +145,14 @@ def compression(rows: DataFrame, text: str, keep: list[str], builder: str = "com
 
 
 def _measured(measure: Callable):
+    """Measures as columns: of a batch's texts only the numbers are held, not a dictionary each."""
+
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure("" if t is None else t) for t in texts])
+        columns: dict[str, list] = {}
+        for t in texts:
+            for name, value in measure("" if t is None else t).items():
+                columns.setdefault(name, []).append(value)
+        return pd.DataFrame(columns)
 
     return run
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,25 @@ def test_measures_walk_a_grammar_once(spark, monkeypatch, builder):
     assert len(calls) == 3 and found["ratio"] == g.ratio() and found["n_productions"] == g.productions() and found["blown_productions"] == g.productions() + 4
 
 
+def test_measures_are_held_as_columns():
+    """Of a batch's texts at most two results are held as such; the numbers are the same."""
+    held, most = [], []
+
+    class Result(dict):
+        def __init__(self, *a, **b):
+            super().__init__(*a, **b)
+            held.append(1)
+            most.append(len(held))
+
+        def __del__(self):
+            held.pop()
+
+    texts = ["", *(t or "" for t in _texts(200)), None]
+    found = grammars._measured(lambda t: Result(n=len(t), ratio=None if not t else 1 / len(t)))(pd.Series(texts, dtype=object))
+    assert found["n"].tolist() == [len(t or "") for t in texts] and found["ratio"].isna().tolist() == [not t for t in texts]
+    assert max(most) <= 2
+
+
 def test_partition_streams(spark):
     rows = spark.createDataFrame(list(enumerate(_texts(20))), "no long, text string")
     found = grammars.partition(rows, "text", ["no"])
