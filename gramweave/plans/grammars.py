@@ -78,7 +78,7 @@ def slp_halved(spark, sf_dir):
 
 def compression_ratio(spark, sf_dir):
     """The compressed grammars' measures against their production tables: each pair is balanced and as high and long as
-    its sides make it; productions, height and ratio are those of the table."""
+    its sides make it; productions, height and ratio are those of the table. A turn without text has no productions."""
     turns, own = _turns(spark, sf_dir), ["conv_id", "turn"]
     table = written(grammars.productions(turns, "text", own), "productions")
     side = lambda name: table.select(*own, F.col("prod_id").alias(f"{name}_id"), F.col("height").alias(f"{name}_height"), F.col("len").alias(f"{name}_len"))
@@ -86,9 +86,11 @@ def compression_ratio(spark, sf_dir):
     pair = (F.abs(F.col("left_height") - F.col("right_height")) <= 1) & (F.col("height") == 1 + F.greatest("left_height", "right_height")) & (F.col("len") == F.col("left_len") + F.col("right_len"))
     right = F.when(F.col("kind") == "N", F.coalesce(pair, F.lit(False))).otherwise((F.col("height") == 0) & (F.col("len") == 1))
     held = both.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.max("height").alias("h"), F.bool_and(right).alias("balanced"))
-    found = grammars.compression(turns, "text", own).join(held, own)
+    measured = grammars.compression(turns.withColumn("given", F.col("text").isNotNull()), "text", [*own, "given"])
+    found = measured.join(held, own, "left").fillna(0, ["n", "h", "ratio"])
     agrees = (F.col("n") == F.col("n_productions")) & (F.col("h") == F.col("height")) & (F.abs(F.col("ratio") * F.col("derived_len") - F.col("n")) < 1e-6)
-    return found.select(*own, "derived_len", "balanced", agrees.alias("agrees"), (F.col("n_factors") <= F.col("derived_len")).alias("factors"))
+    balanced, length = F.coalesce("balanced", F.col("n_productions") == 0), F.when(F.col("given"), F.col("derived_len"))
+    return found.select(*own, length.alias("derived_len"), balanced.alias("balanced"), agrees.alias("agrees"), (F.col("n_factors") <= F.col("derived_len")).alias("factors"))
 
 
 def block_partition(spark, sf_dir):

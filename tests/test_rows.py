@@ -166,3 +166,13 @@ def test_sequence_format(spark, tmp_path):
     assert [(r.name, r.seq) for r in spark.read.format("fasta").load(out).collect()] == [("twice", "tt")]
     with pytest.raises(ValueError):
         fasta_format.FastaWriter({"path": out}, ["name"], False)
+
+
+def test_turns_without_text_keep_their_row(spark, tmp_path):
+    """As in the SQL: no text has no length, and an empty one the length 0; both agree with having no productions."""
+    from gramweave.plans import grammars
+
+    turns = [(1, 0, "abcabcab"), (1, 1, ""), (2, 0, None), (2, 1, "a")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = grammars.compression_ratio(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(c, t, None if text is None else len(text), True, True, True) for c, t, text in turns]
