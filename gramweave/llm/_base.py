@@ -15,11 +15,11 @@ from gramweave.sources.scratch import scratch_path
 _open: list[list[DataFrame]] = []
 
 
-def stash(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it back, which cuts the lineage there."""
+def stash(df: DataFrame, tag: str, codec: str = "zstd", options: dict | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back, which cuts the lineage there; options are those of the writer."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(**(options or {})).option("compression", codec).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stash_path = path
     for tables in _open:

@@ -11,6 +11,8 @@ a word longer that has it and is at least as frequent.
 
 Only distinct words and pairs of a chunk are shuffled by key, never occurrences, so a word that is everywhere is
 one row a chunk; pairs go by bucket of their hash, a compressed list for each chunk. Names that are few go out to the chunks. Each level's chunks are a written table; a lost executor repeats a level's tasks at most.
+A chunk's numbers are compressed columns, and chunks are written, read and sent to Python by few of them at once, so a task's
+memory follows the size of a chunk and not how many chunks the task has.
 
 Defined cases: null lang is `und`; null or empty text has no word; doc_id plays no part, so repeated rows all count;
 ties are broken by score, frequency and phrase; an empty table gives no row; other columns may have any name;
@@ -21,10 +23,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +40,10 @@ from ._base import BROADCAST_BYTES, bounded, drop_stash, picked, slices, stash
 
 #: Word occurrences of a chunk (a parameter), chunks' worth of them that a task holds open, and bytes of text that are cut at once.
 CHUNK, OPEN, SLICE = 1 << 19, 4, 1 << 22
+#: Bytes of chunks that a task writes, reads or sends to Python at once, and one chunk more.
+AT_ONCE = 8 << 20
+#: Pairs of a chunk that are rows at once.
+ROWS = 1 << 16
 #: Candidates are phrases of 2 to WORDS words that occur LEAST times; the first TOP of a language are reported.
 WORDS, LEAST, TOP = 5, 100, 2000
 #: A candidate goes if a longer one that holds it has so many hundredths of its frequency.
@@ -57,12 +66,26 @@ def _tokens(text: bytes, size: int = SLICE) -> Iterator[list[bytes]]:
         at = end
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers of one type, first bytes first, then second ones, ..., compressed; their count stands before."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(values).to_bytes(8, "little") + (pa.Codec("zstd").compress(planes, asbytes=True) if planes else b"")
+
+
+def unsqueezed(blob: pa.Scalar, kind: type) -> np.ndarray:
+    blob, width = blob.as_buffer(), np.dtype(kind).itemsize
+    size = int.from_bytes(blob[:8], "little")  # of nothing is 0
+    if not size:
+        return np.zeros(0, kind)
+    planes = pa.Codec("zstd").decompress(blob[8:], size * width)
+    return np.frombuffer(planes, np.uint8).reshape(width, size).T.copy().view(kind)[:, 0]
+
+
 class _Open:
     """A chunk that is being filled."""
 
     def __init__(self) -> None:
-        self.numbers: defaultdict[bytes, int] = defaultdict()
-        self.numbers.default_factory = self.numbers.__len__
+        self.numbers: defaultdict[bytes, int] = defaultdict(count().__next__)  # a factory that held the words would keep them past the chunk's end
         self.numbers[_BREAK]  # is 0
         self.parts: list[np.ndarray] = []
         self.size = 0
@@ -76,7 +99,7 @@ class _Open:
         counts = np.bincount(places, minlength=len(self.numbers))[1:]
         words = pa.array(list(self.numbers)[1:], pa.binary()).cast(pa.string())
         lists = [pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), values) for values in (words, pa.array(counts.astype(np.int64)))]
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([lang]), pa.array([places.tobytes()], pa.binary()), *lists], ["chunk", "lang", "places", "words", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([lang]), pa.array([squeezed(places)], pa.binary()), *lists], ["chunk", "lang", "places", "words", "counts"])
 
 
 def _chunked(chunk: int):
@@ -93,8 +116,11 @@ def _chunked(chunk: int):
                     full = list(open_chunks) if size >= OPEN * chunk else [lang] if open_chunks[lang].size >= chunk else []
                     for name in full:
                         done = open_chunks.pop(name)
-                        yield done.row(next_chunk, name)
-                        next_chunk, size = next_chunk + 1, size - done.size
+                        size -= done.size
+                        row = done.row(next_chunk, name)
+                        del done
+                        yield row
+                        next_chunk += 1
         for name, done in open_chunks.items():
             yield done.row(next_chunk, name)
             next_chunk += 1
@@ -103,14 +129,14 @@ def _chunked(chunk: int):
 
 
 def chunks(docs: DataFrame, lang: str = "lang", chunk: int = CHUNK) -> DataFrame:
-    """(chunk, lang, places, words, counts): place by place the number of a word in the chunk's list from 1, 0 between pieces."""
+    """(chunk, lang, places, words, counts): place by place the number of a word in the chunk's list from 1, 0 between pieces; compressed."""
     rows = picked(docs, lang, "text").toDF("lang", "text").where("text IS NOT NULL")
     rows = rows.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_chunked(chunk), "chunk long, lang string, places binary, words array<string>, counts array<long>")
 
 
-PAIRS_DDL = "chunk long, places binary, numbers binary, lefts array<long>, rights array<long>, counts array<long>"
-PAIRS = pa.schema([("chunk", pa.int64()), ("places", pa.binary()), ("numbers", pa.binary()), *[(name, pa.list_(pa.int64())) for name in ("lefts", "rights", "counts")]])
+PAIRS_DDL = "chunk long, places binary, numbers binary, lefts binary, rights binary, counts binary"
+PAIRS = pa.schema([("chunk", pa.int64()), *[(name, pa.binary()) for name in ("places", "numbers", "lefts", "rights", "counts")]])
 
 
 def _pairs_of(chunk: int, places: np.ndarray, numbers: np.ndarray, ids: np.ndarray, last: bool) -> pa.RecordBatch | None:
@@ -121,16 +147,25 @@ def _pairs_of(chunk: int, places: np.ndarray, numbers: np.ndarray, ids: np.ndarr
     if not len(next_to):
         return None
     pairs, inverse, counts = np.unique(numbers[next_to].astype(np.int64) << 32 | numbers[next_to + 1], return_inverse=True, return_counts=True)
-    blobs = (b"", b"") if last else (places[next_to].tobytes(), inverse.astype(np.int32).tobytes())
-    ends = pa.array([0, len(pairs)], pa.int32())
-    lists = [pa.ListArray.from_arrays(ends, pa.array(values)) for values in (ids[pairs >> 32], ids[pairs & 0xFFFFFFFF], counts.astype(np.int64))]
-    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *[pa.array([b], pa.binary()) for b in blobs], *lists], PAIRS.names)
+    blobs = [b"", b""] if last else [squeezed(np.diff(places[next_to], prepend=np.int32(0))), squeezed(inverse.astype(np.int32))]
+    blobs += [squeezed(values) for values in (ids[pairs >> 32], ids[pairs & 0xFFFFFFFF], counts.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *[pa.array([b], pa.binary()) for b in blobs]], PAIRS.names)
 
 
 def _read(places: pa.Scalar, numbers: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    numbers = np.frombuffer(numbers.as_buffer(), np.int32)
-    places = places.as_buffer()
-    return np.frombuffer(places, np.int32) if len(places) else np.arange(len(numbers), dtype=np.int32), numbers
+    numbers = unsqueezed(numbers, np.int32)
+    steps = unsqueezed(places, np.int32)
+    return np.cumsum(steps, dtype=np.int32) if len(steps) else np.arange(len(numbers), dtype=np.int32), numbers
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of chunks as rows."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            chunk, left, right = batch.column(0)[k].as_py(), *(unsqueezed(batch.column(c)[k], np.int64) for c in (1, 2))
+            for at in range(0, len(left), ROWS):
+                own = left[at : at + ROWS], right[at : at + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own[0]), chunk)), pa.array(np.arange(at, at + len(own[0]))), *map(pa.array, own)], ["of", "number", "left", "right"])
 
 
 def _paired_by_group(last: bool):
@@ -154,13 +189,15 @@ class _Words:
     columns = ("lang", "words")
 
     def __init__(self, names: pa.Table) -> None:
-        self.of: defaultdict[str, dict[str, int]] = defaultdict(dict)
-        for lang, word, number in zip(*(names[c].to_pylist() for c in ("lang", "phrase", "id")), strict=True):
-            self.of[lang][word] = number
+        self.names, self.of = names, {}
 
     def ids(self, lang: pa.Scalar, words: pa.Scalar) -> np.ndarray:
-        of = self.of[lang.as_py()]
-        return np.array([0, *[of.get(w, 0) for w in words.as_py()]], np.int64)  # 0 is the end of a piece
+        if lang.as_py() not in self.of:
+            own = self.names.filter(pc.equal(self.names["lang"], lang.as_py()))
+            self.of[lang.as_py()] = own["phrase"].cast(pa.string()).combine_chunks(), np.append(own["id"].to_numpy(), 0)
+        known, ids = self.of[lang.as_py()]
+        at = pc.index_in(words.values.cast(pa.string()), value_set=known)
+        return np.append(0, ids[pc.fill_null(at, len(known)).to_numpy()])  # 0 is the end of a piece
 
 
 class _Names:
@@ -176,10 +213,11 @@ class _Names:
         self.keys, self.of = keys[order], ids[order]
 
     def ids(self, lefts: pa.Scalar, rights: pa.Scalar) -> np.ndarray:
+        left, right = unsqueezed(lefts, np.int64), unsqueezed(rights, np.int64)
         if not len(self.keys):
-            return np.zeros(len(lefts.values), np.int64)
+            return np.zeros(len(left), np.int64)
         at = []
-        for values, known in ((lefts.values.to_numpy(), self.left), (rights.values.to_numpy(), self.right)):
+        for values, known in ((left, self.left), (right, self.right)):
             place = np.minimum(np.searchsorted(known, values), len(known) - 1)
             at.append((place, known[place] == values))
         keys = at[0][0] * len(self.right) + at[1][0]
@@ -209,7 +247,7 @@ def _packed(buckets: int):
         codec = pa.Codec("zstd")
         for batch in batches:
             for k in range(batch.num_rows):
-                left, right, counts = (batch.column(c)[k].values.to_numpy() for c in range(3))
+                left, right, counts = (unsqueezed(batch.column(c)[k], np.int64) for c in range(3))
                 bucket = (left * np.int64(0x9E3779B97F4A7C1) ^ right * np.int64(0x2545F4914F6CDD1D)).view(np.uint64) >> np.uint64(24)
                 bucket = (bucket % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((right, left, bucket))
@@ -251,6 +289,23 @@ def _with_ids(counted: DataFrame, tag: str) -> DataFrame:
 BUCKET = 1 << 20
 
 
+def _stashed(chunks: DataFrame, tag: str) -> DataFrame:
+    """A written table of chunks, in row groups of AT_ONCE bytes: its sizes are looked at from the first row on, not from the hundredth."""
+    return stash(chunks, tag, options={"parquet.block.size": AT_ONCE, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1})
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of AT_ONCE bytes at most, and one row more, inside of the block."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, lang: str = "lang", chunk: int = CHUNK, few: int = BROADCAST_BYTES) -> tuple[list[DataFrame], DataFrame]:
     """The frequent phrases of 1 to `words` words, a written table each, and (lang, n).
 
@@ -258,8 +313,13 @@ def phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, lang: str =
     first and last 1, 2, ... words; the last of either is its own. A level's names whose bytes are counted to be at most `few` go out to the
     chunks, others are joined with the chunks' lists and meet the chunks by shuffles; the result is the same.
     """
+    with _small_batches(docs.sparkSession):
+        return _phrases(docs, words, least, lang, chunk, few)
+
+
+def _phrases(docs: DataFrame, words: int, least: int, lang: str, chunk: int, few: int) -> tuple[list[DataFrame], DataFrame]:
     spark = docs.sparkSession
-    own = stash(chunks(docs, lang, chunk), "chunks")
+    own = _stashed(chunks(docs, lang, chunk), "chunks")
     listed = own.select(F.col("chunk").alias("of"), "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x")).select("of", "lang", (F.col("at") + 1).alias("number"), F.col("x.words").alias("word"), F.col("x.counts").alias("count"))
     totals = stash(own.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     counted = listed.groupBy("lang", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
@@ -278,10 +338,10 @@ def phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, lang: str =
             if is_words:
                 named = listed.join(names.select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"])
             else:
-                listed = own.select(F.col("chunk").alias("of"), F.posexplode(F.arrays_zip("lefts", "rights")).alias("number", "x")).select("of", "number", F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"))
+                listed = own.select("chunk", "lefts", "rights").mapInArrow(_rows_of, "of long, number long, left long, right long")
                 named = listed.join(names.select("id", "left", "right"), ["left", "right"])
             paired = own.select("chunk", *blobs).groupBy("chunk").cogroup(named.select("of", "number", "id").groupBy("of")).applyInArrow(_paired_by_group(last), PAIRS_DDL)
-        earlier, own = own, stash(paired, "pairs")
+        earlier, own = own, _stashed(paired, "pairs")
         drop_stash(earlier)
         packed = own.select("lefts", "rights", "counts").mapInArrow(_packed(buckets), "bucket long, size long, pack binary")
         # the number is given: packs are small for what they hold
